@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import (
-    FAILED, NOT_ANSWERED, NOTHING_FOUND, best_sentence, grounding_ratio, parse_generated,
-    token_hits, truncate_context,
+    FAILED, NOT_ANSWERED, NOTHING_FOUND, best_sentence, grounding, parse_generated, truncate_context,
 )
-from ..functions.text import strip
+from ..functions.binding import bind
 
 
 def context_assembly(hits: DataFrame, max_chars: int | None = 6000) -> DataFrame:
@@ -82,11 +81,8 @@ def grounding_check(
     df: DataFrame, answer: str = "answer", context: str = "context", threshold: float = 0.55
 ) -> DataFrame:
     """Add ``hits``, ``total``, ``ratio`` and ``grounded``."""
-    counted = df.withColumn("_count", token_hits(F.col(answer), F.coalesce(F.col(context), F.lit(""))))
-    counted = counted.withColumn("hits", F.col("_count.hits")).withColumn("total", F.col("_count.total"))
-    counted = counted.withColumn("ratio", grounding_ratio(F.col("hits"), F.col("total")))
-    grounded = (strip(F.col(answer)) != "") & (F.col("ratio") >= threshold)
-    return counted.withColumn("grounded", F.coalesce(grounded, F.lit(False))).drop("_count")
+    checked = df.withColumn("_check", grounding(F.col(answer), F.col(context), threshold))
+    return checked.select(*df.columns, "_check.*")
 
 
 def resolve_answer(df: DataFrame, threshold: float = 0.55) -> DataFrame:
@@ -96,26 +92,26 @@ def resolve_answer(df: DataFrame, threshold: float = 0.55) -> DataFrame:
     ``error`` column marks a failed generation. An ungrounded answer is blanked.
     """
     error = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
-    checked = grounding_check(df.withColumn("_error", error), threshold=threshold)
+    grounded = grounding(F.col("answer"), F.col("context"), threshold)["grounded"]
     status = (
         F.when(F.coalesce(F.size("sources"), F.lit(0)) == 0, "no_context")
-        .when(F.col("_error").isNotNull(), "error")
-        .when(F.col("no_answer") | ~F.col("grounded"), "no_answer")
+        .when(error.isNotNull(), "error")
+        .when(F.col("no_answer") | ~grounded, "no_answer")
         .otherwise("answered")
     )
-    done = checked.withColumn("status", status)
-    answered = F.col("status") == "answered"
-    reply = (
-        F.when(answered, F.col("answer"))
-        .when(F.col("status") == "no_context", NOTHING_FOUND)
-        .otherwise(NOT_ANSWERED)
-    )
-    return (
-        done.withColumn("reply", reply)
-        .withColumn("answer", F.when(answered, F.col("answer")).otherwise(""))
-        .withColumn("sources", F.when(answered, F.col("sources")).otherwise(F.array().cast("array<string>")))
-        .drop("_error", "hits", "total", "ratio", "grounded", "no_answer")
-    )
+
+    def settle(status: Column) -> Column:
+        answered = status == "answered"
+        reply = F.when(status == "no_context", NOTHING_FOUND).otherwise(NOT_ANSWERED)
+        return F.struct(
+            status.alias("status"),
+            F.when(answered, F.col("answer")).otherwise("").alias("answer"),
+            F.when(answered, F.col("answer")).otherwise(reply).alias("reply"),
+            F.when(answered, F.col("sources")).otherwise(F.array().cast("array<string>")).alias("sources"),
+        )
+
+    kept = [c for c in df.columns if c not in ("answer", "no_answer", "sources")]
+    return df.withColumn("_done", bind(status, settle)).select(*kept, "_done.*")
 
 
 def resolve_streamed(

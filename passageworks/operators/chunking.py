@@ -42,7 +42,8 @@ def chunk_text(
     step = chunk_size - overlap
     per_chunk = -(-chunk_size // step)
 
-    pieces = nonempty(docs, text).select(
+    # an empty text has no pieces and so no row; no filter is needed
+    pieces = docs.select(
         F.col(key),
         F.length(text).alias("n"),
         F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("pieces"),

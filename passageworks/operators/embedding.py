@@ -8,12 +8,14 @@ exchanges at most ``dims + 1`` counters per task.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..functions.text import word_bucket, words
 
 
@@ -38,24 +40,22 @@ class IdfModel:
         return cls(rows[0]["n_chunks"], tuple(r["idf"] for r in rows))
 
 
-def postings(df: DataFrame, text: str = "text", dims: int = 384) -> DataFrame:
-    """Add ``buckets`` (ascending) and ``counts`` of the words of ``text``.
+def postings(text: Column, dims: int = 384) -> Column:
+    """``struct(buckets, counts)`` of the words of a text, buckets ascending."""
+    hashed = F.sort_array(F.transform(words(text), lambda w: word_bucket(w, dims)))
 
-    Lambdas here refer to their own arguments only. A column captured by a
-    lambda can be inlined by the optimizer and would then be computed again for
-    every element.
-    """
-    hashed = F.sort_array(F.transform(words(F.col(text)), lambda w: word_bucket(w, dims)))
-    placed = df.withColumn("_hashed", hashed).withColumn("buckets", F.array_distinct("_hashed"))
-    first = F.transform("buckets", lambda b: F.array_position(F.col("_hashed"), b))
-    placed = placed.withColumn("_first", first)
-    after = F.array_append(
-        F.slice("_first", 2, F.size("_first")), F.size("_hashed").cast("bigint") + 1
-    )
-    counts = F.zip_with("_first", after, lambda p, q: (q - p).cast("int"))
-    return placed.withColumn(
-        "counts", F.when(F.size("buckets") > 0, counts).otherwise(F.lit([]).cast("array<int>"))
-    ).drop("_hashed", "_first")
+    def counted(places: Column) -> Column:
+        buckets = F.array_distinct(places)
+        first = F.transform(buckets, lambda b: F.array_position(places, b))
+        end = F.size(places).cast("bigint") + 1
+
+        def lengths(starts: Column) -> Column:
+            after = F.array_append(F.slice(starts, 2, F.size(starts)), end)
+            return F.slice(F.zip_with(starts, after, lambda p, q: (q - p).cast("int")), 1, F.size(starts))
+
+        return F.struct(buckets.alias("buckets"), bind(first, lengths).alias("counts"))
+
+    return bind(hashed, counted)
 
 
 def fit_idf(chunks: DataFrame, text: str = "text", dims: int = 384) -> IdfModel:
@@ -64,33 +64,41 @@ def fit_idf(chunks: DataFrame, text: str = "text", dims: int = 384) -> IdfModel:
     Runs one job, like the fit of any estimator. The extra bucket -1 counts
     the chunks themselves in the same pass.
     """
-    marked = postings(chunks.select(text), text, dims).select(
-        F.explode(F.concat(F.array(F.lit(-1)), "buckets")).alias("bucket")
+    marked = chunks.select(
+        F.explode(F.concat(F.array(F.lit(-1)), postings(F.col(text), dims)["buckets"])).alias("bucket")
     )
     seen = {r["bucket"]: r["n"] for r in marked.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
     n = seen.get(-1, 0)
     return IdfModel(n, tuple(math.log((n + 1) / (seen.get(b, 0) + 1)) + 1.0 for b in range(dims)))
 
 
-def hashed_features(
-    df: DataFrame, model: IdfModel, text: str = "text", output: str = "features"
-) -> DataFrame:
-    """Add ``output``: ``struct(buckets, weights)`` of unit length, weights ``(1 + ln tf) * idf``.
+def features_of(text: Column, model: IdfModel) -> Column:
+    """``struct(buckets, weights)`` of unit length, weights ``(1 + ln tf) * idf``.
 
     A text without words gets empty arrays, the zero vector.
     """
-    idf = F.lit(list(model.weights))
-    raw = F.zip_with(
-        "buckets", "counts", lambda b, c: (F.log(c.cast("double")) + 1.0) * F.get(idf, b)
-    )
-    weighted = postings(df, text, model.dims).withColumn("_raw", raw)
-    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.zip_with(
-        "_raw", F.array_repeat(length, F.size("_raw")), lambda x, n: (x / n).cast("float")
-    )
-    return weighted.withColumn(
-        output, F.struct(F.col("buckets"), unit.alias("weights"))
-    ).drop("buckets", "counts", "_raw")
+    # one literal instead of one per bucket, which keeps the plan small
+    idf = F.from_json(F.lit(json.dumps(model.weights)), "array<double>")
+
+    def weighted(p: Column) -> Column:
+        raw = F.zip_with(
+            p["buckets"], p["counts"], lambda b, c: (F.log(c.cast("double")) + 1.0) * F.get(idf, b)
+        )
+        return bind(raw, lambda r: F.struct(p["buckets"].alias("buckets"), _unit(r).alias("weights")))
+
+    return bind(postings(text, model.dims), weighted)
+
+
+def _unit(raw: Column) -> Column:
+    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return bind(length, lambda n: F.transform(raw, lambda x: (x / n).cast("float")))
+
+
+def hashed_features(
+    df: DataFrame, model: IdfModel, text: str = "text", output: str = "features"
+) -> DataFrame:
+    """Add the sparse vector of ``text``."""
+    return df.withColumn(output, features_of(F.col(text), model))
 
 
 def dense(features: Column, dims: int) -> Column:
@@ -111,8 +119,8 @@ def hashed_embedding(
     df: DataFrame, model: IdfModel, text: str = "text", output: str = "embedding"
 ) -> DataFrame:
     """Add the dense vector of ``text``."""
-    sparse = hashed_features(df, model, text, "_features")
-    return sparse.withColumn(output, dense(F.col("_features"), model.dims)).drop("_features")
+    vector = bind(features_of(F.col(text), model), lambda f: dense(f, model.dims))
+    return df.withColumn(output, vector)
 
 
 def embedding_dimension(df: DataFrame, col: str = "embedding") -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunking import chunk_text, nonempty
+from ..operators.chunking import chunk_text
 from ..operators.diff import ingest_report, listing, snapshot_diff
 from ..operators.embedding import fit_idf, hashed_embedding
 from ..schemas import Options
@@ -39,15 +39,19 @@ def apply_changes(
     chunks and keeps its manifest entry, so it stays modified. Returns the run's
     ``(status, n, loaded)``.
     """
+    # The comparison is stored before anything else: the steps below, and a retry
+    # of any of them, work on one recorded set of paths.
     run = state.last_run() + 1
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     state.write("diff", run, diff.filter(F.col("status") != "unchanged"))
     diff = state.read_run("diff", run)
+    if diff.isEmpty():
+        return ingest_report(diff).withColumn("loaded", F.lit(0).cast("bigint"))
     changed = diff.filter(F.col("status").isin("new", "modified"))
-    contents = corpus if run == 1 else _only(corpus, changed)
-    loaded = load_documents(spread(contents), extractor)
+    contents = spread(corpus) if run == 1 else _only(corpus, changed)
+    loaded = load_documents(contents, extractor)
     chunks = chunk_text(
-        nonempty(loaded), chunk_size=options.chunk_size, overlap=options.chunk_overlap
+        loaded, chunk_size=options.chunk_size, overlap=options.chunk_overlap
     )
     if encoder is None:
         model = state.idf()
@@ -94,12 +98,8 @@ def incremental_ingest(
     """Bring the collection at ``state_dir`` in line with ``corpus``.
 
     Only hashes take part in the comparison; contents are read again for changed
-    paths alone. Without changes nothing is written.
+    paths alone. Without changes nothing is committed.
     """
     state = Collection(spark, state_dir)
     diff = snapshot_diff(listing(corpus), state.manifest(), root)
-    if diff.filter(F.col("status") != "unchanged").isEmpty():
-        return ingest_report(diff.filter(F.col("status") != "unchanged")).withColumn(
-            "loaded", F.lit(0).cast("bigint")
-        )
     return apply_changes(state, diff, corpus, options, now, "", extractor, encoder)

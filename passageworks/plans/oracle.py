@@ -191,7 +191,9 @@ CENTROIDS = """parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
   generate_subscripts(embedding, 1) AS i FROM embeddings),
 cent AS (SELECT label AS query_id, list(x ORDER BY i) AS c FROM
   (SELECT label, i, avg(x) AS x FROM parts GROUP BY 1, 2) GROUP BY 1)"""
-DIST = "round(1 - list_dot_product(embedding::DOUBLE[], {c}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({c}, {c}))), 9) + 0.0"
+EXACT = """1 - list_dot_product(embedding::DOUBLE[], {c}) /
+  (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({c}, {c})))"""
+DIST = f"round({EXACT}, 9) + 0.0"
 
 _TYPED = """SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) < 300 THEN ' Quit '
   WHEN role = 'user' AND length(text) < 60 THEN ' ' || chr(9) || ' '
@@ -236,8 +238,8 @@ cut AS (SELECT file_path, i, sep, CASE WHEN sep = '' THEN tok ELSE left(tok, len
 clean AS (SELECT file_path, i, CASE WHEN sep = ',' THEN ', ' ELSE sep END AS sep,
   CASE WHEN cell LIKE '"%' THEN {CSV_QUOTED} ELSE cell END AS cell FROM cut)
 SELECT * FROM plain UNION ALL
-SELECT file_path, CASE WHEN max(length(cell)) > 131072 THEN NULL ELSE string_agg(cell || sep, '' ORDER BY i) END AS text,
-  CASE WHEN max(length(cell)) > 131072 THEN 'field larger than field limit (131072)' END AS error
+SELECT file_path, string_agg(cell || sep, '' ORDER BY i) AS text,
+  CASE WHEN max(length(cell)) > 131072 THEN 'cell too long' END AS error
 FROM clean GROUP BY 1"""
 
 
@@ -301,7 +303,7 @@ UNION ALL SELECT file_path, '', load_error FROM ({_MIXED_BAD})""",
     "quarantine": _MIXED_BAD,
     "embedding_dimension": """SELECT min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim
 FROM embeddings""",
-    "cosine_distance": f"""WITH {CENTROIDS} SELECT vec_id, label, round({DIST.format(c='c')}, 6) AS distance
+    "cosine_distance": f"""WITH {CENTROIDS} SELECT vec_id, label, round({EXACT.format(c='c')}, 6) AS distance
 FROM embeddings JOIN cent ON label = query_id""",
     "topk_by_vector": f"""WITH {CENTROIDS}, mean AS (SELECT list(x ORDER BY i) AS c FROM
   (SELECT i, avg(x) AS x FROM parts GROUP BY 1)),
@@ -380,7 +382,7 @@ chr(10), repeat('-', 40), chr(10)) AS entry FROM pairs""",
     "encode_with": f"""WITH {CHUNKS} SELECT chunk_id, length(text) AS chars,
 length(text) - length(replace(text, ' ', '')) AS spaces, length(text) - length(replace(text, chr(10), '')) AS breaks
 FROM chunks""",
-    "generate_with": f"""WITH {PAIRS}, p AS (SELECT conv_id, turn, {len(GUIDE)} + 13 + length(answer) + 12
+    "generate_with": f"""WITH {PAIRS}, p AS (SELECT conv_id, turn, {len(GUIDE)} + 12 + length(answer) + 12
   + length(question) + 8 AS n FROM pairs)
 SELECT conv_id, turn, CASE WHEN n > 700 THEN '' ELSE concat(n, ' characters') END AS answer, n > 700 AS no_answer,
   CASE WHEN n > 700 THEN 'prompt too long' END AS error FROM p""",

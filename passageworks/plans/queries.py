@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.answers import build_prompt
 from ..functions.text import content_hash as hash_of
+from ..functions.text import normalize_newlines
 from ..functions.text import normalize_tokens as tokens_of
 from ..functions.vectors import cosine_distance as distance_of
 from ..operators import adaptive, answering, diff, embedding, hooks, retrieval, sessions
@@ -191,7 +192,7 @@ def incremental_ingest(spark, sf):
 
 def load_csv(spark, sf):
     texts = documents(spark, sf).unionByName(pages(spark, sf))
-    loaded = spread(texts).select("file_path", files.csv_content(F.col("text")).alias("csv"))
+    loaded = spread(texts).select("file_path", files.csv_content(normalize_newlines(F.col("text"))).alias("csv"))
     return loaded.select("file_path", "csv.text", "csv.error")
 
 
@@ -305,7 +306,7 @@ def fit_idf(spark, sf):
 def hashed_embedding(spark, sf):
     cut = chunks(spark, sf)
     made = embedding.hashed_embedding(cut, embedding.fit_idf(cut))
-    long = made.select("chunk_id", F.posexplode("embedding").alias("bucket", "w"))
+    long = made.select("chunk_id", F.posexplode_outer("embedding").alias("bucket", "w"))
     return long.filter("w <> 0").select("chunk_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 

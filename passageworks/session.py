@@ -39,10 +39,13 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on at least as many partitions as there are cores.
+    """``df`` on all cores if it is too small to be cut into that many splits.
 
-    Inputs made of many splits pass unchanged; only a table that sits in one or
-    two row groups is dealt out before per-row work.
+    Scans of large tables pass unchanged; a table that sits in one or two row
+    groups is dealt out before per-row work. Looks at size estimates only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < split * cores else df

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import normalize_newlines, suffix
+from ..functions.binding import bind
+from ..functions.text import SUPPORTED, normalize_newlines, suffix
 from .markup import markdown_html
 
 # Fixed value: the longest cell the CSV dialect accepts.
@@ -41,104 +37,86 @@ def text_content(content: Column) -> Column:
     return normalize_newlines(F.try_validate_utf8(content.cast("string")))
 
 
-LOADED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
-
-
-@F.pandas_udf(LOADED)
-def _quoted_csv(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        if text is None:
-            rows.append((None, None))
-            continue
-        try:
-            records = csv.reader(io.StringIO(text))
-            rows.append(("\n".join(", ".join(r) for r in records), None))
-        except csv.Error as failure:
-            rows.append((None, str(failure)))
-    return pd.DataFrame(rows, columns=["text", "error"])
-
-
 def csv_content(text: Column) -> Column:
     """``struct(text, error)``; cells joined by ``", "``, records by newline.
 
-    Without quotes that is one replacement. Only texts that use quotes, or are
-    long enough to break the cell limit, go through the dialect's own reader in
-    Arrow batches: a regular expression for quoted cells backtracks once per
-    doubled quote and can overflow the stack on a long cell.
+    A quote opens a cell only as its first character, a doubled quote stands for
+    one, and what follows the closing quote is kept as it is. The loops of the
+    cell pattern are possessive, so it neither backtracks nor recurses however
+    long a quoted cell is.
     """
-    simple = ~F.contains(text, F.lit('"')) & (F.length(text) <= CSV_CELL_LIMIT)
-    plain = F.regexp_replace(F.replace(text, F.lit(","), F.lit(", ")), r"\n\z", "")
-    parsed = _quoted_csv(F.when(~simple, text))
-    return F.struct(
-        F.when(simple, plain).otherwise(parsed["text"]).alias("text"), parsed["error"].alias("error")
-    )
+    # fixed values: cell and terminator of the CSV dialect
+    cell = r'("[^"]*+(?:""[^"]*+)*+(?:"[^,\n]*+)?|[^",\n][^,\n]*+|)(,|\n|\z)'
+    quoted = r'\A"([^"]*+(?:""[^"]*+)*+)(?:"(.*+))?\z'
+
+    def clean(value: Column) -> Column:
+        body = F.replace(F.regexp_extract(value, "(?s)" + quoted, 1), F.lit('""'), F.lit('"'))
+        rest = F.regexp_extract(value, "(?s)" + quoted, 2)
+        return F.when(value.startswith('"'), F.concat(body, rest)).otherwise(value)
+
+    cells = F.regexp_extract_all(text, F.lit(cell), F.lit(1))
+    ends = F.regexp_extract_all(text, F.lit(cell), F.lit(2))
+
+    def join(values: Column) -> Column:
+        # the search finds one more, empty cell at the end unless a comma precedes it
+        glued = F.zip_with(
+            values, ends, lambda v, e: F.concat(v, F.when(e == ",", F.lit(", ")).otherwise(e))
+        )
+        return F.struct(
+            F.regexp_replace(F.array_join(glued, ""), r"\n\z", "").alias("text"),
+            F.when(F.array_max(F.transform(values, F.length)) > CSV_CELL_LIMIT, "cell too long").alias("error"),
+        )
+
+    cleaned = F.transform(cells, clean)
+    return bind(cleaned, join)
 
 
 def load_documents(corpus: DataFrame, extractor=None, requested: DataFrame | None = None) -> DataFrame:
     """``(file_path, text, load_error)`` for every corpus row.
 
     The suffix picks the loader; a row that fails keeps a reason and an empty
-    text, and the others go on. ``extractor`` (U3) turns PDF bytes into text.
-    Each suffix is a branch of its own, so a filter on the suffix prunes the
-    others and only CSV rows reach the CSV reader. Paths in ``requested`` that
-    the corpus does not hold are reported as missing.
+    text, and the others go on. Contents are read once, whatever mix of suffixes
+    there is. ``extractor`` (U3) turns PDF bytes into text. Paths in
+    ``requested`` that the corpus does not hold are reported as missing.
     """
-    decoded = corpus.select(
-        "file_path",
-        F.col("content"),
-        suffix(F.col("file_path")).alias("_suffix"),
-    )
-    plain = decoded.filter(F.col("_suffix") == ".txt").select(
-        "file_path", text_content(F.col("content")).alias("text")
-    )
-    marked = decoded.filter(F.col("_suffix") == ".md").select(
-        "file_path", markdown_html(text_content(F.col("content"))).alias("text")
-    )
-    tables = decoded.filter(F.col("_suffix") == ".csv").select(
-        "file_path", text_content(F.col("content")).alias("_text")
+    kind = suffix(F.col("file_path"))
+    raw = corpus.select("file_path", "content", kind.alias("_kind"))
+    is_pdf = F.col("_kind") == ".pdf"
+    magic = F.substring(F.col("content"), 1, 5) == F.lit(b"%PDF-")
+    pdf = F.when(is_pdf, F.when(magic, "needs_extractor").otherwise("corrupt_pdf"))
+    decoded = F.when(F.col("_kind").isin(".txt", ".md", ".csv"), text_content(F.col("content")))
+    columns = ["file_path", "_kind", pdf.alias("_pdf"), decoded.alias("_text")]
+    if extractor is not None:
+        columns.append(extractor(F.when(is_pdf & magic, F.col("content"))).alias("_out"))
+    read = raw.select(*columns)
+
+    table = F.when(F.col("_kind") == ".csv", csv_content(F.col("_text")))
+    parsed = read.withColumn("_csv", table)
+    text = (
+        F.when(F.col("_kind") == ".txt", F.col("_text"))
+        .when(F.col("_kind") == ".md", markdown_html(F.col("_text")))
+        .when((F.col("_kind") == ".csv") & F.col("_csv.error").isNull(), F.col("_csv.text"))
     )
-    tables = tables.select(
-        "file_path", F.col("_text").isNull().alias("_bad"), csv_content(F.col("_text")).alias("_csv")
-    ).select(
-        "file_path",
-        F.col("_csv.text").alias("text"),
-        F.when(F.col("_bad"), "bad_utf8").when(F.col("_csv.error").isNotNull(), "bad_csv").alias("load_error"),
+    error = (
+        F.when(~F.col("_kind").isin(*SUPPORTED), "unsupported")
+        .when(F.col("_pdf") == "corrupt_pdf", "corrupt_pdf")
+        .when((F.col("_kind") != ".pdf") & F.col("_text").isNull(), "bad_utf8")
+        .when(F.col("_csv.error").isNotNull(), "bad_csv")
     )
-    bad_utf8 = F.when(F.col("text").isNull(), "bad_utf8")
-    magic = F.substring(F.col("content"), 1, 5) == F.lit(b"%PDF-")
-    pdf = decoded.filter(F.col("_suffix") == ".pdf")
     if extractor is None:
-        pdf = pdf.select(
-            "file_path", F.lit(None).cast("string").alias("text"),
-            F.when(magic, "needs_extractor").otherwise("corrupt_pdf").alias("load_error"),
-        )
+        error = F.coalesce(error, F.col("_pdf"))
     else:
-        pdf = pdf.select(
-            "file_path", magic.alias("_magic"), extractor(F.when(magic, F.col("content"))).alias("_out")
-        ).select(
-            "file_path",
-            F.col("_out.text").alias("text"),
-            F.when(~F.col("_magic") | F.col("_out.error").isNotNull(), "corrupt_pdf").alias("load_error"),
-        )
-    other = decoded.filter(~F.col("_suffix").isin(".txt", ".md", ".csv", ".pdf")).select(
-        "file_path", F.lit(None).cast("string").alias("text"), F.lit("unsupported").alias("load_error")
-    )
-    loaded = (
-        plain.withColumn("load_error", bad_utf8)
-        .unionByName(marked.withColumn("load_error", bad_utf8))
-        .unionByName(tables)
-        .unionByName(pdf)
-        .unionByName(other)
+        text = F.coalesce(text, F.col("_out.text"))
+        error = F.coalesce(error, F.when(F.col("_out.error").isNotNull(), "corrupt_pdf"))
+    loaded = parsed.select(
+        "file_path", F.coalesce(text, F.lit("")).alias("text"), error.alias("load_error")
     )
     if requested is not None:
         missing = requested.select("file_path").join(corpus.select("file_path"), "file_path", "left_anti")
         loaded = loaded.unionByName(
-            missing.select(
-                "file_path", F.lit(None).cast("string").alias("text"), F.lit("missing").alias("load_error")
-            )
+            missing.select("file_path", F.lit("").alias("text"), F.lit("missing").alias("load_error"))
         )
-    return loaded.withColumn("text", F.coalesce("text", F.lit("")))
+    return loaded
 
 
 def quarantine(loaded: DataFrame) -> DataFrame:

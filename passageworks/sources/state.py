@@ -38,11 +38,15 @@ COMMITS = T.StructType([T.StructField("batch", T.StringType())])
 
 
 class Collection:
-    """Reader and writer of one collection folder."""
+    """Reader and writer of one collection folder.
+
+    Sees the runs committed at its first read, and its own.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._last: int | None = None
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         full = T.StructType(schema.fields + [RUN])
@@ -58,13 +62,16 @@ class Collection:
         return self.spark.read.parquet(f"{self.path}/{name}/ingest={run}")
 
     def last_run(self) -> int:
-        return self._table("commits", COMMITS).agg(F.max("ingest")).first()[0] or 0
+        if self._last is None:
+            self._last = self._table("commits", COMMITS).agg(F.max("ingest")).first()[0] or 0
+        return self._last
 
     def committed_batch(self, batch: str) -> bool:
         return not self._table("commits", COMMITS).filter(F.col("batch") == batch).isEmpty()
 
     def commit(self, run: int, batch: str = "") -> None:
-        self.write("commits", run, self.spark.createDataFrame([(batch,)], COMMITS))
+        self.write("commits", run, self.spark.createDataFrame([(batch,)], COMMITS).coalesce(1))
+        self._last = run
 
     def _committed(self, name: str, schema: T.StructType) -> DataFrame:
         return self._table(name, schema).filter(F.col("ingest") <= self.last_run())
