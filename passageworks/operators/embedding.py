@@ -45,15 +45,15 @@ def postings(text: Column, dims: int = 384) -> Column:
     hashed = F.sort_array(F.transform(words(text), lambda w: word_bucket(w, dims)))
 
     def counted(places: Column) -> Column:
-        buckets = F.array_distinct(places)
-        first = F.transform(buckets, lambda b: F.array_position(places, b))
-        end = F.size(places).cast("bigint") + 1
-
-        def lengths(starts: Column) -> Column:
-            after = F.array_append(F.slice(starts, 2, F.size(starts)), end)
-            return F.slice(F.zip_with(starts, after, lambda p, q: (q - p).cast("int")), 1, F.size(starts))
-
-        return F.struct(buckets.alias("buckets"), bind(first, lengths).alias("counts"))
+        # in sorted order a bucket ends where the next element differs
+        ends = F.array_compact(
+            F.transform(places, lambda b, i: F.when(~F.get(places, i + 1).eqNullSafe(b), i + 1))
+        )
+        counts = bind(
+            F.array_prepend(ends, F.lit(0)),
+            lambda e: F.transform(F.slice(e, 2, F.size(e)), lambda end, i: end - F.get(e, i)),
+        )
+        return F.struct(F.array_distinct(places).alias("buckets"), counts.alias("counts"))
 
     return bind(hashed, counted)
 

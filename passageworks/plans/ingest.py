@@ -11,7 +11,7 @@ from ..operators.chunking import chunk_text
 from ..operators.diff import ingest_report, listing, snapshot_diff
 from ..operators.embedding import fit_idf, hashed_embedding
 from ..schemas import Options
-from ..session import fits, spread
+from ..session import fits
 from ..sources.files import load_documents, quarantine
 from ..sources.state import Collection
 
@@ -48,7 +48,7 @@ def apply_changes(
     if diff.isEmpty():
         return ingest_report(diff).withColumn("loaded", F.lit(0).cast("bigint"))
     changed = diff.filter(F.col("status").isin("new", "modified"))
-    contents = spread(corpus) if run == 1 else _only(corpus, changed)
+    contents = corpus if run == 1 else _only(corpus, changed)
     loaded = load_documents(contents, extractor)
     chunks = chunk_text(
         loaded, chunk_size=options.chunk_size, overlap=options.chunk_overlap

@@ -72,9 +72,9 @@ def current(spark, sf) -> DataFrame:
 
 def earlier(spark, sf) -> DataFrame:
     """``(file_path, text)`` as the earlier run saw it."""
-    docs = documents(spark, sf).join(labelled(spark, sf), "file_path")
+    docs = spread(documents(spark, sf)).join(labelled(spark, sf), "file_path")
     old = F.when(F.col("quality") == 0, F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text"))
-    return docs.select("file_path", old.alias("text")).unionByName(pages(spark, sf))
+    return docs.select("file_path", old.alias("text")).unionByName(spread(pages(spark, sf)))
 
 
 def manifest(spark, sf) -> DataFrame:
@@ -183,7 +183,7 @@ def replace_chunks(spark, sf):
 def incremental_ingest(spark, sf):
     state = scratch_dir(spark, "ingest")
     ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), state, now=BEFORE)
-    ingest(spark, corpus(documents(spark, sf), ".txt", NOW), state, now=NOW)
+    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), state, now=NOW)
     return Collection(spark, state).chunks().select("chunk_id", "file_path", "chunk_no", "start", "text")
 
 
