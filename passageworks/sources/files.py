@@ -58,12 +58,15 @@ def csv_content(text: Column) -> Column:
     ends = F.regexp_extract_all(text, F.lit(cell), F.lit(2))
 
     def join(values: Column) -> Column:
-        # the search finds one more, empty cell at the end unless a comma precedes it
+        # the search ends with an empty match; if a newline precedes that one, it
+        # closes the last record and separates nothing
         glued = F.zip_with(
             values, ends, lambda v, e: F.concat(v, F.when(e == ",", F.lit(", ")).otherwise(e))
         )
+        whole = F.array_join(glued, "")
+        closed = F.try_element_at(ends, F.lit(-2)) == "\n"
         return F.struct(
-            F.regexp_replace(F.array_join(glued, ""), r"\n\z", "").alias("text"),
+            F.when(closed, F.regexp_replace(whole, r"\n\z", "")).otherwise(whole).alias("text"),
             F.when(F.array_max(F.transform(values, F.length)) > CSV_CELL_LIMIT, "cell too long").alias("error"),
         )
 
