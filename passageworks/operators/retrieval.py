@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import cosine_distance
+from ..session import scratch_dir
 from .embedding import IdfModel, hashed_embedding, hashed_features
 
 #: Bytes of question vectors that one task may hold.
@@ -165,6 +166,12 @@ def _hit_schema(vectors: DataFrame, queries: DataFrame, carry: list[str]) -> T.S
     return T.StructType(fields + [T.StructField("distance", T.DoubleType())])
 
 
+def _width(vectors: DataFrame, vec_col: str) -> int:
+    """Width of the first vector; stops at the first row that has one."""
+    first = vectors.select(F.size(vec_col).alias("n")).filter("n > 0").first()
+    return first["n"] if first else 1
+
+
 def topk_batch(
     vectors: DataFrame,
     queries: DataFrame,
@@ -196,7 +203,7 @@ def topk_batch(
     queries = queries.select("query_id", vec_col)
     schema = _hit_schema(vectors, queries, columns)
 
-    width = dims or queries.select(F.max(F.size(vec_col))).first()[0] or 1
+    width = dims or _width(queries, vec_col)
     most = max(1, block_bytes // (8 * width))
     head = queries.limit(most + 1).toArrow()
     if head.num_rows <= most:
@@ -360,7 +367,7 @@ def approx_topk(
     vectors = vectors.select(*columns, vec_col)
     queries = queries.select("query_id", vec_col)
     schema = _hit_schema(vectors, queries, columns)
-    width = queries.select(F.max(F.size(vec_col))).first()[0] or 1
+    width = _width(queries, vec_col)
     spark = vectors.sparkSession
 
     stored = hash_cells(vectors, vec_col, width, bits, seed)
@@ -383,6 +390,10 @@ def approx_topk(
     near = _rank(
         _score_groups(left, right, ["cell", "_v", "_q"], k, id_col, vec_col, width, schema), id_col, k
     )
+    # used three times below and small (k rows per question): stored once
+    stored_hits = scratch_dir(spark, "near")
+    near.write.parquet(stored_hits)
+    near = spark.read.parquet(stored_hits)
     full = near.filter(F.col("rank") == k).select("query_id")
     short = queries.join(full, "query_id", "left_anti")
     exact = topk_batch(vectors, short, k, id_col=id_col, vec_col=vec_col, carry=carry)

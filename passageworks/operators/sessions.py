@@ -53,10 +53,9 @@ def pair_turns(
     across = Window.partitionBy(session).orderBy("_run")
     heads = heads.select(session, "_run", F.lead("_head").over(across).alias("_head"))
 
-    # only one row per stretch has no successor inside it
-    inner = led.filter(F.col("_next").isNotNull())
-    last = led.filter(F.col("_next").isNull()).drop("_next").join(heads, [session, "_run"])
-    pairs = inner.unionByName(last.withColumnRenamed("_head", "_next"))
+    # the last turn of a stretch is the one row of it without a successor
+    nearby = led.join(heads, [session, "_run"], "left")
+    pairs = nearby.withColumn("_next", F.coalesce("_next", "_head"))
     answered = (F.col(role) == "user") & (F.col(f"_next.{role}") == "assistant")
     return pairs.filter(answered).select(
         session, order, F.col(text).alias("question"), F.col(f"_next.{text}").alias("answer")

@@ -259,6 +259,10 @@ SELECT file_path, content_hash, '2024-02-01 00:00:00', '2024-02-01 00:00:00' FRO
     "manifest_delete": f"WITH {SNAPSHOTS} SELECT * FROM man SEMI JOIN cur USING (file_path)",
     "manifest_lookup": f"""WITH {SNAPSHOTS} SELECT c.file_path, m.content_hash, m.last_modified
 FROM cur c LEFT JOIN man m USING (file_path)""",
+    "manifest_source": f"""WITH {SNAPSHOTS} SELECT file_path || '.txt' AS file_path, content_hash,
+CASE WHEN status = 'unchanged' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS last_modified,
+CASE WHEN status = 'unchanged' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS created_at
+FROM diff WHERE status <> 'deleted'""",
     "incremental_ingest": f"WITH {_LIVE} SELECT * FROM chunks",
     "streaming_ingest": f"WITH {_LIVE} SELECT * FROM chunks",
     "chunk_text": f"WITH {CHUNKS} SELECT * FROM chunks",
@@ -376,6 +380,8 @@ SELECT conv_id, turn, text FROM ended WHERE over = 0 AND text <> ''""",
     "pair_turns": f"WITH {PAIRS} SELECT * FROM pairs",
     "render_history": f"""WITH {PAIRS} SELECT conv_id, turn, concat('User: ', question, chr(10), 'AI: ', answer, chr(10),
 chr(10), repeat('-', 40), chr(10)) AS entry FROM pairs""",
+    "history_sink": f"""WITH {PAIRS} SELECT strftime(DATE '2024-01-01' + turn::INT, '%Y-%m-%d') AS day, conv_id, turn,
+concat('User: ', question, chr(10), 'AI: ', answer, chr(10), chr(10), repeat('-', 40), chr(10)) AS entry FROM pairs""",
     "ema_latency": f"SELECT user_id, count(*) AS n, round({_EMA}, 6) AS ema FROM events GROUP BY 1",
     "budget_controller": _BUDGET,
     "budget_controller_stream": _BUDGET,

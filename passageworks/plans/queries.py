@@ -24,8 +24,8 @@ from ..operators import adaptive, answering, diff, embedding, hooks, retrieval,
 from ..operators.chunking import chunk_text as chunk
 from ..schemas import AdaptiveOptions
 from ..session import scratch_dir, spread
-from ..sources import files, markup
-from ..sources.state import Collection
+from ..sources import files, history, markup
+from ..sources.state import Collection, read_manifest
 from ..streaming.budget import budget_controller_stream as budget_stream
 from ..streaming.budget import latest_budgets
 from ..streaming.ingest import streaming_ingest as ingest_stream
@@ -187,6 +187,13 @@ def incremental_ingest(spark, sf):
     return Collection(spark, state).chunks().select("chunk_id", "file_path", "chunk_no", "start", "text")
 
 
+def manifest_source(spark, sf):
+    state = scratch_dir(spark, "manifest")
+    ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), state, now=BEFORE)
+    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), state, now=NOW)
+    return _readable(read_manifest(spark, state))
+
+
 # loaders
 
 
@@ -468,6 +475,13 @@ def render_history(spark, sf):
     return answering.render_history(pairs(spark, sf)).select("conv_id", "turn", "entry")
 
 
+def history_sink(spark, sf):
+    out = scratch_dir(spark, "history")
+    history.write_history(pairs(spark, sf), out, F.date_add(F.lit(BEFORE.date()), F.col("turn").cast("int")))
+    saved = history.read_history(spark, out)
+    return saved.select(F.col("day").cast("string").alias("day"), "conv_id", "turn", "entry")
+
+
 # ordered state
 
 
@@ -567,13 +581,13 @@ def extract_with(spark, sf):
 
 NAMES = (
     "content_hash", "snapshot_diff", "new_files", "modified_files", "deleted_files", "ingest_report",
-    "manifest_upsert", "manifest_delete", "manifest_lookup", "incremental_ingest", "chunk_text", "chunk_keys",
+    "manifest_upsert", "manifest_delete", "manifest_lookup", "manifest_source", "incremental_ingest", "chunk_text", "chunk_keys",
     "delete_chunks_by_file", "delete_chunks_by_id", "vector_append", "replace_chunks", "load_csv",
     "markup_blocks", "html_text", "load_documents", "quarantine", "embedding_dimension", "cosine_distance",
     "topk_by_vector", "topk_batch", "metadata_filter_topk", "approx_topk", "fit_idf", "hashed_embedding",
     "topk_by_text", "inverted_topk", "context_assembly", "distinct_sources",
     "extractive_answer", "grounding_check", "normalize_tokens", "parse_generated", "resolve_answer",
-    "fragment_assembly", "resolve_streamed", "question_intake", "pair_turns", "render_history", "ema_latency",
+    "fragment_assembly", "resolve_streamed", "question_intake", "pair_turns", "render_history", "history_sink", "ema_latency",
     "budget_controller", "budget_controller_stream", "streaming_ingest", "encode_with", "generate_with",
     "extract_with", "rag_batch",
 )

@@ -8,11 +8,14 @@ A collection is a folder of append-only Parquet tables, one sub-folder
   ``drop_chunks``) with the new manifest values,
 * ``diff``, ``quarantine``: the run's comparison result and failed files,
 * ``idf``: the vector weights, fitted by the first run,
-* ``commits``: one row per finished run, written last.
+* ``commits``: one row per finished run, written last, with the oldest run whose
+  vectors are still needed.
 
 Readers look only at committed runs. A run that dies leaves folders that its
 retry overwrites. Changing a few files therefore costs in proportion to those
-files; the table of all vectors is never rewritten by an ingest.
+files; the table of all vectors is never rewritten by an ingest. Reading leaves
+out superseded rows by an anti join; ``compact`` writes the live rows as one run,
+after which older vector folders are no longer read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ LOG = T.StructType([
     T.StructField("created_at", T.TimestampType()),
     T.StructField("supersedes", T.BooleanType()),
 ])
-COMMITS = T.StructType([T.StructField("batch", T.StringType())])
+COMMITS = T.StructType([T.StructField("batch", T.StringType()), T.StructField("base", T.LongType())])
 
 
 class Collection:
@@ -46,7 +49,7 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._last: int | None = None
+        self._head: tuple[int, int] | None = None
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         full = T.StructType(schema.fields + [RUN])
@@ -61,17 +64,23 @@ class Collection:
     def read_run(self, name: str, run: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}/ingest={run}")
 
+    def _commit(self) -> tuple[int, int]:
+        """Last committed run and the oldest run whose vectors are live."""
+        if self._head is None:
+            row = self._table("commits", COMMITS).agg(F.max(F.struct("ingest", "base"))).first()[0]
+            self._head = (row["ingest"], row["base"]) if row else (0, 0)
+        return self._head
+
     def last_run(self) -> int:
-        if self._last is None:
-            self._last = self._table("commits", COMMITS).agg(F.max("ingest")).first()[0] or 0
-        return self._last
+        return self._commit()[0]
 
     def committed_batch(self, batch: str) -> bool:
         return not self._table("commits", COMMITS).filter(F.col("batch") == batch).isEmpty()
 
-    def commit(self, run: int, batch: str = "") -> None:
-        self.write("commits", run, self.spark.createDataFrame([(batch,)], COMMITS).coalesce(1))
-        self._last = run
+    def commit(self, run: int, batch: str = "", base: int | None = None) -> None:
+        base = self._commit()[1] if base is None else base
+        self.write("commits", run, self.spark.createDataFrame([(batch, base)], COMMITS).coalesce(1))
+        self._head = (run, base)
 
     def _committed(self, name: str, schema: T.StructType) -> DataFrame:
         return self._table(name, schema).filter(F.col("ingest") <= self.last_run())
@@ -88,13 +97,20 @@ class Collection:
 
     def vectors(self) -> DataFrame:
         """Live chunk rows: those not superseded by a later run."""
-        rows = self._committed("vectors", VECTORS)
-        later = self._committed("log", LOG).filter("supersedes").select(
+        base = self._commit()[1]
+        rows = self._committed("vectors", VECTORS).filter(F.col("ingest") >= base)
+        later = self._committed("log", LOG).filter(F.col("supersedes") & (F.col("ingest") > base)).select(
             F.col("file_path").alias("_path"), F.col("ingest").alias("_run")
         )
         gone = (rows["file_path"] == later["_path"]) & (later["_run"] > rows["ingest"])
         return rows.join(later, gone, "left_anti").drop("ingest")
 
+    def compact(self) -> None:
+        """Write the live vectors as a run of their own and read from there on."""
+        run = self.last_run() + 1
+        self.write("vectors", run, self.vectors())
+        self.commit(run, base=run)
+
     def chunks(self) -> DataFrame:
         """Live chunk rows without their vectors."""
         return self.vectors().select(CHUNKS.fieldNames())

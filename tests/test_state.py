@@ -56,6 +56,18 @@ def test_life_of_a_collection(spark, tmp_path):
     assert state.Collection(spark, where).last_run() == last == 3
 
 
+def test_compaction_keeps_the_live_rows(spark, tmp_path):
+    where = str(tmp_path / "c")
+    incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha", "/b.txt": "beta"}), where)
+    incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha two", "/c.txt": "gamma"}, T2), where)
+    before = sorted(state.Collection(spark, where).vectors().collect())
+    state.Collection(spark, where).compact()
+    col = state.Collection(spark, where)
+    assert sorted(col.vectors().collect()) == before and paths(col.manifest()) == ["/a.txt", "/c.txt"]
+    incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha three"}, T3), where)
+    assert [r.text for r in state.Collection(spark, where).chunks().collect()] == ["alpha three"]
+
+
 def test_crashed_run_is_invisible_and_repeated(spark, tmp_path, monkeypatch):
     where = str(tmp_path / "c")
     incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha"}), where)
