@@ -1,16 +1,18 @@
 """Ordered state per key: moving average and token budget.
 
-Both are folds over a key's events in time order, yet no key is folded in one
-group. Events are cut into (key, segment) stretches, by default an hour each:
+Both are folds over a key's events in time order. A key with few events is one
+stretch of sorted rows. A key with more than ``hot_rows`` events is cut into
+stretches by time, by default an hour each, which different tasks fold:
 
 1. A stretch acts on the moving average as ``x -> p * x + q``. Those two numbers
    are plain sums, and chaining them gives the average at the start of every
    stretch.
 2. With that start, a stretch is a fixed map from the budget before it to the
    budget after it. Budgets lie in a small range, so the map is a short array.
-3. Chaining the arrays per key gives the final budget.
+   The first stretch of a key starts from a known budget and needs no map.
+3. Chaining the stretches of a key gives the final budget.
 
-Step 2 streams sorted rows and holds one row and one array at a time. Chaining
+Folding streams sorted rows and holds one row and one array at a time. Chaining
 sees one row per stretch.
 """
 
@@ -23,17 +25,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import AdaptiveOptions
+from ..session import fits
 
 # Latency bounds of the controller, as shares of the target.
 SLOW, FAST = 1.1, 0.5
 
 
-def _cut(events, key, order, value, segment) -> DataFrame:
+_NONE = object()
+#: Events of one key that a single task may fold.
+HOT_ROWS = 1_000_000
+
+
+def _cut(
+    events: DataFrame, key: str, order: list[str], value: str, segment: Column | None, hot_rows: int
+) -> tuple[DataFrame, bool]:
+    """Events with their stretch ``_seg`` (null for keys that stay whole), and whether any key is cut.
+
+    Counting combines before the shuffle. At most one key in ``hot_rows`` events
+    is hot; the list is broadcast if it is also short.
+    """
     if segment is None:
         segment = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / 3600)
-    return events.select(
-        F.col(key), segment.alias("_seg"), *order, F.col(value).cast("double").alias("_x")
-    )
+    rows = events.select(F.col(key), segment.alias("_seg"), *order, F.col(value).cast("double").alias("_x"))
+    hot = rows.groupBy(key).agg(F.count("*").alias("_count")).filter(F.col("_count") > hot_rows).select(key)
+    if hot.isEmpty():
+        return rows.withColumn("_seg", F.lit(None).cast(rows.schema["_seg"].dataType)), False
+    hot = hot.withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot) if fits(hot) else hot, key, "left")
+    return marked.withColumn("_seg", F.when(F.col("_hot"), F.col("_seg"))).drop("_hot"), True
 
 
 def _stretches(cut: DataFrame, key: str, order: list[str], alpha: float) -> DataFrame:
@@ -59,6 +78,7 @@ def ema_latency(
     value: str,
     alpha: float = 0.4,
     segment: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``(key, n, ema)`` after all events of a key.
 
@@ -66,12 +86,14 @@ def ema_latency(
     by the number of events after it, so the fold becomes two sums.
     ``segment`` must not decrease along ``order``.
     """
-    parts = _stretches(_cut(events, key, order, value, segment), key, order, alpha)
+    cut, _ = _cut(events, key, order, value, segment, hot_rows)
+    parts = _stretches(cut, key, order, alpha)
     after = Window.partitionBy(key).orderBy(F.col("_seg").desc())
     rest = F.coalesce(F.sum("_n").over(after.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     keep = F.pow(F.lit(1.0 - alpha), rest)
     summed = parts.withColumn("_part", F.col("_q") * keep).groupBy(key).agg(
-        F.sum("_n").alias("n"), F.sum("_part").alias("_sum"), F.min_by("_first", "_seg").alias("_first")
+        F.sum("_n").alias("n"), F.sum("_part").alias("_sum"),
+        F.min_by("_first", F.struct("_seg")).alias("_first"),
     )
     ema = F.col("_sum") + F.col("_first") * F.pow(F.lit(1.0 - alpha), F.col("n"))
     # the seed counts with weight alpha + (1 - alpha)
@@ -82,6 +104,11 @@ def _field(df: DataFrame, name: str) -> T.StructField:
     return df.schema[name]
 
 
+def _values(column: pd.Series) -> list:
+    """Python values with None for missing ones (NaN would differ from itself)."""
+    return column.tolist() if column.notna().all() else column.astype(object).where(column.notna(), None).tolist()
+
+
 def _starts(parts: DataFrame, key: str, alpha: float) -> DataFrame:
     """The average before each stretch; null before the first event of a key."""
     schema = T.StructType([
@@ -89,10 +116,10 @@ def _starts(parts: DataFrame, key: str, alpha: float) -> DataFrame:
     ])
 
     def chain(batches):
-        last, ema = object(), None
+        last, ema = _NONE, None
         for batch in batches:
             out = []
-            for k, n, q, first in zip(*(batch[c].tolist() for c in (key, "_n", "_q", "_first"))):
+            for k, n, q, first in zip(*(_values(batch[c]) for c in (key, "_n", "_q", "_first"))):
                 if k != last:
                     last, ema = k, None
                 out.append(ema)
@@ -138,81 +165,89 @@ def budget_controller(
     value: str,
     options: AdaptiveOptions = AdaptiveOptions(),
     segment: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``(key, n, ema, budget)`` after all events of a key.
 
     An average above 1.1 times the target shrinks the budget, one below half
     the target lets it grow, both truncated to whole tokens and clamped.
+    ``segment`` must not decrease along ``order``.
     """
-    cut = _cut(events, key, order, value, segment)
-    parts = _stretches(cut, key, order, options.ema_alpha)
-    starts = _starts(parts, key, options.ema_alpha)
+    cut, any_hot = _cut(events, key, order, value, segment, hot_rows)
     steps = _Steps(options)
-    fields = [_field(cut, key), _field(cut, "_seg")]
-
-    map_schema = T.StructType(fields + [
-        T.StructField("_n", T.LongType()),
-        T.StructField("_ema", T.DoubleType()),
+    folded = T.StructType([
+        _field(cut, key),
+        _field(cut, "_seg"),
+        T.StructField("n", T.LongType()),
+        T.StructField("ema", T.DoubleType()),
+        T.StructField("budget", T.IntegerType()),
         T.StructField("_map", T.ArrayType(T.IntegerType())),
     ])
+    rows = cut.withColumn("_start", F.lit(None).cast("double")).withColumn("_opens", F.lit(False))
+    if any_hot:
+        # the start of a stretch sorts as its first row, which saves joining it to every event
+        parts = _stretches(cut.filter(F.col("_seg").isNotNull()), key, order, options.ema_alpha)
+        starts = _starts(parts, key, options.ema_alpha).select(
+            key, "_seg", F.col("_ema").alias("_start"), F.lit(True).alias("_opens")
+        )
+        rows = rows.unionByName(starts.filter("_start IS NOT NULL"), allowMissingColumns=True)
 
-    def transfer(batches):
+    def fold(batches):
+        names = folded.names
         here, n, ema, change = None, 0, None, None
+
+        def done():
+            known = isinstance(change, int)
+            return (*here, n, ema, change + steps.low if known else None, None if known else change.tolist())
+
         for batch in batches:
             out = []
             for k, seg, opens, start, x in zip(
-                *(batch[c].tolist() for c in (key, "_seg", "_opens", "_start", "_x"))
+                *(_values(batch[c]) for c in (key, "_seg", "_opens", "_start", "_x"))
             ):
-                if opens:
+                if (k, seg) != here:
                     if here is not None:
-                        out.append((*here, n, ema, change.tolist()))
-                    here, n, change = (k, seg), 0, steps.same
-                    ema = None if pd.isna(start) else start
+                        out.append(done())
+                    here, n, ema, change = (k, seg), 0, None, options.start_tokens - steps.low
+                if opens:
+                    ema, change = start, steps.same
                     continue
                 n += 1
                 ema = steps.average(ema, x)
                 step = steps.after(ema)
                 if step is not None:
-                    change = step[change]
+                    change = int(step[change]) if isinstance(change, int) else step[change]
             if out:
-                yield pd.DataFrame(out, columns=map_schema.names)
+                yield pd.DataFrame(out, columns=names).astype({"budget": "Int32", "_seg": "Int64"})
         if here is not None:
-            yield pd.DataFrame([(*here, n, ema, change.tolist())], columns=map_schema.names)
+            yield pd.DataFrame([done()], columns=names).astype({"budget": "Int32", "_seg": "Int64"})
 
-    # the start of a stretch sorts as its first row, which saves joining it to every event
-    opening_rows = starts.select(
-        key, "_seg", F.lit(True).alias("_opens"), F.col("_ema").alias("_start")
-    )
-    rows = cut.withColumn("_opens", F.lit(False)).unionByName(opening_rows, allowMissingColumns=True)
-    maps = (
+    states = (
         rows.repartition(key, "_seg")
         .sortWithinPartitions(key, "_seg", F.col("_opens").desc(), *order)
-        .mapInPandas(transfer, map_schema)
+        .mapInPandas(fold, folded)
     )
+    if not any_hot:
+        return states.select(key, "n", "ema", "budget")
 
-    final_schema = T.StructType([
-        fields[0],
-        T.StructField("n", T.LongType()),
-        T.StructField("ema", T.DoubleType()),
-        T.StructField("budget", T.IntegerType()),
-    ])
-    opening = options.start_tokens - steps.low
+    final = T.StructType([folded[0], *folded.fields[2:5]])
 
     def chain(batches):
-        here, n, ema, at = None, 0, None, opening
+        here, n, ema, at = _NONE, 0, None, None
         for batch in batches:
             out = []
-            for k, count, average, change in zip(
-                batch[key].tolist(), batch["_n"].tolist(), batch["_ema"].tolist(), batch["_map"].tolist()
+            for k, count, average, budget, change in zip(
+                *(_values(batch[c]) for c in (key, "n", "ema", "budget", "_map"))
             ):
                 if k != here:
-                    if here is not None:
-                        out.append((here, n, ema, at + steps.low))
-                    here, n, at = k, 0, opening
-                n, ema, at = n + count, average, int(change[at])
+                    if here is not _NONE:
+                        out.append((here, n, ema, at))
+                    here, n = k, 0
+                n, ema = n + count, average
+                at = int(budget) if change is None else int(change[at - steps.low]) + steps.low
             if out:
-                yield pd.DataFrame(out, columns=final_schema.names)
-        if here is not None:
-            yield pd.DataFrame([(here, n, ema, at + steps.low)], columns=final_schema.names)
+                yield pd.DataFrame(out, columns=final.names)
+        if here is not _NONE:
+            yield pd.DataFrame([(here, n, ema, at)], columns=final.names)
 
-    return maps.repartition(key).sortWithinPartitions(key, "_seg").mapInPandas(chain, final_schema)
+    return states.repartition(key).sortWithinPartitions(key, "_seg").mapInPandas(chain, final)

@@ -47,7 +47,7 @@ def fragment_assembly(
         return F.array_join(F.transform(ordered, lambda p: p[text]), "")
 
     runs = (
-        fragments.withColumn("_run", F.floor(F.col(seq) / run))
+        fragments.withColumn("_run", F.col(seq) - F.pmod(seq, F.lit(run)))
         .groupBy(key, "_run")
         .agg(join(seq, piece).alias("_text"))
     )

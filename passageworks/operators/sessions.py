@@ -46,7 +46,9 @@ def pair_turns(
     further: to the first turn of the next stretch, one row per stretch.
     """
     row = F.struct(F.col(order), F.col(role), F.col(text))
-    cut = turns.select(session, order, role, text).withColumn("_run", F.floor(F.col(order) / run))
+    cut = turns.select(session, order, role, text).withColumn(
+        "_run", F.col(order) - F.pmod(order, F.lit(run))
+    )
     within = Window.partitionBy(session, "_run").orderBy(order)
     led = cut.withColumn("_next", F.lead(row).over(within))
     heads = cut.groupBy(session, "_run").agg(F.min(row).alias("_head"))

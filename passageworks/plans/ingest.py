@@ -78,7 +78,8 @@ def apply_changes(
         F.lit(now).alias("created_at"), (F.col("status") != "new").alias("supersedes"),
     ))
     failed = outcome.filter((F.col("status") != "deleted") & ~F.col("loaded"))
-    state.write("quarantine", run, quarantine(load_documents(_only(corpus, failed), extractor)))
+    if not failed.isEmpty():
+        state.write("quarantine", run, quarantine(load_documents(_only(corpus, failed), extractor)))
     state.commit(run, batch)
     return outcome.groupBy("status").agg(
         F.count("*").alias("n"), F.count_if("loaded").alias("loaded")

@@ -54,24 +54,25 @@ def csv_content(text: Column) -> Column:
         rest = F.regexp_extract(value, "(?s)" + quoted, 2)
         return F.when(value.startswith('"'), F.concat(body, rest)).otherwise(value)
 
-    cells = F.regexp_extract_all(text, F.lit(cell), F.lit(1))
-    ends = F.regexp_extract_all(text, F.lit(cell), F.lit(2))
-
-    def join(values: Column) -> Column:
+    def join(found: Column) -> Column:
+        cells, ends = found["cells"], found["ends"]
+        whole = F.array_join(
+            F.zip_with(cells, ends, lambda v, e: F.concat(clean(v), F.when(e == ",", F.lit(", ")).otherwise(e))), ""
+        )
         # the search ends with an empty match; if a newline precedes that one, it
         # closes the last record and separates nothing
-        glued = F.zip_with(
-            values, ends, lambda v, e: F.concat(v, F.when(e == ",", F.lit(", ")).otherwise(e))
-        )
-        whole = F.array_join(glued, "")
         closed = F.try_element_at(ends, F.lit(-2)) == "\n"
+        longest = F.array_max(F.transform(cells, F.length))
         return F.struct(
             F.when(closed, F.regexp_replace(whole, r"\n\z", "")).otherwise(whole).alias("text"),
-            F.when(F.array_max(F.transform(values, F.length)) > CSV_CELL_LIMIT, "cell too long").alias("error"),
+            F.when(longest > CSV_CELL_LIMIT, "cell too long").alias("error"),
         )
 
-    cleaned = F.transform(cells, clean)
-    return bind(cleaned, join)
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(cell), F.lit(1)).alias("cells"),
+        F.regexp_extract_all(text, F.lit(cell), F.lit(2)).alias("ends"),
+    )
+    return bind(found, join)
 
 
 def load_documents(corpus: DataFrame, extractor=None, requested: DataFrame | None = None) -> DataFrame:

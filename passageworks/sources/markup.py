@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
 HEADING = r"(?md)^(#{1,6}[ \t]*[^#\n][^\n]*)$"
 ITEM = r"(?md)^((?:[-*+]|[0-9]+\.)[ \t]+[^\n]*)$"
 BULLET = r"\A[-*+][ \t]+"
@@ -129,10 +131,7 @@ def _inline(text: Column) -> Column:
 
 def markdown_html(text: Column) -> Column:
     """One HTML string per Markdown text, blocks separated by newlines."""
-    def render(block: Column) -> Column:
-        kind = _kind(block)
-        body = _inline(_body(block, kind))
-        level = _level(block).cast("string")
+    def mark(kind: Column, body: Column, level: Column) -> Column:
         return (
             F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), body, F.lit("</h"), level, F.lit(">")))
             .when(kind == "bullet", F.concat(F.lit("<ul>\n<li>"), body, F.lit("</li>\n</ul>")))
@@ -140,6 +139,12 @@ def markdown_html(text: Column) -> Column:
             .otherwise(F.concat(F.lit("<p>"), body, F.lit("</p>")))
         )
 
+    def render(block: Column) -> Column:
+        level = _level(block).cast("string")
+        return bind(
+            _kind(block), lambda kind: bind(_inline(_body(block, kind)), lambda body: mark(kind, body, level))
+        )
+
     html = F.array_join(F.transform(_blocks(text), render), "\n")
     # neighbouring items belong to one list
     html = F.replace(html, F.lit("</ul>\n<ul>\n"), F.lit(""))

@@ -52,9 +52,13 @@ def random_rows(seed, n=3000):
     AdaptiveOptions(), AdaptiveOptions(latency_target=2.0), AdaptiveOptions(min_new_tokens=2, start_tokens=4),
     AdaptiveOptions(start_tokens=900), AdaptiveOptions(start_tokens=10, latency_target=1.0),
 ])
-def test_controller_equals_the_loop(spark, options):
+@pytest.mark.parametrize("hot_rows", [10**6, 60, 0])
+def test_controller_equals_the_loop(spark, options, hot_rows):
+    """No key, the large keys, or every key cut into stretches."""
     rows = random_rows(options.start_tokens)
-    found = adaptive.budget_controller(events(spark, rows), "key", ["ts", "id"], "value", options)
+    found = adaptive.budget_controller(
+        events(spark, rows), "key", ["ts", "id"], "value", options, hot_rows=hot_rows
+    )
     check(found, expected(rows, options))
 
 
@@ -66,9 +70,12 @@ def test_bounds_are_strict(spark):
     assert {r.key: r.budget for r in found.collect()} == {1: 384, 2: 384, 3: 268, 4: 460}
 
 
-def test_average_equals_the_loop(spark):
+@pytest.mark.parametrize("hot_rows", [10**6, 60, 0])
+def test_average_equals_the_loop(spark, hot_rows):
     rows = random_rows(11)
-    found = adaptive.ema_latency(events(spark, rows), "key", ["ts", "id"], "value", alpha=0.4)
+    found = adaptive.ema_latency(
+        events(spark, rows), "key", ["ts", "id"], "value", alpha=0.4, hot_rows=hot_rows
+    )
     want = expected(rows, AdaptiveOptions())
     got = {r.key: (r.n, r.ema) for r in found.collect()}
     assert got.keys() == want.keys()
@@ -76,10 +83,17 @@ def test_average_equals_the_loop(spark):
         assert got[key][0] == want[key][0] and got[key][1] == pytest.approx(want[key][1], rel=1e-9)
 
 
+@pytest.mark.parametrize("hot_rows", [10**6, 5])
+def test_missing_key_is_a_key(spark, hot_rows):
+    rows = [(None, START + dt.timedelta(minutes=i * 7), i, 9.0) for i in range(30)] + [(1, START, 99, 9.0)]
+    found = adaptive.budget_controller(events(spark, rows), "key", ["ts", "id"], "value", hot_rows=hot_rows)
+    assert {r.key: (r.n, r.budget) for r in found.collect()} == {None: (30, 64), 1: (1, 268)}
+
+
 def test_other_segments_give_the_same(spark):
     rows = random_rows(12, 800)
     day = F.floor(F.unix_seconds("ts") / 86400)
-    found = adaptive.budget_controller(events(spark, rows), "key", ["ts", "id"], "value", segment=day)
+    found = adaptive.budget_controller(events(spark, rows), "key", ["ts", "id"], "value", segment=day, hot_rows=10)
     check(found, expected(rows, AdaptiveOptions()))
 
 
