@@ -37,7 +37,7 @@ BLOCK_BYTES = 32 << 20
 #: Chunk vectors per group where both sides are dealt into blocks.
 GROUP_ROWS = 50_000
 #: Scores computed at a time in a task.
-SCORE_CELLS = 2_000_000
+SCORE_CELLS = 4_000_000
 #: Steps per unit of distance in comparisons.
 STEPS = 1_000_000_000
 
@@ -88,58 +88,103 @@ def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix[alive] / length[alive, None], alive
 
 
-def _slice_winners(rows: pa.Table, unit: np.ndarray, block: _Block, k: int) -> pa.Table:
-    """The ``k`` nearest of ``rows`` for each question of the block."""
-    order = pc.sort_indices(rows.column(0)).to_numpy()
-    n = len(order)
-    steps = np.rint((1.0 - unit[order] @ block.unit.T) * STEPS).astype(np.int64)
-    # position in id order breaks ties; it makes every key of a column distinct
-    keys = steps * n + np.arange(n)[:, None]
-    top = np.argpartition(keys, k - 1, axis=0)[:k] if k < n else np.arange(n)[:, None].repeat(keys.shape[1], 1)
-    question = np.tile(np.arange(keys.shape[1]), top.shape[0])
-    flat = top.ravel()
-    table = rows.take(pa.array(order[flat]))
-    table = table.append_column("_q", pa.array(question))
-    return table.append_column("_steps", pa.array(steps[flat, question]))
+class _Best:
+    """The best ``k`` rows per question seen so far in a task.
+
+    Rows that cannot enter the ranking any more are not even copied, so most
+    batches of a long scan add little. Memory is bounded by the block.
+    """
+
+    def __init__(self, block: _Block, k: int, id_col: str):
+        self.block, self.k, self.id_col = block, k, id_col
+        self.kept: list[pa.Table] = []
+        self.pending = 0
+        self.limit = 4 * k * len(block.ids) + 10_000
+        self.worst = np.full(len(block.ids), np.iinfo(np.int64).max)
+
+    def add(self, rows: pa.Table, unit: np.ndarray, asked: np.ndarray) -> None:
+        """Score ``rows``, whose unit vectors are given, for the questions ``asked``."""
+        order = pc.sort_indices(rows.column(0)).to_numpy()
+        n = len(order)
+        at_once = max(1, SCORE_CELLS // n)
+        for start in range(0, len(asked), at_once):
+            some = asked[start:start + at_once]
+            steps = np.rint((1.0 - self.block.unit[some] @ unit[order].T) * STEPS).astype(np.int64)
+            if self.k < n:
+                # position in id order breaks ties; it makes every key of a question distinct
+                top = np.argpartition(steps * n + np.arange(n), self.k - 1, axis=1)[:, :self.k]
+            else:
+                top = np.broadcast_to(np.arange(n), steps.shape)
+            reached = np.take_along_axis(steps, top, axis=1)
+            use = reached <= self.worst[some][:, None]
+            if not use.any():
+                continue
+            part = rows.take(pa.array(order[top[use]]))
+            part = part.append_column("_q", pa.array(np.broadcast_to(some[:, None], top.shape)[use]))
+            self.kept.append(part.append_column("_steps", pa.array(reached[use])))
+            self.pending += part.num_rows
+            if self.pending > self.limit:
+                self._shrink()
+
+    def _shrink(self) -> None:
+        table = pa.concat_tables(self.kept).sort_by(
+            [("_q", "ascending"), ("_steps", "ascending"), (self.id_col, "ascending")]
+        )
+        q = table.column("_q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        last = place == self.k - 1
+        self.worst[q[last]] = table.column("_steps").to_numpy()[last]
+        self.kept = [table.filter(pa.array(place < self.k))]
+        self.pending = self.kept[0].num_rows
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if not self.kept:
+            return
+        self._shrink()
+        best = self.kept[0].combine_chunks()
+        ids = self.block.ids.take(pa.array(best.column("_q").to_numpy()))
+        distance = pa.array(best.column("_steps").to_numpy() / STEPS)
+        best = best.drop_columns(["_q", "_steps"])
+        yield from best.append_column("query_id", ids).append_column("distance", distance).to_batches()
 
 
-def _best(table: pa.Table, id_col: str, k: int) -> pa.Table:
-    """The first ``k`` rows per question in (distance, id) order."""
-    table = table.sort_by([("_q", "ascending"), ("_steps", "ascending"), (id_col, "ascending")])
-    q = table.column("_q").to_numpy()
-    first = np.searchsorted(q, q, side="left")
-    return table.filter(pa.array(np.arange(len(q)) - first < k))
+def _directed(
+    batches: Iterator[pa.RecordBatch], vec_col: str, dims: int
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that have a direction, without their vector, and their unit vectors."""
+    for batch in batches:
+        part = _present(batch, vec_col)
+        unit, alive = _unit(_matrix(part.column(part.schema.get_field_index(vec_col)), dims))
+        rows = pa.Table.from_batches([part]).drop_columns([vec_col]).filter(pa.array(alive))
+        if rows.num_rows:
+            yield rows, unit
 
 
 def _winners(
     batches: Iterator[pa.RecordBatch], block: _Block, k: int, id_col: str, vec_col: str
 ) -> Iterator[pa.RecordBatch]:
-    """Partial top-k of a stream of chunk rows; memory is bounded by the block."""
-    dims = block.unit.shape[1]
-    per_slice = max(k, SCORE_CELLS // max(1, len(block.ids)))
-    kept: list[pa.Table] = []
-    pending = 0
-    limit = 4 * k * len(block.ids) + 10_000
-    for batch in batches:
-        for at in range(0, batch.num_rows, per_slice):
-            part = _present(batch.slice(at, per_slice), vec_col)
-            unit, alive = _unit(_matrix(part.column(part.schema.get_field_index(vec_col)), dims))
-            rows = pa.Table.from_batches([part])
-            rows = rows.drop_columns([vec_col]).filter(pa.array(alive))
-            if not rows.num_rows:
-                continue
-            kept.append(_slice_winners(rows, unit, block, k))
-            pending += kept[-1].num_rows
-            if pending > limit:
-                kept = [_best(pa.concat_tables(kept), id_col, k)]
-                pending = kept[0].num_rows
-    if kept:
-        best = _best(pa.concat_tables(kept), id_col, k).combine_chunks()
-        ids = block.ids.take(pa.array(best.column("_q").to_numpy()))
-        distance = pa.array(best.column("_steps").to_numpy() / STEPS)
-        best = best.drop_columns(["_q", "_steps"])
-        best = best.append_column("query_id", ids).append_column("distance", distance)
-        yield from best.to_batches()
+    """Partial top-k of a stream of chunk rows for all questions of the block."""
+    best = _Best(block, k, id_col)
+    everyone = np.arange(len(block.ids))
+    for rows, unit in _directed(batches, vec_col, block.unit.shape[1]):
+        best.add(rows, unit, everyone)
+    yield from best.batches()
+
+
+def _cell_winners(
+    batches: Iterator[pa.RecordBatch], block: _Block, visits: dict[int, np.ndarray], planes: np.ndarray,
+    k: int, id_col: str, vec_col: str,
+) -> Iterator[pa.RecordBatch]:
+    """Partial top-k where a question sees only the rows of the cells it visits."""
+    best = _Best(block, k, id_col)
+    for rows, unit in _directed(batches, vec_col, block.unit.shape[1]):
+        cells = _home(unit @ planes)
+        for cell in np.unique(cells):
+            asked = visits.get(int(cell))
+            if asked is not None:
+                here = np.flatnonzero(cells == cell)
+                best.add(rows.take(pa.array(here)), unit[here], asked)
+    yield from best.batches()
 
 
 def _block_of(table: pa.Table, vec_col: str, dims: int | None) -> _Block:
@@ -306,43 +351,67 @@ def _planes(dims: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dims, bits))
 
 
+def _home(side: np.ndarray) -> np.ndarray:
+    """Cell of each row: the signs of its offsets from the planes as bits."""
+    return ((side > 0) * (1 << np.arange(side.shape[1]))).sum(axis=1).astype(np.int64)
+
+
+def _visited(side: np.ndarray, probes: int) -> np.ndarray:
+    """Own cell and the ``probes`` nearest others, across one or two planes, per row."""
+    home, bits = _home(side), side.shape[1]
+    if not probes:
+        return home[:, None]
+    near = np.abs(side)
+    flips = [(1 << a, near[:, a]) for a in range(bits)]
+    flips += [((1 << a) | (1 << b), np.hypot(near[:, a], near[:, b])) for a in range(bits) for b in range(a)]
+    order = np.argsort(np.stack([cost for _, cost in flips], axis=1), axis=1, kind="stable")[:, :probes]
+    return np.concatenate([home[:, None], home[:, None] ^ np.array([m for m, _ in flips])[order]], axis=1)
+
+
 def hash_cells(
     df: DataFrame, vec_col: str, width: int, bits: int, seed: int, probes: int = 0
 ) -> DataFrame:
     """Add ``cell``, the sign pattern of the vector on ``bits`` random planes.
 
-    With ``probes`` each row is repeated for the ``probes`` further cells across
-    its nearest planes, one and two planes at a time.
+    With ``probes`` each row is repeated for the further cells it visits.
     """
     planes = _planes(width, bits, seed)
     schema = T.StructType(df.schema.fields + [T.StructField("cell", T.LongType())])
-    flips = [1 << b for b in range(bits)]
 
     def assign(batches):
         for batch in batches:
             batch = _present(batch, vec_col)
             matrix = _matrix(batch.column(batch.schema.get_field_index(vec_col)), width)
-            side = matrix @ planes
-            home = ((side > 0) * np.array(flips)).sum(axis=1).astype(np.int64)
-            if not probes:
-                yield batch.append_column("cell", pa.array(home))
-                continue
-            near = np.abs(side)
-            masks = [(1 << a, near[:, a]) for a in range(bits)]
-            masks += [
-                ((1 << a) | (1 << b), np.hypot(near[:, a], near[:, b]))
-                for a in range(bits) for b in range(a)
-            ]
-            cost = np.stack([c for _, c in masks], axis=1)
-            flip = np.array([m for m, _ in masks], dtype=np.int64)
-            order = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-            cells = np.concatenate([home[:, None], home[:, None] ^ flip[order]], axis=1)
-            rows = np.repeat(np.arange(len(home)), cells.shape[1])
+            cells = _visited(matrix @ planes, probes)
+            rows = np.repeat(np.arange(len(cells)), cells.shape[1])
             yield batch.take(pa.array(rows)).append_column("cell", pa.array(cells.ravel()))
 
     return df.mapInArrow(assign, schema)
 
 
+def _score_cells(
+    vectors, queries, k, bits, probes, seed, id_col, vec_col, width, schema, most, group_rows
+) -> DataFrame:
+    """Every dealt part of a cell meets every dealt part of its questions in one group."""
+    stored = hash_cells(vectors, vec_col, width, bits, seed)
+    asked = hash_cells(queries, vec_col, width, bits, seed, probes)
+    v_deals = {r["cell"]: _deal(r["count"], group_rows) for r in stored.groupBy("cell").count().collect()}
+    q_deals = {r["cell"]: _deal(r["count"], most) for r in asked.groupBy("cell").count().collect()}
+    cells = [(c, v_deals[c], q_deals[c]) for c in v_deals if c in q_deals]
+    deals = F.broadcast(vectors.sparkSession.createDataFrame(cells, "cell BIGINT, v_deals INT, q_deals INT"))
+
+    def spread(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = stored.join(deals, "cell").withColumn(
+        "_v", F.pmod(F.xxhash64(id_col), F.col("v_deals")).cast("int")
+    ).withColumn("_q", spread("q_deals")).drop("v_deals", "q_deals")
+    right = asked.join(deals, "cell").withColumn(
+        "_q", F.pmod(F.xxhash64("query_id"), F.col("q_deals")).cast("int")
+    ).withColumn("_v", spread("v_deals")).drop("v_deals", "q_deals")
+    return _score_groups(left, right, ["cell", "_v", "_q"], k, id_col, vec_col, width, schema)
+
+
 def approx_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -353,15 +422,17 @@ def approx_topk(
     id_col: str = "chunk_id",
     vec_col: str = "embedding",
     carry: tuple[str, ...] = (),
+    block_bytes: int = BLOCK_BYTES,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Approximate top-k through hash cells, exact distances within them.
 
     A vector lies in one cell; a question visits its own and the ``probes``
-    nearest other cells. Cell sizes (at most ``2 ** bits`` numbers) are counted
-    first: a cell above ``group_rows`` is dealt into several groups, so no group
-    grows with the table. Questions with fewer than ``k`` hits go to
-    ``topk_batch``.
+    nearest other cells. Questions that fit a broadcast block are scored during
+    the scan. More questions meet the vectors by cell: cell sizes (at most
+    ``2 ** bits`` numbers) are counted first, and a cell above ``group_rows`` is
+    dealt into several groups, so no group grows with the table. Questions with
+    fewer than ``k`` hits go to ``topk_batch``.
     """
     columns = [id_col, *[c for c in carry if c != id_col]]
     vectors = vectors.select(*columns, vec_col)
@@ -369,27 +440,22 @@ def approx_topk(
     schema = _hit_schema(vectors, queries, columns)
     width = _width(queries, vec_col)
     spark = vectors.sparkSession
+    most = max(1, block_bytes // (8 * width))
+    head = queries.limit(most + 1).toArrow()
+    if head.num_rows <= most:
+        block = _block_of(head, vec_col, width)
+        planes = _planes(width, bits, seed)
+        cells = _visited(block.unit @ planes, probes)
+        visits = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
+        shared = spark.sparkContext.broadcast((block, visits))
 
-    stored = hash_cells(vectors, vec_col, width, bits, seed)
-    asked = hash_cells(queries, vec_col, width, bits, seed, probes)
-    most = max(1, BLOCK_BYTES // (8 * width))
-    v_deals = {r["cell"]: _deal(r["count"], group_rows) for r in stored.groupBy("cell").count().collect()}
-    q_deals = {r["cell"]: _deal(r["count"], most) for r in asked.groupBy("cell").count().collect()}
-    cells = [(c, v_deals[c], q_deals[c]) for c in v_deals if c in q_deals]
-    deals = F.broadcast(spark.createDataFrame(cells, "cell BIGINT, v_deals INT, q_deals INT"))
-
-    def spread(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        def score(batches):
+            yield from _cell_winners(batches, *shared.value, planes, k, id_col, vec_col)
 
-    left = stored.join(deals, "cell").withColumn(
-        "_v", F.pmod(F.xxhash64(id_col), F.col("v_deals")).cast("int")
-    ).withColumn("_q", spread("q_deals")).drop("v_deals", "q_deals")
-    right = asked.join(deals, "cell").withColumn(
-        "_q", F.pmod(F.xxhash64("query_id"), F.col("q_deals")).cast("int")
-    ).withColumn("_v", spread("v_deals")).drop("v_deals", "q_deals")
-    near = _rank(
-        _score_groups(left, right, ["cell", "_v", "_q"], k, id_col, vec_col, width, schema), id_col, k
-    )
+        partial = vectors.mapInArrow(score, schema)
+    else:
+        partial = _score_cells(vectors, queries, k, bits, probes, seed, id_col, vec_col, width, schema, most, group_rows)
+    near = _rank(partial, id_col, k)
     # used three times below and small (k rows per question): stored once
     stored_hits = scratch_dir(spark, "near")
     near.write.parquet(stored_hits)

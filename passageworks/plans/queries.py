@@ -378,7 +378,7 @@ def pair_turns(spark, sf):
 
 def normalize_tokens(spark, sf):
     tokens = tokens_of(F.col("text"))
-    return documents(spark, sf).select(
+    return spread(documents(spark, sf)).select(
         "file_path", F.size(tokens).alias("n"), F.array_join(tokens, " ").alias("tokens")
     )
 
@@ -415,7 +415,7 @@ def generated(spark, sf) -> DataFrame:
         .when(turn == 7, F.concat(F.lit('{"answer": "'), text, F.lit('", "no_answer": 1.5} or {x}')))
         .otherwise(F.concat(F.lit(" "), F.substring("text", 1, 1)))
     )
-    return conversations(spark, sf).withColumn("generated", made)
+    return spread(conversations(spark, sf)).withColumn("generated", made)
 
 
 def parse_generated(spark, sf):

@@ -105,29 +105,49 @@ def test_exact_plan_has_no_cross_join(spark, data):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_approximate_recall_and_completeness(spark, data):
+SMALL = {"block_bytes": 10 * 8 * 8, "group_rows": 20}     # a few questions and rows per group
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL])
+def test_approximate_recall_and_completeness(spark, data, sizes):
+    """Scored in the scan, and by cogroups of dealt cells."""
     matrix, _ = data
     rng = np.random.default_rng(5)
     queries = np.delete(matrix, 7, axis=0)[100:160] + 0.1 * rng.standard_normal((60, 16))
     exact = brute(matrix, queries, 4)
-    found = ranked(retrieval.approx_topk(table(spark, matrix), asked(spark, queries), 4, bits=4, probes=5))
+    v, q = table(spark, matrix), asked(spark, queries)
+    found = ranked(retrieval.approx_topk(v, q, 4, bits=4, probes=5, **sizes))
     assert all(len(h) == 4 for h in found.values()) and len(found) == 60
     overlap = sum(len(set(found[i]) & set(exact[i])) for i in exact) / (4 * len(exact))
     assert overlap >= 0.8
     # every cell visited: the approximation is exact
-    full = retrieval.approx_topk(table(spark, matrix), asked(spark, queries[:9]), 4, bits=2, probes=3)
+    full = retrieval.approx_topk(v, asked(spark, queries[:9]), 4, bits=2, probes=3, **sizes)
     assert ranked(full) == brute(matrix, queries[:9], 4)
 
 
-def test_hot_cell_is_dealt_out_and_complete(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 1, "group_rows": 20}])
+def test_hot_cell_is_dealt_out_and_complete(spark, sizes):
     """A third of all vectors are copies and share one cell."""
     rng = np.random.default_rng(2)
     matrix = rng.standard_normal((300, 8))
     matrix[:100] = matrix[0]
-    found = ranked(
-        retrieval.approx_topk(table(spark, matrix), asked(spark, matrix[:1]), 6, bits=2, probes=3, group_rows=20)
-    )
-    assert found == brute(matrix, matrix[:1], 6)
+    queries = np.vstack([matrix[:1], matrix[200:203]])
+    found = retrieval.approx_topk(table(spark, matrix), asked(spark, queries), 6, bits=2, probes=3, **sizes)
+    assert ranked(found) == brute(matrix, queries, 6)
+
+
+def test_many_batches_keep_the_best(spark, data, monkeypatch):
+    """Small Arrow batches: winners are merged and thresholds applied many times."""
+    matrix, queries = data
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        big = np.vstack([matrix] * 30)
+        found = ranked(retrieval.topk_batch(table(spark, big, 1), asked(spark, queries[:3]), 50))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(f"c{i:04d}") for i in range(len(big))]
+    assert len(set(rows)) == len(big)
+    assert found == brute(big, queries[:3], 50)
 
 
 def test_few_candidates_fall_back_to_exact(spark):
