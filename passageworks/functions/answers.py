@@ -126,6 +126,14 @@ def grounding(answer: Column, context: Column, threshold: float = 0.55) -> Colum
     return bind(bind(long, count), judge)
 
 
+def grounding_ratio(answer: Column, context: Column) -> Column:
+    return grounding(answer, context)["ratio"]
+
+
+def is_grounded(answer: Column, context: Column, threshold: float = 0.55) -> Column:
+    return grounding(answer, context, threshold)["grounded"]
+
+
 def best_sentence(question: Column, context: Column) -> Column:
     """``struct(score, sentence)`` of the context sentence covering most question words.
 

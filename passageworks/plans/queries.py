@@ -377,10 +377,8 @@ def pair_turns(spark, sf):
 
 
 def normalize_tokens(spark, sf):
-    tokens = tokens_of(F.col("text"))
-    return spread(documents(spark, sf)).select(
-        "file_path", F.size(tokens).alias("n"), F.array_join(tokens, " ").alias("tokens")
-    )
+    found = spread(documents(spark, sf)).select("file_path", tokens_of(F.col("text")).alias("tokens"))
+    return found.select("file_path", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def grounding_check(spark, sf):

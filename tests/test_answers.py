@@ -80,6 +80,15 @@ def test_grounding_rules(spark):
     assert ground(spark, "cafés", "unrelated").total == 0
 
 
+def test_grounding_columns(spark):
+    df = spark.createDataFrame([("alpha gamma", "alpha")], "a STRING, c STRING")
+    row = df.select(
+        fa.grounding_ratio(F.col("a"), F.col("c")), fa.is_grounded(F.col("a"), F.col("c")),
+        fa.is_grounded(F.col("a"), F.col("c"), 0.5),
+    ).first()
+    assert tuple(row) == (0.5, False, True)
+
+
 def test_extractive_answer(spark):
     df = spark.createDataFrame([
         ("who built the bridge", "A river runs here. The bridge was built by Ada! More text"),
