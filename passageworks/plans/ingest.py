@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_text
@@ -27,7 +27,7 @@ def apply_changes(
     diff: DataFrame,
     corpus: DataFrame,
     options: Options = Options(),
-    now: datetime | None = None,
+    now: datetime | Column | None = None,
     batch: str = "",
     extractor=None,
     encoder=None,
@@ -42,7 +42,7 @@ def apply_changes(
     # The comparison is stored before anything else: the steps below, and a retry
     # of any of them, work on one recorded set of paths.
     run = state.last_run() + 1
-    now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+    now = datetime.now(timezone.utc) if now is None else now
     state.write("diff", run, diff.filter(F.col("status") != "unchanged"))
     diff = state.read_run("diff", run)
     if diff.isEmpty():
@@ -92,7 +92,7 @@ def incremental_ingest(
     state_dir: str,
     options: Options = Options(),
     root: str | None = None,
-    now: datetime | None = None,
+    now: datetime | Column | None = None,
     extractor=None,
     encoder=None,
 ) -> DataFrame:

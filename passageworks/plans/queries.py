@@ -9,8 +9,6 @@ the documents that have a label, in another revision where the quality label is
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +30,7 @@ from ..streaming.ingest import streaming_ingest as ingest_stream
 from . import ask
 from .ingest import incremental_ingest as ingest
 
-BEFORE, NOW = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+BEFORE, NOW = "2024-01-01", "2024-02-01"
 LATENCY = AdaptiveOptions(latency_target=50.0)
 
 
@@ -40,6 +38,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def at(day: str) -> Column:
+    """Midnight of a day in the session's time zone."""
+    return F.to_timestamp(F.lit(f"{day} 00:00:00"))
+
+
 def doc_path(suffix: str = "") -> Column:
     return F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(suffix))
 
@@ -66,7 +69,7 @@ def questions(spark, sf) -> DataFrame:
 
 def current(spark, sf) -> DataFrame:
     return documents(spark, sf).select(
-        "file_path", hash_of(F.col("text")).alias("content_hash"), F.lit(NOW).alias("modified_at")
+        "file_path", hash_of(F.col("text")).alias("content_hash"), at(NOW).alias("modified_at")
     )
 
 
@@ -80,7 +83,7 @@ def earlier(spark, sf) -> DataFrame:
 def manifest(spark, sf) -> DataFrame:
     return earlier(spark, sf).select(
         "file_path", hash_of(F.col("text")).alias("content_hash"),
-        F.lit(BEFORE).alias("last_modified"), F.lit(BEFORE).alias("created_at"),
+        at(BEFORE).alias("last_modified"), at(BEFORE).alias("created_at"),
     )
 
 
@@ -88,11 +91,11 @@ def chunks(spark, sf) -> DataFrame:
     return chunk(spread(documents(spark, sf)))
 
 
-def corpus(texts: DataFrame, suffix: str, when: dt.datetime) -> DataFrame:
+def corpus(texts: DataFrame, suffix: str, when: str) -> DataFrame:
     content = F.encode("text", "UTF-8")
     return texts.select(
         F.concat("file_path", F.lit(suffix)).alias("file_path"), F.lit(suffix).alias("suffix"),
-        F.lit(when).alias("modified_at"), F.length(content).cast("bigint").alias("length"),
+        at(when).alias("modified_at"), F.length(content).cast("bigint").alias("length"),
         content.alias("content"),
     )
 
@@ -131,7 +134,7 @@ def _readable(df: DataFrame) -> DataFrame:
 
 def manifest_upsert(spark, sf):
     delta = current(spark, sf).withColumnRenamed("modified_at", "last_modified")
-    return _readable(diff.manifest_upsert(manifest(spark, sf), delta, NOW))
+    return _readable(diff.manifest_upsert(manifest(spark, sf), delta, at(NOW)))
 
 
 def manifest_delete(spark, sf):
@@ -182,15 +185,15 @@ def replace_chunks(spark, sf):
 
 def incremental_ingest(spark, sf):
     state = scratch_dir(spark, "ingest")
-    ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), state, now=BEFORE)
-    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), state, now=NOW)
+    ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), state, now=at(BEFORE))
+    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), state, now=at(NOW))
     return Collection(spark, state).chunks().select("chunk_id", "file_path", "chunk_no", "start", "text")
 
 
 def manifest_source(spark, sf):
     state = scratch_dir(spark, "manifest")
-    ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), state, now=BEFORE)
-    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), state, now=NOW)
+    ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), state, now=at(BEFORE))
+    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), state, now=at(NOW))
     return _readable(read_manifest(spark, state))
 
 
@@ -475,7 +478,7 @@ def render_history(spark, sf):
 
 def history_sink(spark, sf):
     out = scratch_dir(spark, "history")
-    history.write_history(pairs(spark, sf), out, F.date_add(F.lit(BEFORE.date()), F.col("turn").cast("int")))
+    history.write_history(pairs(spark, sf), out, F.date_add(F.to_date(F.lit(BEFORE)), F.col("turn").cast("int")))
     saved = history.read_history(spark, out)
     return saved.select(F.col("day").cast("string").alias("day"), "conv_id", "turn", "entry")
 

@@ -70,7 +70,7 @@ def main() -> int:
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", os.environ.get("TEST_TZ", "UTC")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = database(sf)
