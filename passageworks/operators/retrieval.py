@@ -8,7 +8,7 @@ question; only those partial winners are shuffled and ranked.
   broadcast and the chunk table is scanned in place, without a shuffle.
 * More questions: chunks and questions are dealt into blocks of bounded size
   and every block pair is scored by one cogroup.
-* ``approx_topk`` scores only pairs that meet in a hash cell; crowded cells are
+* ``approx_topk`` scores only pairs that meet in a cell; crowded cells are
   dealt into several groups, and questions that find fewer than ``k`` chunks are
   answered exactly.
 
@@ -172,13 +172,13 @@ def _winners(
 
 
 def _cell_winners(
-    batches: Iterator[pa.RecordBatch], block: _Block, visits: dict[int, np.ndarray], planes: np.ndarray,
+    batches: Iterator[pa.RecordBatch], block: _Block, visits: dict[int, np.ndarray], pivots: np.ndarray,
     k: int, id_col: str, vec_col: str,
 ) -> Iterator[pa.RecordBatch]:
     """Partial top-k where a question sees only the rows of the cells it visits."""
     best = _Best(block, k, id_col)
     for rows, unit in _directed(batches, vec_col, block.unit.shape[1]):
-        cells = _home(unit @ planes)
+        cells = _near_cells(unit, pivots, 1)[:, 0]
         for cell in np.unique(cells):
             asked = visits.get(int(cell))
             if asked is not None:
@@ -347,42 +347,28 @@ def inverted_topk(
     return topk_batch(chunks, asked, k, carry=carry, vec_col=feature_col, dims=model.dims)
 
 
-def _planes(dims: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dims, bits))
+def _pivots(vectors: DataFrame, n: int, id_col: str, vec_col: str, width: int) -> np.ndarray:
+    """Unit vectors of the ``n`` rows whose ids hash lowest: an even, repeatable choice."""
+    lot = vectors.withColumn("_lot", F.xxhash64(id_col)).orderBy("_lot", id_col).limit(n)
+    rows = _present(lot.select(vec_col).toArrow(), vec_col)
+    return _unit(_matrix(rows.column(vec_col), width))[0]
 
 
-def _home(side: np.ndarray) -> np.ndarray:
-    """Cell of each row: the signs of its offsets from the planes as bits."""
-    return ((side > 0) * (1 << np.arange(side.shape[1]))).sum(axis=1).astype(np.int64)
+def _near_cells(unit: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` cells whose pivots are nearest, the own cell first, per row."""
+    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :n]
 
 
-def _visited(side: np.ndarray, probes: int) -> np.ndarray:
-    """Own cell and the ``probes`` nearest others, across one or two planes, per row."""
-    home, bits = _home(side), side.shape[1]
-    if not probes:
-        return home[:, None]
-    near = np.abs(side)
-    flips = [(1 << a, near[:, a]) for a in range(bits)]
-    flips += [((1 << a) | (1 << b), np.hypot(near[:, a], near[:, b])) for a in range(bits) for b in range(a)]
-    order = np.argsort(np.stack([cost for _, cost in flips], axis=1), axis=1, kind="stable")[:, :probes]
-    return np.concatenate([home[:, None], home[:, None] ^ np.array([m for m, _ in flips])[order]], axis=1)
-
-
-def hash_cells(
-    df: DataFrame, vec_col: str, width: int, bits: int, seed: int, probes: int = 0
-) -> DataFrame:
-    """Add ``cell``, the sign pattern of the vector on ``bits`` random planes.
-
-    With ``probes`` each row is repeated for the further cells it visits.
-    """
-    planes = _planes(width, bits, seed)
+def assign_cells(df: DataFrame, vec_col: str, pivots: np.ndarray, n: int = 1) -> DataFrame:
+    """Repeat each row for its ``n`` nearest cells, numbered in ``cell``."""
     schema = T.StructType(df.schema.fields + [T.StructField("cell", T.LongType())])
 
     def assign(batches):
         for batch in batches:
             batch = _present(batch, vec_col)
-            matrix = _matrix(batch.column(batch.schema.get_field_index(vec_col)), width)
-            cells = _visited(matrix @ planes, probes)
+            matrix = _matrix(batch.column(batch.schema.get_field_index(vec_col)), pivots.shape[1])
+            # the length of a vector does not change the order of its pivots
+            cells = _near_cells(matrix, pivots, n)
             rows = np.repeat(np.arange(len(cells)), cells.shape[1])
             yield batch.take(pa.array(rows)).append_column("cell", pa.array(cells.ravel()))
 
@@ -390,11 +376,11 @@ def hash_cells(
 
 
 def _score_cells(
-    vectors, queries, k, bits, probes, seed, id_col, vec_col, width, schema, most, group_rows
+    vectors, queries, k, centres, visits, id_col, vec_col, width, schema, most, group_rows
 ) -> DataFrame:
     """Every dealt part of a cell meets every dealt part of its questions in one group."""
-    stored = hash_cells(vectors, vec_col, width, bits, seed)
-    asked = hash_cells(queries, vec_col, width, bits, seed, probes)
+    stored = assign_cells(vectors, vec_col, centres)
+    asked = assign_cells(queries, vec_col, centres, visits)
     v_deals = {r["cell"]: _deal(r["count"], group_rows) for r in stored.groupBy("cell").count().collect()}
     q_deals = {r["cell"]: _deal(r["count"], most) for r in asked.groupBy("cell").count().collect()}
     cells = [(c, v_deals[c], q_deals[c]) for c in v_deals if c in q_deals]
@@ -416,23 +402,22 @@ def approx_topk(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 4,
-    bits: int = 4,
-    probes: int = 5,
-    seed: int = 7,
+    pivots: int = 16,
+    visits: int = 10,
     id_col: str = "chunk_id",
     vec_col: str = "embedding",
     carry: tuple[str, ...] = (),
     block_bytes: int = BLOCK_BYTES,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Approximate top-k through hash cells, exact distances within them.
-
-    A vector lies in one cell; a question visits its own and the ``probes``
-    nearest other cells. Questions that fit a broadcast block are scored during
-    the scan. More questions meet the vectors by cell: cell sizes (at most
-    ``2 ** bits`` numbers) are counted first, and a cell above ``group_rows`` is
-    dealt into several groups, so no group grows with the table. Questions with
-    fewer than ``k`` hits go to ``topk_batch``.
+    """Approximate top-k through cells, exact distances within them.
+
+    A vector lies in the cell of its nearest pivot, one of ``pivots`` rows of the
+    table; a question sees the ``visits`` nearest cells. Questions that fit a
+    broadcast block are scored during the scan. More questions meet the vectors
+    by cell: cell sizes (one number per pivot) are counted first, and a cell
+    above ``group_rows`` is dealt into several groups, so no group grows with the
+    table. Questions with fewer than ``k`` hits go to ``topk_batch``.
     """
     columns = [id_col, *[c for c in carry if c != id_col]]
     vectors = vectors.select(*columns, vec_col)
@@ -441,20 +426,22 @@ def approx_topk(
     width = _width(queries, vec_col)
     spark = vectors.sparkSession
     most = max(1, block_bytes // (8 * width))
+    centres = _pivots(vectors, pivots, id_col, vec_col, width)
     head = queries.limit(most + 1).toArrow()
     if head.num_rows <= most:
         block = _block_of(head, vec_col, width)
-        planes = _planes(width, bits, seed)
-        cells = _visited(block.unit @ planes, probes)
-        visits = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
-        shared = spark.sparkContext.broadcast((block, visits))
+        cells = _near_cells(block.unit, centres, visits)
+        visited = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
+        shared = spark.sparkContext.broadcast((block, visited, centres))
 
         def score(batches):
-            yield from _cell_winners(batches, *shared.value, planes, k, id_col, vec_col)
+            yield from _cell_winners(batches, *shared.value, k, id_col, vec_col)
 
         partial = vectors.mapInArrow(score, schema)
     else:
-        partial = _score_cells(vectors, queries, k, bits, probes, seed, id_col, vec_col, width, schema, most, group_rows)
+        partial = _score_cells(
+            vectors, queries, k, centres, visits, id_col, vec_col, width, schema, most, group_rows
+        )
     near = _rank(partial, id_col, k)
     # used three times below and small (k rows per question): stored once
     stored_hits = scratch_dir(spark, "near")

@@ -116,12 +116,12 @@ def test_approximate_recall_and_completeness(spark, data, sizes):
     queries = np.delete(matrix, 7, axis=0)[100:160] + 0.1 * rng.standard_normal((60, 16))
     exact = brute(matrix, queries, 4)
     v, q = table(spark, matrix), asked(spark, queries)
-    found = ranked(retrieval.approx_topk(v, q, 4, bits=4, probes=5, **sizes))
+    found = ranked(retrieval.approx_topk(v, q, 4, pivots=16, visits=6, **sizes))
     assert all(len(h) == 4 for h in found.values()) and len(found) == 60
     overlap = sum(len(set(found[i]) & set(exact[i])) for i in exact) / (4 * len(exact))
     assert overlap >= 0.8
     # every cell visited: the approximation is exact
-    full = retrieval.approx_topk(v, asked(spark, queries[:9]), 4, bits=2, probes=3, **sizes)
+    full = retrieval.approx_topk(v, asked(spark, queries[:9]), 4, pivots=4, visits=4, **sizes)
     assert ranked(full) == brute(matrix, queries[:9], 4)
 
 
@@ -132,7 +132,7 @@ def test_hot_cell_is_dealt_out_and_complete(spark, sizes):
     matrix = rng.standard_normal((300, 8))
     matrix[:100] = matrix[0]
     queries = np.vstack([matrix[:1], matrix[200:203]])
-    found = retrieval.approx_topk(table(spark, matrix), asked(spark, queries), 6, bits=2, probes=3, **sizes)
+    found = retrieval.approx_topk(table(spark, matrix), asked(spark, queries), 6, pivots=4, visits=4, **sizes)
     assert ranked(found) == brute(matrix, queries, 6)
 
 
@@ -153,7 +153,7 @@ def test_many_batches_keep_the_best(spark, data, monkeypatch):
 def test_few_candidates_fall_back_to_exact(spark):
     rng = np.random.default_rng(3)
     matrix = rng.standard_normal((60, 8))
-    found = retrieval.approx_topk(table(spark, matrix), asked(spark, matrix[:20]), 10, bits=6, probes=0)
+    found = retrieval.approx_topk(table(spark, matrix), asked(spark, matrix[:20]), 10, pivots=30, visits=1)
     assert all(len(h) == 10 for h in ranked(found).values()) and len(ranked(found)) == 20
 
 
