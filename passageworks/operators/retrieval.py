@@ -252,11 +252,14 @@ def topk_batch(
     most = max(1, block_bytes // (8 * width))
     head = queries.limit(most + 1).toArrow()
     if head.num_rows <= most:
-        block = vectors.sparkSession.sparkContext.broadcast(_block_of(head, vec_col, width))
+        block = _block_of(head, vec_col, width)
+        # plain arrays: a broadcast value cannot carry classes to the workers
+        shared = vectors.sparkSession.sparkContext.broadcast((block.ids, block.unit))
 
         def score(batches):
-            if len(block.value.ids):
-                yield from _winners(batches, block.value, k, id_col, vec_col)
+            block = _Block(*shared.value)
+            if len(block.ids):
+                yield from _winners(batches, block, k, id_col, vec_col)
             else:
                 for _ in batches:
                     pass
@@ -432,10 +435,11 @@ def approx_topk(
         block = _block_of(head, vec_col, width)
         cells = _near_cells(block.unit, centres, visits)
         visited = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
-        shared = spark.sparkContext.broadcast((block, visited, centres))
+        shared = spark.sparkContext.broadcast((block.ids, block.unit, visited, centres))
 
         def score(batches):
-            yield from _cell_winners(batches, *shared.value, k, id_col, vec_col)
+            ids, unit, visited, centres = shared.value
+            yield from _cell_winners(batches, _Block(ids, unit), visited, centres, k, id_col, vec_col)
 
         partial = vectors.mapInArrow(score, schema)
     else:
