@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import bind
 from ..session import scratch_dir
-from . import chat, fingerprints, pages, quality, secrets, token_files
+from . import chat, fingerprints, line_dedup, mixing, ngram_join, pages, pieces, quality, secrets, token_files
 from .common import store, table
 
 #: The folder of the public tokenizer files; a parameter of every query that reads one.
@@ -148,12 +148,51 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "segment")
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that an earlier place has, or nearly has."""
+    done = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("_line_all").alias("n_lines"), F.col("_line_gone").alias("n_dropped"))
+
+
+def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The component of every document under links of similar texts."""
+    joined = ngram_join.join_similar(table(spark, sf, "documents"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+#: Shares of tokens that the mixture aims at, by domain.
+TARGETS = {"clean": 0.95, "toxic": 0.02, "junk": 0.03}
+
+
+def op7_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Posterior, rate and number of copies of every document."""
+    weights = [TARGETS[d] for d in mixing.DOMAINS]
+    rated = mixing.rated(table(spark, sf, "documents"), table(spark, sf, "labels"), mixing.domain_of(), weights)
+    chances = (F.round(F.get("_mix_p", i), 9).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS))
+    return rated.select(F.col("_mix_id").alias("doc_id"), F.col("_mix_tokens").alias("n_tokens"), *chances, F.round("_mix_rate", 9).alias("rate"), F.col("_mix_copies").alias("copies"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and sampled segmentations of every document."""
+    return encoded(table(spark, sf, "documents"))
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_pieces, ids, samples)`` of every row."""
+    rows = pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return rows.select(F.col("id").alias("doc_id"), "n_pieces", "ids", "samples")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_html_extraction": op5_html_extraction,
     "op6_quality_rules": op6_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
 }
 ORACLE: dict[str, str] = {}
