@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,16 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 18
 #: Distinct words whose ids a task remembers at most before it starts anew.
 CACHE_WORDS = 1 << 19
+#: Marks that often stand behind a word, and the last letter of plain words (those
+#: that lower-casing and composing leave one run of letters; all but one up to there).
+MARKS, LAST_LETTER = ".,;:!?", "ɏ"
 
 SEGMENTS = "shard INT, segment INT, doc_ids ARRAY<BIGINT>, lengths ARRAY<INT>, payload BINARY"
 
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs; exact, since 32-bit values have exact doubles."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -59,7 +63,7 @@ def pack(ids: np.ndarray) -> bytes:
     lowest = padded.min(1)
     rest = padded - lowest[:, None]
     need = widths(rest)
-    width = np.sort(need, 1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1]
+    width = np.sort(need, 1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1].astype(np.int64)
     out = need > width[:, None]
     n_out = out.sum(1)
     size = 6 + width * (BLOCK // 8) + 5 * n_out
@@ -72,8 +76,8 @@ def pack(ids: np.ndarray) -> bytes:
     kept = np.where(out, 0, rest).astype(np.uint32)
     for w in np.unique(width[width > 0]):
         which = np.flatnonzero(width == w)
-        bits = (kept[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(kept[which].astype("<u4").view(np.uint8).reshape(len(which), BLOCK, 4), axis=2, bitorder="little")
+        packed = np.packbits(bits[:, :, :w].reshape(len(which), -1), axis=1, bitorder="little")
         body[start[which][:, None] + 6 + np.arange(packed.shape[1])] = packed
     row, place = np.nonzero(out)
     if len(row):
@@ -103,8 +107,9 @@ def unpack(payload: bytes, block: int | None = None) -> np.ndarray:
     for w in np.unique(width[width > 0]):
         which = np.flatnonzero(width == w)
         packed = body[start[which][:, None] + 6 + np.arange(w * (BLOCK // 8))]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, w)
-        rest[which] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+        bits = np.zeros((len(which), BLOCK, 32), np.uint8)
+        bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, w)
+        rest[which] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
     if n_out.any():
         row = np.repeat(np.arange(len(chosen)), n_out)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n_out) - n_out, n_out)
@@ -117,44 +122,75 @@ def unpack(payload: bytes, block: int | None = None) -> np.ndarray:
     return ids[: min(BLOCK, n - block * BLOCK)]
 
 
+class Numbered(dict):
+    """Numbers of words in the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose units never cross a blank or line feed.
 
-    Texts are cut there, and the ids of each distinct word are asked for once.
+    Texts are cut there, and the ids of each distinct word are asked for once, plain
+    words many at a time. Every text ends with ``end_id``.
     """
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id = tokenizer, end_id
+        vocabulary = tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.first, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.place = Numbered({"": 0, "\n": 1})  # no word holds a line feed: the end of a text
+        self.flat = np.array([self.end_id], np.uint32)
+        self.first, self.count = np.zeros(2, np.int64), np.array([0, 1])
 
     def learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        for i, word in enumerate(new, len(self.first)):
-            self.place[word] = i
-        ends = len(self.flat) + np.cumsum(count)
-        self.first = np.concatenate([self.first, ends - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))])
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.place) if cut else set()
-        if len(self.place) + len(new) > CACHE_WORDS:
+        # letters are one unit of the tokenizer, and a mark behind them is another
+        units = np.fromiter((0 if max(w) > LAST_LETTER or "İ" in w else 1 if w.isalpha() else 2 if w[-1] in MARKS and w[:-1].isalpha() else 0 for w in new), np.int64, len(new))
+        plain, other = np.flatnonzero(units), np.flatnonzero(units == 0)
+        ids, counts = self.together([new[i] for i in plain.tolist()], units[plain])
+        if ids is None:
+            plain, other, ids, counts = other[:0], np.arange(len(new)), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in other.tolist()], add_special_tokens=False)]
+        order = np.concatenate([plain, other])
+        count = np.concatenate([counts, np.fromiter(map(len, found), np.int64, len(found))])
+        first = len(self.flat) + np.cumsum(count) - count
+        back = np.argsort(order)
+        self.first, self.count = np.concatenate([self.first, first[back]]), np.concatenate([self.count, count[back]])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+
+    def together(self, some: list[str], units: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Ids of words that are encoded with blanks between them, and how many each has.
+
+        Where a word ends is counted by its units, as every unit's last id is one
+        that ends a unit. If the units do not add up, nothing is returned.
+        """
+        texts = [" ".join(some[at : at + 500]) for at in range(0, len(some), 500)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) != units.sum() or len(ends) and ends[-1] != len(ids):
+            return None, None
+        return ids, np.diff(ends[np.cumsum(units) - 1], prepend=0)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > CACHE_WORDS:
             self.clear()
-            new = set().union(*cut).difference(self.place)
-        if new:
-            self.learn(list(new))
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
         for found in cut:
-            at = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
-            count = self.count[at]
-            ends = np.cumsum(count)
-            yield self.flat[np.repeat(self.first[at] - (ends - count), count) + np.arange(int(ends[-1]))]
+            found.append("\n")
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        if len(self.place) > len(self.count):
+            self.learn(list(islice(self.place, len(self.count), None)))
+        count = self.count[at]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.first[at] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return np.split(ids, ends[np.cumsum(sizes) - 1][:-1]) if texts else []
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -171,7 +207,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder = WordEncoder(Tokenizer.from_str(shared.value))
+        encoder = WordEncoder(Tokenizer.from_str(shared.value), end_id)
         shard, segment = TaskContext.get().partitionId(), 0
         ids, parts, held = [], [], 0
 
@@ -187,7 +223,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
                 texts = [t or "" for t in piece.column(1).to_pylist()]
                 for doc, found in zip(piece.column(0).to_pylist(), encoder.encode(texts)):
                     ids.append(doc)
-                    parts.append(np.append(found, np.uint32(end_id)))
+                    parts.append(found)
                     held += len(parts[-1])
                     if held >= SEGMENT_IDS:
                         yield record()

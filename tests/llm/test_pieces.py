@@ -1,0 +1,149 @@
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+
+from passageworks.llm import pieces, queries
+
+SF = "/root/testdata/sf0.001"
+FILE = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+NASTY = ["", "a", "  Hello  wörld\n\tfoo ﬁ ② 　x​é é \x00 end ", "日本語", "ab cd", "   ", "<s> </s> <0x41>", "x" * 500, "\n\n", "token = \"0f\""]
+
+
+@pytest.fixture(scope="module")
+def units():
+    with open(FILE, "rb") as file:
+        return pieces.Units(pieces.Vocabulary(file.read(), pieces.ALPHA))
+
+
+def known(units, text):
+    cut = pieces.cut_units(text)
+    new = sorted(set(cut).difference(units.place))
+    if new:
+        units.add(new)
+    return np.array([units.place[c] for c in cut], np.int64)
+
+
+def searched(units, texts, k):
+    words = [known(units, t) for t in texts]
+    return pieces.search_all(units, list(range(len(texts))), words, k)
+
+
+def ids_of(units, arcs):
+    return units.ids[pieces.ranges(units.ids_first[arcs], units.ids_count[arcs])]
+
+
+def test_own_segmentation_is_the_library_one(units):
+    model = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    for t in NASTY:
+        w = known(units, t)
+        own = units.own[pieces.ranges(units.own_first[w], units.own_count[w])]
+        assert own.tolist() == model.encode(t), t
+        assert units.vocabulary.decode(own) == t == model.decode(own.tolist())
+
+
+def test_samples_are_distinct_ordered_and_decode(units):
+    for t, s in zip(NASTY, searched(units, NASTY, 4)):
+        ids = [tuple(ids_of(units, a)) for a, _ in s.samples]
+        assert len(set(ids)) == len(ids) >= 1
+        assert all(units.vocabulary.decode(np.array(i, np.int64)) == t for i in ids)
+        keys = [key for _, key in s.samples]
+        assert keys == sorted(keys, reverse=True)
+
+
+def all_segmentations(units, words):
+    """Arcs and log chance of every segmentation, by walking the lattices."""
+    found = [((), 0.0)]
+    for w in words:
+        open_, done = [((), 0.0, int(units.node[w]))], []
+        while open_:
+            arcs, value, node = open_.pop()
+            if node < 0:
+                done.append((arcs, value))
+                continue
+            first = int(units.arc_first[node])
+            open_ += [((*arcs, a), value + float(units.log_chance[a]), int(units.to[a])) for a in range(first, first + int(units.arc_count[node]))]
+        found = [(a + b, x + y) for a, x in found for b, y in done]
+    return dict(found)
+
+
+def test_lattice_holds_every_spelling(units):
+    for t in ["abc", "ab cd", "é日"]:
+        w = known(units, t)
+        every = all_segmentations(units, w)
+        assert abs(sum(np.exp(list(every.values()))) - 1) < 1e-9
+        assert all(units.vocabulary.decode(ids_of(units, np.array(a, np.int64))) == t for a in every)
+        weights = {a: sum(units.vocabulary.log_weight[ids_of(units, np.array(a, np.int64))]) for a in every}
+        gaps = {round(weights[a] - every[a], 9) for a in every}
+        assert len(gaps) == 1  # the chance is the product of weights, normalized
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_sampling_without_replacement(units, k):
+    w, n = known(units, "ab cd"), 6000
+    every = all_segmentations(units, w)
+    p = {a: np.exp(v) for a, v in every.items()}
+    taken, scores = Counter(), Counter()
+    for s in pieces.search_all(units, [pieces.stream(5, i) for i in range(n)], [w] * n, k):
+        nxt = s.queue[0][0]
+        assert len(s.samples) == k
+        for arcs, key in s.samples:
+            a = tuple(arcs.tolist())
+            taken[a] += 1
+            scores[a] += 1 / -np.expm1(-np.exp(every[a] - nxt))
+
+    def chance(a, left, out):  # of being among the next ``left``, when ``out`` are gone
+        if not left:
+            return 0.0
+        rest = 1 - sum(p[o] for o in out)
+        here = p[a] / rest
+        return here + sum(p[o] / rest * chance(a, left - 1, (*out, o)) for o in p if o != a and o not in out)
+
+    for a in sorted(p, key=p.get)[-4:]:
+        want = chance(a, k, ())
+        assert abs(taken[a] / n - want) < 4 * np.sqrt(want * (1 - want) / n) + 1e-3
+    best = max(p, key=p.get)
+    assert abs(scores[best] / n - 1) < 0.1  # inverse inclusion scores count each segmentation once
+
+
+def test_fewer_segmentations_than_asked_for(units):
+    s = searched(units, ["a"], 9)[0]
+    assert len(s.samples) == 2 and not s.queue
+
+
+def decoded(spark, rows):
+    df = rows.selectExpr("id", "ids", "explode(samples.ids) AS one")
+    both = pieces.decode(pieces.decode(df, FILE, "ids", "own"), FILE, "one", "sampled")
+    return [(r["id"], r["own"], r["sampled"]) for r in both.collect()]
+
+
+def test_rows_do_not_depend_on_how_they_are_dealt(spark):
+    rows = [(i, t) for i, t in enumerate(NASTY)] + [(None, "null id"), (50, None), (1, "a")]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING").selectExpr("*", "1 AS ids", "2 AS samples")
+    a = sorted(pieces.encode(df.repartition(1), FILE).collect(), key=str)
+    b = sorted(pieces.encode(df.repartition(6), FILE).collect(), key=str)
+    assert a == b and len(a) == len(rows)
+    texts = {i: t or "" for i, t in rows}
+    assert all(own == sampled == texts[i] for i, own, sampled in decoded(spark, pieces.encode(df, FILE)))
+    assert pieces.encode(df.limit(0), FILE).count() == 0
+
+
+def test_small_cache_changes_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} text") for i in range(30)], "doc_id LONG, text STRING")
+    a = sorted(pieces.encode(df, FILE).collect(), key=str)
+    monkeypatch.setattr(pieces, "CACHE_UNITS", 2)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 10)
+    assert sorted(pieces.encode(df, FILE).collect(), key=str) == a
+
+
+def test_query_decodes_to_the_texts(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    rows = queries.op9_sentencepiece(spark, SF).withColumnRenamed("doc_id", "id")
+    found = decoded(spark, rows)
+    assert {i for i, *_ in found} == set(texts)
+    assert all(own == sampled == texts[i] for i, own, sampled in found)
+    some = rows.where("id % 20 = 0").collect()
+    assert all(np.frombuffer(r["ids"], "<u2").tolist() == model.encode(texts[r["id"]]) for r in some)
+    assert all(len(r["samples"]) == len({bytes(s["ids"]) for s in r["samples"]}) and 0 <= s["score"] <= 1 for r in some for s in r["samples"])
