@@ -22,6 +22,16 @@ def _only(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(paths) if fits(paths) else paths, "file_path", "left_semi")
 
 
+def _require_width(state: Collection, run: int) -> None:
+    """Fail before the commit if the run's vectors differ in width from each other or from stored ones."""
+    width = F.size("embedding").alias("width")
+    widths = {r["width"] for r in state.read_run("vectors", run).select(width).distinct().limit(2).collect()}
+    if widths:
+        widths |= {r["width"] for r in state.vectors().select(width).limit(1).collect()}
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {sorted(widths)}")
+
+
 def apply_changes(
     state: Collection,
     diff: DataFrame,
@@ -57,11 +67,12 @@ def apply_changes(
         model = state.idf()
         if model is None:
             model = fit_idf(chunks, dims=options.dims)
-            state.save_idf(model)
+            state.save_idf(run, model)
         rows = hashed_embedding(chunks, model)
     else:
         rows = encoder(chunks)
     state.write("vectors", run, rows)
+    _require_width(state, run)
 
     stored = state.read_run("vectors", run).filter(F.col("chunk_no") == 0).select(
         "file_path", F.lit(True).alias("loaded")
@@ -78,8 +89,7 @@ def apply_changes(
         F.lit(now).alias("created_at"), (F.col("status") != "new").alias("supersedes"),
     ))
     failed = outcome.filter((F.col("status") != "deleted") & ~F.col("loaded"))
-    if not failed.isEmpty():
-        state.write("quarantine", run, quarantine(load_documents(_only(corpus, failed), extractor)))
+    state.write("quarantine", run, quarantine(load_documents(_only(corpus, failed), extractor)))
     state.commit(run, batch)
     return outcome.groupBy("status").agg(
         F.count("*").alias("n"), F.count_if("loaded").alias("loaded")

@@ -111,15 +111,16 @@ PAIRS = """turned AS (SELECT conv_id, turn, role, text AS question,
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 pairs AS (SELECT conv_id, turn, question, answer FROM turned WHERE role = 'user' AND next_role = 'assistant')"""
 ESC = r"""replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')"""
-GENERATED = f"""made AS (SELECT *, CASE WHEN role = 'system' OR turn = 0 THEN text
-  WHEN turn = 1 THEN '{{"answer": "' || {ESC} || '", "no_answer": false}}'
-  WHEN turn = 2 THEN 'Here: {{"answer": "' || {ESC} || '", "no_answer": "false"}} done'
-  WHEN turn = 3 THEN '{{"answer": "' || {ESC} || '"}}'
-  WHEN turn = 4 THEN '{{"answer": null, "no_answer": 0}}'
-  WHEN turn = 5 THEN '{{"answer": true, "no_answer": []}}'
-  WHEN turn = 6 THEN '[no_answer] ' || text
-  WHEN turn = 7 THEN '{{"answer": "' || {ESC} || '", "no_answer": 1.5}} or {{x}}'
-  ELSE ' ' || substr(text, 1, 1) END AS generated FROM conversations)"""
+GENERATED = f"""made AS (SELECT conv_id, turn, role, text, CASE (conv_id + turn) % 7 WHEN 0 THEN text
+  WHEN 1 THEN '{{"answer": "' || {ESC} || '", "no_answer": false}}'
+  WHEN 2 THEN 'Here: {{"answer": "' || {ESC} || '", "no_answer": "false"}} done'
+  WHEN 3 THEN '{{"answer": "' || {ESC} || '"}}'
+  WHEN 4 THEN '[no_answer] ' || text
+  WHEN 5 THEN '{{"answer": "' || {ESC} || '", "no_answer": 1.5}} or {{x}}'
+  ELSE '{{"answer": "' || {ESC} || '", "no_answer": null}}' END AS generated FROM conversations
+ UNION ALL SELECT conv_id, turn + 1000, role, text, CASE WHEN (conv_id + turn) % 7 < 2 THEN '{{"answer": null, "no_answer": 0}}'
+  WHEN (conv_id + turn) % 7 < 4 THEN '{{"answer": true, "no_answer": []}}'
+  ELSE ' ' || substr(text, 1, 1) END FROM conversations)"""
 
 
 def _parsed(source: str, keys: str, name: str = "parsed") -> str:
@@ -195,9 +196,9 @@ EXACT = """1 - list_dot_product(embedding::DOUBLE[], {c}) /
   (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({c}, {c})))"""
 DIST = f"round({EXACT}, 9) + 0.0"
 
-_TYPED = """SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) < 300 THEN ' Quit '
-  WHEN role = 'user' AND length(text) < 60 THEN ' ' || chr(9) || ' '
-  ELSE ' ' || chr(9) || text || chr(10) || ' ' END AS text FROM conversations"""
+_TYPED = """SELECT conv_id, 2 * turn AS turn, ' ' || chr(9) || text || chr(10) || ' ' AS text FROM conversations
+ UNION ALL SELECT conv_id, 2 * turn + 1, CASE (conv_id + turn) % 9 WHEN 0 THEN ' Quit ' WHEN 1 THEN 'EXIT'
+  ELSE ' ' || chr(9) || ' ' END FROM conversations WHERE (conv_id + turn) % 9 < 4"""
 
 _ALPHA = "0.4::DOUBLE"
 _EMA = f"""list_reduce(list_transform(list(value ORDER BY ts, event_id), lambda v: v::DOUBLE),
@@ -226,21 +227,19 @@ def _csv_query() -> str:
     token = CSV_TOKEN.replace("'", "''")
     return f"""WITH src AS ({DOCS} UNION ALL {PAGES}),
 norm AS (SELECT file_path, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM src),
-plain AS (SELECT file_path, regexp_replace(replace(text, ',', ', '), '\\n$', '') AS text, NULL::VARCHAR AS error
-  FROM norm WHERE NOT contains(text, '"') AND length(text) <= 131072),
+plain AS (SELECT file_path, regexp_replace(replace(text, ',', ', '), '\\n$', '') AS text
+  FROM norm WHERE NOT contains(text, '"')),
 toks AS (SELECT file_path, unnest(regexp_extract_all(text, '{token}')) AS tok,
   generate_subscripts(regexp_extract_all(text, '{token}'), 1) AS i
   FROM (SELECT file_path, regexp_replace(text, '\\n$', '') AS text FROM norm
-    WHERE contains(text, '"') OR length(text) > 131072)),
+    WHERE contains(text, '"'))),
 cells AS (SELECT file_path, i, CASE WHEN tok LIKE '%,' THEN ',' WHEN right(tok, 1) = chr(10) THEN chr(10) ELSE '' END AS sep,
   tok FROM toks),
 cut AS (SELECT file_path, i, sep, CASE WHEN sep = '' THEN tok ELSE left(tok, length(tok) - 1) END AS cell FROM cells),
 clean AS (SELECT file_path, i, CASE WHEN sep = ',' THEN ', ' ELSE sep END AS sep,
   CASE WHEN cell LIKE '"%' THEN {CSV_QUOTED} ELSE cell END AS cell FROM cut)
 SELECT * FROM plain UNION ALL
-SELECT file_path, string_agg(cell || sep, '' ORDER BY i) AS text,
-  CASE WHEN max(length(cell)) > 131072 THEN 'cell too long' END AS error
-FROM clean GROUP BY 1"""
+SELECT file_path, string_agg(cell || sep, '' ORDER BY i) AS text FROM clean GROUP BY 1"""
 
 
 _MIXED_BAD = f"""SELECT file_path || '.bad.txt' AS file_path, 'bad_utf8' AS load_error FROM ({DOCS})
@@ -356,18 +355,19 @@ array_to_string({_tokens('text')}, ' ') AS tokens FROM ({DOCS})""",
     "parse_generated": f"WITH {GENERATED}, {_parsed('made', 'conv_id, turn')} SELECT * FROM parsed",
     "resolve_answer": f"""WITH {GENERATED}, {_parsed('made', 'conv_id, turn, role')},
 j AS (SELECT p.*, coalesce(context, '') AS context, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS n_sources,
-  CASE WHEN turn = 7 THEN 'timeout' END AS error FROM parsed p LEFT JOIN ({SPOKEN}) s USING (conv_id)),
+  CASE WHEN (conv_id + turn) % 11 = 7 THEN 'timeout' END AS error FROM parsed p LEFT JOIN ({SPOKEN}) s USING (conv_id)),
 st AS (SELECT *, {STATUS} AS status FROM (SELECT *, {_grounding('answer', 'context')} FROM j))
 SELECT conv_id, turn, status, CASE WHEN status = 'answered' THEN answer ELSE '' END AS answer,
   CASE status WHEN 'answered' THEN answer WHEN 'no_context' THEN {_q(NOTHING_FOUND)} ELSE {_q(NOT_ANSWERED)} END AS reply,
   CASE WHEN status = 'answered' THEN 1 ELSE 0 END AS n_sources FROM st""",
     "fragment_assembly": "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1",
     "resolve_streamed": f"""WITH about AS (SELECT conv_id AS request_id, max((role = 'system')::INT) AS system,
-  max(turn) AS last, string_agg(text, '' ORDER BY turn) FILTER (WHERE role <> 'system') AS context,
+  string_agg(text, '' ORDER BY turn) FILTER (WHERE role <> 'system') AS context,
   coalesce(string_agg(text || ' ', '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS generated
   FROM conversations GROUP BY 1),
-src AS (SELECT request_id, generated, 1 - system AS n_sources, CASE WHEN last > 6 THEN 'broken stream' END AS error,
-  coalesce(CASE WHEN last > 3 THEN substr(context, 1, 400) ELSE context END, '') AS context FROM about),
+src AS (SELECT a.request_id, a.generated, 1 - a.system AS n_sources,
+  CASE WHEN a.request_id % 7 = 5 THEN 'broken stream' END AS error, coalesce(c.context, '') AS context FROM about a
+  LEFT JOIN about c ON c.request_id = a.request_id + CASE WHEN a.request_id % 3 = 0 THEN 1 ELSE 0 END),
 {_parsed('src', 'request_id, generated AS raw, n_sources, error, context')},
 st AS (SELECT *, {STATUS} AS status FROM (SELECT *, {_grounding('answer', 'context')} FROM parsed))
 SELECT request_id, CASE WHEN status = 'no_context' THEN '' ELSE raw END AS raw,
@@ -388,10 +388,10 @@ concat('User: ', question, chr(10), 'AI: ', answer, chr(10), chr(10), repeat('-'
     "encode_with": f"""WITH {CHUNKS} SELECT chunk_id, length(text) AS chars,
 length(text) - length(replace(text, ' ', '')) AS spaces, length(text) - length(replace(text, chr(10), '')) AS breaks
 FROM chunks""",
-    "generate_with": f"""WITH {PAIRS}, p AS (SELECT conv_id, turn, {len(GUIDE)} + 12 + length(answer) + 12
-  + length(question) + 8 AS n FROM pairs)
-SELECT conv_id, turn, CASE WHEN n > 700 THEN '' ELSE concat(n, ' characters') END AS answer, n > 700 AS no_answer,
-  CASE WHEN n > 700 THEN 'prompt too long' END AS error FROM p""",
-    "extract_with": f"""SELECT file_path || '.pdf' AS file_path, CASE WHEN length(text) < 200 THEN '' ELSE text END AS text,
-CASE WHEN length(text) < 200 THEN 'corrupt_pdf' END AS load_error FROM ({DOCS})""",
+    "generate_with": f"""WITH {PAIRS}, p AS (SELECT conv_id, turn, (conv_id + turn) % 5 = 0 AS fails,
+  {len(GUIDE)} + 12 + length(answer) + 12 + length(question) + 8 AS n FROM pairs)
+SELECT conv_id, turn, CASE WHEN fails THEN '' ELSE concat(n, ' characters') END AS answer, fails AS no_answer,
+  CASE WHEN fails THEN 'no reply' END AS error FROM p""",
+    "extract_with": f"""SELECT concat('doc/', doc_id, '.pdf') AS file_path, CASE WHEN doc_id % 10 = 3 THEN '' ELSE text END AS text,
+CASE WHEN doc_id % 10 = 3 THEN 'corrupt_pdf' END AS load_error FROM documents""",
 }

@@ -202,8 +202,8 @@ def manifest_source(spark, sf):
 
 def load_csv(spark, sf):
     texts = documents(spark, sf).unionByName(pages(spark, sf))
-    loaded = spread(texts).select("file_path", files.csv_content(normalize_newlines(F.col("text"))).alias("csv"))
-    return loaded.select("file_path", "csv.text", "csv.error")
+    loaded = spread(texts).select("file_path", files.csv_content(normalize_newlines(F.col("text"))).alias("text"))
+    return loaded
 
 
 def markup_blocks(spark, sf):
@@ -402,21 +402,30 @@ def _json_text(col: str) -> Column:
 
 
 def generated(spark, sf) -> DataFrame:
-    """Generated texts of many kinds: plain, JSON, prose around JSON, broken, refused."""
+    """Generated texts of many kinds: plain, JSON, prose around JSON, broken, refused.
+
+    Every text stands in one kind, chosen by its conversation and turn. Answers
+    that hold no text, and single characters, are rows besides, numbered from 1000.
+    """
     text = _json_text("text")
-    turn = F.col("turn")
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
     made = (
-        F.when((F.col("role") == "system") | (turn == 0), F.col("text"))
-        .when(turn == 1, F.concat(F.lit('{"answer": "'), text, F.lit('", "no_answer": false}')))
-        .when(turn == 2, F.concat(F.lit('Here: {"answer": "'), text, F.lit('", "no_answer": "false"} done')))
-        .when(turn == 3, F.concat(F.lit('{"answer": "'), text, F.lit('"}')))
-        .when(turn == 4, F.lit('{"answer": null, "no_answer": 0}'))
-        .when(turn == 5, F.lit('{"answer": true, "no_answer": []}'))
-        .when(turn == 6, F.concat(F.lit("[no_answer] "), F.col("text")))
-        .when(turn == 7, F.concat(F.lit('{"answer": "'), text, F.lit('", "no_answer": 1.5} or {x}')))
+        F.when(kind == 0, F.col("text"))
+        .when(kind == 1, F.concat(F.lit('{"answer": "'), text, F.lit('", "no_answer": false}')))
+        .when(kind == 2, F.concat(F.lit('Here: {"answer": "'), text, F.lit('", "no_answer": "false"} done')))
+        .when(kind == 3, F.concat(F.lit('{"answer": "'), text, F.lit('"}')))
+        .when(kind == 4, F.concat(F.lit("[no_answer] "), F.col("text")))
+        .when(kind == 5, F.concat(F.lit('{"answer": "'), text, F.lit('", "no_answer": 1.5} or {x}')))
+        .otherwise(F.concat(F.lit('{"answer": "'), text, F.lit('", "no_answer": null}')))
+    )
+    said = spread(conversations(spark, sf))
+    bare = (
+        F.when(kind < 2, F.lit('{"answer": null, "no_answer": 0}'))
+        .when(kind < 4, F.lit('{"answer": true, "no_answer": []}'))
         .otherwise(F.concat(F.lit(" "), F.substring("text", 1, 1)))
     )
-    return spread(conversations(spark, sf)).withColumn("generated", made)
+    more = said.withColumn("generated", bare).withColumn("turn", F.col("turn") + 1000)
+    return said.withColumn("generated", made).unionByName(more)
 
 
 def parse_generated(spark, sf):
@@ -436,7 +445,7 @@ def resolve_answer(spark, sf):
         "sources",
         F.when(F.col("role") == "system", F.array().cast("array<string>"))
         .otherwise(F.array(F.concat(F.lit("conv/"), "conv_id"))),
-    ).withColumn("error", F.when(F.col("turn") == 7, "timeout"))
+    ).withColumn("error", F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11)) == 7, "timeout"))
     done = answering.resolve_answer(asked)
     return done.select("conv_id", "turn", "status", "answer", "reply", F.size("sources").alias("n_sources"))
 
@@ -446,30 +455,31 @@ def resolve_streamed(spark, sf):
     said = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("request_id"), "turn", "text")
     pieces = said.select("request_id", F.col("turn").alias("seq"), F.concat("text", F.lit(" ")).alias("piece"))
     about = turns.groupBy(F.col("conv_id").alias("request_id")).agg(
-        F.max((F.col("role") == "system").cast("int")).alias("system"), F.max("turn").alias("last")
+        F.max((F.col("role") == "system").cast("int")).alias("system")
     )
+    # every third conversation is answered with the context of the next one
+    shift = F.when(F.pmod("request_id", F.lit(3)) == 0, 1).otherwise(0)
     context = answering.fragment_assembly(
         turns.filter("role <> 'system'"), "conv_id", "turn", "text"
-    ).select(F.col("conv_id").alias("request_id"), F.col("text").alias("context"))
-    asked = about.join(context, "request_id", "left").select(
-        "request_id", F.when(F.col("last") > 3, F.substring("context", 1, 400)).otherwise(F.col("context"))
-        .alias("context"),
+    ).select(F.col("conv_id").alias("_about"), F.col("text").alias("context"))
+    asked = about.withColumn("_about", F.col("request_id") + shift).join(context, "_about", "left").select(
+        "request_id", "context",
         F.when(F.col("system") == 1, F.array().cast("array<string>"))
         .otherwise(F.array(F.concat(F.lit("conv/"), "request_id"))).alias("sources"),
-        F.when(F.col("last") > 6, "broken stream").alias("error"),
+        F.when(F.pmod("request_id", F.lit(7)) == 5, "broken stream").alias("error"),
     )
     done = answering.resolve_streamed(pieces, asked)
     return done.select("request_id", "raw", "final", "status", F.size("sources").alias("n_sources"))
 
 
 def question_intake(spark, sf):
-    typed = (
-        F.when((F.col("role") == "assistant") & (F.length("text") < 300), " Quit ")
-        .when((F.col("role") == "user") & (F.length("text") < 60), " \t ")
-        .otherwise(F.concat(F.lit(" \t"), "text", F.lit("\n ")))
-    )
-    typed_turns = conversations(spark, sf).select("conv_id", "turn", typed.alias("text"))
-    return sessions.question_intake(typed_turns, session="conv_id")
+    """Every text as a padded question, with blank lines and exits as rows between them."""
+    turns = conversations(spark, sf)
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(9))
+    said = turns.select("conv_id", (2 * F.col("turn")).alias("turn"), F.concat(F.lit(" \t"), "text", F.lit("\n ")).alias("text"))
+    typed = F.when(kind == 0, " Quit ").when(kind == 1, "EXIT").otherwise(" \t ")
+    more = turns.filter(kind < 4).select("conv_id", (2 * F.col("turn") + 1).alias("turn"), typed.alias("text"))
+    return sessions.question_intake(said.unionByName(more), session="conv_id")
 
 
 def render_history(spark, sf):
@@ -550,17 +560,23 @@ def encode_with(spark, sf):
     return made.select("chunk_id", *parts)
 
 
+#: What makes the generator and the extractor of the next two queries fail.
+FAILS = "[fails] "
+
+
 def _count_generator():
     def reply(prompt: str) -> str:
-        if len(prompt) > 700:
-            raise ValueError("prompt too long")
+        if FAILS in prompt:
+            raise ValueError("no reply")
         return '{"answer": "%d characters", "no_answer": false}' % len(prompt)
 
     return lambda prompts: [reply(p) for p in prompts]
 
 
 def generate_with(spark, sf):
-    asked = pairs(spark, sf).withColumn("prompt", build_prompt(F.col("answer"), F.col("question")))
+    marked = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) == 0, F.concat(F.lit(FAILS), "question"))
+    asked = pairs(spark, sf).withColumn("question", F.coalesce(marked, "question"))
+    asked = asked.withColumn("prompt", build_prompt(F.col("answer"), F.col("question")))
     made = hooks.generate_with(asked.drop("answer"), _count_generator)
     return answering.post_process(made).select("conv_id", "turn", "answer", "no_answer", "error")
 
@@ -568,7 +584,7 @@ def generate_with(spark, sf):
 def _plain_extractor():
     def parse(content: bytes) -> str:
         body = content[5:].decode("utf-8")
-        if len(body) < 200:
+        if body.startswith(FAILS):
             raise ValueError("no pages")
         return body
 
@@ -576,7 +592,10 @@ def _plain_extractor():
 
 
 def extract_with(spark, sf):
-    pdf = corpus(documents(spark, sf), ".pdf", NOW).withColumn("content", F.concat(F.lit(b"%PDF-"), "content"))
+    pdf = corpus(documents(spark, sf), ".pdf", NOW)
+    number = F.substring_index(F.substring_index("file_path", "/", -1), ".", 1).cast("bigint")
+    mark = F.when(number % 10 == 3, F.lit(FAILS.encode())).otherwise(F.lit(b""))
+    pdf = pdf.withColumn("content", F.concat(F.lit(b"%PDF-"), mark, "content"))
     return files.load_documents(pdf, hooks.extract_with(_plain_extractor))
 
 

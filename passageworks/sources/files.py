@@ -9,10 +9,6 @@ from ..functions.binding import bind
 from ..functions.text import SUPPORTED, normalize_newlines, suffix
 from .markup import markdown_html
 
-# Fixed value: the longest cell the CSV dialect accepts.
-CSV_CELL_LIMIT = 131_072
-
-
 def scan_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Every regular file below ``root`` as a corpus row (M1).
 
@@ -38,7 +34,7 @@ def text_content(content: Column) -> Column:
 
 
 def csv_content(text: Column) -> Column:
-    """``struct(text, error)``; cells joined by ``", "``, records by newline.
+    """The text of a CSV file; cells joined by ``", "``, records by newline.
 
     A quote opens a cell only as its first character, a doubled quote stands for
     one, and what follows the closing quote is kept as it is. The loops of the
@@ -62,11 +58,7 @@ def csv_content(text: Column) -> Column:
         # the search ends with an empty match; if a newline precedes that one, it
         # closes the last record and separates nothing
         closed = F.try_element_at(ends, F.lit(-2)) == "\n"
-        longest = F.array_max(F.transform(cells, F.length))
-        return F.struct(
-            F.when(closed, F.regexp_replace(whole, r"\n\z", "")).otherwise(whole).alias("text"),
-            F.when(longest > CSV_CELL_LIMIT, "cell too long").alias("error"),
-        )
+        return F.when(closed, F.regexp_replace(whole, r"\n\z", "")).otherwise(whole)
 
     found = F.struct(
         F.regexp_extract_all(text, F.lit(cell), F.lit(1)).alias("cells"),
@@ -94,25 +86,22 @@ def load_documents(corpus: DataFrame, extractor=None, requested: DataFrame | Non
         columns.append(extractor(F.when(is_pdf & magic, F.col("content"))).alias("_out"))
     read = raw.select(*columns)
 
-    table = F.when(F.col("_kind") == ".csv", csv_content(F.col("_text")))
-    parsed = read.withColumn("_csv", table)
     text = (
         F.when(F.col("_kind") == ".txt", F.col("_text"))
         .when(F.col("_kind") == ".md", markdown_html(F.col("_text")))
-        .when((F.col("_kind") == ".csv") & F.col("_csv.error").isNull(), F.col("_csv.text"))
+        .when(F.col("_kind") == ".csv", csv_content(F.col("_text")))
     )
     error = (
         F.when(~F.col("_kind").isin(*SUPPORTED), "unsupported")
         .when(F.col("_pdf") == "corrupt_pdf", "corrupt_pdf")
         .when((F.col("_kind") != ".pdf") & F.col("_text").isNull(), "bad_utf8")
-        .when(F.col("_csv.error").isNotNull(), "bad_csv")
     )
     if extractor is None:
         error = F.coalesce(error, F.col("_pdf"))
     else:
         text = F.coalesce(text, F.col("_out.text"))
         error = F.coalesce(error, F.when(F.col("_out.error").isNotNull(), "corrupt_pdf"))
-    loaded = parsed.select(
+    loaded = read.select(
         "file_path", F.coalesce(text, F.lit("")).alias("text"), error.alias("load_error")
     )
     if requested is not None:

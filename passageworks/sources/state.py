@@ -1,34 +1,37 @@
 """Collection state on shared storage.
 
 A collection is a folder of append-only Parquet tables, one sub-folder
-``ingest=N`` per run:
+``ingest=N/attempt=ID`` per run:
 
 * ``vectors``: chunk rows with their vector,
 * ``log``: what a run did to each path it touched (``upsert``, ``delete`` or
   ``drop_chunks``) with the new manifest values,
 * ``diff``, ``quarantine``: the run's comparison result and failed files,
-* ``idf``: the vector weights, fitted by the first run,
+* ``idf``: the vector weights, if the run fitted them,
 * ``commits``: one row per finished run, written last, with the oldest run whose
-  vectors are still needed.
-
-Readers look only at committed runs. A run that dies leaves folders that its
-retry overwrites. Changing a few files therefore costs in proportion to those
-files; the table of all vectors is never rewritten by an ingest. Reading leaves
-out superseded rows by an anti join; ``compact`` writes the live rows as one run,
-after which older vector folders are no longer read.
+  tables are still needed.
+
+Every attempt at a run has an id of its own, and readers look only at attempts
+with a commit row, so whatever a dead one left, under any number, is never read.
+The table of all vectors is not rewritten by an ingest. Reading leaves out
+superseded rows by an anti join; ``compact`` writes the live rows, the last log
+entry of each path, the quarantine and the weights as one run, after which older
+folders are no longer read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.embedding import IdfModel
 from ..schemas import CHUNKS, MANIFEST, VECTORS
-from ..session import path_exists
+from ..session import fits, path_exists
 
-RUN = T.StructField("ingest", T.LongType())
+RUN = [T.StructField("ingest", T.LongType()), T.StructField("attempt", T.StringType())]
 LOG = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("op", T.StringType()),
@@ -37,6 +40,12 @@ LOG = T.StructType([
     T.StructField("created_at", T.TimestampType()),
     T.StructField("supersedes", T.BooleanType()),
 ])
+QUARANTINE = T.StructType([
+    T.StructField("file_path", T.StringType()), T.StructField("load_error", T.StringType()),
+])
+IDF = T.StructType([
+    T.StructField("bucket", T.IntegerType()), T.StructField("idf", T.DoubleType()), T.StructField("n_chunks", T.LongType()),
+])
 COMMITS = T.StructType([T.StructField("batch", T.StringType()), T.StructField("base", T.LongType())])
 
 
@@ -50,19 +59,25 @@ class Collection:
         self.spark = spark
         self.path = path.rstrip("/")
         self._head: tuple[int, int] | None = None
+        self._attempt = uuid.uuid4().hex
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        full = T.StructType(schema.fields + [RUN])
+        full = T.StructType(schema.fields + RUN)
         where = f"{self.path}/{name}"
         if not path_exists(self.spark, where):
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).option("basePath", where).parquet(where)
 
     def write(self, name: str, run: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/ingest={run}")
+        df.write.mode("overwrite").parquet(self.place(name, run))
 
     def read_run(self, name: str, run: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/ingest={run}")
+        """What this attempt wrote."""
+        return self.spark.read.parquet(self.place(name, run))
+
+    def place(self, name: str, run: int) -> str:
+        """The folder that this attempt writes."""
+        return f"{self.path}/{name}/ingest={run}/attempt={self._attempt}"
 
     def _commit(self) -> tuple[int, int]:
         """Last committed run and the oldest run whose vectors are live."""
@@ -81,24 +96,35 @@ class Collection:
         base = self._commit()[1] if base is None else base
         self.write("commits", run, self.spark.createDataFrame([(batch, base)], COMMITS).coalesce(1))
         self._head = (run, base)
+        self._attempt = uuid.uuid4().hex
 
     def _committed(self, name: str, schema: T.StructType) -> DataFrame:
-        return self._table(name, schema).filter(F.col("ingest") <= self.last_run())
+        """Rows of the committed attempts from the base on, without the attempt."""
+        last, base = self._commit()
+        live = F.col("ingest").between(base, last)
+        done = self._table("commits", COMMITS).filter(live).select("ingest", "attempt")
+        rows = self._table(name, schema).filter(live)
+        return rows.join(F.broadcast(done) if fits(done) else done, ["ingest", "attempt"], "left_semi").drop("attempt")
+
+    def _last_entries(self) -> DataFrame:
+        """The last log entry per path that says whether it is tracked."""
+        log = self._committed("log", LOG).filter(F.col("op") != "drop_chunks")
+        row = F.struct("op", "content_hash", "last_modified", "created_at")
+        return log.groupBy("file_path").agg(F.max_by(row, "ingest").alias("row")).select("file_path", "row.*")
 
     def manifest(self) -> DataFrame:
         """All tracked files, the last entry per path; empty if there is none."""
-        log = self._committed("log", LOG).filter(F.col("op") != "drop_chunks")
-        row = F.struct("op", "content_hash", "last_modified", "created_at")
-        return (
-            log.groupBy("file_path").agg(F.max_by(row, "ingest").alias("row"))
-            .filter(F.col("row.op") == "upsert")
-            .select("file_path", "row.content_hash", "row.last_modified", "row.created_at")
-        )
+        return self._last_entries().filter(F.col("op") == "upsert").drop("op")
+
+    def last_seen(self) -> DataFrame:
+        """``(file_path, seen_at)``: the time of the newest version handled per path, deletions included."""
+        log = self._committed("log", LOG)
+        return log.groupBy("file_path").agg(F.max("last_modified").alias("seen_at"))
 
     def vectors(self) -> DataFrame:
         """Live chunk rows: those not superseded by a later run."""
         base = self._commit()[1]
-        rows = self._committed("vectors", VECTORS).filter(F.col("ingest") >= base)
+        rows = self._committed("vectors", VECTORS)
         later = self._committed("log", LOG).filter(F.col("supersedes") & (F.col("ingest") > base)).select(
             F.col("file_path").alias("_path"), F.col("ingest").alias("_run")
         )
@@ -106,9 +132,20 @@ class Collection:
         return rows.join(later, gone, "left_anti").drop("ingest")
 
     def compact(self) -> None:
-        """Write the live vectors as a run of their own and read from there on."""
+        """Write the live state as a run of its own and read from there on."""
         run = self.last_run() + 1
         self.write("vectors", run, self.vectors())
+        # the newest time seen stays, so that late versions stay late
+        entries = self._last_entries().join(self.last_seen(), "file_path")
+        self.write("log", run, entries.select(
+            "file_path", "op", "content_hash",
+            F.when(F.col("op") == "delete", F.col("seen_at")).otherwise(F.col("last_modified")).alias("last_modified"),
+            "created_at", F.lit(False).alias("supersedes"),
+        ))
+        self.write("quarantine", run, self.quarantine())
+        model = self.idf()
+        if model is not None:
+            self.save_idf(run, model)
         self.commit(run, base=run)
 
     def chunks(self) -> DataFrame:
@@ -116,10 +153,14 @@ class Collection:
         return self.vectors().select(CHUNKS.fieldNames())
 
     def quarantine(self) -> DataFrame:
-        schema = T.StructType([
-            T.StructField("file_path", T.StringType()), T.StructField("load_error", T.StringType()),
-        ])
-        return self._committed("quarantine", schema)
+        """The last failure per path, for paths that were not loaded or deleted since."""
+        last = self._committed("quarantine", QUARANTINE).groupBy("file_path").agg(
+            F.max_by("load_error", "ingest").alias("load_error"), F.max("ingest").alias("_failed")
+        )
+        log = self._committed("log", LOG).filter(F.col("op") != "drop_chunks")
+        done = log.groupBy(F.col("file_path").alias("_path")).agg(F.max("ingest").alias("_done"))
+        settled = (F.col("file_path") == F.col("_path")) & (F.col("_done") > F.col("_failed"))
+        return last.join(done, settled, "left_anti").select("file_path", "load_error")
 
     def ensure_index(self) -> DataFrame:
         """The vector table, created empty if there is none."""
@@ -129,11 +170,13 @@ class Collection:
         return self.vectors()
 
     def idf(self) -> IdfModel | None:
-        where = f"{self.path}/idf"
-        return IdfModel.from_df(self.spark.read.parquet(where)) if path_exists(self.spark, where) else None
+        """The last committed weights, or those of this attempt."""
+        rows = self._committed("idf", IDF)
+        last = rows.agg(F.max("ingest")).first()[0]
+        return None if last is None else IdfModel.from_df(rows.filter(F.col("ingest") == last).drop("ingest"))
 
-    def save_idf(self, model: IdfModel) -> None:
-        model.to_df(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/idf")
+    def save_idf(self, run: int, model: IdfModel) -> None:
+        self.write("idf", run, model.to_df(self.spark).coalesce(1))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

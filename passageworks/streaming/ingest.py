@@ -7,33 +7,42 @@ with ``op`` upsert or delete.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import apply_changes
 from ..schemas import Options
+from ..session import delete_path, fits
 from ..sources.state import Collection
 from ..functions.text import content_hash
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """The last version per path; an aggregate, so repeated versions combine early."""
-    row = F.struct("op", "content", "modified_at")
-    return (
-        versions.groupBy("file_path")
-        .agg(F.max_by(row, F.struct("modified_at", "op")).alias("row"))
-        .select("file_path", "row.*")
-    )
+    """``(file_path, modified_at, op, content_hash)`` of the last version per path.
 
+    Of versions of one time an upsert beats a delete and the larger hash beats the
+    smaller, so the choice does not depend on the order of arrival. Contents stay
+    out of the shuffle.
+    """
+    hashed = versions.select("file_path", _version().alias("_row"))
+    return hashed.groupBy("file_path").agg(F.max("_row").alias("_row")).select("file_path", "_row.*")
 
-def version_diff(versions: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Status of each path of a batch of latest versions against the manifest."""
-    hashed = versions.select(
-        "file_path", "op", F.when(F.col("op") == "upsert", content_hash(F.col("content"))).alias("content_hash"),
-        "modified_at",
-    )
+
+def _version() -> Column:
+    hashed = F.when(F.col("op") == "upsert", content_hash(F.col("content")))
+    return F.struct("modified_at", "op", hashed.alias("content_hash"))
+
+
+def version_diff(latest: DataFrame, manifest: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Status of each path of a batch of latest versions against the manifest.
+
+    ``seen`` holds the time of the newest version handled per path; versions older
+    than that arrive late and change nothing.
+    """
     last = manifest.select("file_path", F.col("content_hash").alias("last_hash"))
+    if seen is not None:
+        latest = latest.join(seen, "file_path", "left").filter("seen_at IS NULL OR modified_at >= seen_at").drop("seen_at")
     status = (
         F.when((F.col("op") == "delete") & F.col("last_hash").isNull(), "unchanged")
         .when(F.col("op") == "delete", "deleted")
@@ -41,13 +50,19 @@ def version_diff(versions: DataFrame, manifest: DataFrame) -> DataFrame:
         .when(F.col("content_hash") != F.col("last_hash"), "modified")
         .otherwise("unchanged")
     )
-    return hashed.join(last, "file_path", "left").select(
+    return latest.join(last, "file_path", "left").select(
         "file_path", "content_hash", "last_hash", "modified_at", status.alias("status")
     )
 
 
 def streaming_ingest(
-    spark: SparkSession, versions: DataFrame, state_dir: str, checkpoint: str, options: Options = Options()
+    spark: SparkSession,
+    versions: DataFrame,
+    state_dir: str,
+    checkpoint: str,
+    options: Options = Options(),
+    extractor=None,
+    encoder=None,
 ) -> StreamingQuery:
     """T4: apply the stream to the collection and stop when all input is read.
 
@@ -59,9 +74,18 @@ def streaming_ingest(
         name = f"{checkpoint}#{number}"
         if state.committed_batch(name):
             return
-        latest = latest_versions(batch)
-        diff = version_diff(latest, state.manifest())
-        apply_changes(state, diff, latest.filter(F.col("op") == "upsert"), options, batch=name)
+        run = state.last_run() + 1
+        diff = version_diff(latest_versions(batch), state.manifest(), state.last_seen())
+        state.write("incoming", run, diff)
+        diff = state.read_run("incoming", run)
+        # the contents of the chosen versions, read once and without their rivals
+        changed = diff.filter(F.col("status").isin("new", "modified")).select("file_path", "modified_at", "content_hash")
+        hashed = batch.filter(F.col("op") == "upsert").withColumn("content_hash", content_hash(F.col("content")))
+        chosen = hashed.join(F.broadcast(changed) if fits(changed) else changed, ["file_path", "modified_at", "content_hash"], "left_semi")
+        state.write("contents", run, chosen.dropDuplicates(["file_path"]))
+        contents = state.place("contents", run)
+        apply_changes(state, diff, state.read_run("contents", run), options, batch=name, extractor=extractor, encoder=encoder)
+        delete_path(batch.sparkSession, contents)
 
     return (
         versions.writeStream.foreachBatch(apply)

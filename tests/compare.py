@@ -44,7 +44,7 @@ def compare(spark, con, sf: str, query, sql: str | None) -> tuple[bool, str]:
     took = time.time() - start
     mine = rows_of(df.columns, rows)
     if sql is None:
-        return bool(mine), f"{len(mine)} rows, no SQL, {took:.1f}s"
+        return False, f"{len(mine)} rows, no SQL, {took:.1f}s"
     start = time.time()
     found = con.execute(sql)
     names = [d[0] for d in found.description]

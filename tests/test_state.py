@@ -82,6 +82,79 @@ def test_crashed_run_is_invisible_and_repeated(spark, tmp_path, monkeypatch):
     assert paths(col.vectors()) == ["/a.txt", "/b.txt"] and col.vectors().count() == 2
 
 
+@pytest.mark.parametrize("table", ["diff", "idf", "vectors", "log", "quarantine", "commits"])
+def test_run_that_dies_after_any_write_leaves_nothing(spark, tmp_path, monkeypatch, table):
+    where, kept = str(tmp_path / "c"), {"/a.txt": "alpha", "/x.bin": "skip"}
+    if table != "idf":
+        incremental_ingest(spark, corpus(spark, kept), where)
+    write = state.Collection.write
+
+    def dying(self, name, run, df):
+        if name == "commits":
+            raise RuntimeError("lost")
+        write(self, name, run, df)
+        if name == table:
+            raise RuntimeError("lost")
+
+    more = {**kept, "/a.txt": "alpha two", "/b.txt": "beta", "/y.bin": "skip"}
+    monkeypatch.setattr(state.Collection, "write", dying)
+    with pytest.raises(RuntimeError):
+        incremental_ingest(spark, corpus(spark, more, T2), where)
+    monkeypatch.undo()
+    seen = state.Collection(spark, where)
+    before = [] if table == "idf" else ["/a.txt"]
+    assert paths(seen.manifest()) == paths(seen.vectors()) == before
+    if before:
+        seen.compact()  # takes the number that the dead run had
+        assert paths(state.Collection(spark, where).manifest()) == before
+    incremental_ingest(spark, corpus(spark, more, T3), where)
+    for _ in range(2):
+        col = state.Collection(spark, where)
+        assert paths(col.manifest()) == paths(col.vectors()) == ["/a.txt", "/b.txt"]
+        assert sorted(r.text for r in col.chunks().collect()) == ["alpha two", "beta"]
+        assert paths(col.quarantine()) == ["/x.bin", "/y.bin"]
+        col.compact()
+    assert incremental_ingest(spark, corpus(spark, more, T3).filter("suffix <> '.bin' AND file_path LIKE '%.txt'"), where).count() == 0
+
+
+def test_repaired_file_leaves_the_quarantine(spark, tmp_path):
+    where = str(tmp_path / "c")
+    incremental_ingest(spark, corpus(spark, {"/a.txt": b"\xff", "/b.txt": "beta"}), where)
+    assert paths(state.Collection(spark, where).quarantine()) == ["/a.txt"]
+    incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha", "/b.txt": b"\xff"}, T2), where)
+    assert paths(state.Collection(spark, where).quarantine()) == ["/b.txt"]
+
+
+def test_vectors_of_another_width_are_refused(spark, tmp_path):
+    where = str(tmp_path / "c")
+    incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha"}), where)
+    encoder = lambda chunks: encode_with(chunks, lambda: lambda ts: [[1.0, 2.0] for _ in ts])
+    with pytest.raises(ValueError):
+        incremental_ingest(spark, corpus(spark, {"/a.txt": "beta"}, T2), where, encoder=encoder)
+    assert [r.text for r in state.Collection(spark, where).chunks().collect()] == ["alpha"]
+
+
+def test_late_and_tied_versions(spark, tmp_path):
+    log, where = tmp_path / "log", str(tmp_path / "c")
+    schema = "file_path STRING, op STRING, content BINARY, modified_at TIMESTAMP"
+
+    def send(*rows):
+        rows = [(p, op, None if t is None else bytearray(t.encode()), w) for p, op, t, w in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(log))
+        stream = spark.readStream.schema(schema).parquet(str(log))
+        streaming_ingest(spark, stream, where, str(tmp_path / "cp")).awaitTermination()
+        return sorted((r.file_path, r.text) for r in state.Collection(spark, where).chunks().collect())
+
+    assert send(("/a.txt", "upsert", "new", T3), ("/b.txt", "upsert", "bee", T2)) == [("/a.txt", "new"), ("/b.txt", "bee")]
+    assert send(("/a.txt", "upsert", "old", T1), ("/b.txt", "delete", None, T1)) == [("/a.txt", "new"), ("/b.txt", "bee")]
+    assert send(("/b.txt", "delete", None, T3)) == [("/a.txt", "new")]
+    state.Collection(spark, where).compact()
+    assert send(("/b.txt", "upsert", "late", T2)) == [("/a.txt", "new")]
+    twice = [("/c.txt", "upsert", t, T1) for t in ("one", "two", "one")]
+    assert send(*twice) == send(*twice[::-1])
+    assert not os.path.exists(f"{where}/contents/ingest=1") or not os.listdir(f"{where}/contents/ingest=1")
+
+
 def test_empty_collection(spark, tmp_path):
     where = str(tmp_path / "none")
     assert state.read_manifest(spark, where).count() == 0
