@@ -96,9 +96,10 @@ def following(ids: DataFrame) -> DataFrame:
 
     Ids are dealt by range; inside a range the next one is a neighbour, and the
     last one of a range is followed by the first of the next range that has any.
-    Only one row per range meets in one task.
+    Only one row per range meets in one task. Ranges are drawn from a sample, so
+    they are stored: both uses of them must see the same ones.
     """
-    dealt = ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    dealt = store(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ranges")
     inside = dealt.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
     inside = inside.withColumn("last", F.row_number().over(Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"))) == 1)
     parts = dealt.groupBy("part").agg(F.min(F.struct("doc_id")).alias("first"))
@@ -118,25 +119,26 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     own = docs.withColumn("parts", fingerprints.fingerprint(F.col("text")))
     ids = docs.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("n_chars").alias("n_chars"))
-    links = following(ids)
+    links = store(following(ids), "links")
     chosen = links.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"))
     links = links.select(F.col("doc_id").alias("prev_id"), "next_id", F.floor(F.col("n_chars") / 4).cast("int").alias("need"))
     links = links.join(chosen.withColumnRenamed("next_id", "id"), F.col("id").eqNullSafe(F.col("next_id")), "left").drop("id")
-    same = F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("text_hash") == F.col("next_hash"))
-    nexts = own.join(links, same).select(
-        "prev_id", F.substr("text", F.lit(1), F.col("need")).alias("start"), F.col("parts").alias("next_parts"), F.lit(True).alias("known")
+    # both joins deal the texts by the id alone and read the same columns, so they share one shuffle
+    same = F.col("text_hash").bitwiseXOR(F.col("next_hash")) == 0
+    nexts = own.join(links, F.col("doc_id").eqNullSafe(F.col("next_id")) & same).select(
+        "prev_id", F.substr("text", F.lit(1), F.least("need", F.col("n_chars").cast("int"))).alias("start"), F.col("parts").alias("next_parts")
     )
     nexts = nexts.dropDuplicates(["prev_id"])
     rows = own.join(nexts, F.col("doc_id").eqNullSafe(F.col("prev_id")), "left")
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr("start", F.lit(1), cut))
     changed = bind(edited, lambda t: F.struct(F.sha2(t, 256).alias("sha"), fingerprints.fingerprint(t).alias("parts")))
-    rows = rows.select("doc_id", "n_chars", "parts", "next_parts", changed.alias("edited"))
+    rows = rows.select("doc_id", "n_chars", "text_hash", "parts", "next_parts", changed.alias("edited"))
     return rows.select(
         "doc_id", "n_chars", F.col("edited.sha").alias("edited_sha256"), fingerprints.packed(F.col("parts")).alias("fingerprint"),
         fingerprints.packed(F.col("edited.parts")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("parts"), F.col("edited.parts")).alias("near_edited"),
-        fingerprints.likeness(F.col("parts"), F.col("next_parts")).alias("near_next"),
+        fingerprints.likeness(F.col("parts"), F.col("next_parts")).alias("near_next"), "text_hash",
     )
 
 
