@@ -12,16 +12,20 @@ row, the least id that can be reached over links, itself included.
    whose hash lies in the lowest ``SAMPLE`` of the range, the same for all texts,
    then of all runs of what remains. Both filters lose no link; they count runs
    and never pair texts.
-3. The remaining classes form groups by the least run that each shares with
-   another class. Members that link to their group's first class stay, the others
-   become groups of their own; so each group is connected.
+3. The remaining classes form groups: in each of ``ROUNDS`` rounds, each with its
+   own orders of all runs and classes, classes with the same least run are taken
+   together, as similar sets mostly have the same one. A class that links to the
+   least class among them joins its group, unless both are in one already; so each
+   group is connected, and families of near copies mostly become one group.
 4. The matrix holds the union of runs of each group, as rows (run, group), as
    far as a run lies in two groups or more. A class is a query to the other
-   groups: of its runs, sorted by how many groups have them, at least one of the
-   first ``size - needed + 1`` must be in a group's union (the rare runs, so
-   passages found everywhere name no group). For the groups found so, the whole
-   overlap with the union is counted, and only those that reach the needed
-   number are opened.
+   groups for sets of its own size or larger; such a set must have
+   ``2 * percent / (100 + percent)`` of its runs. Of its runs, sorted by how many
+   groups have them, at least one of the first ``size - needed + 1`` must be in a
+   group's union (the rare runs, so passages found everywhere name no group). For
+   the groups found so that have members of a fitting size, the whole overlap
+   with the union is counted, and only those that reach the needed number are
+   opened.
 5. An opened group is first compared by its first class. Where that links, the
    groups merge. Only queries whose group is still apart from the opened one are
    compared with all its members. Every comparison intersects whole sets.
@@ -39,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, store
@@ -48,6 +52,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Share of the hash range that the first filter looks at; must exceed ``1 - PERCENT / 100``.
 SAMPLE = 0.3
+#: Rounds of grouping; they save comparisons later on and decide nothing.
+ROUNDS = 4
 #: Distinct words whose hashes a task remembers at most before it starts anew.
 CACHE_WORDS = 1 << 18
 #: Ids that may be broadcast after they were counted (eight bytes each).
@@ -108,10 +114,10 @@ def hashed(docs: DataFrame, sample: float | None) -> DataFrame:
 
 
 def shared_runs(runs: DataFrame) -> DataFrame:
-    """``(cls, hits, lead)``: rows of each class whose run another class has too, and the least such run."""
+    """``(cls, hits)``: how many rows of each class have a run that another class has too."""
     ends = runs.groupBy("run").agg(F.min("cls").alias("a"), F.max("cls").alias("b"))
     shared = ends.where("a <> b").select("run")
-    return runs.join(shared, "run", "left_semi").groupBy("cls").agg(F.count("*").alias("hits"), F.min("run").alias("lead"))
+    return runs.join(shared, "run", "left_semi").groupBy("cls").agg(F.count("*").alias("hits"))
 
 
 def explode_runs(sets: DataFrame, *columns: str) -> DataFrame:
@@ -122,14 +128,16 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar enough."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("runs").alias("runs_b"))
-    # a first class stands in many pairs: it goes last, where a skewed key can be split
-    both = pairs.join(left, "a").join(right, "b")
+    # sets outside all pairs need not move; a first class stands in many pairs, so it
+    # goes last, where a skewed key can be split
+    ends = small(pairs.select("b").distinct(), BROADCAST_IDS)
+    both = left.join(small(pairs.select("a", "b"), BROADCAST_IDS), "a").join(right.join(ends, "b", "left_semi"), "b")
     common = F.size(F.array_intersect("runs_a", "runs_b"))
     return both.withColumn("_i", common).where(100 * F.col("_i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("_i"))).select("a", "b")
 
 
 def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """``(cls, n, runs, lead)`` of the classes that may link, by the filters of step 2."""
+    """``(cls, n, runs)`` of the classes that may link, by the filters of step 2."""
     spare = 100 - percent
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max(F.size("runs")).alias("sampled"))
     hits = shared_runs(explode_runs(rows, "cls"))
@@ -141,28 +149,34 @@ def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     whole = hashed(chosen, None).join(small(alive.select("cls"), BROADCAST_IDS), "cls", "left_semi").select("cls", "n", "runs")
     whole = store(whole.dropDuplicates(["cls"]), "sets")
     exact = shared_runs(explode_runs(whole, "cls"))
-    return store(whole.join(exact, "cls").where(100 * F.col("hits") >= percent * F.col("n")).select("cls", "n", "runs", "lead"), "candidates")
+    return store(whole.join(exact, "cls").where(100 * F.col("hits") >= percent * F.col("n")).select("cls", "n", "runs"), "candidates")
 
 
 def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``(cls, n, grp, other)``: queries and the groups whose union holds enough of their runs."""
+    """``(cls, n, other)``: queries and the groups whose union holds enough of their runs."""
     grouped = sets.join(groups, "cls").select("cls", "n", "grp", "runs")
     ends = explode_runs(grouped, "grp").groupBy("run").agg(F.min("grp").alias("a"), F.max("grp").alias("b"))
     runs = explode_runs(grouped, "cls", "n", "grp").join(ends.where("a <> b").select("run"), "run", "left_semi")
-    needed = F.ceil(F.col("n") * percent / 100)
-    enough = runs.groupBy("cls").agg(F.count("*").alias("across"), F.max("n").alias("n")).where(F.col("across") >= needed).select("cls", "across")
+    least = F.ceil(F.col("n") * percent / 100)
+    enough = runs.groupBy("cls").agg(F.count("*").alias("across"), F.max("n").alias("n")).where(F.col("across") >= least).select("cls", "across")
     # a link needs both its ends among these, so the others leave the matrix as well
     runs = store(runs.join(enough, "cls"), "runs")
     matrix = store(runs.select("run", "grp").distinct(), "matrix")
+    sizes = runs.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     spread = matrix.groupBy("run").agg(F.count("*").alias("spread"))
     # runs in one group only, and those left out above, count among the first ones
+    needed = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
     ordered = runs.join(spread, "run").groupBy("cls", "n", "grp").agg(F.max("across").alias("across"), F.sort_array(F.collect_list(F.struct("spread", "run"))).alias("runs"))
+    ordered = ordered.where(F.col("across") >= needed)
     first = (F.col("across") - needed + 1).cast("int")
     asked = ordered.select("cls", "n", "grp", F.explode(F.slice("runs", F.lit(1), first)).alias("x")).where("x.spread > 1").select("cls", "n", "grp", F.col("x.run").alias("run"))
     other = matrix.withColumnRenamed("grp", "other")
-    found = asked.join(other, "run").where("grp < other").select("cls", "n", "grp", "other").distinct()
-    counted = found.join(runs.select("cls", "run"), "cls").join(other, ["run", "other"]).groupBy("cls", "n", "grp", "other").agg(F.count("*").alias("bound"))
-    return store(counted.where(F.col("bound") >= needed).select("cls", "n", "grp", "other"), "opened")
+    found = asked.join(other, "run").where("grp <> other").select("cls", "n", "other").distinct().join(sizes, "other")
+    fitting = (F.col("high") >= F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    found = store(found.where(fitting).select("cls", "n", "other"), "found")
+    whole = runs.select("cls", "run").join(small(found, BROADCAST_IDS), "cls")
+    counted = whole.join(other, ["run", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("bound"))
+    return store(counted.where(F.col("bound") >= needed).select("cls", "n", "other"), "opened")
 
 
 def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,12 +186,22 @@ def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return store(joined.select("cls", F.coalesce("root", "grp").alias("grp")), "groups")
 
 
+def least_run(number: int) -> Column:
+    """The least of ``runs`` in the order of a round: by exclusive or with a number."""
+    order = number * 0x5851F42D4C957F2D % 2**63
+    return F.array_min(F.transform("runs", lambda x: x.bitwiseXOR(F.lit(order))))
+
+
 def grouped_classes(sets: DataFrame, percent: int) -> DataFrame:
     """``(cls, grp)``: the connected groups of the candidate classes, by steps 3 to 5."""
-    pivots = sets.groupBy("lead").agg(F.min("cls").alias("b"))
-    pairs = sets.select("cls", "lead").join(pivots, "lead").select(F.col("cls").alias("a"), "b")
-    tied = linked(pairs.where("a <> b"), sets, percent).withColumnsRenamed({"a": "cls", "b": "grp"})
-    groups = store(sets.select("cls").join(tied, "cls", "left").select("cls", F.coalesce("grp", "cls").alias("grp")), "groups")
+    groups = sets.select("cls", F.col("cls").alias("grp"))
+    for number in range(ROUNDS):
+        led = sets.select("cls", least_run(number).alias("lead")).join(groups, "cls")
+        pivots = led.groupBy("lead").agg(F.min(F.struct(F.xxhash64("cls", F.lit(number)), "cls", "grp")).alias("first"))
+        pairs = led.join(pivots, "lead").where("grp <> first.grp")
+        pairs = store(pairs.select(F.col("cls").alias("a"), F.col("first.cls").alias("b"), "grp", F.col("first.grp").alias("other")), "pairs")
+        edges = linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"])
+        groups = merged(groups, edges.select(F.col("grp").alias("a"), F.col("other").alias("b")))
 
     queries = opened(sets, groups, percent)
     # a group is named by its first class
@@ -188,8 +212,8 @@ def grouped_classes(sets: DataFrame, percent: int) -> DataFrame:
     now = wider.select("cls", F.col("grp").alias("now"))
     apart = queries.join(now, "cls").join(now.select(F.col("cls").alias("other"), F.col("now").alias("then")), "other").where("now <> then")
     members = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b")).join(groups.select(F.col("cls").alias("b"), F.col("grp").alias("other")), "b")
-    sized = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (F.col("b") != F.col("other"))
-    rest = apart.join(members, "other").where(sized).select(F.col("cls").alias("a"), "b")
+    sized = (F.col("n_b") >= F.col("n")) & (percent * F.col("n_b") <= 100 * F.col("n")) & (F.col("b") != F.col("other"))
+    rest = store(apart.join(members, "other").where(sized).select(F.col("cls").alias("a"), "b"), "rest")
     late = linked(rest, sets, percent)
     named = wider.select(F.col("cls").alias("a"), F.col("grp").alias("x")), wider.select(F.col("cls").alias("b"), F.col("grp").alias("y"))
     return merged(wider, late.join(named[0], "a").join(named[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
