@@ -390,7 +390,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 units.clear()
                 new = set().union(*cut)
             if new:
-                units.add(sorted(new))
+                units.add(list(new))
             words = [np.fromiter(map(units.place.__getitem__, c), np.int64, len(c)) for c in cut]
             seeds = [xxhash.xxh64_intdigest(str(key), seed=seed) for key in keys]
             own, samples = [], []
