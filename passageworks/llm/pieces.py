@@ -43,8 +43,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 K, ALPHA, SEED = 2, 1.0, 1
+#: Code points up to this one (but the last, which stands for a blank) have a table of steps.
+TABLE_CHARS = 256
 #: Distinct units whose lattices a task holds at most before it starts anew.
-CACHE_UNITS = 1 << 17
+CACHE_UNITS = 3 << 17
 #: Characters of text that are worked on together; a longer text alone.
 BATCH_CHARS = 1 << 20
 
@@ -52,8 +54,22 @@ SAMPLE = "STRUCT<ids: BINARY, n_pieces: INT, log_prob: DOUBLE, key: DOUBLE, scor
 SCHEMA = f"id BIGINT, ids BINARY, n_pieces INT, samples ARRAY<{SAMPLE}>"
 
 
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.concatenate([a, b.astype(a.dtype)])
+class Growing:
+    """An array that is extended often; its room doubles, so that each number is moved a few times only."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> np.ndarray:
+        """The whole array, with ``values`` at its end."""
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.zeros(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+        return self.room[:end]
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -117,6 +133,12 @@ class Vocabulary:
         keys = np.array([s * 0x110000 + c for s, c in edges], np.int64)
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array(list(edges.values()), np.int64)[order]
+        # steps by the most frequent characters are looked up in a table
+        self.table = np.full((len(edges) + 1, TABLE_CHARS), -1, np.int32)
+        char, frequent = self.keys % 0x110000, self.keys % 0x110000 < TABLE_CHARS - 1
+        self.table[self.keys[frequent] // 0x110000, char[frequent]] = self.to[frequent]
+        marked = char == ord(MARK)
+        self.table[self.keys[marked] // 0x110000, TABLE_CHARS - 1] = self.to[marked]
         self.piece = np.full(len(edges) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
         self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
@@ -125,9 +147,15 @@ class Vocabulary:
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The state behind each character; -1 if no piece goes on so."""
-        key = state * 0x110000 + char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], -1)
+        column = np.where(char == ord(MARK), TABLE_CHARS - 1, char)
+        rare = np.flatnonzero((column >= TABLE_CHARS) | (char == TABLE_CHARS - 1))
+        column[rare] = 0
+        found = self.table[state, column]
+        if len(rare):
+            key = state[rare] * 0x110000 + char[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found[rare] = np.where(self.keys[at] == key, self.to[at], -1)
+        return found.astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the blank that encoding put in front is taken away."""
@@ -139,7 +167,7 @@ class Units:
     """The lattices of distinct units, in flat arrays.
 
     ``node`` is the first node of a unit; a node's arcs lie side by side from
-    ``arc_first``, the likeliest first. An arc has the logarithm of its chance
+    ``arc_first``, the longest first. An arc has the logarithm of its chance
     given its node, the sum of chances up to it, the node it leads to (-1: end of
     unit) and its ids.
     """
@@ -150,11 +178,13 @@ class Units:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        none = np.zeros(0, np.int32)
-        self.node, self.arc_first, self.arc_count = none, none, none
-        self.log_chance, self.upto, self.to = np.zeros(0), np.zeros(0), none
-        self.ids_first, self.ids_count, self.ids = none, none, none
-        self.own_first, self.own_count, self.own = none, none, none
+        kinds = dict.fromkeys(("node", "arc_first", "arc_count", "to", "ids_first", "ids", "own_first", "own_count", "own"), np.int32)
+        self.grown = {name: Growing(kind) for name, kind in (kinds | {"ids_count": np.int8, "log_chance": np.float64, "upto": np.float32}).items()}
+        for name in self.grown:
+            self.extend(name, np.zeros(0, np.int64))
+
+    def extend(self, name: str, values: np.ndarray) -> None:
+        setattr(self, name, self.grown[name].extend(values))
 
     def add(self, new: list[str]) -> None:
         """Lattices and the model's own segmentation of units that are not known yet."""
@@ -165,9 +195,9 @@ class Units:
         mark = v.model.piece_to_id(MARK)
         own = [ids if u != MARK else [mark] for u, ids in zip(new, own)]
         count = np.fromiter(map(len, own), np.int64, len(own))
-        self.own_first = joined(self.own_first, len(self.own) + np.cumsum(count) - count)
-        self.own_count = joined(self.own_count, count)
-        self.own = joined(self.own, np.fromiter(chain.from_iterable(own), np.int32, int(count.sum())))
+        self.extend("own_first", len(self.own) + np.cumsum(count) - count)
+        self.extend("own_count", count)
+        self.extend("own", np.fromiter(chain.from_iterable(own), np.int32, int(count.sum())))
 
         length = np.fromiter(map(len, new), np.int64, len(new))
         chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -175,62 +205,74 @@ class Units:
         end = np.repeat(np.cumsum(length), length)  # of the unit that a character is in
         at = np.arange(total)
         state, where = np.zeros(total, np.int64), at.copy()
-        starts, stops, pieces = [], [], []
+        arc_count = np.zeros(total, np.int64)
+        starts, stops, pieces, ranks = [], [], [], []
+
+        def arcs(begin: np.ndarray, stop: np.ndarray, piece: np.ndarray) -> None:
+            starts.append(begin)
+            stops.append(stop)
+            pieces.append(piece)
+            ranks.append(arc_count[begin])
+            arc_count[begin] += 1
+
         while len(at):
             state = v.step(state, chars[where])
-            on = state >= 0
+            on = np.flatnonzero(state >= 0)
             at, state, where = at[on], state[on], where[on] + 1
-            hit = v.piece[state] >= 0
-            starts.append(at[hit])
-            stops.append(where[hit])
-            pieces.append(v.piece[state[hit]])
-            on = where < end[at]
+            hit = np.flatnonzero(v.piece[state] >= 0)
+            arcs(at[hit], where[hit], v.piece[state[hit]])
+            on = np.flatnonzero(where < end[at])
             at, state, where = at[on], state[on], where[on]
-        start, stop, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, stops, pieces))
-        weight = v.log_weight[piece]
-        ids_count = np.ones(len(start), np.int64)
         # a character that no single piece spells is spelt by its bytes
         single = np.zeros(total, bool)
-        single[start[stop == start + 1]] = True
+        if starts:
+            single[starts[0]] = True
         spelt = np.flatnonzero(~single)
-        if len(spelt):
-            raw = [chr(c).encode("utf-8", "replace") for c in chars[spelt]]
-            n_bytes = np.fromiter(map(len, raw), np.int64, len(raw))
-            start, stop = np.concatenate([start, spelt]), np.concatenate([stop, spelt + 1])
-            weight = np.concatenate([weight, n_bytes * v.log_weight[v.byte_ids[0]]])
-            ids_count = np.concatenate([ids_count, n_bytes])
-            piece = np.concatenate([piece, v.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]])
+        raw = [chr(c).encode("utf-8", "replace") for c in chars[spelt]]
+        arcs(spelt, spelt + 1, np.full(len(spelt), -1))
+        arc_first = np.cumsum(arc_count) - arc_count
+
+        # a place for each arc: those of one node side by side, the longest first
+        start, rank = np.concatenate(starts), np.concatenate(ranks)
+        place = arc_first[start] + arc_count[start] - 1 - rank
+        n_arcs = len(start)
+        stop, piece, begin = (np.empty(n_arcs, np.int64) for _ in range(3))
+        stop[place], piece[place], begin[place] = np.concatenate(stops), np.concatenate(pieces), start
+        bytewise = np.flatnonzero(piece < 0)
+        weight, ids_count = v.log_weight[piece], np.ones(n_arcs, np.int64)
+        n_bytes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids_count[bytewise] = n_bytes  # both in order of their characters
+        weight[bytewise] = n_bytes * v.log_weight[v.byte_ids[0]]
         ids_first = np.cumsum(ids_count) - ids_count
+        ids = np.empty(int(ids_count.sum()), np.int64)
+        ids[ids_first] = piece
+        if len(spelt):
+            ids[ranges(ids_first[bytewise], n_bytes)] = v.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
 
         # sums towards the end, for all characters that are as far from it together
-        arc_count = np.bincount(start, minlength=total)
-        order = np.lexsort((start, end[start] - start))
+        last = stop == end[begin]
         mass = np.zeros(total + 1)
-        far = (end - np.arange(total))[start[order]]
-        borders = np.concatenate([[0], np.flatnonzero(np.diff(far)) + 1, [len(order)]]) if len(order) else [0]
-        for lo, hi in zip(borders[:-1], borders[1:]):
-            arcs = order[lo:hi]
-            value = weight[arcs] + np.where(stop[arcs] == end[start[arcs]], 0.0, mass[stop[arcs]])
-            node = start[arcs]
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1])
-            mass[node[heads]] = np.logaddexp.reduceat(value, heads)
-        last = stop == end[start]
-        log_chance = np.minimum(weight + np.where(last, 0.0, mass[np.where(last, 0, stop)]) - mass[start], 0.0)
-        order = np.lexsort((-log_chance, start))
-        log_chance = log_chance[order]
+        far = end - np.arange(total)
+        order = np.argsort(far.astype(np.uint16) if total and far.max() < 1 << 16 else far, kind="stable")
+        sizes = np.bincount(far)[1:] if total else []
+        for hi, size in zip(np.cumsum(sizes), sizes):
+            nodes = order[hi - size : hi]
+            some = ranges(arc_first[nodes], arc_count[nodes])
+            value = weight[some] + np.where(last[some], 0.0, mass[stop[some]])
+            mass[nodes] = np.logaddexp.reduceat(value, np.cumsum(arc_count[nodes]) - arc_count[nodes]) if size else 0.0
+        log_chance = np.minimum(weight + np.where(last, 0.0, mass[np.where(last, 0, stop)]) - mass[begin], 0.0)
         sums = np.cumsum(np.exp(log_chance))
-        arc_first = np.cumsum(arc_count) - arc_count
         before = np.concatenate([[0.0], sums])[arc_first]
         known, held = len(self.arc_first), len(self.upto)
-        self.node = joined(self.node, known + np.cumsum(length) - length)
-        self.arc_first = joined(self.arc_first, held + arc_first)
-        self.arc_count = joined(self.arc_count, arc_count)
-        self.log_chance = np.concatenate([self.log_chance, log_chance])
-        self.upto = np.concatenate([self.upto, sums - np.repeat(before, arc_count)])
-        self.to = joined(self.to, np.where(last, -1, known + stop)[order])
-        self.ids_first = joined(self.ids_first, (len(self.ids) + ids_first)[order])
-        self.ids_count = joined(self.ids_count, ids_count[order])
-        self.ids = joined(self.ids, piece)
+        self.extend("node", known + np.cumsum(length) - length)
+        self.extend("arc_first", held + arc_first)
+        self.extend("arc_count", arc_count)
+        self.extend("log_chance", log_chance)
+        self.extend("upto", sums - np.repeat(before, arc_count))
+        self.extend("to", np.where(last, -1, known + stop))
+        self.extend("ids_first", len(self.ids) + ids_first)
+        self.extend("ids_count", ids_count)
+        self.extend("ids", ids)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc of each node, by its chance."""
