@@ -36,6 +36,18 @@ _NONE = object()
 HOT_ROWS = 1_000_000
 
 
+def measured(events: DataFrame, value: str) -> DataFrame:
+    """The events that carry a number; batch and stream leave out the same ones."""
+    x = F.col(value).cast("double")
+    return events.filter(x.isNotNull() & ~F.isnan(x))
+
+
+def unmeasured(events: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, n)``: how many events per key carry no number and are left out."""
+    x = F.col(value).cast("double")
+    return events.filter(x.isNull() | F.isnan(x)).groupBy(key).agg(F.count("*").alias("n"))
+
+
 def _cut(
     events: DataFrame, key: str, order: list[str], value: str, segment: Column | None, hot_rows: int
 ) -> tuple[DataFrame, bool]:
@@ -46,7 +58,7 @@ def _cut(
     """
     if segment is None:
         segment = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / 3600)
-    rows = events.select(F.col(key), segment.alias("_seg"), *order, F.col(value).cast("double").alias("_x"))
+    rows = measured(events, value).select(F.col(key), segment.alias("_seg"), *order, F.col(value).cast("double").alias("_x"))
     hot = rows.groupBy(key).agg(F.count("*").alias("_count")).filter(F.col("_count") > hot_rows).select(key)
     if hot.isEmpty():
         return rows.withColumn("_seg", F.lit(None).cast(rows.schema["_seg"].dataType)), False

@@ -472,8 +472,11 @@ def delete_chunks_by_file(vectors: DataFrame, paths: DataFrame, key: str = "file
 
 
 def vector_append(vectors: DataFrame, new: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Add rows whose id is not present yet, so that a repeated append changes nothing."""
-    added = new.join(vectors.select(id_col), id_col, "left_anti")
+    """Add rows whose id is not present yet, so that a repeated append changes nothing.
+
+    Of several new rows with one id one is added.
+    """
+    added = new.dropDuplicates([id_col]).join(vectors.select(id_col), id_col, "left_anti")
     return vectors.unionByName(added.select(vectors.columns))
 
 

@@ -264,6 +264,16 @@ CASE WHEN status = 'unchanged' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00
 FROM diff WHERE status <> 'deleted'""",
     "incremental_ingest": f"WITH {_LIVE} SELECT * FROM chunks",
     "streaming_ingest": f"WITH {_LIVE} SELECT * FROM chunks",
+    "collection_edits": f"""WITH {_LIVE},
+marks AS (SELECT concat('doc/', doc_id, '.txt') AS file_path, quality, toxic FROM labels),
+c AS (SELECT chunk_id, file_path, chunk_no = 0 AS opens,
+  file_path IN (SELECT file_path FROM marks WHERE toxic = 1) AS toxic,
+  file_path IN (SELECT file_path FROM marks WHERE quality = 0) AS poor FROM chunks)
+SELECT 1 AS step, chunk_id, file_path FROM c WHERE NOT toxic
+UNION ALL SELECT 2, chunk_id, file_path FROM c WHERE NOT toxic AND NOT (poor AND opens)
+UNION ALL SELECT 3, chunk_id, file_path FROM c WHERE (NOT toxic AND NOT (poor AND opens)) OR (toxic AND opens)""",
+    "ingest_vectors": f"""WITH {_LIVE}, {IDF}, {_features('cf', 'chunks', 'chunk_id')}
+SELECT chunk_id, bucket, round(w, 6) AS weight FROM cf""",
     "chunk_text": f"WITH {CHUNKS} SELECT * FROM chunks",
     "chunk_keys": f"WITH {_chunks(PAGES, 300, 50)} SELECT chunk_id, file_path, length(text)::INT AS n_chars FROM chunks",
     "delete_chunks_by_file": f"""WITH {CHUNKS} SELECT chunk_id, file_path FROM chunks

@@ -190,6 +190,34 @@ def incremental_ingest(spark, sf):
     return Collection(spark, state).chunks().select("chunk_id", "file_path", "chunk_no", "start", "text")
 
 
+def collection_edits(spark, sf):
+    """Chunks of a stored collection after each of three edits: by file, by id, and appended again."""
+    place = scratch_dir(spark, "edits")
+    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), place, now=at(NOW))
+    marks = table(spark, sf, "labels").select(doc_path(".txt").alias("file_path"), "quality", "toxic")
+    toxic, poor = marks.filter("toxic = 1"), marks.filter("quality = 0")
+    first = Collection(spark, place).vectors().filter("chunk_no = 0")
+    taken = first.join(toxic, "file_path", "left_semi")
+    states = []
+
+    def edit(number, change) -> None:
+        change(Collection(spark, place))
+        states.append(Collection(spark, place).chunks().select(F.lit(number).alias("step"), "chunk_id", "file_path"))
+
+    edit(1, lambda c: c.delete_by_file(toxic))
+    edit(2, lambda c: c.delete_by_id(first.join(poor, "file_path", "left_semi").select("chunk_id")))
+    edit(3, lambda c: c.append(taken.unionByName(taken)))
+    return states[0].unionByName(states[1]).unionByName(states[2])
+
+
+def ingest_vectors(spark, sf):
+    """The stored vectors of a collection, as weights per feature bucket."""
+    place = scratch_dir(spark, "vectors")
+    ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), place, now=at(NOW))
+    rows = Collection(spark, place).vectors().select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return rows.filter("weight <> 0").select("chunk_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
 def manifest_source(spark, sf):
     state = scratch_dir(spark, "manifest")
     ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), state, now=at(BEFORE))
@@ -601,7 +629,7 @@ def extract_with(spark, sf):
 
 NAMES = (
     "content_hash", "snapshot_diff", "new_files", "modified_files", "deleted_files", "ingest_report",
-    "manifest_upsert", "manifest_delete", "manifest_lookup", "manifest_source", "incremental_ingest", "chunk_text", "chunk_keys",
+    "manifest_upsert", "manifest_delete", "manifest_lookup", "manifest_source", "incremental_ingest", "collection_edits", "ingest_vectors", "chunk_text", "chunk_keys",
     "delete_chunks_by_file", "delete_chunks_by_id", "vector_append", "replace_chunks", "load_csv",
     "markup_blocks", "html_text", "load_documents", "quarantine", "embedding_dimension", "cosine_distance",
     "topk_by_vector", "topk_batch", "metadata_filter_topk", "approx_topk", "fit_idf", "hashed_embedding",

@@ -118,7 +118,7 @@ class Collection:
 
     def last_seen(self) -> DataFrame:
         """``(file_path, seen_at)``: the time of the newest version handled per path, deletions included."""
-        log = self._committed("log", LOG)
+        log = self._committed("log", LOG).filter(F.col("last_modified").isNotNull())
         return log.groupBy("file_path").agg(F.max("last_modified").alias("seen_at"))
 
     def vectors(self) -> DataFrame:
@@ -131,6 +131,34 @@ class Collection:
         gone = (rows["file_path"] == later["_path"]) & (later["_run"] > rows["ingest"])
         return rows.join(later, gone, "left_anti").drop("ingest")
 
+    def _edit(self, rows: DataFrame, replaced: DataFrame) -> None:
+        """Commit a run of vector ``rows`` that supersede all chunks of the paths ``replaced``."""
+        run = self.last_run() + 1
+        self.write("vectors", run, rows)
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in LOG.fields[2:5]]
+        self.write("log", run, replaced.select("file_path").distinct().select(
+            "file_path", F.lit("drop_chunks").alias("op"), *none, F.lit(True).alias("supersedes")
+        ))
+        self.commit(run)
+
+    def delete_by_file(self, paths: DataFrame) -> None:
+        """J8 as a run: drop all chunks of the given ``file_path`` rows; the files stay tracked."""
+        live = self.vectors()
+        hit = live.join(paths.select("file_path").distinct(), "file_path", "left_semi")
+        self._edit(live.limit(0), hit)
+
+    def delete_by_id(self, ids: DataFrame) -> None:
+        """J7 as a run: drop the given ``chunk_id`` rows; what remains of their files is written anew."""
+        live = self.vectors()
+        hit = live.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("file_path").distinct()
+        self._edit(live.join(hit, "file_path", "left_semi").join(ids.select("chunk_id"), "chunk_id", "left_anti"), hit)
+
+    def append(self, rows: DataFrame) -> None:
+        """S8 as a run: add prepared chunk rows with their vectors, one per id that is not stored yet."""
+        live = self.vectors()
+        new = rows.select(VECTORS.fieldNames()).dropDuplicates(["chunk_id"]).join(live.select("chunk_id"), "chunk_id", "left_anti")
+        self._edit(new.select(VECTORS.fieldNames()), live.limit(0))
+
     def compact(self) -> None:
         """Write the live state as a run of its own and read from there on."""
         run = self.last_run() + 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.adaptive import _Steps
+from ..operators.adaptive import _Steps, measured
 from ..schemas import AdaptiveOptions
 
 
@@ -27,7 +27,8 @@ def budget_controller_stream(
     ``order`` is a timestamp and a number. State per key is three numbers. Events
     of a key are put in order within a micro-batch, so a group is bounded by the
     source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``; set one of them.
-    Use update output mode and keep the row with the largest ``n``.
+    Events without a number are left out. Use update output mode and keep the row
+    with the largest ``n``.
     """
     steps = _Steps(options)
     output = T.StructType([
@@ -53,7 +54,7 @@ def budget_controller_stream(
 
     # whole microseconds keep the order exact in Python
     at = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    rows = events.select(
+    rows = measured(events, value).select(
         key, at.alias("_at"), F.col(order[1]).alias("_tie"), F.col(value).cast("double").alias("_x")
     )
     return rows.groupBy(key).applyInPandasWithState(

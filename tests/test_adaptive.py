@@ -141,3 +141,14 @@ def test_pairs_across_stretches(spark):
                 want.append((c, t, x, y))
     df = spark.createDataFrame(turns, "conv_id LONG, turn LONG, role STRING, text STRING")
     assert sorted(tuple(r) for r in sessions.pair_turns(df, run=16).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 0])
+def test_events_without_a_number_are_left_out(spark, hot_rows):
+    rows = random_rows(21, 400)
+    odd = [(r[0], r[1], 10_000 + r[2], x) for r, x in zip(rows, [None, float("nan")] * 200)]
+    both, o = events(spark, rows + odd), AdaptiveOptions()
+    check(adaptive.budget_controller(both, "key", ["ts", "id"], "value", o, hot_rows=hot_rows), expected(rows, o))
+    got = {r.key: r.n for r in adaptive.ema_latency(both, "key", ["ts", "id"], "value", hot_rows=hot_rows).collect()}
+    assert got == {k: n for k, (n, *_) in expected(rows, o).items()}
+    assert sum(r.n for r in adaptive.unmeasured(both, "key", "value").collect()) == 400
