@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -468,8 +469,6 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
     """``rows`` with the text of each row's ids; a null gives null, bytes that are no UTF-8 give U+FFFD."""
-    import pandas as pd
-
     with open(model_path, "rb") as file:
         shared = rows.sparkSession.sparkContext.broadcast(file.read())
 
