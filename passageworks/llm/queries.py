@@ -9,6 +9,7 @@ from ..functions.binding import bind
 from ..session import scratch_dir
 from . import chat, fingerprints, line_dedup, mixing, ngram_join, pages, pieces, quality, secrets, token_files
 from .common import store, table
+from .oracle import ORACLE  # noqa: F401
 
 #: The folder of the public tokenizer files; a parameter of every query that reads one.
 TOKENIZERS = "/opt/tokenizers"
@@ -197,4 +198,3 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
 }
-ORACLE: dict[str, str] = {}
