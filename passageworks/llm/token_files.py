@@ -151,7 +151,7 @@ class WordEncoder:
 
     def learn(self, new: list[str]) -> None:
         # letters are one unit of the tokenizer, and a mark behind them is another
-        units = np.fromiter((0 if max(w) > LAST_LETTER or "İ" in w else 1 if w.isalpha() else 2 if w[-1] in MARKS and w[:-1].isalpha() else 0 for w in new), np.int64, len(new))
+        units = np.fromiter((0 if not w.isascii() and (max(w) > LAST_LETTER or "İ" in w) else 1 if w.isalpha() else 2 if w[-1] in MARKS and w[:-1].isalpha() else 0 for w in new), np.int64, len(new))
         plain, other = np.flatnonzero(units), np.flatnonzero(units == 0)
         ids, counts = self.together([new[i] for i in plain.tolist()], units[plain])
         if ids is None:
@@ -218,8 +218,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
                 texts = [t or "" for t in piece.column(1).to_pylist()]
                 for doc, found in zip(piece.column(0).to_pylist(), encoder.encode(texts)):
                     ids.append(doc)
