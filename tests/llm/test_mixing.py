@@ -80,3 +80,24 @@ def test_no_labels_and_empty_table(spark):
     assert mixing.rated(docs, odd, mixing.domain_of(), [0.8, 0.1, 0.1]).count() == 30
     assert mixing.rated(docs.limit(0), labels, mixing.domain_of(), [0.8, 0.1, 0.1]).count() == 0
     assert mixing.mixed(docs.limit(0), labels, mixing.domain_of(), [0.8, 0.1, 0.1]).count() == 0
+
+
+def test_fit_converges_on_the_real_tables(spark):
+    folder, weights = "/root/testdata/sf0.1", np.array([0.95, 0.02, 0.03])
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    measured = mixing.measure(docs, labels, mixing.domain_of(), 3)
+    y, shares = mixing.fit_rates(measured, weights.tolist())
+    rows = measured.collect()
+    t, p = (np.array([r[c] for r in rows]) for c in ("_mix_tokens", "_mix_p"))
+    totals = (t * np.maximum(0, 1 + p @ np.array(y))) @ p / t.sum()
+    assert np.allclose(totals, shares) and np.abs(totals + mixing.RIDGE * np.array(y) - weights).max() < 1e-8
+    assert np.abs(totals - weights).max() < 0.003
+
+
+def test_missed_targets_are_told(spark, caplog):
+    docs, labels = fixture(spark, 60)
+    mixing.rated(docs, labels.limit(0), mixing.domain_of(), [0.8, 0.1, 0.1])
+    assert "targets [0.8, 0.1, 0.1]" in caplog.text
+    measured = mixing.measure(docs, labels, mixing.domain_of(), 3)
+    with pytest.raises(RuntimeError, match="not fitted"):
+        mixing.fit_rates(measured, [0.3, 0.6, 0.1], steps=0)
