@@ -3,7 +3,7 @@
 A line is the list of its words; its place is (id, text hash, line number), and
 the earliest line is the one with the least place, a null id coming first (near
 lines of one id: by number, then by the hash of their words). Lines
-of fewer than ``MIN_WORDS`` words are left alone. A line goes
+without a word are left alone. A line goes
 
 * if an equal list of words stands at an earlier place, or
 * if it has at least ``EDIT_WORDS`` words and some earlier line that has as many
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, small, store
 
-MIN_WORDS, EDIT_WORDS = 3, 10
+#: Words from which a line counts, and from which near lines go: of shorter ones, one word is often all that tells them apart.
+MIN_WORDS, EDIT_WORDS = 1, 7
 #: Line hashes that may be broadcast after they were counted (eight bytes each).
 BROADCAST_LINES = 1_000_000
 #: Lines of which variants are made at a time.
@@ -72,7 +73,8 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     as the shorter one (``short_...``) and as the longer one (``long_...``).
     """
     lines = split_lines(docs).withColumn("words", words_of(F.col("body"))).withColumn("n", F.size("words"))
-    lines = lines.where(F.col("n") >= MIN_WORDS)
+    # a blank line is split into one empty word
+    lines = lines.where((F.col("n") >= MIN_WORDS) & (F.get("words", 0) != ""))
     n, words = F.col("n"), F.col("words")
 
     def half(least: Column, side: str) -> Column:

@@ -49,6 +49,17 @@ def test_random_lines_against_plain_version(spark):
     check(spark, [(i, "\n".join(line() for _ in range(rng.randint(0, 9)))) for i in range(120)])
 
 
+def test_short_lines(spark):
+    rows = [
+        (1, "ok\nred fox\n\n \nthe red fox runs very far today"),
+        (2, " ok\nnew\n\n \nred\tfox\nthe red fox sits very far today"),
+        (3, "\n\nnew\nthe red fox runs far today\nthe old red fox runs very far today"),
+    ]
+    check(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in cleared(spark, rows).collect()}
+    assert got == {1: rows[0][1], 2: "new\n\n ", 3: "\n\nthe red fox runs far today"}
+
+
 def test_one_key_shared_by_many(spark):
     rows = [(i, f"one two three four {'word%d' % i} six seven eight nine ten") for i in range(400)]
     got = cleared(spark, rows)
