@@ -31,6 +31,7 @@ each; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -411,11 +412,13 @@ def cut_units(text: str) -> list[str]:
     return [MARK + w for w in marked[1:].split(MARK)]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", k: int = K, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", k: int = K, alpha: float = ALPHA, seed: int = SEED, digests: bool = False) -> DataFrame:
     """``(id, ids, n_pieces, samples)`` for every row; ids are little-endian, two bytes each (four from 65,536 pieces on).
 
     The model file (half a megabyte, whatever the corpus) is read on the driver
-    and broadcast, so executors need no copy of it.
+    and broadcast, so executors need no copy of it. ``digests`` adds SHA-256 of the text, of
+    the text that the row's ids decode to and of those of its samples; decoding in the same
+    worker needs no second vocabulary and moves no texts.
     """
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -449,7 +452,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     found.append({"ids": ids.tobytes(), "n_pieces": len(ids), "log_prob": log_prob, "key": top, "score": score})
                 samples.append(found)
             columns = [pa.array(keys, pa.int64()), pa.array([o.tobytes() for o in own], pa.binary()), pa.array([len(o) for o in own], pa.int32()), pa.array(samples, pa.list_(sample))]
-            return pa.RecordBatch.from_arrays(columns, ["id", "ids", "n_pieces", "samples"])
+            names = ["id", "ids", "n_pieces", "samples"]
+            if digests:
+                sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+                read = lambda ids: sha(vocabulary.decode(np.frombuffer(ids, kind).astype(np.int64)))
+                columns += [pa.array(map(sha, texts), pa.string()), pa.array([read(o.tobytes()) for o in own], pa.string())]
+                columns.append(pa.array([[read(x["ids"]) for x in found] for found in samples], pa.list_(pa.string())))
+                names += ["text_sha256", "decoded_sha256", "samples_sha256"]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             keys, texts, chars = [], [], 0
@@ -464,7 +474,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield rows(keys, texts)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(encoded, SCHEMA)
+    return chosen.mapInArrow(encoded, SCHEMA + (", text_sha256 STRING, decoded_sha256 STRING, samples_sha256 ARRAY<STRING>" if digests else ""))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", into: str = "text") -> DataFrame:

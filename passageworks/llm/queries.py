@@ -176,8 +176,12 @@ def op7_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids and sampled segmentations of every document."""
-    return encoded(table(spark, sf, "documents"))
+    """Ids and sampled segmentations of every document, with digests of its text and of what they decode to.
+
+    The text's digest stands beside those of the decoded ids and of each decoded sample.
+    """
+    rows = pieces.encode(table(spark, sf, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", digests=True)
+    return rows.select(F.col("id").alias("doc_id"), "n_pieces", "ids", "samples", "text_sha256", "decoded_sha256", "samples_sha256")
 
 
 def encoded(docs: DataFrame) -> DataFrame:

@@ -147,3 +147,10 @@ def test_query_decodes_to_the_texts(spark):
     some = rows.where("id % 20 = 0").collect()
     assert all(np.frombuffer(r["ids"], "<u2").tolist() == model.encode(texts[r["id"]]) for r in some)
     assert all(len(r["samples"]) == len({bytes(s["ids"]) for s in r["samples"]}) and 0 <= s["score"] <= 1 for r in some for s in r["samples"])
+
+
+def test_query_decodes_every_row(spark):
+    rows = queries.op9_sentencepiece(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for r in rows:
+        assert r["decoded_sha256"] == r["text_sha256"] and r["samples_sha256"] == [r["text_sha256"]] * len(r["samples"])
