@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import bind
 from ..session import scratch_dir
-from . import chat, fingerprints, line_dedup, mixing, ngram_join, pages, pieces, quality, secrets, token_files
+from . import chat, exact_topk, fingerprints, hard_negatives, line_dedup, mixing, ngram_join, pages, pieces, quality, secrets, token_files, whitening
 from .common import store, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -190,6 +190,23 @@ def encoded(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_pieces", "ids", "samples")
 
 
+def op11_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best rows for every hundredth vector."""
+    return exact_topk.exact_topk(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    done = whitening.whiten(table(spark, sf, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh row's label is wrong by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
@@ -201,4 +218,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
