@@ -58,25 +58,37 @@ def postings(text: Column, dims: int = 384) -> Column:
     return bind(hashed, counted)
 
 
-def fit_idf(chunks: DataFrame, text: str = "text", dims: int = 384) -> IdfModel:
-    """Fit ``ln((n + 1) / (df + 1)) + 1`` per bucket over a chunk table.
+def counters(rows: DataFrame, buckets: Column) -> DataFrame:
+    """``(bucket, n)``: in how many rows each bucket occurs; bucket -1 counts the rows themselves.
 
-    Runs one job, like the fit of any estimator. The extra bucket -1 counts
-    the chunks themselves in the same pass.
+    Counters of disjoint tables add up to those of their union.
     """
-    marked = chunks.select(
-        F.explode(F.concat(F.array(F.lit(-1)), postings(F.col(text), dims)["buckets"])).alias("bucket")
-    )
-    seen = {r["bucket"]: r["n"] for r in marked.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    marked = rows.select(F.explode(F.array_prepend(buckets, F.lit(-1))).alias("bucket"))
+    return marked.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def model_of(seen: dict[int, int], dims: int) -> IdfModel:
+    """``ln((n + 1) / (df + 1)) + 1`` per bucket, from counters."""
     n = seen.get(-1, 0)
     return IdfModel(n, tuple(math.log((n + 1) / (seen.get(b, 0) + 1)) + 1.0 for b in range(dims)))
 
 
+def fit_idf(chunks: DataFrame, text: str = "text", dims: int = 384) -> IdfModel:
+    """Fit the weights of a chunk table; one job, like the fit of any estimator."""
+    counted = counters(chunks, postings(F.col(text), dims)["buckets"]).collect()
+    return model_of({r["bucket"]: r["n"] for r in counted}, dims)
+
+
 def features_of(text: Column, model: IdfModel) -> Column:
     """``struct(buckets, weights)`` of unit length, weights ``(1 + ln tf) * idf``.
 
     A text without words gets empty arrays, the zero vector.
     """
+    return weigh(postings(text, model.dims), model)
+
+
+def weigh(counts: Column, model: IdfModel) -> Column:
+    """The sparse vector of a text from its ``postings``."""
     # one literal instead of one per bucket, which keeps the plan small
     idf = F.from_json(F.lit(json.dumps(model.weights)), "array<double>")
 
@@ -86,7 +98,7 @@ def features_of(text: Column, model: IdfModel) -> Column:
         )
         return bind(raw, lambda r: F.struct(p["buckets"].alias("buckets"), _unit(r).alias("weights")))
 
-    return bind(postings(text, model.dims), weighted)
+    return bind(counts, weighted)
 
 
 def _unit(raw: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Top-k retrieval by cosine distance.
+"""Top-k retrieval by cosine distance.
 
 Question-chunk pairs never become rows. Tasks multiply a slice of chunk
 vectors with a block of question vectors and keep the best ``k`` chunks per
@@ -8,9 +8,10 @@ question; only those partial winners are shuffled and ranked.
   broadcast and the chunk table is scanned in place, without a shuffle.
 * More questions: chunks and questions are dealt into blocks of bounded size
   and every block pair is scored by one cogroup.
-* ``approx_topk`` scores only pairs that meet in a cell; crowded cells are
-  dealt into several groups, and questions that find fewer than ``k`` chunks are
-  answered exactly.
+
+Only ids and distances are scored, shuffled and ranked: first among the winners
+of a group of tasks, then per question, so no task ranks what all tasks found for a
+question. Other columns of a hit are joined to the final ``k`` rows.
 
 Distances are compared in steps of 1e-9 with the chunk id as tie-break, so the
 ranking does not depend on how the table is partitioned.
@@ -27,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine_distance
-from ..session import scratch_dir
 from .embedding import IdfModel, hashed_embedding, hashed_features
 
 #: Bytes of question vectors that one task may hold.
@@ -38,6 +39,8 @@ BLOCK_BYTES = 32 << 20
 GROUP_ROWS = 50_000
 #: Scores computed at a time in a task.
 SCORE_CELLS = 4_000_000
+#: Groups of tasks whose winners are ranked before all of a question's are.
+RANK_GROUPS = 64
 #: Steps per unit of distance in comparisons.
 STEPS = 1_000_000_000
 
@@ -171,22 +174,6 @@ def _winners(
     yield from best.batches()
 
 
-def _cell_winners(
-    batches: Iterator[pa.RecordBatch], block: _Block, visits: dict[int, np.ndarray], pivots: np.ndarray,
-    k: int, id_col: str, vec_col: str,
-) -> Iterator[pa.RecordBatch]:
-    """Partial top-k where a question sees only the rows of the cells it visits."""
-    best = _Best(block, k, id_col)
-    for rows, unit in _directed(batches, vec_col, block.unit.shape[1]):
-        cells = _near_cells(unit, pivots, 1)[:, 0]
-        for cell in np.unique(cells):
-            asked = visits.get(int(cell))
-            if asked is not None:
-                here = np.flatnonzero(cells == cell)
-                best.add(rows.take(pa.array(here)), unit[here], asked)
-    yield from best.batches()
-
-
 def _block_of(table: pa.Table, vec_col: str, dims: int | None) -> _Block:
     table = _present(table, vec_col)
     ids = table.column("query_id").combine_chunks()
@@ -197,18 +184,31 @@ def _block_of(table: pa.Table, vec_col: str, dims: int | None) -> _Block:
 
 
 def _rank(partial: DataFrame, id_col: str, k: int) -> DataFrame:
-    """K2: final rank per question over the partial winners."""
-    order = Window.partitionBy("query_id").orderBy("distance", id_col)
-    ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    front = ["query_id", "rank", id_col]
-    rest = [c for c in partial.columns if c not in (*front, "distance")]
-    return ranked.select(*front, *rest, "distance")
+    """K2: rank per question over the partial winners, in two levels."""
+    group = F.pmod(F.spark_partition_id(), F.lit(RANK_GROUPS))
+
+    def ranked(rows: DataFrame, *keys: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("distance", id_col)
+        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    some = ranked(partial.withColumn("_group", group), "query_id", "_group").drop("rank", "_group")
+    return ranked(some, "query_id").select("query_id", "rank", id_col, "distance")
+
+
+def _late(hits: DataFrame, table: DataFrame, id_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """The hits with the columns ``carry`` of the table they were found in.
+
+    Of rows that share an id, each gives a hit.
+    """
+    extra = [c for c in dict.fromkeys(carry) if c != id_col]
+    if not extra:
+        return hits
+    return hits.join(table.select(id_col, *extra), id_col).select("query_id", "rank", id_col, *extra, "distance")
 
 
-def _hit_schema(vectors: DataFrame, queries: DataFrame, carry: list[str]) -> T.StructType:
-    fields = [vectors.schema[c] for c in carry]
-    fields.append(T.StructField("query_id", queries.schema["query_id"].dataType))
-    return T.StructType(fields + [T.StructField("distance", T.DoubleType())])
+def _hit_schema(vectors: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
+    question = T.StructField("query_id", queries.schema["query_id"].dataType)
+    return T.StructType([vectors.schema[id_col], question, T.StructField("distance", T.DoubleType())])
 
 
 def _width(vectors: DataFrame, vec_col: str) -> int:
@@ -234,19 +234,18 @@ def topk_batch(
     ``queries`` has ``query_id`` and ``vec_col``. ``where`` (P5) is a predicate
     on the vector table and reaches its scan. ``carry`` (P7) names the columns
     returned with a hit; the vector never leaves the task that scored it.
-    ``dims`` is needed for sparse features only.
+    ``dims`` is needed for sparse features only. Ids are the key of the table.
 
     Counts the questions once to choose between a broadcast block and blocks on
     both sides.
     """
     if where is not None:
         vectors = vectors.filter(where)
-    columns = [id_col, *[c for c in carry if c != id_col]]
     # missing vectors are dropped in the tasks: a filter on a computed vector
     # would be pushed below the steps that compute it and repeat all of them
-    vectors = vectors.select(*columns, vec_col)
+    table, vectors = vectors, vectors.select(id_col, vec_col)
     queries = queries.select("query_id", vec_col)
-    schema = _hit_schema(vectors, queries, columns)
+    schema = _hit_schema(vectors, queries, id_col)
 
     width = dims or _width(queries, vec_col)
     most = max(1, block_bytes // (8 * width))
@@ -267,12 +266,14 @@ def topk_batch(
         partial = vectors.mapInArrow(score, schema)
     else:
         partial = _score_blocks(vectors, queries, k, id_col, vec_col, width, schema, most, group_rows)
-    return _rank(partial, id_col, k)
+    return _late(_rank(partial, id_col, k), table, id_col, carry)
 
 
-def _score_groups(vectors, queries, cell, k, id_col, vec_col, width, schema) -> DataFrame:
+def _score_groups(vectors, queries, cell, k, id_col, vec_col, width, schema, winners=_winners) -> DataFrame:
     """Score the rows of both sides that share the columns ``cell``."""
 
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [f.name for f in schema.fields]
         out = []
@@ -280,13 +281,13 @@ def _score_groups(vectors, queries, cell, k, id_col, vec_col, width, schema) ->
             block = _block_of(right, vec_col, width)
             if len(block.ids):
                 batches = left.drop_columns(cell).to_batches()
-                out = list(_winners(iter(batches), block, k, id_col, vec_col))
+                out = list(winners(iter(batches), block, k, id_col, vec_col))
         if out:
             return pa.Table.from_batches(out).select(names)
-        kinds = {f.name: left.schema.field(f.name).type for f in schema.fields if f.name in left.schema.names}
-        kinds |= {"query_id": right.schema.field("query_id").type, "distance": pa.float64()}
-        return pa.table({n: pa.array([], kinds[n]) for n in names})
+        return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
 
+    # both sides may come from one table: new names for its columns keep them apart in the plan
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))
     return vectors.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(score, schema)
 
 
@@ -298,7 +299,7 @@ def _slot(n: int, *columns: str):
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
-def _score_blocks(vectors, queries, k, id_col, vec_col, width, schema, most, group_rows) -> DataFrame:
+def _score_blocks(vectors, queries, k, id_col, vec_col, width, schema, most, group_rows, winners=_winners) -> DataFrame:
     """Every block of chunks meets every block of questions in one group."""
     v_blocks = _deal(vectors.count(), group_rows)
     q_blocks = _deal(queries.count(), max(1, most // 2))
@@ -308,7 +309,7 @@ def _score_blocks(vectors, queries, k, id_col, vec_col, width, schema, most, gro
     right = queries.withColumn("_q", _slot(q_blocks, "query_id")).withColumn(
         "_v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))
     )
-    return _score_groups(left, right, ["_v", "_q"], k, id_col, vec_col, width, schema)
+    return _score_groups(left, right, ["_v", "_q"], k, id_col, vec_col, width, schema, winners)
 
 
 def topk_by_vector(
@@ -332,7 +333,7 @@ def topk_by_text(
     return topk_batch(vectors, hashed_embedding(questions, model), k, carry=carry)
 
 
-def inverted_topk(
+def topk_by_features(
     chunks: DataFrame,
     questions: DataFrame,
     model: IdfModel,
@@ -340,123 +341,11 @@ def inverted_topk(
     carry: tuple[str, ...] = (),
     feature_col: str = "features",
 ) -> DataFrame:
-    """Exact top-k from sparse features ``(buckets, weights)``.
-
-    A join on the bucket would emit a row for every chunk and question that
-    share one of a few hundred buckets. Here the short posting lists travel
-    with their chunk and meet the question block inside the scan.
-    """
+    """K3 for chunks with sparse features ``(buckets, weights)``, scored during their scan."""
     asked = hashed_features(questions, model, output=feature_col)
     return topk_batch(chunks, asked, k, carry=carry, vec_col=feature_col, dims=model.dims)
 
 
-def _pivots(vectors: DataFrame, n: int, id_col: str, vec_col: str, width: int) -> np.ndarray:
-    """Unit vectors of the ``n`` rows whose ids hash lowest: an even, repeatable choice."""
-    lot = vectors.withColumn("_lot", F.xxhash64(id_col)).orderBy("_lot", id_col).limit(n)
-    rows = _present(lot.select(vec_col).toArrow(), vec_col)
-    return _unit(_matrix(rows.column(vec_col), width))[0]
-
-
-def _near_cells(unit: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` cells whose pivots are nearest, the own cell first, per row."""
-    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :n]
-
-
-def assign_cells(df: DataFrame, vec_col: str, pivots: np.ndarray, n: int = 1) -> DataFrame:
-    """Repeat each row for its ``n`` nearest cells, numbered in ``cell``."""
-    schema = T.StructType(df.schema.fields + [T.StructField("cell", T.LongType())])
-
-    def assign(batches):
-        for batch in batches:
-            batch = _present(batch, vec_col)
-            matrix = _matrix(batch.column(batch.schema.get_field_index(vec_col)), pivots.shape[1])
-            # the length of a vector does not change the order of its pivots
-            cells = _near_cells(matrix, pivots, n)
-            rows = np.repeat(np.arange(len(cells)), cells.shape[1])
-            yield batch.take(pa.array(rows)).append_column("cell", pa.array(cells.ravel()))
-
-    return df.mapInArrow(assign, schema)
-
-
-def _score_cells(
-    vectors, queries, k, centres, visits, id_col, vec_col, width, schema, most, group_rows
-) -> DataFrame:
-    """Every dealt part of a cell meets every dealt part of its questions in one group."""
-    stored = assign_cells(vectors, vec_col, centres)
-    asked = assign_cells(queries, vec_col, centres, visits)
-    v_deals = {r["cell"]: _deal(r["count"], group_rows) for r in stored.groupBy("cell").count().collect()}
-    q_deals = {r["cell"]: _deal(r["count"], most) for r in asked.groupBy("cell").count().collect()}
-    cells = [(c, v_deals[c], q_deals[c]) for c in v_deals if c in q_deals]
-    deals = F.broadcast(vectors.sparkSession.createDataFrame(cells, "cell BIGINT, v_deals INT, q_deals INT"))
-
-    def spread(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    left = stored.join(deals, "cell").withColumn(
-        "_v", F.pmod(F.xxhash64(id_col), F.col("v_deals")).cast("int")
-    ).withColumn("_q", spread("q_deals")).drop("v_deals", "q_deals")
-    right = asked.join(deals, "cell").withColumn(
-        "_q", F.pmod(F.xxhash64("query_id"), F.col("q_deals")).cast("int")
-    ).withColumn("_v", spread("v_deals")).drop("v_deals", "q_deals")
-    return _score_groups(left, right, ["cell", "_v", "_q"], k, id_col, vec_col, width, schema)
-
-
-def approx_topk(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = 4,
-    pivots: int = 16,
-    visits: int = 10,
-    id_col: str = "chunk_id",
-    vec_col: str = "embedding",
-    carry: tuple[str, ...] = (),
-    block_bytes: int = BLOCK_BYTES,
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
-    """Approximate top-k through cells, exact distances within them.
-
-    A vector lies in the cell of its nearest pivot, one of ``pivots`` rows of the
-    table; a question sees the ``visits`` nearest cells. Questions that fit a
-    broadcast block are scored during the scan. More questions meet the vectors
-    by cell: cell sizes (one number per pivot) are counted first, and a cell
-    above ``group_rows`` is dealt into several groups, so no group grows with the
-    table. Questions with fewer than ``k`` hits go to ``topk_batch``.
-    """
-    columns = [id_col, *[c for c in carry if c != id_col]]
-    vectors = vectors.select(*columns, vec_col)
-    queries = queries.select("query_id", vec_col)
-    schema = _hit_schema(vectors, queries, columns)
-    width = _width(queries, vec_col)
-    spark = vectors.sparkSession
-    most = max(1, block_bytes // (8 * width))
-    centres = _pivots(vectors, pivots, id_col, vec_col, width)
-    head = queries.limit(most + 1).toArrow()
-    if head.num_rows <= most:
-        block = _block_of(head, vec_col, width)
-        cells = _near_cells(block.unit, centres, visits)
-        visited = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
-        shared = spark.sparkContext.broadcast((block.ids, block.unit, visited, centres))
-
-        def score(batches):
-            ids, unit, visited, centres = shared.value
-            yield from _cell_winners(batches, _Block(ids, unit), visited, centres, k, id_col, vec_col)
-
-        partial = vectors.mapInArrow(score, schema)
-    else:
-        partial = _score_cells(
-            vectors, queries, k, centres, visits, id_col, vec_col, width, schema, most, group_rows
-        )
-    near = _rank(partial, id_col, k)
-    # used three times below and small (k rows per question): stored once
-    stored_hits = scratch_dir(spark, "near")
-    near.write.parquet(stored_hits)
-    near = spark.read.parquet(stored_hits)
-    full = near.filter(F.col("rank") == k).select("query_id")
-    short = queries.join(full, "query_id", "left_anti")
-    exact = topk_batch(vectors, short, k, id_col=id_col, vec_col=vec_col, carry=carry)
-    return near.join(full, "query_id", "left_semi").unionByName(exact.select(near.columns))
-
-
 def delete_chunks_by_id(vectors: DataFrame, ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """The vector table without the given chunk ids; unknown ids change nothing."""
     return vectors.join(ids.select(id_col), id_col, "left_anti")

@@ -10,7 +10,7 @@ from ..operators.answering import (
     context_assembly, extractive_answer, post_process, resolve_answer,
 )
 from ..operators.embedding import IdfModel
-from ..operators.retrieval import inverted_topk, topk_batch, topk_by_text
+from ..operators.retrieval import topk_batch, topk_by_features, topk_by_text
 from ..schemas import Options
 
 
@@ -20,14 +20,14 @@ def retrieve(
     """Ranked hits with text and source for ``(query_id, text)``.
 
     Takes a vector table with sparse ``features`` or a dense ``embedding``;
-    questions that bring their own ``embedding`` need no model. The hit's text
-    travels with the scan, so the chunk table is read once.
+    questions that bring their own ``embedding`` need no model. Texts are joined
+    to the final hits and take no part in scoring.
     """
     carry = ("file_path", "text")
     if "embedding" in questions.columns:
         return topk_batch(vectors, questions, k, carry=carry)
     if "features" in vectors.columns:
-        return inverted_topk(vectors, questions, model, k, carry)
+        return topk_by_features(vectors, questions, model, k, carry)
     return topk_by_text(vectors, questions, model, k, carry)
 
 

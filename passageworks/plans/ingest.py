@@ -9,33 +9,35 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_text
 from ..operators.diff import ingest_report, listing, snapshot_diff
-from ..operators.embedding import fit_idf, hashed_embedding
-from ..schemas import Options
-from ..session import fits
-from ..sources.files import load_documents, quarantine
-from ..sources.state import Collection
+from ..operators.embedding import postings
+from ..schemas import COUNTS, Options
+from ..sources.files import Folder, load_documents, quarantine
+from ..sources.state import STORED, Collection
 
 
-def _only(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """The rows of the given paths; the paths are broadcast if a count shows that they are few."""
-    paths = paths.select("file_path")
-    return rows.join(F.broadcast(paths) if fits(paths) else paths, "file_path", "left_semi")
+def _only(corpus: DataFrame | Folder, paths: DataFrame) -> DataFrame:
+    """The rows of the given paths; of a folder, no other file is read if they are few."""
+    if isinstance(corpus, Folder):
+        return corpus.only(paths)
+    return corpus.join(paths.select("file_path"), "file_path", "left_semi")
 
 
-def _require_width(state: Collection, run: int) -> None:
-    """Fail before the commit if the run's vectors differ in width from each other or from stored ones."""
-    width = F.size("embedding").alias("width")
-    widths = {r["width"] for r in state.read_run("vectors", run).select(width).distinct().limit(2).collect()}
-    if widths:
-        widths |= {r["width"] for r in state.vectors().select(width).limit(1).collect()}
+def _width(state: Collection, run: int, dims: int | None) -> int | None:
+    """The width of the run's vectors, ``dims`` if it hashed them; an error if it is not that of all vectors."""
+    widths = {dims}
+    if dims is None:
+        width = F.size("embedding").alias("width")
+        widths = {r["width"] for r in state.read_run("vectors", run).select(width).distinct().limit(2).collect()}
+    widths |= {state.width()} - {None}
     if len(widths) > 1:
         raise ValueError(f"vectors of different widths: {sorted(widths)}")
+    return next(iter(widths), None)
 
 
 def apply_changes(
     state: Collection,
     diff: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | Folder,
     options: Options = Options(),
     now: datetime | Column | None = None,
     batch: str = "",
@@ -58,21 +60,19 @@ def apply_changes(
     if diff.isEmpty():
         return ingest_report(diff).withColumn("loaded", F.lit(0).cast("bigint"))
     changed = diff.filter(F.col("status").isin("new", "modified"))
-    contents = corpus if run == 1 else _only(corpus, changed)
-    loaded = load_documents(contents, extractor)
+    everything = corpus.rows() if isinstance(corpus, Folder) else corpus
+    loaded = load_documents(everything if run == 1 else _only(corpus, changed), extractor)
     chunks = chunk_text(
         loaded, chunk_size=options.chunk_size, overlap=options.chunk_overlap
     )
     if encoder is None:
-        model = state.idf()
-        if model is None:
-            model = fit_idf(chunks, dims=options.dims)
-            state.save_idf(run, model)
-        rows = hashed_embedding(chunks, model)
+        # word counts are stored; the weights follow from the counters of all runs when they are read
+        rows = chunks.withColumn("counts", postings(F.col("text"), options.dims)).withColumn("embedding", F.lit(None).cast("array<float>"))
     else:
-        rows = encoder(chunks)
-    state.write("vectors", run, rows)
-    _require_width(state, run)
+        rows = encoder(chunks).withColumn("counts", F.lit(None).cast(COUNTS))
+    state.write("vectors", run, rows.select(STORED.fieldNames()))
+    width = _width(state, run, options.dims if encoder is None else None)
+    state.count(run, diff.filter(F.col("status") != "new"))
 
     stored = state.read_run("vectors", run).filter(F.col("chunk_no") == 0).select(
         "file_path", F.lit(True).alias("loaded")
@@ -89,8 +89,8 @@ def apply_changes(
         F.lit(now).alias("created_at"), (F.col("status") != "new").alias("supersedes"),
     ))
     failed = outcome.filter((F.col("status") != "deleted") & ~F.col("loaded"))
-    state.write("quarantine", run, quarantine(load_documents(_only(corpus, failed), extractor)))
-    state.commit(run, batch)
+    state.write("quarantine", run, quarantine(load_documents(_only(corpus, failed), extractor, texts=False)))
+    state.commit(run, batch, width=width)
     return outcome.groupBy("status").agg(
         F.count("*").alias("n"), F.count_if("loaded").alias("loaded")
     )
@@ -98,7 +98,7 @@ def apply_changes(
 
 def incremental_ingest(
     spark: SparkSession,
-    corpus: DataFrame,
+    corpus: DataFrame | Folder,
     state_dir: str,
     options: Options = Options(),
     root: str | None = None,
@@ -109,8 +109,10 @@ def incremental_ingest(
     """Bring the collection at ``state_dir`` in line with ``corpus``.
 
     Only hashes take part in the comparison; contents are read again for changed
-    paths alone. Without changes nothing is committed.
+    paths alone, and of a ``Folder`` no other file is opened for that. Without changes
+    nothing is committed.
     """
     state = Collection(spark, state_dir)
-    diff = snapshot_diff(listing(corpus), state.manifest(), root)
+    rows = corpus.rows() if isinstance(corpus, Folder) else corpus
+    diff = snapshot_diff(listing(rows), state.manifest(), root)
     return apply_changes(state, diff, corpus, options, now, "", extractor, encoder)

@@ -204,6 +204,19 @@ _ALPHA = "0.4::DOUBLE"
 _EMA = f"""list_reduce(list_transform(list(value ORDER BY ts, event_id), lambda v: v::DOUBLE),
   lambda a, x: {_ALPHA} * x + (1 - {_ALPHA}) * a)"""
 _T = f"{LATENCY.latency_target}::DOUBLE"
+_PASSED = f"CASE WHEN a.e IS NULL THEN w.e ELSE {_ALPHA} * w.e + (1 - {_ALPHA}) * coalesce(w.st, a.e) END"
+# stretches of 4096 events; the weight of an average 4096 events back is zero in double precision
+_HOT = f"""WITH ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i,
+  CASE day(ts) % 4 WHEN 1 THEN {_T} * 1.1::DOUBLE WHEN 3 THEN {_T} * 0.5::DOUBLE ELSE value::DOUBLE END AS x FROM events),
+ends AS (SELECT s + 1 AS s, list_reduce(xs, lambda a, x: {_ALPHA} * x + (1 - {_ALPHA}) * a) AS e
+  FROM (SELECT i // 4096 AS s, list(x ORDER BY i) AS xs FROM ev GROUP BY 1)),
+items AS (SELECT i, {{'e': x, 'st': CASE WHEN i % 4096 = 0 THEN e END, 'b': 0::INT}} AS v FROM ev LEFT JOIN ends ON s = i // 4096),
+done AS (SELECT count(*) AS n, list_reduce(list_prepend({{'e': NULL::DOUBLE, 'st': NULL::DOUBLE, 'b': 384::INT}}, list(v ORDER BY i)),
+  lambda a, w: {{'e': {_PASSED}, 'st': NULL::DOUBLE, 'b': CASE
+    WHEN {_PASSED} > {_T} * 1.1::DOUBLE AND a.b > 64 THEN greatest(64, trunc(a.b * 0.7::DOUBLE)::INT)
+    WHEN {_PASSED} < {_T} * 0.5::DOUBLE AND a.b < 512 THEN least(512, trunc(a.b * 1.2::DOUBLE)::INT)
+    ELSE a.b END}}) AS r FROM items)
+SELECT 'all' AS user, n, round(r.e, 6) AS ema, r.b AS budget FROM done"""
 _BUDGET = f"""WITH RECURSIVE ev AS (SELECT user_id, value::DOUBLE AS x,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 st AS (SELECT user_id, 0::BIGINT AS n, NULL::DOUBLE AS ema, 384 AS budget FROM (SELECT DISTINCT user_id FROM events)
@@ -246,6 +259,35 @@ _MIXED_BAD = f"""SELECT file_path || '.bad.txt' AS file_path, 'bad_utf8' AS load
 UNION ALL SELECT file_path || '.html', 'unsupported' FROM ({PAGES})
 UNION ALL SELECT file_path || '.pdf', 'corrupt_pdf' FROM ({PAGES})"""
 
+def _approx_query(per_cell: int = 64, most: int = 65_536, rounds: int = 2, share: float = 0.75) -> str:
+    """Cells trained as the index trains them: starts and sample by MD5, then moves to the mean direction."""
+    dot = "list_dot_product({a}.u, {b}.u)"
+
+    def near(rows: str, centres: str, name: str) -> str:
+        return f"""{name} AS (SELECT r.vec_id, r.u, c.cell FROM {rows} r, {centres} c
+  QUALIFY row_number() OVER (PARTITION BY r.vec_id ORDER BY {dot.format(a='r', b='c')} DESC, c.cell) = 1)"""
+
+    steps = []
+    for i in range(rounds):
+        steps.append(near("sample", f"c{i}", f"near{i}"))
+        steps.append(f"""mean{i} AS (SELECT cell, list(x ORDER BY i) AS m FROM (SELECT cell, i, avg(u[i]) AS x
+  FROM near{i}, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
+c{i + 1} AS (SELECT cell, CASE WHEN m IS NULL THEN u ELSE [x / sqrt(list_dot_product(m, m)) FOR x IN m] END AS u FROM c{i} LEFT JOIN mean{i} USING (cell))""")
+    last = f"c{rounds}"
+    return f"""WITH v AS (SELECT vec_id, embedding, [x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) FOR x IN embedding::DOUBLE[]] AS u FROM embeddings),
+n AS (SELECT least(4096, ceil(sqrt(count(*))))::INT AS cells FROM v),
+lot AS (SELECT vec_id, u, row_number() OVER (ORDER BY md5(vec_id::VARCHAR)) - 1 AS place FROM v),
+sample AS (SELECT vec_id, u FROM lot, n WHERE place < least({most}, {per_cell} * cells)),
+c0 AS (SELECT place AS cell, u FROM lot, n WHERE place < cells),
+{', '.join(steps)},
+{near('v', last, 'placed')},
+asked AS (SELECT q.vec_id AS query_id, q.embedding::DOUBLE[] AS c, cell FROM v q, {last} c, n WHERE q.vec_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot.format(a='q', b='c')} DESC, cell) <= ceil({share} * any_value(cells) OVER ())),
+s AS (SELECT query_id, vec_id, {DIST.format(c='c')} AS distance FROM asked JOIN placed USING (cell) JOIN embeddings USING (vec_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM r WHERE rank <= 4"""
+
+
 ORACLE = {
     "content_hash": f"SELECT file_path, sha256(text) AS content_hash FROM ({DOCS})",
     "snapshot_diff": f"WITH {SNAPSHOTS} SELECT * FROM diff",
@@ -273,6 +315,8 @@ SELECT 1 AS step, chunk_id, file_path FROM c WHERE NOT toxic
 UNION ALL SELECT 2, chunk_id, file_path FROM c WHERE NOT toxic AND NOT (poor AND opens)
 UNION ALL SELECT 3, chunk_id, file_path FROM c WHERE (NOT toxic AND NOT (poor AND opens)) OR (toxic AND opens)""",
     "ingest_vectors": f"""WITH {_LIVE}, {IDF}, {_features('cf', 'chunks', 'chunk_id')}
+SELECT chunk_id, bucket, round(w, 6) AS weight FROM cf""",
+    "streaming_vectors": f"""WITH {_LIVE}, {IDF}, {_features('cf', 'chunks', 'chunk_id')}
 SELECT chunk_id, bucket, round(w, 6) AS weight FROM cf""",
     "chunk_text": f"WITH {CHUNKS} SELECT * FROM chunks",
     "chunk_keys": f"WITH {_chunks(PAGES, 300, 50)} SELECT chunk_id, file_path, length(text)::INT AS n_chars FROM chunks",
@@ -297,6 +341,19 @@ SELECT file_path, no::INT AS block_no, kind,
   CASE kind WHEN 'heading' THEN regexp_replace(regexp_replace(raw, '^#{{1,6}}[ \\t]*', ''), '[ \\t]*#*[ \\t]*$', '')
     WHEN 'bullet' THEN regexp_replace(raw, '^[-*+][ \\t]+', '')
     WHEN 'number' THEN regexp_replace(raw, '^[0-9]+\\.[ \\t]+', '') ELSE raw END AS text FROM k""",
+    "scan_corpus": """SELECT doc_id, '.txt' AS suffix, octet_length(encode(text || chr(10)))::BIGINT AS length,
+  sha256(text || chr(10)) AS content_hash FROM documents""",
+    "ensure_index": f"""WITH {_chunks("SELECT doc_id::VARCHAR AS file_path, text || chr(10) AS text FROM documents")},
+c AS (SELECT file_path::BIGINT AS doc_id, chunk_no FROM chunks)
+SELECT 1 AS step, * FROM c UNION ALL SELECT 2, * FROM c WHERE doc_id % 10 IN (0, 1, 3, 4, 6, 7, 9)""",
+    "markdown_html": """SELECT p_partkey, concat('<h1>Part ', p_partkey, '</h1>', chr(10), '<p>The <code>a*', p_size, '*b &lt;i&gt;</code> of <strong>', p_name,
+  '</strong> is <em>', p_brand, '</em> <b>here</b>, x_y_z &amp; 3 &lt; 4 *plain*', chr(10), 'next line</p>', chr(10),
+  '<ul>', chr(10), '<li>one<ul>', chr(10), '<li>', p_type, '<ol>', chr(10), '<li>deep <em>', p_name, '</em></li>', chr(10), '</ol>', chr(10), '</li>', chr(10),
+  '<li>two</li>', chr(10), '</ul>', chr(10), '</li>', chr(10), '<li>three</li>', chr(10), '</ul>', chr(10), '<h2>Kinds</h2>', chr(10),
+  '<ol>', chr(10), '<li><a href="http://x/p_', p_partkey, '_q">to</a></li>', chr(10), '<li><img alt="pic" src="i.png" /></li>', chr(10), '</ol>', chr(10),
+  '<pre><code># ', p_name, ' *not* &lt;read&gt;', chr(10), '</code></pre>', chr(10), '<div>', chr(10), '*raw* ', p_name, chr(10), '</div>', chr(10),
+  '<blockquote>', chr(10), '<p>said ', p_brand, '</p>', chr(10), '</blockquote>', chr(10), '<hr />', chr(10), '<pre><code>kept &lt;as&gt; is', chr(10), '</code></pre>') AS html
+FROM part""",
     "html_text": f"""WITH b AS (SELECT concat('page/', page_id) AS file_path, list_filter(list_transform({_html_blocks()},
   lambda b: {{'tag': lower(regexp_extract(b, '^([^' || chr(31) || ']*)' || chr(31), 1)),
     'text': trim(regexp_replace({_UNESCAPED}, '[ \\t\\r\\n]+', ' ', 'g'))}}), lambda b: b.text <> '') AS bs FROM pages),
@@ -327,6 +384,11 @@ QUALIFY row_number() OVER (ORDER BY distance, vec_id) <= 10""",
 s AS (SELECT query_id, vec_id, label, {DIST.format(c='c')} AS distance FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, label, round(distance, 6) AS distance FROM r WHERE rank <= 4""",
+    "topk_blocks": f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS c FROM embeddings),
+s AS (SELECT query_id, vec_id, label, {DIST.format(c='c')} AS distance FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, label, round(distance, 6) AS distance FROM r WHERE rank <= 4""",
+    "approx_topk": _approx_query(),
     "metadata_filter_topk": f"""WITH {CENTROIDS},
 s AS (SELECT query_id, vec_id, label, {DIST.format(c='c')} AS distance FROM embeddings, cent WHERE label = 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM s)
@@ -338,6 +400,8 @@ SELECT chunk_id, bucket, round(w, 6) AS weight FROM cf""",
     "topk_by_text": f"WITH {HITS} SELECT query_id, rank, chunk_id, file_path, distance FROM hits",
     "inverted_topk": f"WITH {HITS} SELECT query_id, rank, chunk_id, file_path, distance FROM hits",
     "context_assembly": f"WITH {FOUND} SELECT query_id, context, len(sources)::INT AS n_sources FROM found",
+    "context_cut": f"""WITH {FOUND.replace('rank <= 4)', 'rank <= 8)')} SELECT query_id, length(context)::INT AS n_chars,
+sha256(context) AS context_hash, len(sources)::INT AS n_sources FROM found""",
     "distinct_sources": f"""WITH {FOUND} SELECT query_id,
 array_to_string(list_transform(sources, lambda s: '• ' || s), chr(10)) AS sources FROM found""",
     "build_prompt": f"""WITH {FOUND} SELECT query_id, concat({_q(GUIDE)}, chr(10), chr(10), 'Passages:', chr(10),
@@ -394,6 +458,7 @@ chr(10), repeat('-', 40), chr(10)) AS entry FROM pairs""",
 concat('User: ', question, chr(10), 'AI: ', answer, chr(10), chr(10), repeat('-', 40), chr(10)) AS entry FROM pairs""",
     "ema_latency": f"SELECT user_id, count(*) AS n, round({_EMA}, 6) AS ema FROM events GROUP BY 1",
     "budget_controller": _BUDGET,
+    "budget_controller_hot": _HOT,
     "budget_controller_stream": _BUDGET,
     "encode_with": f"""WITH {CHUNKS} SELECT chunk_id, length(text) AS chars,
 length(text) - length(replace(text, ' ', '')) AS spaces, length(text) - length(replace(text, chr(10), '')) AS breaks

@@ -18,12 +18,13 @@ from ..functions.text import content_hash as hash_of
 from ..functions.text import normalize_newlines
 from ..functions.text import normalize_tokens as tokens_of
 from ..functions.vectors import cosine_distance as distance_of
-from ..operators import adaptive, answering, diff, embedding, hooks, retrieval, sessions
+from ..operators import adaptive, answering, cells, diff, embedding, hooks, postings, retrieval, sessions
 from ..operators.chunking import chunk_text as chunk
 from ..schemas import AdaptiveOptions
 from ..session import scratch_dir, spread
-from ..sources import files, history, markup
+from ..sources import files, history, markdown, markup
 from ..sources.state import Collection, read_manifest
+from ..sources.state import ensure_index as ensure_table
 from ..streaming.budget import budget_controller_stream as budget_stream
 from ..streaming.budget import latest_budgets
 from ..streaming.ingest import streaming_ingest as ingest_stream
@@ -210,12 +211,18 @@ def collection_edits(spark, sf):
     return states[0].unionByName(states[1]).unionByName(states[2])
 
 
+def _weights(collection: Collection) -> DataFrame:
+    """The vectors of a collection, as weights per feature bucket."""
+    rows = collection.vectors().select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return rows.filter("weight <> 0").select("chunk_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
 def ingest_vectors(spark, sf):
-    """The stored vectors of a collection, as weights per feature bucket."""
+    """Vectors after two runs: weighed by the chunks that are live at the end, not by those of the first run."""
     place = scratch_dir(spark, "vectors")
+    ingest(spark, corpus(earlier(spark, sf), ".txt", BEFORE), place, now=at(BEFORE))
     ingest(spark, corpus(spread(documents(spark, sf)), ".txt", NOW), place, now=at(NOW))
-    rows = Collection(spark, place).vectors().select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
-    return rows.filter("weight <> 0").select("chunk_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+    return _weights(Collection(spark, place))
 
 
 def manifest_source(spark, sf):
@@ -228,6 +235,48 @@ def manifest_source(spark, sf):
 # loaders
 
 
+def _folder(spark, sf) -> str:
+    """A folder with one text file per document, below a folder named after its id."""
+    place = scratch_dir(spark, "folder")
+    table(spark, sf, "documents").select("doc_id", "text").repartition(8, "doc_id").write.partitionBy("doc_id").text(place)
+    return place
+
+
+def scan_corpus(spark, sf):
+    """Every file of a folder: the number in its path, suffix, length and hash."""
+    rows = files.scan_corpus(spark, _folder(spark, sf))
+    number = F.regexp_extract("file_path", "doc_id=([0-9]+)/", 1).cast("bigint")
+    return rows.select(number.alias("doc_id"), "suffix", "length", hash_of(F.col("content")).alias("content_hash"))
+
+
+def ensure_index(spark, sf):
+    """Chunks of a collection that is made sure of before, between and after two ingests of a folder.
+
+    The second ingest sees two thirds of the files; the others count as deleted.
+    """
+    place, out = _folder(spark, sf), scratch_dir(spark, "index")
+    third = "doc_id=*[0134679]"
+    seen = []
+    for step, glob in enumerate((None, "*", third)):
+        if glob:
+            ingest(spark, files.Folder(spark, f"{place}/{glob}"), out, now=at(NOW))
+        rows = ensure_table(spark, out)
+        seen.append(rows.select(F.lit(step).alias("step"), F.regexp_extract("file_path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), "chunk_no"))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
+def markdown_html(spark, sf):
+    """Every part as a Markdown text with each construct that is rendered."""
+    text = F.concat(
+        F.lit("# Part "), "p_partkey", F.lit(" #\n\nThe `a*"), "p_size", F.lit("*b <i>` of **"), "p_name", F.lit("** is _"), "p_brand",
+        F.lit("_ <b>here</b>, x_y_z & 3 < 4 \\*plain\\*\nnext line\n\n- one\n    - "), "p_type", F.lit("\n        1. deep *"), "p_name",
+        F.lit("*\n    - two\n- three\n\nKinds\n-----\n\n1. [to](http://x/p_"), "p_partkey", F.lit("_q)\n2. ![pic](i.png)\n\n```sql\n# "), "p_name",
+        F.lit(" *not* <read>\n```\n<div>\n*raw* "), "p_name", F.lit("\n</div>\n\n> said "), "p_brand", F.lit("\n\n***\n\n    kept <as> is"),
+    )
+    parts = table(spark, sf, "part")
+    return parts.select("p_partkey", markdown.markdown_html(text).alias("html"))
+
+
 def load_csv(spark, sf):
     texts = documents(spark, sf).unionByName(pages(spark, sf))
     loaded = spread(texts).select("file_path", files.csv_content(normalize_newlines(F.col("text"))).alias("text"))
@@ -331,9 +380,21 @@ def metadata_filter_topk(spark, sf):
     return _rounded(hits)
 
 
+def twentieths(spark, sf) -> DataFrame:
+    """Every twentieth vector, as questions."""
+    return vectors(spark, sf).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def approx_topk(spark, sf):
+    path = scratch_dir(spark, "cells")
+    return _rounded(cells.approx_topk(vectors(spark, sf), twentieths(spark, sf), path, id_col="vec_id"))
+
+
+def topk_blocks(spark, sf):
+    """Exact search with more questions than one task may hold: both sides in blocks."""
     asked = vectors(spark, sf).select(F.col("vec_id").alias("query_id"), "embedding")
-    return _rounded(retrieval.approx_topk(vectors(spark, sf), asked, 4, id_col="vec_id"))
+    small = {"block_bytes": 8 * 64 * 100, "group_rows": 300}
+    return _rounded(retrieval.topk_batch(vectors(spark, sf), asked, 4, id_col="vec_id", carry=("label",), **small))
 
 
 def fit_idf(spark, sf):
@@ -364,7 +425,8 @@ def topk_by_text(spark, sf):
 
 def inverted_topk(spark, sf):
     stored, model = _indexed(spark, sf)
-    return _rounded(retrieval.inverted_topk(stored, questions(spark, sf), model, carry=("file_path",)))
+    path = scratch_dir(spark, "postings")
+    return _rounded(postings.inverted_topk(stored, questions(spark, sf), model, path, carry=("file_path",)))
 
 
 # questions and answers
@@ -376,6 +438,13 @@ def context_assembly(spark, sf):
     return found.select("query_id", "context", F.size("sources").alias("n_sources"))
 
 
+def context_cut(spark, sf):
+    """Contexts of eight chunks, more than the characters that fit."""
+    stored, model = _indexed(spark, sf)
+    found = answering.context_assembly(ask.retrieve(questions(spark, sf), stored, model, 8))
+    return found.select("query_id", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("context_hash"), F.size("sources").alias("n_sources"))
+
+
 def distinct_sources(spark, sf):
     stored, model = _indexed(spark, sf)
     found = answering.distinct_sources(ask.retrieve(questions(spark, sf), stored, model))
@@ -542,6 +611,15 @@ def budget_controller(spark, sf):
     )
 
 
+def budget_controller_hot(spark, sf):
+    """All events under one key; on every other day the latencies lie exactly on a bound."""
+    day = F.pmod(F.dayofmonth("ts"), F.lit(4))
+    target = LATENCY.latency_target
+    value = F.when(day == 1, F.lit(target * adaptive.SLOW)).when(day == 3, F.lit(target * adaptive.FAST)).otherwise(F.col("value"))
+    one = events(spark, sf).select(F.lit("all").alias("user"), "ts", "event_id", value.alias("value"))
+    return _measured(adaptive.budget_controller(one, "user", ["ts", "event_id"], "value", LATENCY))
+
+
 def budget_controller_stream(spark, sf):
     out = scratch_dir(spark, "budgets")
     schema = events(spark, sf).schema
@@ -562,7 +640,8 @@ def budget_controller_stream(spark, sf):
     return _measured(latest_budgets(spark.read.parquet(f"{out}/updates"), "user_id"))
 
 
-def streaming_ingest(spark, sf):
+def _streamed(spark, sf) -> Collection:
+    """A collection fed by a log of versions in two parts."""
     out = scratch_dir(spark, "versions")
     old = corpus(earlier(spark, sf), ".txt", BEFORE).withColumn("op", F.lit("upsert"))
     new = corpus(documents(spark, sf), ".txt", NOW).withColumn("op", F.lit("upsert"))
@@ -572,7 +651,16 @@ def streaming_ingest(spark, sf):
     for part in ("1", "2"):
         log = spark.readStream.schema(old.schema).option("maxFilesPerTrigger", 1000).parquet(f"{out}/log/{part}")
         ingest_stream(spark, log, f"{out}/state", f"{out}/checkpoint-{part}").awaitTermination()
-    return Collection(spark, f"{out}/state").chunks().select("chunk_id", "file_path", "chunk_no", "start", "text")
+    return Collection(spark, f"{out}/state")
+
+
+def streaming_ingest(spark, sf):
+    return _streamed(spark, sf).chunks().select("chunk_id", "file_path", "chunk_no", "start", "text")
+
+
+def streaming_vectors(spark, sf):
+    """Vectors of the streamed collection: the same as after one run over all documents."""
+    return _weights(_streamed(spark, sf))
 
 
 # hooks
@@ -630,13 +718,13 @@ def extract_with(spark, sf):
 NAMES = (
     "content_hash", "snapshot_diff", "new_files", "modified_files", "deleted_files", "ingest_report",
     "manifest_upsert", "manifest_delete", "manifest_lookup", "manifest_source", "incremental_ingest", "collection_edits", "ingest_vectors", "chunk_text", "chunk_keys",
-    "delete_chunks_by_file", "delete_chunks_by_id", "vector_append", "replace_chunks", "load_csv",
-    "markup_blocks", "html_text", "load_documents", "quarantine", "embedding_dimension", "cosine_distance",
-    "topk_by_vector", "topk_batch", "metadata_filter_topk", "approx_topk", "fit_idf", "hashed_embedding",
-    "topk_by_text", "inverted_topk", "context_assembly", "distinct_sources",
+    "delete_chunks_by_file", "delete_chunks_by_id", "vector_append", "replace_chunks", "load_csv", "scan_corpus", "ensure_index",
+    "markup_blocks", "markdown_html", "html_text", "load_documents", "quarantine", "embedding_dimension", "cosine_distance",
+    "topk_by_vector", "topk_batch", "metadata_filter_topk", "approx_topk", "topk_blocks", "fit_idf", "hashed_embedding",
+    "topk_by_text", "inverted_topk", "context_assembly", "context_cut", "distinct_sources",
     "extractive_answer", "grounding_check", "normalize_tokens", "parse_generated", "resolve_answer",
     "fragment_assembly", "resolve_streamed", "question_intake", "pair_turns", "render_history", "history_sink", "ema_latency",
-    "budget_controller", "budget_controller_stream", "streaming_ingest", "encode_with", "generate_with",
+    "budget_controller", "budget_controller_hot", "budget_controller_stream", "streaming_ingest", "streaming_vectors", "encode_with", "generate_with",
     "extract_with", "rag_batch",
 )
 

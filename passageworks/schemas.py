@@ -43,6 +43,11 @@ VECTORS = T.StructType(CHUNKS.fields + [
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
+COUNTS = T.StructType([
+    T.StructField("buckets", T.ArrayType(T.IntegerType())),
+    T.StructField("counts", T.ArrayType(T.IntegerType())),
+])
+
 HITS = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("rank", T.IntegerType()),

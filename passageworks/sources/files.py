@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import bind
 from ..functions.text import SUPPORTED, normalize_newlines, suffix
-from .markup import markdown_html
+from .markdown import markdown_html
+
 
-def scan_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Every regular file below ``root`` as a corpus row (M1).
+def scan_corpus(spark: SparkSession, root: str | list[str], glob: str | None = None) -> DataFrame:
+    """Every regular file below ``root``, or of a list of paths, as a corpus row (M1).
 
     Select without ``content`` to list files without reading them. Spark's file
     listing leaves out empty files and names starting with ``.`` or ``_``.
@@ -28,6 +31,34 @@ def scan_corpus(spark: SparkSession, root: str, glob: str | None = None) -> Data
     )
 
 
+#: Changed files up to which a folder is read by path instead of as a whole.
+PATHS = 10_000
+
+
+class Folder:
+    """A folder of files as a corpus, of which single files can be read."""
+
+    def __init__(self, spark: SparkSession, root: str, glob: str | None = None):
+        self.spark, self.root, self.glob = spark, root, glob
+
+    def rows(self) -> DataFrame:
+        return scan_corpus(self.spark, self.root, self.glob)
+
+    def only(self, paths: DataFrame) -> DataFrame:
+        """The files of the given ``file_path`` rows.
+
+        Up to ``PATHS`` of them are opened by name. More than that are picked out of
+        a scan of the whole folder, since their names are not gathered on the driver.
+        """
+        some = [r["file_path"] for r in paths.select("file_path").distinct().limit(PATHS + 1).collect()]
+        if len(some) > PATHS:
+            return self.rows().join(paths.select("file_path"), "file_path", "left_semi")
+        if not some:
+            return self.rows().limit(0)
+        literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in some]
+        return scan_corpus(self.spark, literal)
+
+
 def text_content(content: Column) -> Column:
     """S3: strictly decoded UTF-8 with newlines normalised; null if not valid UTF-8."""
     return normalize_newlines(F.try_validate_utf8(content.cast("string")))
@@ -67,13 +98,14 @@ def csv_content(text: Column) -> Column:
     return bind(found, join)
 
 
-def load_documents(corpus: DataFrame, extractor=None, requested: DataFrame | None = None) -> DataFrame:
+def load_documents(corpus: DataFrame, extractor=None, requested: DataFrame | None = None, texts: bool = True) -> DataFrame:
     """``(file_path, text, load_error)`` for every corpus row.
 
     The suffix picks the loader; a row that fails keeps a reason and an empty
     text, and the others go on. Contents are read once, whatever mix of suffixes
     there is. ``extractor`` (U3) turns PDF bytes into text. Paths in
-    ``requested`` that the corpus does not hold are reported as missing.
+    ``requested`` that the corpus does not hold are reported as missing. Without
+    ``texts`` only the reasons are worked out and every text is empty.
     """
     kind = suffix(F.col("file_path"))
     raw = corpus.select("file_path", "content", kind.alias("_kind"))
@@ -86,11 +118,13 @@ def load_documents(corpus: DataFrame, extractor=None, requested: DataFrame | Non
         columns.append(extractor(F.when(is_pdf & magic, F.col("content"))).alias("_out"))
     read = raw.select(*columns)
 
-    text = (
-        F.when(F.col("_kind") == ".txt", F.col("_text"))
-        .when(F.col("_kind") == ".md", markdown_html(F.col("_text")))
-        .when(F.col("_kind") == ".csv", csv_content(F.col("_text")))
-    )
+    text = F.lit("")
+    if texts:
+        text = (
+            F.when(F.col("_kind") == ".txt", F.col("_text"))
+            .when(F.col("_kind") == ".md", markdown_html(F.col("_text")))
+            .when(F.col("_kind") == ".csv", csv_content(F.col("_text")))
+        )
     error = (
         F.when(~F.col("_kind").isin(*SUPPORTED), "unsupported")
         .when(F.col("_pdf") == "corrupt_pdf", "corrupt_pdf")
@@ -99,7 +133,7 @@ def load_documents(corpus: DataFrame, extractor=None, requested: DataFrame | Non
     if extractor is None:
         error = F.coalesce(error, F.col("_pdf"))
     else:
-        text = F.coalesce(text, F.col("_out.text"))
+        text = F.coalesce(text, F.col("_out.text")) if texts else text
         error = F.coalesce(error, F.when(F.col("_out.error").isNotNull(), "corrupt_pdf"))
     loaded = read.select(
         "file_path", F.coalesce(text, F.lit("")).alias("text"), error.alias("load_error")

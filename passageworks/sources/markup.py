@@ -1,8 +1,8 @@
 """Markdown and HTML as blocks.
 
 Blocks are cut out of the text inside its row, so a large file needs neither a
-window nor a shuffle. Supported Markdown: ATX headings, bullet and numbered
-lists, paragraphs; in ``markdown_html`` also emphasis, code spans and links.
+window nor a shuffle. Markdown blocks are ATX headings, bullet and numbered
+items and paragraphs; ``markdown.py`` renders whole texts.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import bind
-
 HEADING = r"(?md)^(#{1,6}[ \t]*[^#\n][^\n]*)$"
 ITEM = r"(?md)^((?:[-*+]|[0-9]+\.)[ \t]+[^\n]*)$"
 BULLET = r"\A[-*+][ \t]+"
@@ -113,39 +111,3 @@ def markup_blocks(
 
 def _one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
-
-
-def _inline(text: Column) -> Column:
-    # fixed values: escapes and inline marks
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        text = F.replace(text, F.lit(char), F.lit(entity))
-    for mark, html in (
-        (r"`([^`\n]+)`", "<code>$1</code>"),
-        (r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>"),
-        (r"\*([^*\n]+)\*", "<em>$1</em>"),
-        (r"\[([^\]\n]*)\]\(([^)\s]*)\)", '<a href="$2">$1</a>'),
-    ):
-        text = F.regexp_replace(text, mark, html)
-    return text
-
-
-def markdown_html(text: Column) -> Column:
-    """One HTML string per Markdown text, blocks separated by newlines."""
-    def mark(kind: Column, body: Column, level: Column) -> Column:
-        return (
-            F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), body, F.lit("</h"), level, F.lit(">")))
-            .when(kind == "bullet", F.concat(F.lit("<ul>\n<li>"), body, F.lit("</li>\n</ul>")))
-            .when(kind == "number", F.concat(F.lit("<ol>\n<li>"), body, F.lit("</li>\n</ol>")))
-            .otherwise(F.concat(F.lit("<p>"), body, F.lit("</p>")))
-        )
-
-    def render(block: Column) -> Column:
-        level = _level(block).cast("string")
-        return bind(
-            _kind(block), lambda kind: bind(_inline(_body(block, kind)), lambda body: mark(kind, body, level))
-        )
-
-    html = F.array_join(F.transform(_blocks(text), render), "\n")
-    # neighbouring items belong to one list
-    html = F.replace(html, F.lit("</ul>\n<ul>\n"), F.lit(""))
-    return F.replace(html, F.lit("</ol>\n<ol>\n"), F.lit(""))

@@ -3,20 +3,24 @@
 A collection is a folder of append-only Parquet tables, one sub-folder
 ``ingest=N/attempt=ID`` per run:
 
-* ``vectors``: chunk rows with their vector,
+* ``vectors``: chunk rows with the word counts of their hashed vector, or with the
+  vector of an outside encoder,
 * ``log``: what a run did to each path it touched (``upsert``, ``delete`` or
   ``drop_chunks``) with the new manifest values,
 * ``diff``, ``quarantine``: the run's comparison result and failed files,
-* ``idf``: the vector weights, if the run fitted them,
+* ``counters``: by how much the run changed the document frequency of each bucket,
 * ``commits``: one row per finished run, written last, with the oldest run whose
-  tables are still needed.
+  tables are still needed and the width of the vectors.
 
 Every attempt at a run has an id of its own, and readers look only at attempts
 with a commit row, so whatever a dead one left, under any number, is never read.
 The table of all vectors is not rewritten by an ingest. Reading leaves out
 superseded rows by an anti join; ``compact`` writes the live rows, the last log
-entry of each path, the quarantine and the weights as one run, after which older
+entry of each path, the quarantine and the counters as one run, after which older
 folders are no longer read.
+
+Counters of runs add up, so hashed vectors are weighed when they are read, by the
+document frequencies of the whole live collection, whatever runs brought it in.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.embedding import IdfModel
-from ..schemas import CHUNKS, MANIFEST, VECTORS
-from ..session import fits, path_exists
+from ..operators.embedding import IdfModel, counters, dense, model_of, weigh
+from ..schemas import CHUNKS, COUNTS, MANIFEST, VECTORS
+from ..session import path_exists
 
 RUN = [T.StructField("ingest", T.LongType()), T.StructField("attempt", T.StringType())]
 LOG = T.StructType([
@@ -43,10 +47,11 @@ LOG = T.StructType([
 QUARANTINE = T.StructType([
     T.StructField("file_path", T.StringType()), T.StructField("load_error", T.StringType()),
 ])
-IDF = T.StructType([
-    T.StructField("bucket", T.IntegerType()), T.StructField("idf", T.DoubleType()), T.StructField("n_chunks", T.LongType()),
+COUNTERS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+STORED = T.StructType([*VECTORS.fields, T.StructField("counts", COUNTS)])
+COMMITS = T.StructType([
+    T.StructField("batch", T.StringType()), T.StructField("base", T.LongType()), T.StructField("width", T.IntegerType()),
 ])
-COMMITS = T.StructType([T.StructField("batch", T.StringType()), T.StructField("base", T.LongType())])
 
 
 class Collection:
@@ -58,8 +63,9 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._head: tuple[int, int] | None = None
+        self._head: tuple[int, int, int | None] | None = None
         self._attempt = uuid.uuid4().hex
+        self._model: IdfModel | None = None
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         full = T.StructType(schema.fields + RUN)
@@ -79,11 +85,11 @@ class Collection:
         """The folder that this attempt writes."""
         return f"{self.path}/{name}/ingest={run}/attempt={self._attempt}"
 
-    def _commit(self) -> tuple[int, int]:
-        """Last committed run and the oldest run whose vectors are live."""
+    def _commit(self) -> tuple[int, int, int | None]:
+        """Last committed run, the oldest run whose vectors are live, and the width of the vectors."""
         if self._head is None:
-            row = self._table("commits", COMMITS).agg(F.max(F.struct("ingest", "base"))).first()[0]
-            self._head = (row["ingest"], row["base"]) if row else (0, 0)
+            row = self._table("commits", COMMITS).agg(F.max(F.struct("ingest", "base", "width"))).first()[0]
+            self._head = (row["ingest"], row["base"], row["width"]) if row else (0, 0, None)
         return self._head
 
     def last_run(self) -> int:
@@ -92,19 +98,18 @@ class Collection:
     def committed_batch(self, batch: str) -> bool:
         return not self._table("commits", COMMITS).filter(F.col("batch") == batch).isEmpty()
 
-    def commit(self, run: int, batch: str = "", base: int | None = None) -> None:
-        base = self._commit()[1] if base is None else base
-        self.write("commits", run, self.spark.createDataFrame([(batch, base)], COMMITS).coalesce(1))
-        self._head = (run, base)
+    def commit(self, run: int, batch: str = "", base: int | None = None, width: int | None = None) -> None:
+        _, old_base, old_width = self._commit()
+        self._head, self._model = (run, old_base if base is None else base, old_width if width is None else width), None
+        self.write("commits", run, self.spark.createDataFrame([(batch, *self._head[1:])], COMMITS).coalesce(1))
         self._attempt = uuid.uuid4().hex
 
     def _committed(self, name: str, schema: T.StructType) -> DataFrame:
         """Rows of the committed attempts from the base on, without the attempt."""
-        last, base = self._commit()
+        last, base, _ = self._commit()
         live = F.col("ingest").between(base, last)
         done = self._table("commits", COMMITS).filter(live).select("ingest", "attempt")
-        rows = self._table(name, schema).filter(live)
-        return rows.join(F.broadcast(done) if fits(done) else done, ["ingest", "attempt"], "left_semi").drop("attempt")
+        return self._table(name, schema).filter(live).join(done, ["ingest", "attempt"], "left_semi").drop("attempt")
 
     def _last_entries(self) -> DataFrame:
         """The last log entry per path that says whether it is tracked."""
@@ -122,19 +127,36 @@ class Collection:
         return log.groupBy("file_path").agg(F.max("last_modified").alias("seen_at"))
 
     def vectors(self) -> DataFrame:
-        """Live chunk rows: those not superseded by a later run."""
+        """Live chunk rows with their vectors; hashed ones by the weights of the whole live collection."""
+        rows, model = self.stored(), self.idf()
+        if model is None:
+            return rows
+        hashed = F.when(F.col("counts").isNotNull(), dense(weigh(F.col("counts"), model), model.dims))
+        return rows.withColumn("embedding", F.coalesce("embedding", hashed))
+
+    def stored(self) -> DataFrame:
+        """Live chunk rows as they are stored: those not superseded by a later run."""
         base = self._commit()[1]
-        rows = self._committed("vectors", VECTORS)
+        rows = self._committed("vectors", STORED)
         later = self._committed("log", LOG).filter(F.col("supersedes") & (F.col("ingest") > base)).select(
             F.col("file_path").alias("_path"), F.col("ingest").alias("_run")
         )
         gone = (rows["file_path"] == later["_path"]) & (later["_run"] > rows["ingest"])
         return rows.join(later, gone, "left_anti").drop("ingest")
 
+    def count(self, run: int, replaced: DataFrame) -> None:
+        """Write by how much this run changes the counters: its rows against the live chunks of ``replaced``."""
+        gone = self.stored().join(replaced.select("file_path").distinct(), "file_path", "left_semi")
+        sides = (self.read_run("vectors", run), 1), (gone, -1)
+        change = [counters(df.where("counts IS NOT NULL"), F.col("counts.buckets")).select("bucket", (F.col("n") * sign).alias("n")) for df, sign in sides]
+        total = change[0].unionByName(change[1]).groupBy("bucket").agg(F.sum("n").alias("n"))
+        self.write("counters", run, total.select(COUNTERS.fieldNames()).coalesce(1))
+
     def _edit(self, rows: DataFrame, replaced: DataFrame) -> None:
-        """Commit a run of vector ``rows`` that supersede all chunks of the paths ``replaced``."""
+        """Commit a run of ``rows`` that supersede all chunks of the paths ``replaced``."""
         run = self.last_run() + 1
         self.write("vectors", run, rows)
+        self.count(run, replaced)
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in LOG.fields[2:5]]
         self.write("log", run, replaced.select("file_path").distinct().select(
             "file_path", F.lit("drop_chunks").alias("op"), *none, F.lit(True).alias("supersedes")
@@ -143,26 +165,32 @@ class Collection:
 
     def delete_by_file(self, paths: DataFrame) -> None:
         """J8 as a run: drop all chunks of the given ``file_path`` rows; the files stay tracked."""
-        live = self.vectors()
+        live = self.stored()
         hit = live.join(paths.select("file_path").distinct(), "file_path", "left_semi")
         self._edit(live.limit(0), hit)
 
     def delete_by_id(self, ids: DataFrame) -> None:
         """J7 as a run: drop the given ``chunk_id`` rows; what remains of their files is written anew."""
-        live = self.vectors()
+        live = self.stored()
         hit = live.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("file_path").distinct()
         self._edit(live.join(hit, "file_path", "left_semi").join(ids.select("chunk_id"), "chunk_id", "left_anti"), hit)
 
     def append(self, rows: DataFrame) -> None:
-        """S8 as a run: add prepared chunk rows with their vectors, one per id that is not stored yet."""
-        live = self.vectors()
-        new = rows.select(VECTORS.fieldNames()).dropDuplicates(["chunk_id"]).join(live.select("chunk_id"), "chunk_id", "left_anti")
-        self._edit(new.select(VECTORS.fieldNames()), live.limit(0))
+        """S8 as a run: add prepared chunk rows, one per id that is not stored yet.
+
+        Rows with ``counts`` are weighed with the collection; others keep their vector.
+        """
+        live = self.stored()
+        none = F.lit(None)
+        counts = F.col("counts") if "counts" in rows.columns else none.cast(COUNTS)
+        vector = F.when(counts.isNull(), F.col("embedding")).cast("array<float>")
+        new = rows.withColumn("embedding", vector).withColumn("counts", counts).select(STORED.fieldNames())
+        self._edit(new.dropDuplicates(["chunk_id"]).join(live.select("chunk_id"), "chunk_id", "left_anti"), live.limit(0))
 
     def compact(self) -> None:
         """Write the live state as a run of its own and read from there on."""
         run = self.last_run() + 1
-        self.write("vectors", run, self.vectors())
+        self.write("vectors", run, self.stored())
         # the newest time seen stays, so that late versions stay late
         entries = self._last_entries().join(self.last_seen(), "file_path")
         self.write("log", run, entries.select(
@@ -171,14 +199,12 @@ class Collection:
             "created_at", F.lit(False).alias("supersedes"),
         ))
         self.write("quarantine", run, self.quarantine())
-        model = self.idf()
-        if model is not None:
-            self.save_idf(run, model)
+        self.write("counters", run, self._counters().select(COUNTERS.fieldNames()).coalesce(1))
         self.commit(run, base=run)
 
     def chunks(self) -> DataFrame:
         """Live chunk rows without their vectors."""
-        return self.vectors().select(CHUNKS.fieldNames())
+        return self.stored().select(CHUNKS.fieldNames())
 
     def quarantine(self) -> DataFrame:
         """The last failure per path, for paths that were not loaded or deleted since."""
@@ -194,17 +220,23 @@ class Collection:
         """The vector table, created empty if there is none."""
         where = f"{self.path}/vectors"
         if not path_exists(self.spark, where):
-            self.write("vectors", 0, self.spark.createDataFrame([], VECTORS))
+            self.write("vectors", 0, self.spark.createDataFrame([], STORED))
         return self.vectors()
 
-    def idf(self) -> IdfModel | None:
-        """The last committed weights, or those of this attempt."""
-        rows = self._committed("idf", IDF)
-        last = rows.agg(F.max("ingest")).first()[0]
-        return None if last is None else IdfModel.from_df(rows.filter(F.col("ingest") == last).drop("ingest"))
+    def _counters(self) -> DataFrame:
+        return self._committed("counters", COUNTERS).groupBy("bucket").agg(F.sum("n").alias("n"))
+
+    def width(self) -> int | None:
+        """Width of the vectors; None before the first."""
+        return self._commit()[2]
 
-    def save_idf(self, run: int, model: IdfModel) -> None:
-        self.write("idf", run, model.to_df(self.spark).coalesce(1))
+    def idf(self) -> IdfModel | None:
+        """Weights over all live chunks, from the counters of the committed runs; None if no run made hashed vectors."""
+        if self._model is None and self.width() is not None:
+            counted = self._counters().collect()
+            if counted:
+                self._model = model_of({r["bucket"]: r["n"] for r in counted}, self.width())
+        return self._model
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

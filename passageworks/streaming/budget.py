@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.adaptive import _Steps, measured
+from ..operators.adaptive import _Steps, averages, measured
 from ..schemas import AdaptiveOptions
 
 
@@ -43,12 +43,9 @@ def budget_controller_stream(
         n, ema, budget = state.get if state.exists else (0, None, options.start_tokens)
         cols = [[p[c].to_numpy() for c in ("_at", "_tie", "_x")] for p in parts]
         at, tie, x = (np.concatenate(c) for c in zip(*cols))
-        for latency in x[np.lexsort((tie, at))].tolist():
-            ema = steps.average(ema, latency)
-            step = steps.after(ema)
-            if step is not None:
-                budget = int(step[budget - steps.low]) + steps.low
-            n += 1
+        passed = averages(x[np.lexsort((tie, at))].tolist(), ema, steps.alpha)
+        budget = int(steps.after(budget - steps.low, passed)) + steps.low
+        n, ema = n + len(passed), passed[-1]
         state.update((n, ema, budget))
         yield pd.DataFrame([(*group, n, ema, budget)], columns=output.names)
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import apply_changes
 from ..schemas import Options
-from ..session import delete_path, fits
+from ..session import delete_path
 from ..sources.state import Collection
 from ..functions.text import content_hash
 
@@ -81,7 +81,7 @@ def streaming_ingest(
         # the contents of the chosen versions, read once and without their rivals
         changed = diff.filter(F.col("status").isin("new", "modified")).select("file_path", "modified_at", "content_hash")
         hashed = batch.filter(F.col("op") == "upsert").withColumn("content_hash", content_hash(F.col("content")))
-        chosen = hashed.join(F.broadcast(changed) if fits(changed) else changed, ["file_path", "modified_at", "content_hash"], "left_semi")
+        chosen = hashed.join(changed, ["file_path", "modified_at", "content_hash"], "left_semi")
         state.write("contents", run, chosen.dropDuplicates(["file_path"]))
         contents = state.place("contents", run)
         apply_changes(state, diff, state.read_run("contents", run), options, batch=name, extractor=extractor, encoder=encoder)

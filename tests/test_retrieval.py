@@ -105,35 +105,19 @@ def test_exact_plan_has_no_cross_join(spark, data):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-SMALL = {"block_bytes": 10 * 8 * 8, "group_rows": 20}     # a few questions and rows per group
-
-
-@pytest.mark.parametrize("sizes", [{}, SMALL])
-def test_approximate_recall_and_completeness(spark, data, sizes):
-    """Scored in the scan, and by cogroups of dealt cells."""
-    matrix, _ = data
-    rng = np.random.default_rng(5)
-    queries = np.delete(matrix, 7, axis=0)[100:160] + 0.1 * rng.standard_normal((60, 16))
-    exact = brute(matrix, queries, 4)
-    v, q = table(spark, matrix), asked(spark, queries)
-    found = ranked(retrieval.approx_topk(v, q, 4, pivots=16, visits=6, **sizes))
-    assert all(len(h) == 4 for h in found.values()) and len(found) == 60
-    overlap = sum(len(set(found[i]) & set(exact[i])) for i in exact) / (4 * len(exact))
-    assert overlap >= 0.8
-    # every cell visited: the approximation is exact
-    full = retrieval.approx_topk(v, asked(spark, queries[:9]), 4, pivots=4, visits=4, **sizes)
-    assert ranked(full) == brute(matrix, queries[:9], 4)
-
-
-@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 1, "group_rows": 20}])
-def test_hot_cell_is_dealt_out_and_complete(spark, sizes):
-    """A third of all vectors are copies and share one cell."""
-    rng = np.random.default_rng(2)
-    matrix = rng.standard_normal((300, 8))
-    matrix[:100] = matrix[0]
-    queries = np.vstack([matrix[:1], matrix[200:203]])
-    found = retrieval.approx_topk(table(spark, matrix), asked(spark, queries), 6, pivots=4, visits=4, **sizes)
-    assert ranked(found) == brute(matrix, queries, 6)
+def test_one_question_over_many_tasks(spark, data):
+    """Winners of 150 tasks, ranked in two levels; texts are joined to the last rows only."""
+    matrix, queries = data
+    v = table(spark, matrix, 150).withColumn("text", F.concat(F.lit("about "), "chunk_id"))
+    hits = retrieval.topk_batch(v, asked(spark, queries[:1]), 5, carry=("text",))
+    assert ranked(hits) == brute(matrix, queries[:1], 5)
+    assert all(r.text == f"about {r.chunk_id}" for r in hits.collect())
+    scored = retrieval.topk_batch(v, asked(spark, queries[:1]), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.count("Window [") == 2 and "text#" not in scored.split("MapInArrow")[0]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    # nothing below the scoring reads the text; it enters beside the final join
+    scoring = plan[plan.index("MapInArrow"):]
+    assert "text" not in scoring[:scoring.index("\n")]
 
 
 def test_many_batches_keep_the_best(spark, data, monkeypatch):
@@ -150,13 +134,6 @@ def test_many_batches_keep_the_best(spark, data, monkeypatch):
     assert found == brute(big, queries[:3], 50)
 
 
-def test_few_candidates_fall_back_to_exact(spark):
-    rng = np.random.default_rng(3)
-    matrix = rng.standard_normal((60, 8))
-    found = retrieval.approx_topk(table(spark, matrix), asked(spark, matrix[:20]), 10, pivots=30, visits=1)
-    assert all(len(h) == 10 for h in ranked(found).values()) and len(ranked(found)) == 20
-
-
 def texts(spark):
     rows = [(f"d{i}", f"subject{i} speaks of topic{i % 7} and tool{i % 11}") for i in range(60)]
     rows.append(("empty", "... !!!"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passageworks.functions.text import suffix
 from passageworks.operators.hooks import extract_with
-from passageworks.sources import files, history, markup
+from passageworks.sources import files, history, markdown, markup
 
 
 def load(spark, folder, **kw):
@@ -84,9 +84,77 @@ def test_markdown_blocks(spark):
         (3, "bullet", 0, "b"), (4, "heading", 2, "Two"), (5, "number", 0, "first"), (6, "number", 0, "second"),
         (7, "paragraph", 0, "para **b** <x>"),
     ]
-    html = docs.select(markup.markdown_html(F.col("text"))).first()[0]
-    assert "<ol>\n<li>first</li>\n<li>second</li>\n</ol>" in html
-    assert html.endswith("<p>para <strong>b</strong> &lt;x&gt;</p>")
+
+
+#: Markdown texts and the HTML that they give.
+RENDERED = [
+    ("# Heading", "<h1>Heading</h1>"),
+    ("", ""),
+    ("`a*b*c` and `` x`y ``", "<p><code>a*b*c</code> and <code>x`y</code></p>"),
+    ("a <b>bold</b> & &amp; 1 < 2", "<p>a <b>bold</b> &amp; &amp; 1 &lt; 2</p>"),
+    ("_em_ __strong__ snake_case_name", "<p><em>em</em> <strong>strong</strong> snake_case_name</p>"),
+    ("**a *b* c** ***d***", "<p><strong>a <em>b</em> c</strong> <strong><em>d</em></strong></p>"),
+    ("2 * 3 * 4 and \\*kept\\*", "<p>2 * 3 * 4 and *kept*</p>"),
+    ("```\n# not a heading\n\n*x* <y>\n```\nafter", "<pre><code># not a heading\n\n*x* &lt;y&gt;\n</code></pre>\n<p>after</p>"),
+    ("~~~\nnever closed\n- x", "<pre><code>never closed\n- x</code></pre>"),
+    ("- a\n    1. b\n    2. c\n- d", "<ul>\n<li>a<ol>\n<li>b</li>\n<li>c</li>\n</ol>\n</li>\n<li>d</li>\n</ul>"),
+    ("- a\nmore of a\n- b\n\n1. c", "<ul>\n<li>a\nmore of a</li>\n<li>b</li>\n</ul>\n<ol>\n<li>c</li>\n</ol>"),
+    ("- a\n        - skips a level\n    - b", "<ul>\n<li>a<ul>\n<li>skips a level</li>\n</ul>\n<ul>\n<li>b</li>\n</ul>\n</li>\n</ul>"),
+    ("<div>\n*raw*\n</div>\n\n*not raw*", "<div>\n*raw*\n</div>\n<p><em>not raw</em></p>"),
+    ("Top\n===\n\nSub\n---\n\n---", "<h1>Top</h1>\n<h2>Sub</h2>\n<hr />"),
+    ("> said\n> twice", "<blockquote>\n<p>said\ntwice</p>\n</blockquote>"),
+    ("[x](http://h/a_b_c*d) ![i](p.png) <http://u/v>", '<p><a href="http://h/a_b_c*d">x</a> <img alt="i" src="p.png" /> <a href="http://u/v">http://u/v</a></p>'),
+    ("one  \ntwo\n\n\n\nthree", "<p>one<br />\ntwo</p>\n<p>three</p>"),
+    ("    code <x>\n    more", "<pre><code>code &lt;x&gt;\nmore\n</code></pre>"),
+]
+
+
+def test_markdown_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in RENDERED)), "i INT, text STRING")
+    got = {r.i: r.html for r in docs.select("i", markdown.markdown_html(F.col("text")).alias("html")).collect()}
+    for i, (text, html) in enumerate(RENDERED):
+        assert got[i] == html, text
+
+
+def test_long_markdown_is_linear(spark):
+    """Items, fences, stars and backticks by the ten thousand, in one text each."""
+    n = 20_000
+    texts = ["- item\n" * n, "* a\nb\n" * n, "```\nx\n```\n" * n, "*" * n, "x * " * n, "_a " * n, "`" * n, "<" * n, "[" * n, "line\n" * n, "    code\n" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    sizes = {r.i: r.n for r in docs.select("i", F.length(markdown.markdown_html(F.col("text"))).alias("n")).collect()}
+    assert sizes[0] == len("<li>item</li>\n") * n + len("<ul>\n</ul>") and all(sizes[i] > 0 for i in range(len(texts)))
+
+
+def test_few_changed_files_are_opened_by_name(spark, tmp_path, monkeypatch):
+    from passageworks.plans.ingest import incremental_ingest
+
+    root = tmp_path / "docs"
+    root.mkdir()
+    for i in range(30):
+        (root / f"f{i} [x]{{y}}.txt").write_text("words " * 1000 + str(i))
+    corpus = files.Folder(spark, str(root))
+    state_dir = str(tmp_path / "c")
+    incremental_ingest(spark, corpus, state_dir)
+    for i in (3, 9):
+        (root / f"f{i} [x]{{y}}.txt").write_text("other words")
+    read = []
+    real = files.scan_corpus
+
+    def spy(spark, root, glob=None):
+        rows = real(spark, root, glob)
+        read.append((root, rows.agg(F.sum("length")).first()[0]))
+        return rows
+
+    monkeypatch.setattr(files, "scan_corpus", spy)
+    incremental_ingest(spark, corpus, state_dir).collect()
+    # one scan of all bytes for the hashes, then the two changed files alone
+    by_name = [size for place, size in read if isinstance(place, list)]
+    assert by_name and all(size == 2 * len("other words") for size in by_name)
+    assert sum(not isinstance(place, list) for place, _ in read) <= 3
+    changed = spark.createDataFrame([(str(root / f"f{i} [x]{{y}}.txt"),) for i in (3, 9)], "file_path STRING")
+    assert corpus.only(changed).count() == 2 and corpus.only(changed.limit(0)).count() == 0
+    monkeypatch.setattr(files, "PATHS", 1)
+    assert corpus.only(changed).count() == 2
 
 
 def test_html_blocks(spark):

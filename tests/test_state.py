@@ -4,6 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from passageworks.operators import embedding
+from passageworks.operators.chunking import chunk_text
 from passageworks.operators.hooks import encode_with, generate_with
 from passageworks.plans.ingest import incremental_ingest
 from passageworks.schemas import CORPUS, Options
@@ -56,6 +58,46 @@ def test_life_of_a_collection(spark, tmp_path):
     assert state.Collection(spark, where).last_run() == last == 3
 
 
+def fitted(spark, texts):
+    """Vectors of a table of texts weighed by themselves."""
+    docs = spark.createDataFrame([(p, t) for p, t in texts.items()], "file_path STRING, text STRING")
+    chunks = chunk_text(docs)
+    return {r.chunk_id: r.embedding for r in embedding.hashed_embedding(chunks, embedding.fit_idf(chunks)).collect()}
+
+
+def held(spark, where):
+    return {r.chunk_id: r.embedding for r in state.Collection(spark, where).vectors().collect()}
+
+
+def test_vectors_are_weighed_by_the_live_collection(spark, tmp_path):
+    """Whatever runs, edits and compactions brought it in."""
+    where = str(tmp_path / "c")
+    first = {"/a.txt": "alpha beta", "/b.txt": "beta gamma " * 200}
+    incremental_ingest(spark, corpus(spark, first), where)
+    assert held(spark, where) == fitted(spark, first)
+    second = {"/a.txt": "alpha delta", "/c.txt": "gamma epsilon", "/d.txt": "zeta"}
+    incremental_ingest(spark, corpus(spark, second, T2), where)
+    assert held(spark, where) == fitted(spark, second)
+    col = state.Collection(spark, where)
+    assert col.idf().n_chunks == 3
+    kept = col.vectors().filter("file_path = '/d.txt'").collect()
+    col.delete_by_file(spark.createDataFrame([("/d.txt",)], "file_path STRING"))
+    assert held(spark, where) == fitted(spark, {k: v for k, v in second.items() if k != "/d.txt"})
+    col = state.Collection(spark, where)
+    col.append(spark.createDataFrame(kept, state.STORED))
+    assert held(spark, where) == fitted(spark, second)
+    col.compact()
+    assert held(spark, where) == fitted(spark, second)
+
+
+def test_other_widths_are_refused(spark, tmp_path):
+    where = str(tmp_path / "c")
+    incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha"}), where, Options(dims=50))
+    with pytest.raises(ValueError, match="widths"):
+        incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha", "/b.txt": "beta"}, T2), where, Options(dims=60))
+    assert paths(state.Collection(spark, where).vectors()) == ["/a.txt"]
+
+
 def test_compaction_keeps_the_live_rows(spark, tmp_path):
     where = str(tmp_path / "c")
     incremental_ingest(spark, corpus(spark, {"/a.txt": "alpha", "/b.txt": "beta"}), where)
@@ -82,10 +124,10 @@ def test_crashed_run_is_invisible_and_repeated(spark, tmp_path, monkeypatch):
     assert paths(col.vectors()) == ["/a.txt", "/b.txt"] and col.vectors().count() == 2
 
 
-@pytest.mark.parametrize("table", ["diff", "idf", "vectors", "log", "quarantine", "commits"])
+@pytest.mark.parametrize("table", ["diff", "counters", "vectors", "log", "quarantine", "commits"])
 def test_run_that_dies_after_any_write_leaves_nothing(spark, tmp_path, monkeypatch, table):
     where, kept = str(tmp_path / "c"), {"/a.txt": "alpha", "/x.bin": "skip"}
-    if table != "idf":
+    if table != "counters":
         incremental_ingest(spark, corpus(spark, kept), where)
     write = state.Collection.write
 
@@ -102,7 +144,7 @@ def test_run_that_dies_after_any_write_leaves_nothing(spark, tmp_path, monkeypat
         incremental_ingest(spark, corpus(spark, more, T2), where)
     monkeypatch.undo()
     seen = state.Collection(spark, where)
-    before = [] if table == "idf" else ["/a.txt"]
+    before = [] if table == "counters" else ["/a.txt"]
     assert paths(seen.manifest()) == paths(seen.vectors()) == before
     if before:
         seen.compact()  # takes the number that the dead run had
