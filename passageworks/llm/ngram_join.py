@@ -15,8 +15,11 @@ row, the least id that can be reached over links, itself included.
 3. The remaining classes form groups: in each of ``ROUNDS`` rounds, each with its
    own orders of all runs and classes, classes with the same least run are taken
    together, as similar sets mostly have the same one. A class that links to the
-   least class among them joins its group, unless both are in one already; so each
-   group is connected, and families of near copies mostly become one group.
+   first class among them joins its group, unless both are in one already; so each
+   group is connected. First is the class with the smallest share of runs that no
+   other class has: edited copies of a text have runs of their own at every edit and
+   need not link to each other, but they link to the text. So a family of near
+   copies becomes one group, and the matrix does not grow with its square.
 4. The matrix holds the union of runs of each group, as rows (run, group), as
    far as a run lies in two groups or more. A class is a query to the other
    groups for sets of its own size or larger; such a set must have
@@ -137,7 +140,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """``(cls, n, runs)`` of the classes that may link, by the filters of step 2."""
+    """``(cls, n, runs, own)`` of the classes that may link, by the filters of step 2; ``own`` counts runs of no other class."""
     spare = 100 - percent
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max(F.size("runs")).alias("sampled"))
     hits = shared_runs(explode_runs(rows, "cls"))
@@ -149,7 +152,7 @@ def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     whole = hashed(chosen, None).join(small(alive.select("cls"), BROADCAST_IDS), "cls", "left_semi").select("cls", "n", "runs")
     whole = store(whole.dropDuplicates(["cls"]), "sets")
     exact = shared_runs(explode_runs(whole, "cls"))
-    return store(whole.join(exact, "cls").where(100 * F.col("hits") >= percent * F.col("n")).select("cls", "n", "runs"), "candidates")
+    return store(whole.join(exact, "cls").where(100 * F.col("hits") >= percent * F.col("n")).select("cls", "n", "runs", (F.col("n") - F.col("hits")).alias("own")), "candidates")
 
 
 def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -196,8 +199,10 @@ def grouped_classes(sets: DataFrame, percent: int) -> DataFrame:
     """``(cls, grp)``: the connected groups of the candidate classes, by steps 3 to 5."""
     groups = sets.select("cls", F.col("cls").alias("grp"))
     for number in range(ROUNDS):
-        led = sets.select("cls", least_run(number).alias("lead")).join(groups, "cls")
-        pivots = led.groupBy("lead").agg(F.min(F.struct(F.xxhash64("cls", F.lit(number)), "cls", "grp")).alias("first"))
+        # of a text and its edited copies, the text has the fewest runs to itself, and it is the one that they all link to
+        share = F.floor(100 * F.col("own") / F.col("n"))
+        led = sets.select("cls", share.alias("own"), least_run(number).alias("lead")).join(groups, "cls")
+        pivots = led.groupBy("lead").agg(F.min(F.struct("own", F.xxhash64("cls", F.lit(number)), "cls", "grp")).alias("first"))
         pairs = led.join(pivots, "lead").where("grp <> first.grp")
         pairs = store(pairs.select(F.col("cls").alias("a"), F.col("first.cls").alias("b"), "grp", F.col("first.grp").alias("other")), "pairs")
         edges = linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"])

@@ -60,6 +60,31 @@ def test_large_group_of_near_copies(spark):
     assert set(check(spark, rows).values()) == {0}
 
 
+def test_family_whose_copies_link_to_their_text_only(spark, monkeypatch):
+    """400 copies, edited in 9 places of their own: no two of them link, and the matrix stays small."""
+    rows_of = {}
+
+    def spy(df, name, real=nj.store):
+        rows_of[name] = real(df, name)
+        return rows_of[name]
+
+    rng = random.Random(7)
+    rows = []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(500)]
+        for i in range(400):
+            words = list(base)
+            for at in rng.sample(range(500), 9 if i else 0):
+                words[at] = f"e{family}_{i}_{at}"
+            rows.append((1000 * family + i, " ".join([*words, "passage of many documents that all of them end with"])))
+    monkeypatch.setattr(nj, "store", spy)
+    assert {r["component"] for r in joined(spark, rows).collect()} == {0, 1000}
+    # the square of a family would be 160,000
+    assert rows_of["found"].count() < 8000
+    a, b = runs(rows[1][1]), runs(rows[2][1])
+    assert 100 * len(a & b) < 80 * len(a | b)
+
+
 def test_short_blank_and_long(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, None), (4, ""), (3, " \n\t"), (9, "a b"), (8, "A  B"), (7, "a b c d e"), (6, "a b c d"), (2, long), (10, long + " end"), (11, "é É x y z"), (12, "é é x y z")]
