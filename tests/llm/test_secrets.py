@@ -1,3 +1,5 @@
+import re
+
 from brute import base_spans, sha
 from pyspark.sql import functions as F
 
@@ -30,7 +32,21 @@ def test_owners_decide_on_tokens(spark):
     assert [s["kind"] for s in got[1]["spans"]] == ["token"] and got[1]["base"] == []
     assert got[1]["spans"][0]["n_owners"] == 2 and got[1]["spans"][0]["live"]
     assert all(got[i]["spans"] == [] for i in (2, 3, 4))
-    assert [s["kind"] for s in got[5]["spans"]] == ["assign"]
+    assert [(s["kind"], s["start"], s["end"]) for s in got[5]["spans"]] == [("assign", 0, 30), ("live", 6, 30)]
+
+
+def test_owners_and_repositories_decide_on_values(spark):
+    """Two owners in one repository each pass; one owner's value in three repositories does not."""
+    one, two, many = "04dbebab91ab85687d33eeaaf9ac", "f3ef4d6b2755a36d7d9c25bd72c4", "cb1a9fee807a05366fcb8b6c95c7"
+    rows = [(1, f"token={one}", "a", "en"), (2, one, "b", "en"), (3, two, "a", "en"), (4, two, "a", "de"), (5, two, "a", "fr")]
+    rows += [(10 + i, many, f"o{i}", "en") for i in range(4)] + [(20, "9807915762804490 " + "a1" * 14, "a", "en")]
+    got = found(spark, rows)
+    kinds = lambda i: [s["kind"] for s in got[i]["spans"]]
+    assert kinds(1) == ["assign", "hex", "live"] and kinds(2) == ["hex", "live"]
+    assert all(kinds(i) == ["hex"] for i in (3, 4, 5, 10, 11, 12, 13))
+    assert got[3]["spans"][0]["n_owners"] == 1 and got[3]["spans"][0]["n_repos"] == 3
+    # digits only, or hardly any different characters, do not look live
+    assert kinds(20) == ["hex", "hex"]
 
 
 def test_shared_base_secret_stays_but_is_no_live_one(spark):
@@ -46,10 +62,29 @@ def test_nulls_repeats_and_empty_table(spark):
 
 
 def test_query_against_plain_version(spark):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = queries.op2_secret_scan(spark, SF).collect()
+    """Base spans, added spans and both counts, from plain loops over sf0.01."""
+    folder = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    base = {r["doc_id"]: base_spans(r["text"]) for r in docs}
+    value = lambda text, a, b, kind: re.search("[A-Za-z0-9+/_.=-]+$", text[a:b])[0].lstrip("=") if kind == "assign" else text[a:b]
+    owners, repos = {}, {}
+    for r in docs:
+        for a, _, b, kind in base[r["doc_id"]]:
+            v = value(r["text"], a, b, kind)
+            owners.setdefault(v, set()).add(r["source"])
+            repos.setdefault(v, set()).add((r["source"], r["lang"]))
+    few = lambda v: len(owners[v]) <= 2 and len(repos[v]) <= 2
+    looks = lambda v: len(v) >= 20 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)  # noqa: E731  all of these are varied
+    rows = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, folder).collect()}
     assert len(rows) == len(docs)
-    for r in rows:
-        spans = base_spans(docs[r["doc_id"]])
-        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in spans) for k in range(3))
-        assert r["base_sha256"] == sha(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans))
+    added = 0
+    for r in docs:
+        got, spans, text = rows[r["doc_id"]], base[r["doc_id"]], r["text"]
+        assert (got["n_assign"], got["n_access"], got["n_hex"]) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert got["base_sha256"] == sha(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans))
+        values = [value(text, a, b, kind) for a, _, b, kind in spans]
+        assert (got["n_live"], got["n_shared"]) == (sum(map(few, values)), sum(not few(v) for v in values))
+        live = {(b - len(v), 3, b, "live") for (_, _, b, _), v in zip(spans, values) if looks(v) and few(v)}
+        added += len(live)
+        assert got["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted([*spans, *live]))
+    assert added > 10
