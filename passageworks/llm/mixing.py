@@ -2,17 +2,21 @@
 
 1. A table of labelled documents trains a naive Bayes classifier over hashed
    words: counts of ``BUCKETS`` buckets per domain, summed on the executors. Every
-   document gets the chance of each domain (its posterior, tempered by the number
-   of words, since words of one text are no independent witnesses).
+   document gets the chance of each domain (its posterior; ``WITNESS`` words count as one
+   witness, since words of one text are no independent ones, at any length of text, so that
+   short texts are not left undecided and then dropped by the fit).
 2. A document of ``t`` tokens and posterior ``p`` adds ``rate * t * p`` expected
    tokens to the domains. Rates are fitted so that these totals come as near to
    the targets as they can: least squares in the totals, with a small pull
    ``RIDGE`` towards rate 1 so that the answer is unique, under ``rate >= 0``. The
    gradient of a document's rate is its posterior times the totals' errors, so
    the sum of all gradients is one number ``y`` per domain, and the projected rate
-   is ``max(0, 1 + p . y)``. So ``y`` is the least point of a smooth convex function of
-   as many numbers as there are domains, found by Newton steps. A step is one sum
-   of a few numbers over all rows; nothing else reaches the driver, and no row
+   is ``max(0, 1 + p . y)``. A step takes the gradient at the projected rates and moves ``y`` against it,
+   by a length that the curvature with all rates positive sets (rates that become zero only
+   lower it, so no step goes too far), with momentum that starts anew whenever it points uphill.
+   Every ``RENEW`` steps the length is set anew from twice the curvature of the rates that are still positive; if
+   the gradient then grows, the fit goes back to its best point and to the first length. A
+   step is one sum of a few numbers over all rows; nothing else reaches the driver, and no row
    keeps a state. A fit that does not converge fails; targets that the best rates
    miss by more than ``MISSED`` are logged with the shares that they reach.
 3. ``mixed`` repeats a document as often as the whole part of its rate says and
@@ -44,12 +48,14 @@ log = logging.getLogger(__name__)
 #: Names of the domains that ``domain_of`` numbers.
 DOMAINS = ("clean", "toxic", "junk")
 BUCKETS, SMOOTHING = 4096, 1.0
+#: Words that together count as one independent witness.
+WITNESS = 4
 #: At most so many labels train the classifier.
 TRAIN_LABELS = 200_000
 #: Pull towards rate 1, against a squared error that is relative to all tokens.
-RIDGE = 1e-4
-#: Steps after which a fit fails, and the slope at which it is done.
-STEPS, TOLERANCE = 60, 1e-10
+RIDGE = 1e-5
+#: Steps after which a fit fails, the gradient at which it is done, and steps between new lengths.
+STEPS, TOLERANCE, RENEW = 400, 1e-10, 20
 #: Distance from a target share that is logged.
 MISSED = 1e-3
 
@@ -82,12 +88,10 @@ def posteriors(hashed: DataFrame, model: list[list[float]]) -> DataFrame:
     The model is one array literal per domain, of ``BUCKETS + 1`` numbers.
     """
     found = F.col("_mix_words")
-    # the square root of the number of words tempers the sum over them
-    size = F.sqrt(F.greatest(F.size(found), F.lit(1)))
 
     def logit(row: list[float]) -> Column:
         chances = F.lit(np.array(row))
-        return F.lit(row[BUCKETS]) + F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(chances, b)) / size
+        return F.lit(row[BUCKETS]) + F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(chances, b)) / F.lit(float(WITNESS))
 
     def softmax(x: Column) -> Column:
         top = F.array_max(x)
@@ -105,51 +109,61 @@ def fit_rates(measured: DataFrame, weights: Sequence[float], ridge: float = RIDG
     """``y`` of the rates, and the share of all tokens that they give each domain.
 
     Minimizes ``sum_d (total_d / tokens - weight_d)^2 / 2 + ridge * sum_i t_i / tokens * (rate_i - 1)^2 / 2``
-    under ``rate >= 0``, by Newton's method on its dual, ``sum_i t_i / tokens * rate_i^2 / 2 + ridge * y . y / 2
-    - weights . y`` with ``rate_i = max(0, 1 + p_i . y)``. Its slope is ``total / tokens + ridge * y - weights``, its
-    curvature the sum of ``p p'`` over the rows of a positive rate. Each step is one job that brings back
-    these few sums. Raises ``RuntimeError`` if the slope is not below ``TOLERANCE`` after ``steps`` jobs.
+    under ``rate >= 0`` by accelerated projected-gradient steps: with ``rate_i = max(0, 1 + p_i . y)`` the gradient
+    is ``total / tokens + ridge * y - weights``. Each step is one job that brings back these few sums. Raises
+    ``RuntimeError`` if the gradient is not below ``TOLERANCE`` after ``steps`` jobs.
     """
     n = len(weights)
     p = [F.get("_mix_p", i) for i in range(n)]
-    tokens = float(measured.agg(F.sum("_mix_tokens")).first()[0] or 0)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    t = F.col("_mix_tokens")
+    first = measured.agg(F.sum(t), *(F.sum(t * p[i] * p[j]) for i, j in pairs)).first()
+    tokens = float(first[0] or 0)
     if not tokens:
         return [0.0] * n, [0.0] * n
-    share = F.col("_mix_tokens") / F.lit(tokens)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
     target = np.array(weights, float)
 
-    def sums(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The dual's value, the totals and the curvature at ``y``."""
-        rates = measured.select("_mix_p", share.alias("share"), rate(F.col("_mix_p"), y).alias("rate"))
-        given, counts = F.col("share") * F.col("rate"), F.when(F.col("rate") > 0, F.col("share")).otherwise(0.0)
-        wanted = [given * F.col("rate"), *(given * x for x in p), *(counts * p[i] * p[j] for i, j in pairs)]
-        row = rates.agg(*(F.sum(x).alias(f"s{i}") for i, x in enumerate(wanted))).first()
-        curve = ridge * np.eye(n)
-        for (i, j), v in zip(pairs, row[n + 1 :]):
-            curve[i, j] += v
-            curve[j, i] = curve[i, j]
-        return row[0] / 2 + ridge * (y @ y) / 2 - target @ y, np.array(row[1 : n + 1]), curve
-
-    y = np.zeros(n)
-    value, totals, curve = sums(y)
-    slope, size, way = totals + ridge * y - target, 1.0, None
-    for _ in range(steps):
-        if np.abs(slope).max() < TOLERANCE:
-            return y.tolist(), totals.tolist()
-        if way is None:
-            way, size = -np.linalg.lstsq(curve, slope, rcond=None)[0], 1.0
-        tried = y + size * way
-        at = sums(tried)
-        # a step that does not lower the dual enough, beyond rounding, is halved
-        if at[0] <= value + 1e-4 * size * (slope @ way) + 1e-13 * max(1.0, abs(value)):
-            y, (value, totals, curve), way = tried, at, None
-            slope = totals + ridge * y - target
-        else:
-            size /= 2
-    if np.abs(slope).max() < TOLERANCE:
-        return y.tolist(), totals.tolist()
-    raise RuntimeError(f"rates not fitted after {steps} steps: slope {slope.tolist()}, shares {totals.tolist()} for targets {list(weights)}")
+    def filled(sums: Sequence[float]) -> np.ndarray:
+        out = ridge * np.eye(n)
+        for (i, j), v in zip(pairs, sums):
+            out[i, j] += v / tokens
+            out[j, i] = out[i, j]
+        return out
+
+    def gradient(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient and the totals at ``y``."""
+        rates = measured.select("_mix_p", (t / F.lit(tokens) * rate(F.col("_mix_p"), y)).alias("given"))
+        totals = np.array(rates.agg(*(F.sum(F.col("given") * x) for x in p)).first(), float)
+        return totals + ridge * y - target, totals
+
+    def positive(y: np.ndarray) -> np.ndarray:
+        """The curvature over the rows of a positive rate."""
+        some = measured.where(rate(F.col("_mix_p"), y) > 0).agg(*(F.sum(t * p[i] * p[j]) for i, j in pairs)).first()
+        return filled([v or 0.0 for v in some])
+
+    whole = length = filled(first[1:])
+    y = at = best = np.zeros(n)
+    momentum, slope, least = 1.0, None, np.inf
+    for step in range(steps):
+        slope, totals = gradient(at)
+        size = float(np.abs(slope).max())
+        if size < TOLERANCE:
+            return at.tolist(), totals.tolist()
+        if size < least:
+            best, least = at, size
+        if step and step % RENEW == 0:
+            y, at, momentum = best, best, 1.0
+            length = 2 * positive(best)
+            continue
+        if size > 4 * least and length is not whole:
+            y, at, momentum, length = best, best, 1.0, whole
+            continue
+        new = at - np.linalg.solve(length, slope)
+        if slope @ (new - y) > 0:
+            momentum = 1.0
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        at, y, momentum = new + (momentum - 1) / following * (new - y), new, following
+    raise RuntimeError(f"rates not fitted after {steps} steps: gradient {slope if slope is None else slope.tolist()}, targets {list(weights)}")
 
 
 def domain_of(labels_quality: str = "quality", labels_toxic: str = "toxic") -> Column:
