@@ -67,10 +67,10 @@ def op1_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Secrets of every document, with how many owners share them."""
+    """Secrets of every document; of the base ones, how many belong to few owners and how many are shared."""
     found = secrets.find_secrets(table(spark, sf, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    number = lambda keep, name: F.size(F.filter("spans", keep)).cast("long").alias(name)
+    number = lambda keep, name: F.size(F.filter("base", keep)).cast("long").alias(name)
     return found.select(
         F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
         F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
