@@ -25,10 +25,12 @@ row, the least id that can be reached over links, itself included.
    groups for sets of its own size or larger; such a set must have
    ``2 * percent / (100 + percent)`` of its runs. Of its runs, sorted by how many
    groups have them, at least one of the first ``size - needed + 1`` must be in a
-   group's union (the rare runs, so passages found everywhere name no group). For
-   the groups found so that have members of a fitting size, the whole overlap
-   with the union is counted, and only those that reach the needed number are
-   opened.
+   group's union (the rare runs, so passages found everywhere name no group). Two
+   sets of ``n`` and ``m`` runs need ``percent / (100 + percent)`` of ``n + m`` in common, so a set of which few runs
+   occur elsewhere links to small sets only: sizes and this reach of the groups are part of
+   the join, so that unlinked copies of one text do not meet each other. For the groups
+   found, the whole overlap with the union is counted, and only those that reach the
+   needed number are opened.
 5. An opened group is first compared by its first class. Where that links, the
    groups merge. Only queries whose group is still apart from the opened one are
    compared with all its members. Every comparison intersects whole sets.
@@ -165,7 +167,9 @@ def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     # a link needs both its ends among these, so the others leave the matrix as well
     runs = store(runs.join(enough, "cls"), "runs")
     matrix = store(runs.select("run", "grp").distinct(), "matrix")
-    sizes = runs.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # a set of m runs, of which only so many occur in other groups, links to none of more runs than its reach
+    reach = F.floor(F.col("across") * (100 + percent) / percent) - F.col("n")
+    sizes = runs.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(reach).alias("reach"))
     spread = matrix.groupBy("run").agg(F.count("*").alias("spread"))
     # runs in one group only, and those left out above, count among the first ones
     needed = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
@@ -174,9 +178,8 @@ def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     first = (F.col("across") - needed + 1).cast("int")
     asked = ordered.select("cls", "n", "grp", F.explode(F.slice("runs", F.lit(1), first)).alias("x")).where("x.spread > 1").select("cls", "n", "grp", F.col("x.run").alias("run"))
     other = matrix.withColumnRenamed("grp", "other")
-    found = asked.join(other, "run").where("grp <> other").select("cls", "n", "other").distinct().join(sizes, "other")
-    fitting = (F.col("high") >= F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    found = store(found.where(fitting).select("cls", "n", "other"), "found")
+    fitting = (F.col("grp") != F.col("other")) & (F.col("n") <= F.least("high", "reach")) & (percent * F.col("low") <= 100 * F.col("n"))
+    found = store(asked.join(other.join(sizes, "other"), "run").where(fitting).select("cls", "n", "other").distinct(), "found")
     whole = runs.select("cls", "run").join(small(found, BROADCAST_IDS), "cls")
     counted = whole.join(other, ["run", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("bound"))
     return store(counted.where(F.col("bound") >= needed).select("cls", "n", "other"), "opened")
