@@ -43,13 +43,15 @@ def apply_changes(
     batch: str = "",
     extractor=None,
     encoder=None,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Load, chunk, embed and store the changed paths of ``diff`` as one run.
 
     ``corpus`` holds the contents. A new file that fails to load is not
     recorded, so it is new again next time. A modified file that fails loses its
-    chunks and keeps its manifest entry, so it stays modified. Returns the run's
-    ``(status, n, loaded)``.
+    chunks and keeps its manifest entry, so it stays modified. ``seen`` holds the versions
+    ``(file_path, op, content_hash, modified_at)`` that a stream has handled with this run.
+    Returns the run's ``(status, n, loaded)``.
     """
     # The comparison is stored before anything else: the steps below, and a retry
     # of any of them, work on one recorded set of paths.
@@ -57,7 +59,7 @@ def apply_changes(
     now = datetime.now(timezone.utc) if now is None else now
     state.write("diff", run, diff.filter(F.col("status") != "unchanged"))
     diff = state.read_run("diff", run)
-    if diff.isEmpty():
+    if diff.isEmpty() and (seen is None or seen.isEmpty()):
         return ingest_report(diff).withColumn("loaded", F.lit(0).cast("bigint"))
     changed = diff.filter(F.col("status").isin("new", "modified"))
     everything = corpus.rows() if isinstance(corpus, Folder) else corpus
@@ -84,10 +86,17 @@ def apply_changes(
         .when(F.col("status") == "modified", "drop_chunks")
     )
     log = outcome.withColumn("op", op).filter(F.col("op").isNotNull())
-    state.write("log", run, log.select(
+    none = F.lit(None).cast("string")
+    entries = log.select(
         "file_path", "op", "content_hash", F.col("modified_at").alias("last_modified"),
-        F.lit(now).alias("created_at"), (F.col("status") != "new").alias("supersedes"),
-    ))
+        F.lit(now).alias("created_at"), (F.col("status") != "new").alias("supersedes"), none.alias("version_op"),
+    )
+    if seen is not None:
+        entries = entries.unionByName(seen.select(
+            "file_path", F.lit("seen").alias("op"), "content_hash", F.col("modified_at").alias("last_modified"),
+            F.lit(None).cast("timestamp").alias("created_at"), F.lit(False).alias("supersedes"), F.col("op").alias("version_op"),
+        ))
+    state.write("log", run, entries)
     failed = outcome.filter((F.col("status") != "deleted") & ~F.col("loaded"))
     state.write("quarantine", run, quarantine(load_documents(_only(corpus, failed), extractor, texts=False)))
     state.commit(run, batch, width=width)

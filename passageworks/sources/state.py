@@ -5,8 +5,8 @@ A collection is a folder of append-only Parquet tables, one sub-folder
 
 * ``vectors``: chunk rows with the word counts of their hashed vector, or with the
   vector of an outside encoder,
-* ``log``: what a run did to each path it touched (``upsert``, ``delete`` or
-  ``drop_chunks``) with the new manifest values,
+* ``log``: what a run did to each path it touched (``upsert``, ``delete``, ``drop_chunks``, or
+  ``seen`` for a version that changed nothing) with the new manifest values,
 * ``diff``, ``quarantine``: the run's comparison result and failed files,
 * ``counters``: by how much the run changed the document frequency of each bucket,
 * ``commits``: one row per finished run, written last, with the oldest run whose
@@ -43,6 +43,7 @@ LOG = T.StructType([
     T.StructField("last_modified", T.TimestampType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("supersedes", T.BooleanType()),
+    T.StructField("version_op", T.StringType()),
 ])
 QUARANTINE = T.StructType([
     T.StructField("file_path", T.StringType()), T.StructField("load_error", T.StringType()),
@@ -113,7 +114,7 @@ class Collection:
 
     def _last_entries(self) -> DataFrame:
         """The last log entry per path that says whether it is tracked."""
-        log = self._committed("log", LOG).filter(F.col("op") != "drop_chunks")
+        log = self._committed("log", LOG).filter(~F.col("op").isin("drop_chunks", "seen"))
         row = F.struct("op", "content_hash", "last_modified", "created_at")
         return log.groupBy("file_path").agg(F.max_by(row, "ingest").alias("row")).select("file_path", "row.*")
 
@@ -122,9 +123,14 @@ class Collection:
         return self._last_entries().filter(F.col("op") == "upsert").drop("op")
 
     def last_seen(self) -> DataFrame:
-        """``(file_path, seen_at)``: the time of the newest version handled per path, deletions included."""
+        """``(file_path, seen)``: the newest version handled per path, as ``(modified_at, op, content_hash)``.
+
+        Deletions and versions that changed nothing count.
+        """
         log = self._committed("log", LOG).filter(F.col("last_modified").isNotNull())
-        return log.groupBy("file_path").agg(F.max("last_modified").alias("seen_at"))
+        op = F.coalesce("version_op", F.when(F.col("op") == "delete", "delete").otherwise("upsert"))
+        version = F.struct(F.col("last_modified").alias("modified_at"), op.alias("op"), "content_hash")
+        return log.groupBy("file_path").agg(F.max(version).alias("seen"))
 
     def vectors(self) -> DataFrame:
         """Live chunk rows with their vectors; hashed ones by the weights of the whole live collection."""
@@ -159,7 +165,7 @@ class Collection:
         self.count(run, replaced)
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in LOG.fields[2:5]]
         self.write("log", run, replaced.select("file_path").distinct().select(
-            "file_path", F.lit("drop_chunks").alias("op"), *none, F.lit(True).alias("supersedes")
+            "file_path", F.lit("drop_chunks").alias("op"), *none, F.lit(True).alias("supersedes"), F.lit(None).cast("string").alias("version_op")
         ))
         self.commit(run)
 
@@ -192,12 +198,13 @@ class Collection:
         run = self.last_run() + 1
         self.write("vectors", run, self.stored())
         # the newest time seen stays, so that late versions stay late
-        entries = self._last_entries().join(self.last_seen(), "file_path")
-        self.write("log", run, entries.select(
-            "file_path", "op", "content_hash",
-            F.when(F.col("op") == "delete", F.col("seen_at")).otherwise(F.col("last_modified")).alias("last_modified"),
-            "created_at", F.lit(False).alias("supersedes"),
-        ))
+        kept = self._last_entries().withColumn("supersedes", F.lit(False)).withColumn("version_op", F.lit(None).cast("string"))
+        none = F.lit(None).cast("timestamp")
+        seen = self.last_seen().select(
+            "file_path", F.lit("seen").alias("op"), "seen.content_hash", F.col("seen.modified_at").alias("last_modified"),
+            none.alias("created_at"), F.lit(False).alias("supersedes"), F.col("seen.op").alias("version_op"),
+        )
+        self.write("log", run, kept.select(LOG.fieldNames()).unionByName(seen))
         self.write("quarantine", run, self.quarantine())
         self.write("counters", run, self._counters().select(COUNTERS.fieldNames()).coalesce(1))
         self.commit(run, base=run)
@@ -211,7 +218,7 @@ class Collection:
         last = self._committed("quarantine", QUARANTINE).groupBy("file_path").agg(
             F.max_by("load_error", "ingest").alias("load_error"), F.max("ingest").alias("_failed")
         )
-        log = self._committed("log", LOG).filter(F.col("op") != "drop_chunks")
+        log = self._committed("log", LOG).filter(~F.col("op").isin("drop_chunks", "seen"))
         done = log.groupBy(F.col("file_path").alias("_path")).agg(F.max("ingest").alias("_done"))
         settled = (F.col("file_path") == F.col("_path")) & (F.col("_done") > F.col("_failed"))
         return last.join(done, settled, "left_anti").select("file_path", "load_error")

@@ -21,12 +21,16 @@ def budget_controller_stream(
     order: list[str],
     value: str,
     options: AdaptiveOptions = AdaptiveOptions(),
+    delay: str = "1 hour",
 ) -> DataFrame:
     """Streaming ``(key, n, ema, budget)``, one row per key and micro-batch.
 
-    ``order`` is a timestamp and a number. State per key is three numbers. Events
-    of a key are put in order within a micro-batch, so a group is bounded by the
-    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``; set one of them.
+    ``order`` is a timestamp and a number. Events that are not older than the watermark, which
+    follows the latest event by ``delay``, wait in a buffer in event-time order; older ones are folded
+    for good into three numbers. A row shows the state after the buffered events too. So the
+    result does not depend on how the log is cut into batches, as long as no event is later than
+    ``delay``; one that is counts as the next after those folded. State per key is bounded by the events
+    of one ``delay``, and a group by the source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``; set one of them.
     Events without a number are left out. Use update output mode and keep the row
     with the largest ``n``.
     """
@@ -37,22 +41,31 @@ def budget_controller_stream(
         T.StructField("ema", T.DoubleType()),
         T.StructField("budget", T.IntegerType()),
     ])
-    state_type = T.StructType(output.fields[1:])
+    waiting = [T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(T.LongType())), T.StructField("x", T.ArrayType(T.DoubleType()))]
+    state_type = T.StructType([*output.fields[1:], *waiting])
+
+    def after(folded: tuple, x: np.ndarray) -> tuple:
+        if not len(x):
+            return folded
+        n, ema, budget = folded
+        passed = averages(x.tolist(), ema, steps.alpha)
+        return n + len(passed), passed[-1], int(steps.after(budget - steps.low, passed)) + steps.low
 
     def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, ema, budget = state.get if state.exists else (0, None, options.start_tokens)
-        cols = [[p[c].to_numpy() for c in ("_at", "_tie", "_x")] for p in parts]
-        at, tie, x = (np.concatenate(c) for c in zip(*cols))
-        passed = averages(x[np.lexsort((tie, at))].tolist(), ema, steps.alpha)
-        budget = int(steps.after(budget - steps.low, passed)) + steps.low
-        n, ema = n + len(passed), passed[-1]
-        state.update((n, ema, budget))
-        yield pd.DataFrame([(*group, n, ema, budget)], columns=output.names)
+        n, ema, budget, *held = state.get if state.exists else (0, None, options.start_tokens, [], [], [])
+        cols = [[p[c].to_numpy() for p in parts_] for parts_ in [list(parts)] for c in ("_at", "_tie", "_x")]
+        at, tie, x = (np.concatenate([np.asarray(h, c[0].dtype), *c]) for h, c in zip(held, cols))
+        placed = np.lexsort((tie, at))
+        at, tie, x = at[placed], tie[placed], x[placed]
+        done = int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000))
+        folded = after((n, ema, budget), x[:done])
+        state.update((*folded, at[done:].tolist(), tie[done:].tolist(), x[done:].tolist()))
+        yield pd.DataFrame([(*group, *after(folded, x[done:]))], columns=output.names)
 
     # whole microseconds keep the order exact in Python
-    at = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    rows = measured(events, value).select(
-        key, at.alias("_at"), F.col(order[1]).alias("_tie"), F.col(value).cast("double").alias("_x")
+    when = F.col(order[0]).cast("timestamp")
+    rows = measured(events, value).withColumn("_when", when).withWatermark("_when", delay).select(
+        key, "_when", F.unix_micros("_when").alias("_at"), F.col(order[1]).cast("long").alias("_tie"), F.col(value).cast("double").alias("_x")
     )
     return rows.groupBy(key).applyInPandasWithState(
         fold, output, state_type, "update", GroupStateTimeout.NoTimeout

@@ -37,12 +37,14 @@ def _version() -> Column:
 def version_diff(latest: DataFrame, manifest: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Status of each path of a batch of latest versions against the manifest.
 
-    ``seen`` holds the time of the newest version handled per path; versions older
-    than that arrive late and change nothing.
+    ``seen`` holds the newest version handled per path; versions that come before it,
+    in the order of ``latest_versions``, arrive late and are left out. So the result does not depend on
+    how versions are cut into batches.
     """
     last = manifest.select("file_path", F.col("content_hash").alias("last_hash"))
     if seen is not None:
-        latest = latest.join(seen, "file_path", "left").filter("seen_at IS NULL OR modified_at >= seen_at").drop("seen_at")
+        version = F.struct("modified_at", "op", "content_hash")
+        latest = latest.join(seen, "file_path", "left").filter(F.col("seen").isNull() | (version > F.col("seen"))).drop("seen")
     status = (
         F.when((F.col("op") == "delete") & F.col("last_hash").isNull(), "unchanged")
         .when(F.col("op") == "delete", "deleted")
@@ -51,7 +53,7 @@ def version_diff(latest: DataFrame, manifest: DataFrame, seen: DataFrame | None
         .otherwise("unchanged")
     )
     return latest.join(last, "file_path", "left").select(
-        "file_path", "content_hash", "last_hash", "modified_at", status.alias("status")
+        "file_path", "op", "content_hash", "last_hash", "modified_at", status.alias("status")
     )
 
 
@@ -84,7 +86,7 @@ def streaming_ingest(
         chosen = hashed.join(changed, ["file_path", "modified_at", "content_hash"], "left_semi")
         state.write("contents", run, chosen.dropDuplicates(["file_path"]))
         contents = state.place("contents", run)
-        apply_changes(state, diff, state.read_run("contents", run), options, batch=name, extractor=extractor, encoder=encoder)
+        apply_changes(state, diff, state.read_run("contents", run), options, batch=name, extractor=extractor, encoder=encoder, seen=diff)
         delete_path(batch.sparkSession, contents)
 
     return (

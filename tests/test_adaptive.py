@@ -170,6 +170,27 @@ def test_stream_equals_batch(spark, tmp_path):
     check(latest_budgets(spark.read.parquet(str(out)), "key"), uncut(spark, rows))
 
 
+def test_any_split_of_the_log_gives_the_same_budgets(spark, tmp_path):
+    """Events up to an hour late, in batches cut anywhere."""
+    rng = random.Random(17)
+    rows = [(rng.randrange(3), START + dt.timedelta(minutes=i), i, rng.choice([0.5, 3.9, 4.4, 9.0]) * rng.random()) for i in range(300)]
+    arrival = sorted(rows, key=lambda r: r[2] + rng.randrange(50))
+    for nth, cuts in enumerate(([300], [7, 100, 193])):
+        feed, out, at = tmp_path / f"feed{nth}", tmp_path / f"out{nth}", 0
+        feed.mkdir()
+        for part, size in enumerate(cuts):
+            made = tmp_path / f"made{nth}-{part}"
+            spark.createDataFrame(arrival[at:at + size], SCHEMA).coalesce(1).write.parquet(str(made))
+            for f in made.glob("*.parquet"):
+                (feed / f"{part}.parquet").write_bytes(f.read_bytes())
+            at += size
+            stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(feed))
+            budget_controller_stream(stream, "key", ["ts", "id"], "value", delay="2 hours").writeStream.outputMode("update").foreachBatch(
+                lambda b, n, out=out: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
+            ).option("checkpointLocation", str(tmp_path / f"cp{nth}")).trigger(availableNow=True).start().awaitTermination()
+        check(latest_budgets(spark.read.parquet(str(out)), "key"), uncut(spark, rows))
+
+
 def test_question_intake(spark):
     turns = [(1, 0, "  hello \n"), (1, 1, "　 "), (1, 2, " EXIT "), (1, 3, "late"), (2, 0, "exit now"), (2, 1, "Quit")]
     df = spark.createDataFrame(turns, "session_id LONG, turn INT, text STRING")

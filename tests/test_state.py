@@ -197,6 +197,25 @@ def test_late_and_tied_versions(spark, tmp_path):
     assert not os.path.exists(f"{where}/contents/ingest=1") or not os.listdir(f"{where}/contents/ingest=1")
 
 
+def test_any_split_of_a_log_gives_the_same_collection(spark, tmp_path):
+    """Late versions, equal times and versions that change nothing, in one batch or one by one."""
+    schema = "file_path STRING, op STRING, content BINARY, modified_at TIMESTAMP"
+    text = lambda t: bytearray(t.encode())
+    log = [
+        ("/a.txt", "upsert", text("one"), T1), ("/a.txt", "upsert", text("two"), T2), ("/a.txt", "upsert", text("one"), T3),
+        ("/b.txt", "upsert", text("x"), T2), ("/b.txt", "upsert", text("y"), T2), ("/b.txt", "delete", None, T2),
+        ("/c.txt", "delete", None, T3), ("/c.txt", "upsert", text("gone"), T2),
+    ]
+    found = set()
+    for nth, batches in enumerate(([log], [log[:3][::-1] + log[3:5], log[5:]], [[v] for v in log[::-1]])):
+        feed, where = tmp_path / f"log{nth}", str(tmp_path / f"c{nth}")
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(feed))
+            streaming_ingest(spark, spark.readStream.schema(schema).parquet(str(feed)), where, str(tmp_path / f"cp{nth}")).awaitTermination()
+        found.add(tuple(sorted((r.file_path, r.text) for r in state.Collection(spark, where).chunks().collect())))
+    assert len(found) == 1 and [p for p, _ in next(iter(found))] == ["/a.txt", "/b.txt"]
+
+
 def test_empty_collection(spark, tmp_path):
     where = str(tmp_path / "none")
     assert state.read_manifest(spark, where).count() == 0
