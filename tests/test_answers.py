@@ -1,5 +1,3 @@
-import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,48 +6,39 @@ from passageworks.functions import answers as fa
 from passageworks.functions.text import sentences, strip
 from passageworks.operators import answering
 
+#: Generated texts with the answer and the refusal that they stand for.
 GENERATED = [
-    '{"answer": "Paris", "no_answer": false}',
-    'Sure. {"answer": "  Paris \\n", "no_answer": false} Bye.',
-    '{"answer": "a"} and {"answer": "b", "no_answer": false}',
-    '{"answer": "only"}',
-    '{"answer": "x", "no_answer": "false"}',
-    '{"answer": null, "no_answer": 0}',
-    '{"answer": "null", "no_answer": null}',
-    '{"answer": true, "no_answer": 0.0}',
-    '{"answer": 42, "no_answer": {}}',
-    '{"answer": 2.5, "no_answer": [0]}',
-    '{"answer": "x", "no_answer": ""}',
-    '{"answer": "x", "no_answer": false}, {"y": 1}',
-    '[{"answer": "x", "no_answer": true}]',
-    "plain text answer",
-    "  [no_answer] sorry",
-    "x", "", " 　 ", "{}", "{broken",
-    '{"answer": "line\\nbreak é", "no_answer": true}',
-    '{\n "answer": "multi",\n "no_answer": false\n}',
+    ('{"answer": "Paris", "no_answer": false}', "Paris", False),
+    ('Sure. {"answer": "  Paris \\n", "no_answer": false} Bye.', "Paris", False),
+    # two objects are no object: the text itself is the answer
+    ('{"answer": "a"} and {"answer": "b", "no_answer": false}', '{"answer": "a"} and {"answer": "b", "no_answer": false}', False),
+    ('{"answer": "x", "no_answer": false}, {"y": 1}', '{"answer": "x", "no_answer": false}, {"y": 1}', False),
+    ('{"answer": "only"}', '{"answer": "only"}', False),
+    # what counts as a refusal: true, and anything that is not empty or zero
+    ('{"answer": "x", "no_answer": "false"}', "x", True),
+    ('{"answer": "x", "no_answer": ""}', "x", False),
+    ('{"answer": "null", "no_answer": null}', "null", False),
+    ('{"answer": true, "no_answer": 0.0}', "True", False),
+    ('{"answer": 42, "no_answer": {}}', "42", False),
+    ('{"answer": 2.5, "no_answer": [0]}', "2.5", True),
+    ('{"answer": null, "no_answer": 0}', "None", False),
+    ('[{"answer": "x", "no_answer": true}]', "x", True),
+    ("plain text answer", "plain text answer", False),
+    ("  [no_answer] sorry", "", True),
+    ("x", "", True),
+    ("", "", True),
+    (" \u3000 ", "", True),
+    ("{}", "{}", False),
+    ("{broken", "{broken", False),
+    ('{"answer": "line\\nbreak é", "no_answer": true}', "line\nbreak é", True),
+    ('{\n "answer": "multi",\n "no_answer": false\n}', "multi", False),
 ]
 
 
-def by_rule(text):
-    """Independent statement of the parsing rule."""
-    match = re.search(r"\{.*\}", text, re.S)
-    if match:
-        try:
-            data = json.loads(match[0])
-        except ValueError:
-            data = None
-        if isinstance(data, dict) and {"answer", "no_answer"} <= set(data):
-            return str(data["answer"]).strip(), bool(data["no_answer"])
-    text = text.strip()
-    if len(text) < 2 or "[NO_ANSWER]" in text.upper():
-        return "", True
-    return text, False
-
-
 def test_parse_generated(spark):
-    df = spark.createDataFrame([(g,) for g in GENERATED], "generated STRING")
+    df = spark.createDataFrame([(i, g) for i, (g, _, _) in enumerate(GENERATED)], "i INT, generated STRING")
     for row in answering.post_process(df).collect():
-        assert (row.answer, row.no_answer) == by_rule(row.generated), row.generated
+        assert (row.answer, row.no_answer) == GENERATED[row.i][1:], row.generated
 
 
 def test_duplicate_keys_fall_back_to_text(spark):
