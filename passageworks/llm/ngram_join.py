@@ -29,8 +29,8 @@ row, the least id that can be reached over links, itself included.
    sets of ``n`` and ``m`` runs need ``percent / (100 + percent)`` of ``n + m`` in common, so a set of which few runs
    occur elsewhere links to small sets only: sizes and this reach of the groups are part of
    the join, so that unlinked copies of one text do not meet each other. For the groups
-   found, the whole overlap with the union is counted, and only those that reach the
-   needed number are opened.
+   found that have several members, the whole overlap with the union is counted, and only
+   those that reach the needed number are opened; a single class is opened at once.
 5. An opened group is first compared by its first class. Where that links, the
    groups merge. Only queries whose group is still apart from the opened one are
    compared with all its members. Every comparison intersects whole sets.
@@ -169,7 +169,7 @@ def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     matrix = store(runs.select("run", "grp").distinct(), "matrix")
     # a set of m runs, of which only so many occur in other groups, links to none of more runs than its reach
     reach = F.floor(F.col("across") * (100 + percent) / percent) - F.col("n")
-    sizes = runs.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(reach).alias("reach"))
+    sizes = runs.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(reach).alias("reach"), (F.min("cls") == F.max("cls")).alias("alone"))
     spread = matrix.groupBy("run").agg(F.count("*").alias("spread"))
     # runs in one group only, and those left out above, count among the first ones
     needed = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
@@ -179,10 +179,13 @@ def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     asked = ordered.select("cls", "n", "grp", F.explode(F.slice("runs", F.lit(1), first)).alias("x")).where("x.spread > 1").select("cls", "n", "grp", F.col("x.run").alias("run"))
     other = matrix.withColumnRenamed("grp", "other")
     fitting = (F.col("grp") != F.col("other")) & (F.col("n") <= F.least("high", "reach")) & (percent * F.col("low") <= 100 * F.col("n"))
-    found = store(asked.join(other.join(sizes, "other"), "run").where(fitting).select("cls", "n", "other").distinct(), "found")
-    whole = runs.select("cls", "run").join(small(found, BROADCAST_IDS), "cls")
+    found = store(asked.join(other.join(sizes, "other"), "run").where(fitting).select("cls", "n", "other", "alone").distinct(), "found")
+    # the union of a single class is its set, which is compared as a whole anyway
+    several = found.where(~F.col("alone")).drop("alone")
+    whole = runs.select("cls", "run").join(small(several, BROADCAST_IDS), "cls")
     counted = whole.join(other, ["run", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("bound"))
-    return store(counted.where(F.col("bound") >= needed).select("cls", "n", "other"), "opened")
+    within = counted.where(F.col("bound") >= needed).select("cls", "n", "other")
+    return store(within.unionByName(found.where("alone").drop("alone")), "opened")
 
 
 def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -247,7 +250,10 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id."""
+    """``docs`` without the rows whose component has a smaller id.
+
+    Ids are keys: of rows that share an id, all go if one of them does, and a row without an id stays.
+    """
     gone = joined.where("id <> component").select(F.col("id").alias("_gone")).distinct()
     gone = store(gone, "gone")
     return docs.join(small(gone, BROADCAST_IDS), F.col(id_col) == F.col("_gone"), "left_anti")
