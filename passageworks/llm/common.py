@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from functools import reduce
+from types import ModuleType
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fits, scratch_dir
 
+T = TypeVar("T")
+
 #: The white space that separates words, as a character class of a pattern.
 SPACE = r"\x20\x09-\x0D"
 
@@ -29,6 +35,20 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def per_worker(key: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once per Python worker process and shared by its tasks.
+
+    For models and caches of bounded size that do not change results. ``key`` names the model's
+    content and parameters. A worker keeps the last few.
+    """
+    held = sys.modules.setdefault("_passageworks_worker", ModuleType("_passageworks_worker")).__dict__.setdefault("held", {})
+    if key not in held:
+        while len(held) >= 3:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
 def fold(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 

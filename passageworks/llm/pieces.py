@@ -43,6 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 MARK = "▁"
 K, ALPHA, SEED = 2, 1.0, 1
 #: Code points up to this one (but the last, which stands for a blank) have a table of steps.
@@ -421,11 +423,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     worker needs no second vocabulary and moves no texts.
     """
     with open(model_path, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        model = file.read()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = f"pieces-{xxhash.xxh64_hexdigest(model)}-{alpha}"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value, alpha)
-        units = Units(vocabulary)
+        units = per_worker(name, lambda: Units(Vocabulary(shared.value, alpha)))
+        vocabulary = units.vocabulary
         kind = np.dtype("<u2" if len(vocabulary.texts) <= 1 << 16 else "<u4")
         sample = pa.struct([("ids", pa.binary()), ("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("key", pa.float64()), ("score", pa.float64())])
 

@@ -29,10 +29,13 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 BLOCK = 128
 #: Share of a block's values that must fit into the packed width.
 PERCENTILE = 0.9
@@ -201,13 +204,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+        text = file.read()
+    shared = spark.sparkContext.broadcast(text)
+    name = f"token-files-{xxhash.xxh64_hexdigest(text)}-{end_id}"
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder = WordEncoder(Tokenizer.from_str(shared.value), end_id)
+        encoder = per_worker(name, lambda: WordEncoder(Tokenizer.from_str(shared.value), end_id))
         shard, segment = TaskContext.get().partitionId(), 0
         ids, parts, held = [], [], 0
 
