@@ -66,7 +66,8 @@ def pack(ids: np.ndarray) -> bytes:
     lowest = padded.min(1)
     rest = padded - lowest[:, None]
     need = widths(rest)
-    width = np.sort(need, 1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1].astype(np.int64)
+    nth = int(np.ceil(PERCENTILE * BLOCK)) - 1
+    width = np.partition(need, nth, axis=1)[:, nth].astype(np.int64)
     out = need > width[:, None]
     n_out = out.sum(1)
     size = 6 + width * (BLOCK // 8) + 5 * n_out
@@ -79,7 +80,8 @@ def pack(ids: np.ndarray) -> bytes:
     kept = np.where(out, 0, rest).astype(np.uint32)
     for w in np.unique(width[width > 0]):
         which = np.flatnonzero(width == w)
-        bits = np.unpackbits(kept[which].astype("<u4").view(np.uint8).reshape(len(which), BLOCK, 4), axis=2, bitorder="little")
+        kind = np.dtype("<u2" if w <= 16 else "<u4")
+        bits = np.unpackbits(kept[which].astype(kind).view(np.uint8).reshape(len(which), BLOCK, kind.itemsize), axis=2, bitorder="little")
         packed = np.packbits(bits[:, :, :w].reshape(len(which), -1), axis=1, bitorder="little")
         body[start[which][:, None] + 6 + np.arange(packed.shape[1])] = packed
     row, place = np.nonzero(out)
@@ -110,9 +112,10 @@ def unpack(payload: bytes, block: int | None = None) -> np.ndarray:
     for w in np.unique(width[width > 0]):
         which = np.flatnonzero(width == w)
         packed = body[start[which][:, None] + 6 + np.arange(w * (BLOCK // 8))]
-        bits = np.zeros((len(which), BLOCK, 32), np.uint8)
+        kind = np.dtype("<u2" if w <= 16 else "<u4")
+        bits = np.zeros((len(which), BLOCK, 8 * kind.itemsize), np.uint8)
         bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, w)
-        rest[which] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        rest[which] = np.packbits(bits, axis=2, bitorder="little").view(kind)[:, :, 0]
     if n_out.any():
         row = np.repeat(np.arange(len(chosen)), n_out)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n_out) - n_out, n_out)
