@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import bind
-from .common import SPACE, words
+from .common import SPACE, store, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of a stratum's good documents that all rules may reject, and the chance to be wrong.
@@ -182,6 +182,6 @@ def apply_cutoffs(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "l
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``docs`` with its counts, ``base_failed`` and ``kept``; texts are measured twice, not shuffled."""
-    measured = measure(docs, text_col)
+    """``docs`` with its counts, ``base_failed`` and ``kept``; texts are measured once, stored with their counts and not shuffled."""
+    measured = store(measure(docs, text_col), "measured")
     return apply_cutoffs(measured, certified_cutoffs(measured, labels, risk, error, id_col, stratum_col), stratum_col)
