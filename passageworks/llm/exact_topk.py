@@ -4,7 +4,7 @@ A vector's components are cut into ``lists`` runs of neighbours, stored as colum
 their own. The score of a row is the sum of its partial scores in the lists, as if
 each list lived on another machine; a phase reads one list at a time.
 
-1. *Gather.* Each list names its ``k`` best rows per query by partial score. Their
+1. *Gather.* Each list names its ``DEPTH * k`` best rows per query by partial score. Their
    whole scores are resolved; the ``k``-th best of them is a score that the answer must
    reach: ``tau``.
 2. *Cut.* A row whose partial scores all lie below ``tau / lists`` has a score below
@@ -43,6 +43,8 @@ SCORES = "query_id long, rank int, vec_id long, score long"
 ENTRY = "_q long, _v long, list int, partial long"
 #: Below every score.
 LOWEST = -(1 << 62)
+#: Times ``k`` that each list names in the first phase; the more, the nearer the cutoff is to the ``k``-th best score.
+DEPTH = 12
 
 
 def _cuts(width: int, lists: int) -> list[tuple[int, int]]:
@@ -159,9 +161,10 @@ def exact_topk(
     asked = store(_with_runs(asked, cuts), "topk-queries")
 
     # phase 1: each list's best, resolved, give the cutoff
-    local = _entries(rows, asked, lists, slices, blocks, cuts, k)
+    deep = DEPTH * k
+    local = _entries(rows, asked, lists, slices, blocks, cuts, deep)
     place = F.row_number().over(Window.partitionBy("_q", "list").orderBy(F.desc("partial"), "_v"))
-    first = local.withColumn("place", place).where(f"place <= {k}").drop("place")
+    first = local.withColumn("place", place).where(f"place <= {deep}").drop("place")
     tau = _kth(_resolved(_known(first, lists), rows, asked, lists), k, "tau")
     # a query with fewer than k rows to choose from takes all of them
     cut = store(asked.join(tau, "_q", "left").withColumn("tau", F.coalesce("tau", F.lit(LOWEST))), "topk-cutoffs")
