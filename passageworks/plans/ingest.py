@@ -62,8 +62,11 @@ def apply_changes(
     if diff.isEmpty() and (seen is None or seen.isEmpty()):
         return ingest_report(diff).withColumn("loaded", F.lit(0).cast("bigint"))
     changed = diff.filter(F.col("status").isin("new", "modified"))
-    everything = corpus.rows() if isinstance(corpus, Folder) else corpus
-    loaded = load_documents(everything if run == 1 else _only(corpus, changed), extractor)
+    if run == 1:
+        read = corpus.rows() if isinstance(corpus, Folder) else corpus
+    else:
+        read = _only(corpus, changed)
+    loaded = load_documents(read, extractor)
     chunks = chunk_text(
         loaded, chunk_size=options.chunk_size, overlap=options.chunk_overlap
     )
@@ -118,10 +121,12 @@ def incremental_ingest(
     """Bring the collection at ``state_dir`` in line with ``corpus``.
 
     Only hashes take part in the comparison; contents are read again for changed
-    paths alone, and of a ``Folder`` no other file is opened for that. Without changes
+    paths alone, and of a ``Folder``, which is listed once, no other file is opened for that. Without changes
     nothing is committed.
     """
     state = Collection(spark, state_dir)
+    if isinstance(corpus, Folder):
+        corpus = corpus.listed()
     rows = corpus.rows() if isinstance(corpus, Folder) else corpus
     diff = snapshot_diff(listing(rows), state.manifest(), root)
     return apply_changes(state, diff, corpus, options, now, "", extractor, encoder)

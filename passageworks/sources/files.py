@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,49 @@ def scan_corpus(spark: SparkSession, root: str | list[str], glob: str | None = N
     )
 
 
+#: Tasks that write single files.
+WRITERS = 200
+
+
+def _reachable(place: str) -> bool:
+    """True if ``place`` is in a store that Arrow opens as well as Spark."""
+    try:
+        fs.FileSystem.from_uri(place)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def write_files(texts: DataFrame, place: str, keys: list[str], text: str = "text") -> None:
+    """One text file per value of the columns ``keys``, below a folder ``key=value`` for each, one line per row.
+
+    The folders are those of Spark's partitioned writer, which is used where Arrow cannot open the
+    store. For a file of one row that writer costs some tens of milliseconds on a local disk. Files are
+    named after their folder alone, so a repeated task writes the same ones.
+    """
+    texts = texts.select(*keys, F.col(text).cast("string").alias(text))
+    dealt = texts.repartition(WRITERS, keys[0])
+    if not _reachable(place):
+        dealt.write.partitionBy(*keys).text(place)
+        return
+    folder = F.concat_ws("/", *(F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for k in keys))
+    lines = dealt.select(folder.alias("folder"), F.coalesce(F.col(text), F.lit("")).alias("line")).sortWithinPartitions("folder", "line")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(place)
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        files = 0
+        for where, group in groupby(rows, key=lambda r: r[0]):
+            store.create_dir(f"{root}/{where}", recursive=True)
+            with store.open_output_stream(f"{root}/{where}/lines.txt") as out:
+                for _, line in group:
+                    out.write(f"{line}\n".encode())
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    lines.mapInArrow(save, "files BIGINT").agg(F.sum("files")).collect()
+
+
 #: Changed files up to which a folder is read by path instead of as a whole.
 PATHS = 10_000
 
@@ -40,9 +87,16 @@ class Folder:
 
     def __init__(self, spark: SparkSession, root: str, glob: str | None = None):
         self.spark, self.root, self.glob = spark, root, glob
+        self._rows: DataFrame | None = None
 
     def rows(self) -> DataFrame:
-        return scan_corpus(self.spark, self.root, self.glob)
+        return scan_corpus(self.spark, self.root, self.glob) if self._rows is None else self._rows
+
+    def listed(self) -> Folder:
+        """The folder with the files that it has now, listed once; contents are read when asked for."""
+        now = Folder(self.spark, self.root, self.glob)
+        now._rows = self.rows()
+        return now
 
     def only(self, paths: DataFrame) -> DataFrame:
         """The files of the given ``file_path`` rows.

@@ -173,3 +173,23 @@ def test_history(spark, tmp_path):
         history.write_history(pairs, where, F.to_date(F.lit(day)))
     counts = {str(r.day): r["count"] for r in history.read_history(spark, where).groupBy("day").count().collect()}
     assert counts == {"2024-01-02": 1, "2024-01-03": 2}
+
+
+def test_single_files_lie_in_shared_folders_and_are_listed_once(spark, tmp_path, monkeypatch):
+    rows = [(n, f"{n % 100}", f"text {n}") for n in (1, 101, 203)] + [(7, "7", "b"), (7, "7", "a"), (8, "8", None)]
+    texts = spark.createDataFrame(rows, "doc_id LONG, shelf STRING, text STRING")
+    for place in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        files.write_files(texts, place, ["shelf", "doc_id"])
+        read = {r["file_path"].split(place.split("/")[-1] + "/", 1)[1].rsplit("/", 1)[0]: bytes(r["content"]) for r in files.scan_corpus(spark, place).collect()}
+        assert read == {
+            "shelf=1/doc_id=1": b"text 1\n", "shelf=1/doc_id=101": b"text 101\n", "shelf=3/doc_id=203": b"text 203\n",
+            "shelf=7/doc_id=7": b"a\nb\n", "shelf=8/doc_id=8": b"\n",
+        }
+
+    from passageworks.plans.ingest import incremental_ingest
+
+    listings, scan = [], files.scan_corpus
+    monkeypatch.setattr(files, "scan_corpus", lambda spark, root, glob=None: listings.append(root) or scan(spark, root, glob))
+    for _ in range(2):
+        incremental_ingest(spark, files.Folder(spark, str(tmp_path / "a")), str(tmp_path / "state"))
+    assert listings == [str(tmp_path / "a")] * 2
