@@ -277,7 +277,7 @@ def markdown_html(spark, sf):
         F.lit("*\n    - two\n- three\n\nKinds\n-----\n\n1. [to](http://x/p_"), "p_partkey", F.lit("_q)\n2. ![pic](i.png)\n\n```sql\n# "), "p_name",
         F.lit(" *not* <read>\n```\n<div>\n*raw* "), "p_name", F.lit("\n</div>\n\n> said "), "p_brand", F.lit("\n\n***\n\n    kept <as> is"),
     )
-    parts = table(spark, sf, "part")
+    parts = spread(table(spark, sf, "part"))
     return parts.select("p_partkey", markdown.markdown_html(text).alias("html"))
 
 

@@ -24,3 +24,13 @@ def test_query(spark, con, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 40
+
+
+def test_a_small_table_of_parts_is_rendered_by_several_tasks(spark, tmp_path):
+    from passageworks.plans import queries
+
+    rows = [(n, f"part {n}", "BRAND", "KIND", n % 50) for n in range(100)]
+    spark.createDataFrame(rows, "p_partkey LONG, p_name STRING, p_brand STRING, p_type STRING, p_size INT").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = queries.markdown_html(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() > 1
+    assert sorted(r["p_partkey"] for r in made.collect()) == list(range(100))
