@@ -1,22 +1,28 @@
 """Hashed TF-IDF vectors.
 
 A text becomes ``dims`` feature buckets by the MD5 of its words. All steps up
-to the vector are expressions on one row, so embedding a corpus needs no
+to the vector work on one row, so embedding a corpus needs no
 shuffle; only fitting the inverse document frequencies aggregates, and that
 exchanges at most ``dims + 1`` counters per task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import bind
-from ..functions.text import word_bucket, words
+
+#: Distinct words whose buckets a task remembers at most before it starts anew.
+CACHE_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -40,22 +46,45 @@ class IdfModel:
         return cls(rows[0]["n_chunks"], tuple(r["idf"] for r in rows))
 
 
-def postings(text: Column, dims: int = 384) -> Column:
-    """``struct(buckets, counts)`` of the words of a text, buckets ascending."""
-    hashed = F.sort_array(F.transform(words(text), lambda w: word_bucket(w, dims)))
+class WordBuckets(dict):
+    """Feature bucket of a word: the first 32 bits of its MD5 modulo ``dims``, computed once while the cache holds it."""
 
-    def counted(places: Column) -> Column:
-        # in sorted order a bucket ends where the next element differs
-        ends = F.array_compact(
-            F.transform(places, lambda b, i: F.when(~F.get(places, i + 1).eqNullSafe(b), i + 1))
-        )
-        counts = bind(
-            F.array_prepend(ends, F.lit(0)),
-            lambda e: F.transform(F.slice(e, 2, F.size(e)), lambda end, i: end - F.get(e, i)),
-        )
-        return F.struct(F.array_distinct(places).alias("buckets"), counts.alias("counts"))
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big") % self.dims
+        return value
 
-    return bind(hashed, counted)
+
+def postings(text: Column, dims: int = 384) -> Column:
+    """``struct(buckets, counts)`` of the words of a text, buckets ascending.
+
+    Words are those of ``functions.text.words``. Texts outside of ASCII are put into lower case and have their
+    separators replaced before; in the rest every word is a run of ASCII letters and digits.
+    """
+    # in ASCII alone a text has as many bytes as characters
+    lowered = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")
+    plain = bind(text, lambda t: F.when(F.octet_length(t) > F.length(t), lowered(t)).otherwise(t))
+    known = WordBuckets(dims)
+    blank = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+    @F.arrow_udf("struct<buckets: array<int>, counts: array<int>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        found = [t.lower().translate(blank).split() if t is not None else [] for t in texts.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        places = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        cells = np.bincount(np.repeat(np.arange(len(found)), sizes) * dims + places, minlength=1)
+        keys = np.flatnonzero(cells)
+        counts = cells[keys]
+        ends = np.searchsorted(keys, np.arange(len(found) + 1) * dims).astype(np.int32)
+        missing = texts.is_null()
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32)), mask=missing) for x in (keys % dims, counts)]
+        return pa.StructArray.from_arrays(lists, ["buckets", "counts"])
+
+    return counted(plain.cast("binary"))
 
 
 def counters(rows: DataFrame, buckets: Column) -> DataFrame:

@@ -189,3 +189,22 @@ def test_rag_statuses(spark):
     assert {r.query_id: r.status for r in ask.rag_batch(q, stored, model, generated=made).collect()} == {
         1: "no_answer", 2: "no_context",
     }
+
+
+def test_words_are_hashed_once_a_task_and_counted_as_by_the_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from passageworks.functions.text import word_bucket, words
+    from passageworks.operators import embedding
+
+    texts = ["", " . ", None, "A b_a 1b a\tB", "Größe GRÖẞE İı Σίσυφος ²½ 中文 é x y", "word " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id LONG, text STRING").coalesce(1)
+    made = df.select("id", embedding.postings(F.col("text")).alias("p"))
+    assert made.schema["p"].dataType.simpleString() == "struct<buckets:array<int>,counts:array<int>>"
+    assert "md5" not in made._jdf.queryExecution().optimizedPlan().toString()
+    plain = {r["id"]: r["b"] for r in df.select("id", F.transform(words(F.col("text")), lambda w: word_bucket(w, 384)).alias("b")).collect()}
+    for r in made.collect():
+        found = plain[r["id"]]
+        want = None if found is None else sorted(set(found))
+        assert r["p"]["buckets"] == want
+        assert r["p"]["counts"] == (None if found is None else [found.count(b) for b in want])
