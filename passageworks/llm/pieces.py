@@ -49,10 +49,10 @@ MARK = "▁"
 K, ALPHA, SEED = 2, 1.0, 1
 #: Code points up to this one (but the last, which stands for a blank) have a table of steps.
 TABLE_CHARS = 256
-#: Distinct units whose lattices a task holds at most before it starts anew.
-CACHE_UNITS = 3 << 17
+#: Distinct units, and arcs of their lattices (25 bytes each), that a worker holds before it forgets those it used least.
+CACHE_UNITS, CACHE_ARCS = 3 << 16, 5 << 20
 #: Characters of text that are worked on together; a longer text alone.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 SAMPLE = "STRUCT<ids: BINARY, n_pieces: INT, log_prob: DOUBLE, key: DOUBLE, score: DOUBLE>"
 SCHEMA = f"id BIGINT, ids BINARY, n_pieces INT, samples ARRAY<{SAMPLE}>"
@@ -173,7 +173,7 @@ class Units:
     ``node`` is the first node of a unit; a node's arcs lie side by side from
     ``arc_first``, the longest first. An arc has the logarithm of its chance
     given its node, the sum of chances up to it, the node it leads to (-1: end of
-    unit) and its ids.
+    unit) and its ids. ``uses`` counts the batches of texts that a unit occurred in.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -182,7 +182,7 @@ class Units:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        kinds = dict.fromkeys(("node", "arc_first", "arc_count", "to", "ids_first", "ids", "own_first", "own_count", "own"), np.int32)
+        kinds = dict.fromkeys(("node", "arc_first", "arc_count", "to", "ids_first", "ids", "own_first", "own_count", "own", "uses"), np.int32)
         self.grown = {name: Growing(kind) for name, kind in (kinds | {"ids_count": np.int8, "log_chance": np.float64, "upto": np.float32}).items()}
         for name in self.grown:
             self.extend(name, np.zeros(0, np.int64))
@@ -190,9 +190,45 @@ class Units:
     def extend(self, name: str, values: np.ndarray) -> None:
         setattr(self, name, self.grown[name].extend(values))
 
+    def keep(self, kept: np.ndarray) -> None:
+        """Forget all units but ``kept`` (ascending numbers), whose arrays move together."""
+        names = list(self.place)
+        # where the rows of each unit begin, in all four kinds of arrays
+        node = np.append(self.node, len(self.arc_first))
+        arc = np.append(self.arc_first, len(self.upto))[node]
+        ids = np.append(self.ids_first, len(self.ids))[arc]
+        own = np.append(self.own_first, len(self.own))
+        begin = [b[kept].astype(np.int64) for b in (node, arc, ids, own)]
+        count = [b[kept + 1] - at for b, at in zip((node, arc, ids, own), begin)]
+        moved = [np.cumsum(n) - n for n in count]
+        nodes, arcs, ids, own = map(ranges, begin, count)
+        by_node, to_arc, to_ids = (np.repeat(moved[i] - begin[i], count[j]) for i, j in ((1, 0), (0, 1), (2, 1)))
+        to = self.to[arcs]
+        new = {
+            "node": moved[0], "arc_first": self.arc_first[nodes] + by_node, "arc_count": self.arc_count[nodes],
+            "to": np.where(to < 0, -1, to + to_arc), "ids_first": self.ids_first[arcs] + to_ids, "ids_count": self.ids_count[arcs],
+            "log_chance": self.log_chance[arcs], "upto": self.upto[arcs], "ids": self.ids[ids],
+            "own_first": moved[3], "own_count": self.own_count[kept], "own": self.own[own], "uses": self.uses[kept] // 2,
+        }
+        self.clear()
+        self.place = {names[u]: i for i, u in enumerate(kept.tolist())}
+        for name, values in new.items():
+            self.extend(name, values)
+
+    def make_room(self, coming: int) -> bool:
+        """Forget units that were used least, if ``coming`` more were too many; whether any went."""
+        if not self.place or len(self.place) + coming <= CACHE_UNITS and len(self.upto) <= CACHE_ARCS:
+            return False
+        kept = np.argsort(-self.uses, kind="stable")[: CACHE_UNITS // 2]
+        kept = np.sort(kept[self.uses[kept] > 1])
+        ends = np.append(self.arc_first, len(self.upto))[np.append(self.node, len(self.arc_first))]
+        self.keep(kept if (ends[kept + 1] - ends[kept]).sum() <= CACHE_ARCS // 2 else kept[:0])
+        return True
+
     def add(self, new: list[str]) -> None:
         """Lattices and the model's own segmentation of units that are not known yet."""
         v = self.vocabulary
+        self.extend("uses", np.zeros(len(new), np.int64))
         for i, unit in enumerate(new, len(self.node)):
             self.place[unit] = i
         own = v.model.encode([u[1:] for u in new], num_threads=1)
@@ -436,12 +472,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         def rows(keys: list, texts: list[str]) -> pa.RecordBatch:
             cut = [cut_units(t) for t in texts]
             new = set().union(*cut).difference(units.place)
-            if len(units.place) + len(new) > CACHE_UNITS and units.place:
-                units.clear()
-                new = set().union(*cut)
+            if units.make_room(len(new)):
+                new = set().union(*cut).difference(units.place)
             if new:
                 units.add(list(new))
             words = [np.fromiter(map(units.place.__getitem__, c), np.int64, len(c)) for c in cut]
+            units.uses[np.concatenate(words)] += 1  # once per unit, however often it occurs here
             seeds = [xxhash.xxh64_intdigest(str(key), seed=seed) for key in keys]
             own, samples = [], []
             for at in words:
@@ -467,13 +503,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             keys, texts, chars = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys.append(key)
-                texts.append(text or "")
-                chars += len(texts[-1])
-                if chars >= BATCH_CHARS:
-                    yield rows(keys, texts)
-                    keys, texts, chars = [], [], 0
+            for at in range(0, batch.num_rows, 100):
+                piece = batch.slice(at, 100)
+                for key, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    keys.append(key)
+                    texts.append(text or "")
+                    chars += len(texts[-1])
+                    if chars >= BATCH_CHARS:
+                        yield rows(keys, texts)
+                        keys, texts, chars = [], [], 0
             if keys:
                 yield rows(keys, texts)
 

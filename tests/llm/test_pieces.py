@@ -137,6 +137,37 @@ def test_small_cache_changes_nothing(spark, monkeypatch):
     assert sorted(pieces.encode(df, FILE).collect(), key=str) == a
 
 
+def test_units_used_least_are_forgotten(units, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_UNITS", 8)
+    some = pieces.Units(units.vocabulary)
+    usual = ["ab", "é日", "cd!", ""]
+    for i in range(6):
+        cut = [pieces.MARK + w for w in [*usual, f"once{i}", f"x{i}日"]]
+        new = set(cut).difference(some.place)
+        if some.make_room(len(new)):
+            new = set(cut).difference(some.place)
+        some.add(sorted(new))
+        some.uses[[some.place[c] for c in cut]] += 1
+        assert len(some.place) <= 10 and sorted(some.place.values()) == list(range(len(some.node)))
+        for word in cut:  # lattice and own segmentation are those of units that were never moved
+            if word == pieces.MARK:
+                continue
+            was, now = known(units, word[1:])[0], some.place[word]
+            held = [sorted((tuple(ids_of(u, np.array(x, np.int64))), round(y, 9)) for x, y in all_segmentations(u, [n]).items()) for u, n in ((units, was), (some, now))]
+            assert held[0] == held[1]
+            own = [u.own[u.own_first[n] : u.own_first[n] + u.own_count[n]].tolist() for u, n in ((units, was), (some, now))]
+            assert own[0] == own[1]
+    assert {pieces.MARK + w for w in usual} <= set(some.place)
+
+
+def test_what_a_worker_holds_is_bounded_in_arcs(units, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_ARCS", 1000)
+    some = pieces.Units(units.vocabulary)
+    some.add([pieces.MARK + "word" * 2000])
+    assert some.make_room(1) and not some.place and not len(some.upto)
+    assert not some.make_room(1)
+
+
 def test_query_decodes_to_the_texts(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     model = sentencepiece.SentencePieceProcessor(model_file=FILE)
