@@ -187,7 +187,7 @@ class PostingIndex:
             partial = blocks.select(id_col, "postings").mapInArrow(score, schema)
         else:
             rows = blocks.select(id_col, "postings")
-            partial = _score_blocks(rows, asked, k, id_col, "postings", width, schema, most, max(1, group_rows // BLOCK), _winners)
+            partial = _score_blocks(rows, asked, k, id_col, "postings", width, schema, most, max(1, group_rows // BLOCK), _winners, GROUP_ROWS // BLOCK)
         return _rank(partial, id_col, k)
 
 

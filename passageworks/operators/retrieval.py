@@ -37,8 +37,13 @@ from .embedding import IdfModel, hashed_embedding, hashed_features
 BLOCK_BYTES = 32 << 20
 #: Chunk vectors per group where both sides are dealt into blocks.
 GROUP_ROWS = 50_000
+#: Blocks that a side is cut into before they grow, up to the two sizes above. With small blocks of a
+#: fixed size every row would be sent to as many groups as the other side has blocks.
+MOST_BLOCKS = 16
 #: Scores computed at a time in a task.
 SCORE_CELLS = 4_000_000
+#: Marks a question without ``k`` rows so far.
+UNKNOWN = np.iinfo(np.int64).max
 #: Groups of tasks whose winners are ranked before all of a question's are.
 RANK_GROUPS = 64
 #: Steps per unit of distance in comparisons.
@@ -95,7 +100,8 @@ class _Best:
     """The best ``k`` rows per question seen so far in a task.
 
     Rows that cannot enter the ranking any more are not even copied, so most
-    batches of a long scan add little. Memory is bounded by the block.
+    batches of a long scan add little: once every question has ``k`` rows, only scores
+    that reach the last of them are ranked. Memory is bounded by the block.
     """
 
     def __init__(self, block: _Block, k: int, id_col: str):
@@ -103,32 +109,54 @@ class _Best:
         self.kept: list[pa.Table] = []
         self.pending = 0
         self.limit = 4 * k * len(block.ids) + 10_000
-        self.worst = np.full(len(block.ids), np.iinfo(np.int64).max)
+        self.worst = np.full(len(block.ids), UNKNOWN)
 
     def add(self, rows: pa.Table, unit: np.ndarray, asked: np.ndarray) -> None:
         """Score ``rows``, whose unit vectors are given, for the questions ``asked``."""
         order = pc.sort_indices(rows.column(0)).to_numpy()
         n = len(order)
+        ordered = unit[order].T
         at_once = max(1, SCORE_CELLS // n)
         for start in range(0, len(asked), at_once):
             some = asked[start:start + at_once]
-            steps = np.rint((1.0 - self.block.unit[some] @ unit[order].T) * STEPS).astype(np.int64)
-            if self.k < n:
-                # position in id order breaks ties; it makes every key of a question distinct
-                top = np.argpartition(steps * n + np.arange(n), self.k - 1, axis=1)[:, :self.k]
-            else:
-                top = np.broadcast_to(np.arange(n), steps.shape)
-            reached = np.take_along_axis(steps, top, axis=1)
-            use = reached <= self.worst[some][:, None]
-            if not use.any():
+            q, at, reached = self._near(self.block.unit[some] @ ordered, self.worst[some], some)
+            if not len(q):
                 continue
-            part = rows.take(pa.array(order[top[use]]))
-            part = part.append_column("_q", pa.array(np.broadcast_to(some[:, None], top.shape)[use]))
-            self.kept.append(part.append_column("_steps", pa.array(reached[use])))
+            part = rows.take(pa.array(order[at])).append_column("_q", pa.array(some[q]))
+            self.kept.append(part.append_column("_steps", pa.array(reached)))
             self.pending += part.num_rows
             if self.pending > self.limit:
                 self._shrink()
 
+    def _near(self, score: np.ndarray, worst: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Question, row and steps of the scores that may be among the best; at least all that are."""
+        n = score.shape[1]
+        if n >= 32 * self.k and (worst == UNKNOWN).any():
+            # the k-th best of a part of the rows bounds the k-th best of all
+            part = n // 4
+            last = np.partition(score[:, :part], part - self.k, axis=1)[:, part - self.k]
+            worst = np.minimum(worst, np.rint((1.0 - last) * STEPS).astype(np.int64))
+            self.worst[some] = worst
+        if (worst < UNKNOWN).all():
+            # a step more than needed, for what rounding may take away
+            hit = ~(score < (1.0 - (worst + 1) / STEPS)[:, None])
+            if np.count_nonzero(hit) <= 8 * self.k * len(some):
+                q, at = np.nonzero(hit)
+                steps = np.rint((1.0 - score[q, at]) * STEPS).astype(np.int64)
+                use = steps <= worst[q]
+                return q[use], at[use], steps[use]
+        steps = np.rint((1.0 - score) * STEPS).astype(np.int64)
+        if self.k < n:
+            # position in id order breaks ties; it makes every key of a question distinct
+            top = np.argpartition(steps * n + np.arange(n), self.k - 1, axis=1)[:, :self.k]
+        else:
+            top = np.broadcast_to(np.arange(n), steps.shape)
+        reached = np.take_along_axis(steps, top, axis=1)
+        if self.k <= n:
+            self.worst[some] = np.minimum(worst, reached.max(axis=1))
+        use = reached <= worst[:, None]
+        return np.nonzero(use)[0], top[use], reached[use]
+
     def _shrink(self) -> None:
         table = pa.concat_tables(self.kept).sort_by(
             [("_q", "ascending"), ("_steps", "ascending"), (self.id_col, "ascending")]
@@ -237,7 +265,8 @@ def topk_batch(
     ``dims`` is needed for sparse features only. Ids are the key of the table.
 
     Counts the questions once to choose between a broadcast block and blocks on
-    both sides.
+    both sides. Those have ``block_bytes / 2`` of question vectors and ``group_rows`` rows;
+    where that makes more than ``MOST_BLOCKS`` of them, they grow up to the default sizes.
     """
     if where is not None:
         vectors = vectors.filter(where)
@@ -295,14 +324,22 @@ def _deal(rows: int, per_group: int) -> int:
     return max(1, -(-rows // per_group))
 
 
+def _blocks(rows: int, size: int, bound: int) -> int:
+    """Blocks of ``size`` rows; of more, up to ``bound``, where these would be many."""
+    return _deal(rows, max(size, min(bound, _deal(rows, MOST_BLOCKS))))
+
+
 def _slot(n: int, *columns: str):
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
-def _score_blocks(vectors, queries, k, id_col, vec_col, width, schema, most, group_rows, winners=_winners) -> DataFrame:
-    """Every block of chunks meets every block of questions in one group."""
-    v_blocks = _deal(vectors.count(), group_rows)
-    q_blocks = _deal(queries.count(), max(1, most // 2))
+def _score_blocks(vectors, queries, k, id_col, vec_col, width, schema, most, group_rows, winners=_winners, bound=GROUP_ROWS) -> DataFrame:
+    """Every block of chunks meets every block of questions in one group.
+
+    The scores are as many as pairs, but rows move to a bounded number of groups until blocks have their full size.
+    """
+    v_blocks = _blocks(vectors.count(), group_rows, bound)
+    q_blocks = _blocks(queries.count(), max(1, most // 2), BLOCK_BYTES // (16 * width))
     left = vectors.withColumn("_v", _slot(v_blocks, id_col)).withColumn(
         "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,38 @@ def test_exact_topk_broadcast_and_blocks_agree(spark, data):
     assert ranked(blocks) == expected
 
 
+def test_small_blocks_do_not_multiply_the_rows(spark, data, monkeypatch):
+    matrix, queries = data
+    sides = []
+
+    def spy(left, right, *args, real=retrieval._score_groups):
+        sides.append((left, right))
+        return real(left, right, *args)
+
+    monkeypatch.setattr(retrieval, "_score_groups", spy)
+    # one question and one row a block
+    found = ranked(retrieval.topk_batch(table(spark, matrix), asked(spark, queries), 5, block_bytes=8 * 16, group_rows=1))
+    assert found == brute(matrix, queries, 5)
+    left, right = sides[0]
+    assert left.count() <= len(matrix) * retrieval.MOST_BLOCKS
+    assert right.count() <= len(queries) * retrieval.MOST_BLOCKS
+
+
+def test_later_batches_enter_by_their_scores(data):
+    matrix, queries = data
+    alive = np.flatnonzero((matrix * matrix).sum(axis=1))
+    unit, wanted = retrieval._unit(matrix)[0], retrieval._unit(queries)[0]
+    best = retrieval._Best(retrieval._Block(pa.array(np.arange(len(queries))), wanted), 5, "chunk_id")
+    for lo, hi in ((0, 200), (200, 230), (230, 399)):
+        rows = pa.table({"chunk_id": [f"c{i:04d}" for i in alive[lo:hi]]})
+        best.add(rows, unit[lo:hi], np.arange(len(queries)))
+        # the first rows bound the rest, without waiting for a full store of winners
+        assert (best.worst < retrieval.UNKNOWN).all()
+    got = pa.Table.from_batches(best.batches())
+    steps = np.sort(np.rint((1.0 - wanted @ unit.T) * retrieval.STEPS), axis=1)[:, :5]
+    assert np.allclose(got["distance"].to_numpy().reshape(-1, 5), steps / retrieval.STEPS, atol=2e-9)
+
+
 def test_fewer_rows_than_k_and_no_rows(spark, data):
     matrix, queries = data
     assert ranked(retrieval.topk_batch(table(spark, matrix[:3]), asked(spark, queries[:2]), 10)) == brute(
