@@ -11,15 +11,23 @@ from ..operators.chunking import chunk_text
 from ..operators.diff import ingest_report, listing, snapshot_diff
 from ..operators.embedding import postings
 from ..schemas import COUNTS, Options
+from ..session import fits
 from ..sources.files import Folder, load_documents, quarantine
 from ..sources.state import STORED, Collection
 
 
 def _only(corpus: DataFrame | Folder, paths: DataFrame) -> DataFrame:
-    """The rows of the given paths; of a folder, no other file is read if they are few."""
+    """The rows of the given paths; of a folder, no other file is read if they are few.
+
+    Contents of a table are read for no path at all if there is none, and move only
+    for more paths than may be sent to them.
+    """
     if isinstance(corpus, Folder):
         return corpus.only(paths)
-    return corpus.join(paths.select("file_path"), "file_path", "left_semi")
+    paths = paths.select("file_path")
+    if paths.isEmpty():
+        return corpus.limit(0)
+    return corpus.join(F.broadcast(paths) if fits(paths) else paths, "file_path", "left_semi")
 
 
 def _width(state: Collection, run: int, dims: int | None) -> int | None:

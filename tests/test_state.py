@@ -281,3 +281,26 @@ def test_generator_hook_isolates_failures(spark):
     df = spark.createDataFrame([("a",), ("bad",), ("c",)], "prompt STRING").coalesce(1)
     rows = {r.prompt: (r.generated, r.error) for r in generate_with(df, load).collect()}
     assert rows == {"a": ("A", None), "bad": (None, "refused"), "c": ("C", None)}
+
+
+def test_contents_stay_where_they_are_for_few_paths_and_unread_for_none(spark):
+    from passageworks.plans.ingest import _only
+
+    files = corpus(spark, {f"/{i}.txt": f"text {i}" for i in range(20)})
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = files.mapInArrow(noted, files.schema)
+    none = spark.createDataFrame([], "file_path STRING")
+    assert _only(watched, none).count() == 0 and read.value == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        some = _only(files, spark.createDataFrame([("/3.txt",), ("/5.txt",), ("/x.txt",)], "file_path STRING"))
+        assert sorted(r.file_path for r in some.collect()) == ["/3.txt", "/5.txt"]
+        assert "SortMergeJoin" not in some._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
