@@ -102,9 +102,13 @@ def model_of(seen: dict[int, int], dims: int) -> IdfModel:
     return IdfModel(n, tuple(math.log((n + 1) / (seen.get(b, 0) + 1)) + 1.0 for b in range(dims)))
 
 
-def fit_idf(chunks: DataFrame, text: str = "text", dims: int = 384) -> IdfModel:
-    """Fit the weights of a chunk table; one job, like the fit of any estimator."""
-    counted = counters(chunks, postings(F.col(text), dims)["buckets"]).collect()
+def fit_idf(chunks: DataFrame, text: str = "text", dims: int = 384, counts: str | None = None) -> IdfModel:
+    """Fit the weights of a chunk table; one job, like the fit of any estimator.
+
+    ``counts`` names the column of ``postings`` of the same width, if the table has one.
+    """
+    found = F.col(counts) if counts else postings(F.col(text), dims)
+    counted = counters(chunks, found["buckets"]).collect()
     return model_of({r["bucket"]: r["n"] for r in counted}, dims)
 
 
@@ -136,10 +140,10 @@ def _unit(raw: Column) -> Column:
 
 
 def hashed_features(
-    df: DataFrame, model: IdfModel, text: str = "text", output: str = "features"
+    df: DataFrame, model: IdfModel, text: str = "text", output: str = "features", counts: str | None = None
 ) -> DataFrame:
-    """Add the sparse vector of ``text``."""
-    return df.withColumn(output, features_of(F.col(text), model))
+    """Add the sparse vector of ``text``, or of its ``postings`` if a column ``counts`` has them."""
+    return df.withColumn(output, weigh(F.col(counts), model) if counts else features_of(F.col(text), model))
 
 
 def dense(features: Column, dims: int) -> Column:

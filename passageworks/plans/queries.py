@@ -414,10 +414,12 @@ def hashed_embedding(spark, sf):
 
 
 def _indexed(spark, sf) -> tuple[DataFrame, embedding.IdfModel]:
-    """Chunks with sparse features, and the fitted weights."""
-    cut = chunks(spark, sf)
-    model = embedding.fit_idf(cut)
-    return embedding.hashed_features(cut, model), model
+    """Chunks with sparse features, and the fitted weights; texts are cut and hashed once, and what that gives is stored."""
+    place = scratch_dir(spark, "chunks")
+    chunks(spark, sf).withColumn("counts", embedding.postings(F.col("text"))).write.parquet(place)
+    cut = spark.read.parquet(place)
+    model = embedding.fit_idf(cut, counts="counts")
+    return embedding.hashed_features(cut, model, counts="counts").drop("counts"), model
 
 
 def topk_by_text(spark, sf):

@@ -91,6 +91,15 @@ def test_later_batches_enter_by_their_scores(data):
     assert np.allclose(got["distance"].to_numpy().reshape(-1, 5), steps / retrieval.STEPS, atol=2e-9)
 
 
+def test_stored_counts_give_the_model_and_the_features_of_the_texts(spark):
+    texts = spark.createDataFrame([(1, "one two, two"), (2, "Two é three"), (3, ""), (4, None)], "id INT, text STRING")
+    counted = texts.withColumn("counts", embedding.postings(F.col("text")))
+    model = embedding.fit_idf(texts)
+    assert embedding.fit_idf(counted.drop("text"), counts="counts") == model
+    from_text = embedding.hashed_features(texts, model).select("id", "features").collect()
+    assert embedding.hashed_features(counted.drop("text"), model, counts="counts").select("id", "features").collect() == from_text
+
+
 def test_fewer_rows_than_k_and_no_rows(spark, data):
     matrix, queries = data
     assert ranked(retrieval.topk_batch(table(spark, matrix[:3]), asked(spark, queries[:2]), 10)) == brute(
