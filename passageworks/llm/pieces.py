@@ -50,9 +50,9 @@ K, ALPHA, SEED = 2, 1.0, 1
 #: Code points up to this one (but the last, which stands for a blank) have a table of steps.
 TABLE_CHARS = 256
 #: Distinct units, and arcs of their lattices (25 bytes each), that a worker holds before it forgets those it used least.
-CACHE_UNITS, CACHE_ARCS = 3 << 16, 5 << 20
+CACHE_UNITS, CACHE_ARCS = 1 << 17, 3 << 20
 #: Characters of text that are worked on together; a longer text alone.
-BATCH_CHARS = 1 << 18
+BATCH_CHARS = 1 << 17
 
 SAMPLE = "STRUCT<ids: BINARY, n_pieces: INT, log_prob: DOUBLE, key: DOUBLE, score: DOUBLE>"
 SCHEMA = f"id BIGINT, ids BINARY, n_pieces INT, samples ARRAY<{SAMPLE}>"
