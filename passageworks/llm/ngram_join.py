@@ -21,16 +21,18 @@ row, the least id that can be reached over links, itself included.
    need not link to each other, but they link to the text. So a family of near
    copies becomes one group, and the matrix does not grow with its square.
 4. The matrix holds the union of runs of each group, as rows (run, group), as
-   far as a run lies in two groups or more. A class is a query to the other
-   groups for sets of its own size or larger; such a set must have
-   ``2 * percent / (100 + percent)`` of its runs. Of its runs, sorted by how many
+   far as a run lies in two groups or more. Of two groups, the classes of the one
+   with fewer of them are queries to the other (of as many: of the one with the
+   smaller sets), so a large family is asked by the copies that did not join it, and
+   its members ask for none of them. Two sets of ``n`` and ``m`` runs need ``percent /
+   (100 + percent)`` of ``n + m`` in common. Of a query's runs, sorted by how many
    groups have them, at least one of the first ``size - needed + 1`` must be in a
-   group's union (the rare runs, so passages found everywhere name no group). Two
-   sets of ``n`` and ``m`` runs need ``percent / (100 + percent)`` of ``n + m`` in common, so a set of which few runs
-   occur elsewhere links to small sets only: sizes and this reach of the groups are part of
-   the join, so that unlinked copies of one text do not meet each other. For the groups
-   found that have several members, the whole overlap with the union is counted, and only
-   those that reach the needed number are opened; a single class is opened at once.
+   group's union (the rare runs, so passages found everywhere name no group). A set
+   of which few runs occur elsewhere links to small sets only: sizes and this reach
+   of the groups are part of the join, so that unlinked copies of one text do not
+   meet each other. For the groups found that have several members, the whole overlap
+   with the union is counted, and only those that reach the needed number are opened;
+   a single class is opened at once.
 5. An opened group is first compared by its first class. Where that links, the
    groups merge. Only queries whose group is still apart from the opened one are
    compared with all its members. Every comparison intersects whole sets.
@@ -158,7 +160,7 @@ def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``(cls, n, other)``: queries and the groups whose union holds enough of their runs."""
+    """``(cls, n, other, bound)``: queries, the groups that come after theirs and hold enough of their runs, and how many (null: a single class)."""
     grouped = sets.join(groups, "cls").select("cls", "n", "grp", "runs")
     ends = explode_runs(grouped, "grp").groupBy("run").agg(F.min("grp").alias("a"), F.max("grp").alias("b"))
     runs = explode_runs(grouped, "cls", "n", "grp").join(ends.where("a <> b").select("run"), "run", "left_semi")
@@ -169,23 +171,30 @@ def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     matrix = store(runs.select("run", "grp").distinct(), "matrix")
     # a set of m runs, of which only so many occur in other groups, links to none of more runs than its reach
     reach = F.floor(F.col("across") * (100 + percent) / percent) - F.col("n")
-    sizes = runs.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(reach).alias("reach"), (F.min("cls") == F.max("cls")).alias("alone"))
-    spread = matrix.groupBy("run").agg(F.count("*").alias("spread"))
-    # runs in one group only, and those left out above, count among the first ones
-    needed = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
-    ordered = runs.join(spread, "run").groupBy("cls", "n", "grp").agg(F.max("across").alias("across"), F.sort_array(F.collect_list(F.struct("spread", "run"))).alias("runs"))
-    ordered = ordered.where(F.col("across") >= needed)
-    first = (F.col("across") - needed + 1).cast("int")
-    asked = ordered.select("cls", "n", "grp", F.explode(F.slice("runs", F.lit(1), first)).alias("x")).where("x.spread > 1").select("cls", "n", "grp", F.col("x.run").alias("run"))
-    other = matrix.withColumnRenamed("grp", "other")
-    fitting = (F.col("grp") != F.col("other")) & (F.col("n") <= F.least("high", "reach")) & (percent * F.col("low") <= 100 * F.col("n"))
-    found = store(asked.join(other.join(sizes, "other"), "run").where(fitting).select("cls", "n", "other", "alone").distinct(), "found")
+    classes = store(runs.groupBy("cls", "grp").agg(F.max("n").alias("n"), F.max(reach).alias("reach")), "classes")
+    sizes = classes.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"))
+    # of two groups, the classes of the one that comes first by this ask for the other
+    sizes = sizes.withColumn("place", F.struct("members", "low", "grp"))
+    placed = matrix.join(sizes, "grp")
+    spread = placed.groupBy("run").agg(F.count("*").alias("spread"), F.max("members").alias("most")).where("spread > 1")
+    ordered = runs.join(spread, "run").groupBy("cls", "n", "grp").agg(F.sort_array(F.collect_list(F.struct("spread", "run", "most"))).alias("runs"))
+    ordered = ordered.withColumn("across", F.size("runs")).where(F.col("across") >= least).join(sizes.select("grp", "place"), "grp")
+    first = (F.col("across") - least + 1).cast("int")
+    asked = ordered.select("cls", "n", "place", "across", F.posexplode(F.slice("runs", F.lit(1), first)).alias("at", "x")).where("x.most >= place.members")
+    # the place order makes a single class ask single classes of its size or larger only, for which fewer runs do; the further ones are for groups of several
+    far = F.col("at") > F.col("across") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    asked = asked.withColumn("far", far).where("NOT far OR x.most > 1").select("cls", "n", "place", "across", "at", "far", F.col("x.run").alias("run"))
+    other = placed.withColumn("far", F.explode(F.when(F.col("members") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    other = other.select("run", "far", F.col("grp").alias("other"), F.col("place").alias("then"), "low", "high", "reach", (F.col("members") == 1).alias("alone"))
+    needed = F.greatest(least, F.ceil((F.col("n") + F.col("low")) * percent / (100 + percent)))
+    fitting = (F.col("place") < F.col("then")) & (F.col("n") <= F.col("reach")) & (percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n")) & (F.col("at") <= F.col("across") - needed)
+    found = store(asked.join(other, ["run", "far"]).where(fitting).select("cls", "n", "other", "low", "alone").distinct(), "found")
     # the union of a single class is its set, which is compared as a whole anyway
     several = found.where(~F.col("alone")).drop("alone")
     whole = runs.select("cls", "run").join(small(several, BROADCAST_IDS), "cls")
-    counted = whole.join(other, ["run", "other"]).groupBy("cls", "n", "other").agg(F.count("*").alias("bound"))
-    within = counted.where(F.col("bound") >= needed).select("cls", "n", "other")
-    return store(within.unionByName(found.where("alone").drop("alone")), "opened")
+    counted = whole.join(matrix.select("run", F.col("grp").alias("other")), ["run", "other"]).groupBy("cls", "n", "other", "low").agg(F.count("*").alias("bound"))
+    within = counted.where(F.col("bound") >= needed).select("cls", "n", "other", "bound")
+    return store(within.unionByName(found.where("alone").select("cls", "n", "other"), allowMissingColumns=True), "opened")
 
 
 def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -223,7 +232,9 @@ def grouped_classes(sets: DataFrame, percent: int) -> DataFrame:
     now = wider.select("cls", F.col("grp").alias("now"))
     apart = queries.join(now, "cls").join(now.select(F.col("cls").alias("other"), F.col("now").alias("then")), "other").where("now <> then")
     members = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b")).join(groups.select(F.col("cls").alias("b"), F.col("grp").alias("other")), "b")
-    sized = (F.col("n_b") >= F.col("n")) & (percent * F.col("n_b") <= 100 * F.col("n")) & (F.col("b") != F.col("other"))
+    sized = (percent * F.col("n") <= 100 * F.col("n_b")) & (percent * F.col("n_b") <= 100 * F.col("n")) & (F.col("b") != F.col("other"))
+    # no member has more in common with the query than the union of all
+    sized &= percent * (F.col("n") + F.col("n_b")) <= (100 + percent) * F.col("bound")
     rest = store(apart.join(members, "other").where(sized).select(F.col("cls").alias("a"), "b"), "rest")
     late = linked(rest, sets, percent)
     named = wider.select(F.col("cls").alias("a"), F.col("grp").alias("x")), wider.select(F.col("cls").alias("b"), F.col("grp").alias("y"))

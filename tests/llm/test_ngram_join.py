@@ -85,6 +85,42 @@ def test_family_whose_copies_link_to_their_text_only(spark, monkeypatch):
     assert 100 * len(a & b) < 80 * len(a | b)
 
 
+def test_family_with_copies_that_link_to_none_of_it(spark, monkeypatch):
+    """300 members and 60 copies apart from them, whose edits others share: members do not ask for each of the copies."""
+    rows_of = {}
+
+    def spy(df, name, real=nj.store):
+        rows_of[name] = real(df, name)
+        return rows_of[name]
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 361):
+        words = list(base)
+        for at in rng.sample(range(3, 147, 6), 1 if i <= 300 else 4):
+            words[at] = f"e{i}" if i <= 300 else f"s{at}"
+        # two runs of their own, so that the base comes first among them
+        rows.append((i, " ".join(words if i <= 300 else [*words, f"x{i}", f"y{i}"])))
+    monkeypatch.setattr(nj, "store", spy)
+    want = check(spark, rows)
+    assert {want[i] for i in range(301)} == {0} and len(set(want.values())) > 40
+    # 300 * 60 if each member asked for each copy
+    assert rows_of["found"].count() < 4000
+
+
+def test_groups_of_other_sizes_are_asked(spark):
+    """Copies longer and shorter than the members of a larger group, linked to some of them at their ends only."""
+    rng = random.Random(9)
+    rows = []
+    for family in range(6):
+        words, new = [f"f{family}w{i}" for i in range(100)], iter(range(10_000))
+        for i in range(30):
+            rows.append((100 * family + i, " ".join(words)))
+            words = words + [f"f{family}n{next(new)}" for _ in range(rng.randint(1, 9))] if i % 2 else words[rng.randint(0, 12) :]
+    check(spark, rows)
+
+
 def test_short_blank_and_long(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, None), (4, ""), (3, " \n\t"), (9, "a b"), (8, "A  B"), (7, "a b c d e"), (6, "a b c d"), (2, long), (10, long + " end"), (11, "é É x y z"), (12, "é é x y z")]
