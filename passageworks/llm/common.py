@@ -8,7 +8,7 @@ from functools import reduce
 from types import ModuleType
 from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fits, scratch_dir
@@ -26,6 +26,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def watched(df: DataFrame, **sums: Column) -> tuple[DataFrame, Observation]:
+    """``df``, of which the job that stores it notes ``rows`` and further aggregates on the way.
+
+    Spares a job that reads the table again; the driver keeps a plan and its metrics for every job.
+    """
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in sums.items())), seen
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -35,6 +44,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def within(df: DataFrame, most: int, rows: int) -> DataFrame:
+    """``small`` of a table that is known to have at most ``most`` rows; counts it only if that is too many."""
+    return F.broadcast(df) if most <= rows else small(df, rows)
+
+
 def per_worker(key: str, make: Callable[[], T]) -> T:
     """What ``make`` gives, made once per Python worker process and shared by its tasks.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, watched
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     hands its larger neighbours, then its smaller ones, to the least node it
     knows. The minimum per node combines before the shuffle, and the join that
     hands it out may split a node with many neighbours. The steps end when they
-    change nothing; every step is stored, so lost executors cost one step.
+    change nothing, which the job that stores a step finds on the way; as every step
+    is stored, lost executors cost one step.
     """
 
     def hand_out(pairs: DataFrame) -> DataFrame:
@@ -30,15 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
         given = hand_out(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
         return given.select(F.col("v").alias("a"), F.col("m").alias("b")).union(given.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def kept(e: DataFrame) -> tuple[DataFrame, dict]:
+        noted, seen = watched(e.distinct(), hashes=F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
+        return store(noted, "edges"), seen.get
 
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = store(now, "edges")
-    before = state(now)
-    while before[0]:
-        now = store(smaller(larger(now)).where("a <> b").distinct(), "edges")
-        after = state(now)
+    now, before = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while before["rows"]:
+        now, after = kept(smaller(larger(now)).where("a <> b"))
         if after == before:
             break
         before = after

@@ -16,7 +16,7 @@ row, the least id that can be reached over links, itself included.
    own orders of all runs and classes, classes with the same least run are taken
    together, as similar sets mostly have the same one. A class that links to the
    first class among them joins its group, unless both are in one already; so each
-   group is connected. First is the class with the smallest share of runs that no
+   group is connected. The first round merges most, and the others share one pass. First is the class with the smallest share of runs that no
    other class has: edited copies of a text have runs of their own at every edit and
    need not link to each other, but they link to the text. So a family of near
    copies becomes one group, and the matrix does not grow with its square.
@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store
+from .common import small, store, watched, within
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -120,6 +120,12 @@ def hashed(docs: DataFrame, sample: float | None) -> DataFrame:
     return docs.mapInArrow(sets, "id BIGINT, cls BIGINT, n BIGINT, runs ARRAY<BIGINT>")
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` stored, and how many rows it has."""
+    noted, seen = watched(df)
+    return store(noted, name), seen.get["rows"]
+
+
 def shared_runs(runs: DataFrame) -> DataFrame:
     """``(cls, hits)``: how many rows of each class have a run that another class has too."""
     ends = runs.groupBy("run").agg(F.min("cls").alias("a"), F.max("cls").alias("b"))
@@ -131,14 +137,14 @@ def explode_runs(sets: DataFrame, *columns: str) -> DataFrame:
     return sets.select(*columns, F.explode("runs").alias("run"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets are similar enough."""
+def linked(pairs: DataFrame, most: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)``, of which there are ``most`` at most, whose whole sets are similar enough."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("runs").alias("runs_b"))
     # sets outside all pairs need not move; a first class stands in many pairs, so it
     # goes last, where a skewed key can be split
-    ends = small(pairs.select("b").distinct(), BROADCAST_IDS)
-    both = left.join(small(pairs.select("a", "b"), BROADCAST_IDS), "a").join(right.join(ends, "b", "left_semi"), "b")
+    ends = within(pairs.select("b").distinct(), most, BROADCAST_IDS)
+    both = left.join(within(pairs.select("a", "b"), most, BROADCAST_IDS), "a").join(right.join(ends, "b", "left_semi"), "b")
     common = F.size(F.array_intersect("runs_a", "runs_b"))
     return both.withColumn("_i", common).where(100 * F.col("_i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("_i"))).select("a", "b")
 
@@ -150,17 +156,17 @@ def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     hits = shared_runs(explode_runs(rows, "cls"))
     missing = F.col("sampled") * F.col("copies") - F.coalesce("hits", F.lit(0))
     alive = classes.join(hits, "cls", "left").where(100 * missing <= spare * F.col("n") * F.col("copies")).select("cls", "id")
-    alive = store(alive, "alive")
+    alive, n_alive = counted(alive, "alive")
     ids = alive.select(F.col("id").alias("_id")).distinct()
-    chosen = docs.join(small(ids, BROADCAST_IDS), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    whole = hashed(chosen, None).join(small(alive.select("cls"), BROADCAST_IDS), "cls", "left_semi").select("cls", "n", "runs")
+    chosen = docs.join(within(ids, n_alive, BROADCAST_IDS), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    whole = hashed(chosen, None).join(within(alive.select("cls"), n_alive, BROADCAST_IDS), "cls", "left_semi").select("cls", "n", "runs")
     whole = store(whole.dropDuplicates(["cls"]), "sets")
     exact = shared_runs(explode_runs(whole, "cls"))
     return store(whole.join(exact, "cls").where(100 * F.col("hits") >= percent * F.col("n")).select("cls", "n", "runs", (F.col("n") - F.col("hits")).alias("own")), "candidates")
 
 
-def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``(cls, n, other, bound)``: queries, the groups that come after theirs and hold enough of their runs, and how many (null: a single class)."""
+def opened(sets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """``(cls, n, other, bound)``, counted: queries, the groups that come after theirs and hold enough of their runs, and how many (null: a single class)."""
     grouped = sets.join(groups, "cls").select("cls", "n", "grp", "runs")
     ends = explode_runs(grouped, "grp").groupBy("run").agg(F.min("grp").alias("a"), F.max("grp").alias("b"))
     runs = explode_runs(grouped, "cls", "n", "grp").join(ends.where("a <> b").select("run"), "run", "left_semi")
@@ -188,13 +194,13 @@ def opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     other = other.select("run", "far", F.col("grp").alias("other"), F.col("place").alias("then"), "low", "high", "reach", (F.col("members") == 1).alias("alone"))
     needed = F.greatest(least, F.ceil((F.col("n") + F.col("low")) * percent / (100 + percent)))
     fitting = (F.col("place") < F.col("then")) & (F.col("n") <= F.col("reach")) & (percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n")) & (F.col("at") <= F.col("across") - needed)
-    found = store(asked.join(other, ["run", "far"]).where(fitting).select("cls", "n", "other", "low", "alone").distinct(), "found")
+    found, most = counted(asked.join(other, ["run", "far"]).where(fitting).select("cls", "n", "other", "low", "alone").distinct(), "found")
     # the union of a single class is its set, which is compared as a whole anyway
     several = found.where(~F.col("alone")).drop("alone")
-    whole = runs.select("cls", "run").join(small(several, BROADCAST_IDS), "cls")
-    counted = whole.join(matrix.select("run", F.col("grp").alias("other")), ["run", "other"]).groupBy("cls", "n", "other", "low").agg(F.count("*").alias("bound"))
-    within = counted.where(F.col("bound") >= needed).select("cls", "n", "other", "bound")
-    return store(within.unionByName(found.where("alone").select("cls", "n", "other"), allowMissingColumns=True), "opened")
+    whole = runs.select("cls", "run").join(within(several, most, BROADCAST_IDS), "cls")
+    overlap = whole.join(matrix.select("run", F.col("grp").alias("other")), ["run", "other"]).groupBy("cls", "n", "other", "low").agg(F.count("*").alias("bound"))
+    enough = overlap.where(F.col("bound") >= needed).select("cls", "n", "other", "bound")
+    return counted(enough.unionByName(found.where("alone").select("cls", "n", "other"), allowMissingColumns=True), "opened")
 
 
 def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -210,22 +216,32 @@ def least_run(number: int) -> Column:
     return F.array_min(F.transform("runs", lambda x: x.bitwiseXOR(F.lit(order))))
 
 
+def leads(numbers: range) -> Column:
+    """One row for each of some rounds, with its number and least run."""
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("number"), least_run(i).alias("lead")) for i in numbers)))
+
+
 def grouped_classes(sets: DataFrame, percent: int) -> DataFrame:
     """``(cls, grp)``: the connected groups of the candidate classes, by steps 3 to 5."""
     groups = sets.select("cls", F.col("cls").alias("grp"))
-    for number in range(ROUNDS):
+    for numbers in (range(1), range(1, ROUNDS)):
         # of a text and its edited copies, the text has the fewest runs to itself, and it is the one that they all link to
         share = F.floor(100 * F.col("own") / F.col("n"))
-        led = sets.select("cls", share.alias("own"), least_run(number).alias("lead")).join(groups, "cls")
-        pivots = led.groupBy("lead").agg(F.min(F.struct("own", F.xxhash64("cls", F.lit(number)), "cls", "grp")).alias("first"))
-        pairs = led.join(pivots, "lead").where("grp <> first.grp")
-        pairs = store(pairs.select(F.col("cls").alias("a"), F.col("first.cls").alias("b"), "grp", F.col("first.grp").alias("other")), "pairs")
-        edges = linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"])
-        groups = merged(groups, edges.select(F.col("grp").alias("a"), F.col("other").alias("b")))
-
-    queries = opened(sets, groups, percent)
+        led = sets.select("cls", share.alias("own"), leads(numbers).alias("at")).select("cls", "own", "at.*").join(groups, "cls")
+        pivots = led.groupBy("number", "lead").agg(F.min(F.struct("own", F.xxhash64("cls", "number"), "cls", "grp")).alias("first"))
+        pairs = led.join(pivots, ["number", "lead"]).where("grp <> first.grp")
+        # several rounds may name a pair
+        pairs = pairs.select(F.col("cls").alias("a"), F.col("first.cls").alias("b"), "grp", F.col("first.grp").alias("other")).distinct()
+        pairs, most = counted(pairs, "pairs")
+        if most:
+            edges = linked(pairs.select("a", "b"), most, sets, percent).join(pairs, ["a", "b"])
+            groups = merged(groups, edges.select(F.col("grp").alias("a"), F.col("other").alias("b")))
+
+    queries, most = opened(sets, groups, percent)
+    if not most:
+        return groups
     # a group is named by its first class
-    first = linked(queries.select(F.col("cls").alias("a"), F.col("other").alias("b")), sets, percent)
+    first = linked(queries.select(F.col("cls").alias("a"), F.col("other").alias("b")), most, sets, percent)
     edges = first.join(groups.withColumnRenamed("cls", "a"), "a").select(F.col("grp").alias("a"), "b")
     wider = merged(groups, edges)
 
@@ -235,8 +251,10 @@ def grouped_classes(sets: DataFrame, percent: int) -> DataFrame:
     sized = (percent * F.col("n") <= 100 * F.col("n_b")) & (percent * F.col("n_b") <= 100 * F.col("n")) & (F.col("b") != F.col("other"))
     # no member has more in common with the query than the union of all
     sized &= percent * (F.col("n") + F.col("n_b")) <= (100 + percent) * F.col("bound")
-    rest = store(apart.join(members, "other").where(sized).select(F.col("cls").alias("a"), "b"), "rest")
-    late = linked(rest, sets, percent)
+    rest, most = counted(apart.join(members, "other").where(sized).select(F.col("cls").alias("a"), "b"), "rest")
+    if not most:
+        return wider
+    late = linked(rest, most, sets, percent)
     named = wider.select(F.col("cls").alias("a"), F.col("grp").alias("x")), wider.select(F.col("cls").alias("b"), F.col("grp").alias("y"))
     return merged(wider, late.join(named[0], "a").join(named[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
@@ -266,5 +284,5 @@ def keep_first(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> Da
     Ids are keys: of rows that share an id, all go if one of them does, and a row without an id stays.
     """
     gone = joined.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    gone = store(gone, "gone")
-    return docs.join(small(gone, BROADCAST_IDS), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone, most = counted(gone, "gone")
+    return docs.join(within(gone, most, BROADCAST_IDS), F.col(id_col) == F.col("_gone"), "left_anti")

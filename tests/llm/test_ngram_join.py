@@ -2,8 +2,10 @@ import random
 
 import pytest
 from brute import groups, runs
+from pyspark.sql import functions as F
 
 from passageworks.llm import ngram_join as nj
+from passageworks.llm.common import store, watched
 from passageworks.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +156,24 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 70: 50, 100: 50, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a LONG, b LONG")).count() == 0
+
+
+def test_few_jobs_for_a_small_table(spark):
+    words = [[f"w{(i * 37 + j * j) % 997}" for j in range(60)] for i in range(12)]
+    rows = [(i * 10 + e, " ".join([*w[:e], f"edit{e}", *w[e + 1 :]] if e else w)) for i, w in enumerate(words) for e in range(4)]
+    docs = store(spark.createDataFrame(rows, "doc_id LONG, text STRING"), "test-jobs")
+    spark.sparkContext.setJobGroup("few jobs", "n-gram join")
+    try:
+        got = {r["id"]: r["component"] for r in nj.join_similar(docs).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == groups(rows) and len(set(got.values())) < len(rows)
+    # the driver keeps plan and metrics of each
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs")) <= 150
+
+
+def test_counts_of_stored_tables(spark):
+    stored, n = nj.counted(spark.range(7), "test-counted")
+    assert n == 7 and stored.count() == 7
+    noted, seen = watched(spark.range(7).where("id > 7").distinct(), total=F.sum("id"))
+    assert store(noted, "test-watched").count() == 0 and seen.get == {"rows": 0, "total": None}
