@@ -39,6 +39,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,28 +146,41 @@ class Vocabulary:
         self.table[self.keys[marked] // 0x110000, TABLE_CHARS - 1] = self.to[marked]
         self.piece = np.full(len(edges) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
-        self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.length = np.array(list(map(len, self.texts)), np.int64)
-        self.first = np.cumsum(self.length) - self.length
+        self.parts = np.array(self.texts, object)
 
-    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """The state behind each character; -1 if no piece goes on so."""
+    def columns(self, char: np.ndarray) -> np.ndarray:
+        """The column of each character in the table of steps; -1 for those that have none."""
         column = np.where(char == ord(MARK), TABLE_CHARS - 1, char)
-        rare = np.flatnonzero((column >= TABLE_CHARS) | (char == TABLE_CHARS - 1))
-        column[rare] = 0
-        found = self.table[state, column]
+        return np.where((column >= TABLE_CHARS) | (char == TABLE_CHARS - 1), -1, column)
+
+    def step(self, state: np.ndarray, column: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The state behind each character; -1 if no piece goes on so."""
+        found = self.table.ravel().take(state * TABLE_CHARS + column, mode="wrap").astype(np.int64)
+        rare = np.flatnonzero(column < 0)
         if len(rare):
             key = state[rare] * 0x110000 + char[rare]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             found[rare] = np.where(self.keys[at] == key, self.to[at], -1)
-        return found.astype(np.int64)
+        return found
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the blank that encoding put in front is taken away."""
-        found = self.flat[ranges(self.first[ids], self.length[ids])].tobytes().decode("utf-8", "replace")
+        found = b"".join(self.parts[ids].tolist()).decode("utf-8", "replace")
         return found[1:] if found.startswith(" ") else found
 
 
+class Numbers(dict):
+    """Numbers of units; a unit that has none gets the next one, and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
+
+
 class Units:
     """The lattices of distinct units, in flat arrays.
 
@@ -181,7 +195,7 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Numbers()
         kinds = dict.fromkeys(("node", "arc_first", "arc_count", "to", "ids_first", "ids", "own_first", "own_count", "own", "uses"), np.int32)
         self.grown = {name: Growing(kind) for name, kind in (kinds | {"ids_count": np.int8, "log_chance": np.float64, "upto": np.float32}).items()}
         for name in self.grown:
@@ -211,13 +225,36 @@ class Units:
             "own_first": moved[3], "own_count": self.own_count[kept], "own": self.own[own], "uses": self.uses[kept] // 2,
         }
         self.clear()
-        self.place = {names[u]: i for i, u in enumerate(kept.tolist())}
+        self.place.update((names[u], i) for i, u in enumerate(kept.tolist()))
         for name, values in new.items():
             self.extend(name, values)
 
+    def full(self, coming: int) -> bool:
+        """Whether ``coming`` more units were too many."""
+        return len(self.node) > 0 and (len(self.node) + coming > CACHE_UNITS or len(self.upto) > CACHE_ARCS)
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """Numbers of distinct units, whose uses are counted; makes the lattices of those that are not known yet."""
+
+        def look_up() -> np.ndarray:
+            return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+
+        found, new = look_up(), self.place.new
+        if self.full(len(new)):
+            for unit in new:
+                del self.place[unit]
+            self.place.new = []
+            self.make_room(len(new))
+            found, new = look_up(), self.place.new
+        self.place.new = []
+        if new:
+            self.add(new)
+        self.uses[found] += 1
+        return found
+
     def make_room(self, coming: int) -> bool:
         """Forget units that were used least, if ``coming`` more were too many; whether any went."""
-        if not self.place or len(self.place) + coming <= CACHE_UNITS and len(self.upto) <= CACHE_ARCS:
+        if not self.full(coming):
             return False
         kept = np.argsort(-self.uses, kind="stable")[: CACHE_UNITS // 2]
         kept = np.sort(kept[self.uses[kept] > 1])
@@ -229,11 +266,10 @@ class Units:
         """Lattices and the model's own segmentation of units that are not known yet."""
         v = self.vocabulary
         self.extend("uses", np.zeros(len(new), np.int64))
-        for i, unit in enumerate(new, len(self.node)):
-            self.place[unit] = i
+        self.place.update(zip(new, range(len(self.node), len(self.node) + len(new))))
         own = v.model.encode([u[1:] for u in new], num_threads=1)
-        mark = v.model.piece_to_id(MARK)
-        own = [ids if u != MARK else [mark] for u, ids in zip(new, own)]
+        if self.place.get(MARK, -1) >= len(self.node):
+            own[self.place[MARK] - len(self.node)] = [v.model.piece_to_id(MARK)]
         count = np.fromiter(map(len, own), np.int64, len(own))
         self.extend("own_first", len(self.own) + np.cumsum(count) - count)
         self.extend("own_count", count)
@@ -243,7 +279,7 @@ class Units:
         chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         total = len(chars)
         end = np.repeat(np.cumsum(length), length)  # of the unit that a character is in
-        at = np.arange(total)
+        at, column = np.arange(total), v.columns(chars)
         state, where = np.zeros(total, np.int64), at.copy()
         arc_count = np.zeros(total, np.int64)
         starts, stops, pieces, ranks = [], [], [], []
@@ -256,11 +292,12 @@ class Units:
             arc_count[begin] += 1
 
         while len(at):
-            state = v.step(state, chars[where])
+            state = v.step(state, column[where], chars[where])
             on = np.flatnonzero(state >= 0)
             at, state, where = at[on], state[on], where[on] + 1
-            hit = np.flatnonzero(v.piece[state] >= 0)
-            arcs(at[hit], where[hit], v.piece[state[hit]])
+            piece = v.piece[state]
+            hit = np.flatnonzero(piece >= 0)
+            arcs(at[hit], where[hit], piece[hit])
             on = np.flatnonzero(where < end[at])
             at, state, where = at[on], state[on], where[on]
         # a character that no single piece spells is spelt by its bytes
@@ -276,8 +313,8 @@ class Units:
         start, rank = np.concatenate(starts), np.concatenate(ranks)
         place = arc_first[start] + arc_count[start] - 1 - rank
         n_arcs = len(start)
-        stop, piece, begin = (np.empty(n_arcs, np.int64) for _ in range(3))
-        stop[place], piece[place], begin[place] = np.concatenate(stops), np.concatenate(pieces), start
+        stop, piece, begin = np.empty(n_arcs, np.int64), np.empty(n_arcs, np.int64), np.repeat(np.arange(total), arc_count)
+        stop[place], piece[place] = np.concatenate(stops), np.concatenate(pieces)
         bytewise = np.flatnonzero(piece < 0)
         weight, ids_count = v.log_weight[piece], np.ones(n_arcs, np.int64)
         n_bytes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -291,16 +328,17 @@ class Units:
 
         # sums towards the end, for all characters that are as far from it together
         last = stop == end[begin]
+        behind = np.where(last, total, stop)  # nothing is behind the end, which has the mass 0
         mass = np.zeros(total + 1)
         far = end - np.arange(total)
         order = np.argsort(far.astype(np.uint16) if total and far.max() < 1 << 16 else far, kind="stable")
-        sizes = np.bincount(far)[1:] if total else []
-        for hi, size in zip(np.cumsum(sizes), sizes):
-            nodes = order[hi - size : hi]
-            some = ranges(arc_first[nodes], arc_count[nodes])
-            value = weight[some] + np.where(last[some], 0.0, mass[stop[some]])
-            mass[nodes] = np.logaddexp.reduceat(value, np.cumsum(arc_count[nodes]) - arc_count[nodes]) if size else 0.0
-        log_chance = np.minimum(weight + np.where(last, 0.0, mass[np.where(last, 0, stop)]) - mass[begin], 0.0)
+        count = arc_count[order]
+        some = ranges(arc_first[order], count)
+        weights, behinds, arc = weight[some], behind[some], np.append(0, np.cumsum(count))
+        bounds = np.append(0, np.cumsum(np.bincount(far)[1:])) if total else np.zeros(1, np.int64)
+        for lo, hi, a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), arc[bounds[:-1]].tolist(), arc[bounds[1:]].tolist()):
+            mass[order[lo:hi]] = np.logaddexp.reduceat(weights[a:b] + mass[behinds[a:b]], arc[lo:hi] - a)
+        log_chance = np.minimum(weight + mass[behind] - mass[begin], 0.0)
         sums = np.cumsum(np.exp(log_chance))
         before = np.concatenate([[0.0], sums])[arc_first]
         known, held = len(self.arc_first), len(self.upto)
@@ -316,7 +354,7 @@ class Units:
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc of each node, by its chance."""
-        arc = self.arc_first[node].copy()
+        arc = self.arc_first[node].astype(np.int64)
         last = arc + self.arc_count[node] - 1
         on = np.flatnonzero((u > self.upto[arc]) & (arc < last))
         while len(on):
@@ -325,6 +363,11 @@ class Units:
             on = on[(u[on] > self.upto[a]) & (a < last[on])]
         return arc
 
+    def spelt(self, arcs: np.ndarray) -> np.ndarray:
+        """The ids of arcs."""
+        first, count = self.ids_first[arcs], self.ids_count[arcs]
+        return self.ids[first if (count == 1).all() else ranges(first, count)]
+
     def others(self, arc: int, taken: list[int]) -> np.ndarray:
         """The arcs beside ``arc`` that are none of ``taken``."""
         node = int(np.searchsorted(self.arc_first, np.int32(arc), "right")) - 1
@@ -340,7 +383,7 @@ class Units:
             arc = self.draw(now, uniform(at, np.uint64(step)))
             whose.append(on)
             arcs.append(arc)
-            now = self.to[arc]
+            now = self.to[arc].astype(np.int64)
             go = np.flatnonzero(now >= 0)
             on, now, at, step = on[go], now[go], at[go], step + 1
         for w in whose:
@@ -370,36 +413,6 @@ class Search:
     def root_key(self) -> float:
         return float(-np.log(-np.log(uniform(self.draws("root"), 0)[0])))
 
-    def found(self, arcs: np.ndarray, top: float, start: int, avoided: list[int]) -> None:
-        """Note a sample whose arcs from place ``start`` are new, and queue its best children.
-
-        Beginnings only get less likely, so the children are looked at in
-        stretches until no later one can be among the best.
-        """
-        u, nth = self.units, len(self.samples)
-        self.samples.append((arcs, top))
-        before = float(u.log_chance[arcs[:start]].sum())
-        noise_of = self.draws("child", nth)
-        at, size = start, 64
-        while at < len(arcs) and (len(self.queue) <= self.k or before + SLACK > self.queue[self.k][0]):
-            here = arcs[at : at + size]
-            log_chance = u.log_chance[here]
-            begun = before + np.cumsum(log_chance)
-            rest = -np.expm1(log_chance)  # zero where there is no other arc
-            if avoided and at == start:
-                rest[0] = np.exp(u.log_chance[u.others(int(here[0]), [*avoided, int(here[0])])]).sum()
-            on = np.flatnonzero(rest > 1e-15)
-            place = (begun - log_chance)[on] + np.log(rest[on])
-            noise = -np.log(uniform(noise_of, at + on))
-            keys = place - np.log(np.exp(np.minimum(place - top, 700.0)) + noise)
-            if len(keys) > self.k:
-                best = np.argpartition(keys, len(keys) - self.k - 1)[-self.k - 1 :]
-                on, keys = on[best], keys[best]
-            for i, value in zip(on.tolist(), keys.tolist()):
-                self.queue.append((value, nth, at + i, [*(avoided if at + i == start else []), int(here[i])]))
-            self.queue = sorted(self.queue, key=lambda x: -x[0])[: self.k + 1]
-            before, at, size = float(begun[-1]), at + len(here), size * 4
-
     def branch(self) -> tuple[float, np.ndarray, int, int, list[int]] | None:
         """Take the best node: its key, the shared arcs, the arc that differs, its unit, the avoided arcs."""
         if not self.queue:
@@ -414,6 +427,59 @@ class Search:
         return top, shared, arc, int(np.count_nonzero(self.units.to[shared] < 0)), taken
 
 
+def note(units: Units, found: list[tuple[Search, np.ndarray, float, int, list[int]]], k: int) -> None:
+    """Note a sample of each search (its arcs, key, place of its first new arc, arcs avoided there), and queue its best children.
+
+    Beginnings only get less likely, so the children are looked at in stretches, those of
+    all searches side by side, until no later one can be among the best of its search.
+    """
+    if not found:
+        return
+    nth = [len(s.samples) for s, *_ in found]
+    flat, tops = np.concatenate([arcs for _, arcs, *_ in found]), np.array([top for _, _, top, *_ in found])
+    end = np.cumsum([len(arcs) for _, arcs, *_ in found])
+    first = end - [len(arcs) for _, arcs, *_ in found]
+    at = first + [start for *_, start, _ in found]
+    before = np.array([units.log_chance[arcs[:start]].sum() for _, arcs, _, start, _ in found])
+    noise_of = np.concatenate([s.draws("child", n) for (s, *_), n in zip(found, nth)])
+    for s, arcs, top, *_ in found:
+        s.samples.append((arcs, top))
+    size, begin = 64, at.tolist()
+    on = np.arange(len(found))
+    while True:
+        limit = before[on] + SLACK
+        reaching = [len(found[i][0].queue) <= k or x > found[i][0].queue[k][0] for i, x in zip(on.tolist(), limit.tolist())]
+        on = on[np.array(reaching, bool) & (at[on] < end[on])]
+        if not len(on):
+            return
+        width = min(size, int((end[on] - at[on]).max()))
+        where = at[on][:, None] + np.arange(width)
+        here = flat[np.minimum(where, len(flat) - 1)]
+        log_chance = np.where(where < end[on][:, None], units.log_chance[here], 0.0)
+        begun = before[on][:, None] + np.cumsum(log_chance, axis=1)
+        rest = -np.expm1(log_chance)  # zero where there is no other arc
+        if size == 64:
+            for r, i in enumerate(on.tolist()):
+                if avoided := found[i][4]:
+                    arc = int(here[r, 0])
+                    rest[r, 0] = np.exp(units.log_chance[units.others(arc, [*avoided, arc])]).sum()
+        none = rest <= 1e-15
+        rest[none] = 1.0
+        place = begun - log_chance + np.log(rest)
+        noise = -np.log(uniform(noise_of[on][:, None], where - first[on][:, None]))
+        keys = place - np.log(np.exp(np.minimum(place - tops[on][:, None], 700.0)) + noise)
+        keys[none] = -np.inf
+        best = np.argpartition(keys, width - k - 1, axis=1)[:, -k - 1 :] if width > k else np.broadcast_to(np.arange(width), keys.shape)
+        chosen = (np.take_along_axis(x, best, axis=1).tolist() for x in (keys, where, here))
+        for i, *row in zip(on.tolist(), *chosen):
+            s, start = found[i][0], begin[i]
+            for value, w, arc in zip(*row):
+                if value > -np.inf:
+                    s.queue.append((value, nth[i], w - int(first[i]), [*(found[i][4] if w == start else []), arc]))
+            s.queue = sorted(s.queue, key=lambda x: -x[0])[: k + 1]
+        before[on], at[on], size = begun[:, -1], at[on] + width, size * 4
+
+
 def search_all(units: Units, keys: list[int], texts: list[np.ndarray], k: int) -> list[Search]:
     """Searches of many texts side by side: each round draws the arcs of all of them at once."""
     searches = [Search(units, key, words, k) for key, words in zip(keys, texts)]
@@ -430,11 +496,13 @@ def search_all(units: Units, keys: list[int], texts: list[np.ndarray], k: int) -
             streams.append(s.draws("walk", nth) + np.arange(len(start), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         arcs, counts = units.walk(np.concatenate(nodes), mixed(np.concatenate(streams)))
         ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(n) for n in nodes])])]
+        found = []
         for s, head, lo, hi in zip(searches, heads, ends[:-1], ends[1:]):
             if head:
                 top, shared, arc, _, taken = head
                 branch = [] if arc is None else [arc]
-                s.found(np.concatenate([shared, np.array(branch, np.int64), arcs[lo:hi]]), top, len(shared), taken)
+                found.append((s, np.concatenate([shared, np.array(branch, np.int64), arcs[lo:hi]]), top, len(shared), taken))
+        note(units, found, k)
         if nth + 1 < k:
             heads = [s.branch() for s in searches]
     return searches
@@ -450,6 +518,22 @@ def cut_units(text: str) -> list[str]:
     return [MARK + w for w in marked[1:].split(MARK)]
 
 
+def cut_all(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct units of some texts, and the places of each text's units among them."""
+    odd = {i: cut_units(t) for i, t in enumerate(texts) if not t or t[0] == " " or "  " in t or MARK in t}
+    cut = pc.split_pattern(pa.array([t for i, t in enumerate(texts) if i not in odd], pa.large_string()), " ")
+    coded = cut.flatten().dictionary_encode()
+    units = [MARK + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    ends = cut.offsets.to_numpy()
+    codes = coded.indices.to_numpy()
+    plain = iter([codes[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+    if any(odd.values()):
+        place = {u: i for i, u in enumerate(units)}
+        odd = {i: np.fromiter((place.setdefault(u, len(place)) for u in c), np.int64, len(c)) for i, c in odd.items()}
+        units = list(place)
+    return units, [np.array(odd[i], np.int64) if i in odd else next(plain) for i in range(len(texts))]
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", k: int = K, alpha: float = ALPHA, seed: int = SEED, digests: bool = False) -> DataFrame:
     """``(id, ids, n_pieces, samples)`` for every row; ids are little-endian, two bytes each (four from 65,536 pieces on).
 
@@ -470,14 +554,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         sample = pa.struct([("ids", pa.binary()), ("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("key", pa.float64()), ("score", pa.float64())])
 
         def rows(keys: list, texts: list[str]) -> pa.RecordBatch:
-            cut = [cut_units(t) for t in texts]
-            new = set().union(*cut).difference(units.place)
-            if units.make_room(len(new)):
-                new = set().union(*cut).difference(units.place)
-            if new:
-                units.add(list(new))
-            words = [np.fromiter(map(units.place.__getitem__, c), np.int64, len(c)) for c in cut]
-            units.uses[np.concatenate(words)] += 1  # once per unit, however often it occurs here
+            distinct, places = cut_all(texts)
+            number = units.numbers(distinct)
+            words = [number[at] for at in places]
             seeds = [xxhash.xxh64_intdigest(str(key), seed=seed) for key in keys]
             own, samples = [], []
             for at in words:
@@ -486,7 +565,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 nxt = search.queue[0][0] if search.queue else -np.inf
                 found = []
                 for arcs, top in search.samples:
-                    ids = units.ids[ranges(units.ids_first[arcs], units.ids_count[arcs])].astype(kind)
+                    ids = units.spelt(arcs).astype(kind)
                     log_prob = float(units.log_chance[arcs].sum())
                     score = 1.0 if nxt == -np.inf else float(-np.expm1(-np.exp(min(log_prob - nxt, 700.0))))
                     found.append({"ids": ids.tobytes(), "n_pieces": len(ids), "log_prob": log_prob, "key": top, "score": score})

@@ -112,6 +112,28 @@ def test_fewer_segmentations_than_asked_for(units):
     assert len(s.samples) == 2 and not s.queue
 
 
+def test_units_of_many_texts_are_those_of_each():
+    texts = [*NASTY, "a b a", "two  blanks", " front", "mark▁mark", "end ", "a b a"]
+    distinct, places = pieces.cut_all(texts)
+    assert len(set(distinct)) == len(distinct)
+    assert [[distinct[i] for i in p] for p in places] == [pieces.cut_units(t) for t in texts]
+    assert pieces.cut_all([]) == ([], []) and pieces.cut_all(["", ""])[0] == []
+
+
+def test_distinct_units_are_looked_up_once(units, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_UNITS", 6)
+    some, made = pieces.Units(units.vocabulary), []
+    add = some.add
+    monkeypatch.setattr(some, "add", lambda new: (made.extend(new), add(new)))
+    for text in ["ab cd ab", "cd ef", "ab gh", "cd ij kl mn", "ab cd"]:
+        distinct, places = pieces.cut_all([text])
+        numbers = some.numbers(distinct)
+        assert [some.place[u] for u in distinct] == numbers.tolist() and len(some.place) == len(some.node) == len(some.uses) <= 8
+        own = [units.vocabulary.decode(some.own[some.own_first[n] : some.own_first[n] + some.own_count[n]]) for n in numbers[places[0]]]
+        assert " ".join(own) == text
+    assert made[:4] == ["▁ab", "▁cd", "▁ef", "▁gh"]
+
+
 def decoded(spark, rows):
     df = rows.selectExpr("id", "ids", "explode(samples.ids) AS one")
     both = pieces.decode(pieces.decode(df, FILE, "ids", "own"), FILE, "one", "sampled")
