@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+import stat
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice, pairwise
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,28 +15,141 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import bind
 from ..functions.text import SUPPORTED, normalize_newlines, suffix
+from ..session import scratch_dir
 from .markdown import markdown_html
 
 
+#: What a listing holds of each entry; ``modified`` in milliseconds.
+ENTRY = "path STRING, folder BOOLEAN, length BIGINT, modified BIGINT"
+#: Folders that one task lists if there are more than a few for each core.
+LISTED = 2_000
+#: Bytes of contents that a worker gathers before it hands them on.
+HELD = 4 << 20
+
+
 def scan_corpus(spark: SparkSession, root: str | list[str], glob: str | None = None) -> DataFrame:
     """Every regular file below ``root``, or of a list of paths, as a corpus row (M1).
 
-    Select without ``content`` to list files without reading them. Spark's file
-    listing leaves out empty files and names starting with ``.`` or ``_``.
+    Select without ``content`` to list files without reading them. Empty files and names starting
+    with ``.`` or ``_`` are left out. The files are those of the time of the call.
+
+    Folders that are mounted are listed and read by tasks, and the list is kept in the scratch folder; of
+    other stores Spark's reader lists all files on the driver and makes a task of every few.
     """
+    roots = _mounted(spark, [root] if isinstance(root, str) else root)
+    if roots is not None:
+        return _rows(_walk(spark, roots, glob), F.timestamp_millis("modified"), _contents(F.col("path")))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    path = F.regexp_replace("path", r"\Afile:/+", "/")
-    return reader.load(root).select(
-        path.alias("file_path"),
-        suffix(path).alias("suffix"),
-        F.col("modificationTime").alias("modified_at"),
-        "length",
-        "content",
+    found = reader.load(root).withColumn("path", F.regexp_replace("path", r"\Afile:/+", "/"))
+    return _rows(found, F.col("modificationTime"), F.col("content"))
+
+
+def _rows(found: DataFrame, modified_at: Column, content: Column) -> DataFrame:
+    path = F.col("path")
+    return found.select(
+        path.alias("file_path"), suffix(path).alias("suffix"), modified_at.alias("modified_at"), "length", content.alias("content"),
     )
 
 
+def _mounted(spark: SparkSession, paths: list[str]) -> list[str] | None:
+    """The paths without scheme, patterns replaced by what they match; None if Spark's reader has to look for them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    scheme = jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf).getScheme()
+    if not (spark.sparkContext.master.startswith("local") or spark.conf.get("spark.checkpoint.dir", None)):
+        return None  # there is no place for the list
+    out = []
+    for path in paths:
+        bare = re.sub(r"\Afile:/(//)?(?!/)", "/", path)
+        if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", bare) or bare == path and scheme != "file" or bare.startswith("//"):
+            return None
+        if re.search(r"(?<!\\)[{}\[\]*?]", bare):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            found = place.getFileSystem(conf).globStatus(place)
+            out += [f.getPath().toUri().getPath() for f in found or []]
+        else:
+            out.append(os.path.abspath(re.sub(r"\\(.)", r"\1", bare)))
+    # for what is missing Spark's reader has its own error
+    return out if out and all(map(os.path.exists, out)) else None
+
+
+def _walk(spark: SparkSession, roots: list[str], glob: str | None) -> DataFrame:
+    """The files below ``roots``, as ``ENTRY`` rows. Each level of folders is dealt out and stored, whatever its number of entries."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hidden(name: str, folder: bool) -> bool:
+            # the names that Spark's reader leaves out
+            out = name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+            return out and not (folder and name.startswith(("_common_metadata", "_metadata")))
+
+        def below(place: str) -> Iterator[tuple[str, bool, int, int]]:
+            try:
+                inside = os.scandir(place)
+            except NotADirectoryError:
+                if not hidden(os.path.basename(place), False):
+                    s = os.stat(place)
+                    yield place, False, s.st_size, s.st_mtime_ns // 1_000_000
+                return
+            except FileNotFoundError:
+                return
+            with inside:
+                for e in inside:
+                    try:
+                        e.name.encode()
+                        folder, s = e.is_dir(), e.stat()
+                    except (FileNotFoundError, UnicodeEncodeError):  # gone meanwhile, or a name that is no text
+                        continue
+                    if not hidden(e.name, folder) and (folder or stat.S_ISREG(s.st_mode)):
+                        yield e.path, folder, s.st_size, s.st_mtime_ns // 1_000_000
+
+        found = (x for b in batches for place in b.column(0).to_pylist() for x in below(place))
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], names)
+
+    names, kinds = ["path", "folder", "length", "modified"], [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+    place, levels, files, size = scratch_dir(spark, "listing"), [], 0, 0
+    folder, wanted = F.col("folder"), ~F.col("folder") & (F.col("length") > 0)
+    if glob:
+        pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+        wanted &= F.substring_index("path", "/", -1).rlike(rf"(?s)\A(?:{pattern})\z")
+    cores = spark.sparkContext.defaultParallelism
+    todo = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "path STRING")
+    while todo is not None:
+        levels.append(f"{place}/{len(levels)}")
+        todo.mapInArrow(entries, ENTRY).write.parquet(levels[-1])
+        level = spark.read.schema(ENTRY).parquet(levels[-1])
+        more, new, fresh = level.agg(F.count_if(folder), F.count_if(wanted), F.sum(F.when(wanted, F.col("length")))).first()
+        files, size = files + new, size + (fresh or 0)
+        todo = level.where(folder).select("path").repartition(min(more, max(4 * cores, more // LISTED))) if more else None
+    found = spark.read.schema(ENTRY).parquet(*levels).where(wanted)
+    if any(r != s and s.startswith(r.rstrip("/") + "/") for r, s in pairwise(sorted(roots, key=lambda r: r.split("/")))):
+        found = found.dropDuplicates(["path"])
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return found.repartition(max(1, min(files, max(cores, size // split + 1))))
+
+
+def _contents(path: Column) -> Column:
+    """The bytes of mounted files."""
+    held = HELD
+
+    @F.arrow_udf("binary")
+    def contents(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for paths in batches:
+            read, size = [], 0
+            for place in paths.to_pylist():
+                with open(place, "rb") as file:
+                    read.append(file.read())
+                size += len(read[-1])
+                if size >= held:
+                    yield pa.array(read, pa.binary())
+                    read, size = [], 0
+            if read:
+                yield pa.array(read, pa.binary())
+
+    return contents(path)
+
+
 #: Tasks that write single files.
 WRITERS = 200
 
@@ -56,7 +171,7 @@ def write_files(texts: DataFrame, place: str, keys: list[str], text: str = "text
     named after their folder alone, so a repeated task writes the same ones.
     """
     texts = texts.select(*keys, F.col(text).cast("string").alias(text))
-    dealt = texts.repartition(WRITERS, keys[0])
+    dealt = texts.repartition(WRITERS, *keys)
     if not _reachable(place):
         dealt.write.partitionBy(*keys).text(place)
         return

@@ -193,3 +193,52 @@ def test_single_files_lie_in_shared_folders_and_are_listed_once(spark, tmp_path,
     for _ in range(2):
         incremental_ingest(spark, files.Folder(spark, str(tmp_path / "a")), str(tmp_path / "state"))
     assert listings == [str(tmp_path / "a")] * 2
+
+
+def test_mounted_folders_are_listed_by_tasks_as_by_sparks_reader(spark, tmp_path, monkeypatch):
+    """Hidden and odd names, empty files, links, patterns, single files, paths that lie in each other."""
+    root = tmp_path / "top [1]"
+    for name in (
+        "a.txt", "b.MD", "empty.txt", ".hidden.txt", "_marked.txt", "_k=1.txt", "_common_metadata", "_metadata/g.txt", "x._COPYING_", "100%41 é#?.txt", "sub/c.txt", "sub/deep/er/d.md",
+        ".git/config", "_tmp/e.txt", "_k=2/f.txt", "sub/no suffix",
+    ):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if "empty" in name else f"in {name}\r\n".encode())
+    (root / "bare").mkdir()
+    (root / "linked").symlink_to(root / "sub")
+    (root / "lost").symlink_to(root / "nowhere")
+    named = str(root).replace("[", "\\[").replace("]", "\\]")
+    asked = [
+        (named, None), (f"file:{named}", "*.{md,txt}"), (f"{named}/", "[a-c]?*"), (f"{named}/s*", None), (f"{named}/*", None), ([f"{named}/a.txt", f"{named}/sub/c.txt"], None),
+        ([named, f"{named}/sub", f"{named}/_tmp", named], None), ([f"{named}/bare"], None), (f"{named}/sub", "nothing*"),
+    ]
+
+    def seen():
+        found = [files.scan_corpus(spark, str(r) if isinstance(r, str) else r, g) for r, g in asked]
+        assert {f.schema.simpleString() for f in found} == {"struct<file_path:string,suffix:string,modified_at:timestamp,length:bigint,content:binary>"}
+        return found, [sorted((r.file_path, r.suffix, r.modified_at, r.length, bytes(r.content)) for r in f.collect()) for f in found]
+
+    plans, by_tasks = seen()
+    assert not any("binaryFile" in f._jdf.queryExecution().toString() for f in plans)
+    # without the contents no file is opened
+    assert "ArrowEvalPython" not in plans[0].drop("content")._jdf.queryExecution().executedPlan().toString()
+    with monkeypatch.context() as m:
+        m.setattr(files, "_mounted", lambda spark, paths: None)
+        assert seen()[1] == by_tasks and len(by_tasks[0]) == 12 and not by_tasks[-1]
+    for gone in (str(tmp_path / "none"), str(tmp_path / "none*")):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            files.scan_corpus(spark, gone)
+
+
+def test_tasks_of_a_scan_follow_bytes_and_not_files(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"{i % 7}" / f"{i}.txt").write_text("text " * i)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        scanned = files.scan_corpus(spark, str(tmp_path))
+        assert scanned.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "late.txt").write_text("not there when the folder was listed")
+    assert scanned.agg(F.count("content"), F.sum("length"), F.sum(F.length("content"))).first()[:] == (299, 5 * 150 * 299, 5 * 150 * 299)
