@@ -304,3 +304,23 @@ def test_contents_stay_where_they_are_for_few_paths_and_unread_for_none(spark):
         assert "SortMergeJoin" not in some._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_small_files_are_ingested_by_few_tasks(spark, tmp_path):
+    """Tasks, and the files that they write, follow the bytes of a folder and not its number of files."""
+    docs, where = tmp_path / "docs", str(tmp_path / "c")
+    for i in range(200):
+        (docs / f"{i % 5}").mkdir(parents=True, exist_ok=True)
+        (docs / f"{i % 5}" / f"{i}.txt").write_text(f"text of file {i}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert state.ensure_index(spark, where).count() == 0
+        incremental_ingest(spark, files.Folder(spark, str(docs)), where)
+        assert sorted(r.text for r in state.ensure_index(spark, where).collect()) == sorted(f"text of file {i}" for i in range(200))
+        incremental_ingest(spark, files.Folder(spark, f"{docs}/[0-2]"), where)
+        assert state.ensure_index(spark, where).count() == 120
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for run in (1, 2):
+        parts = [p for p in os.listdir(next((tmp_path / "c" / "vectors" / f"ingest={run}").iterdir())) if p.startswith("part-")]
+        assert len(parts) <= 4 * spark.sparkContext.defaultParallelism
